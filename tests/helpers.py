@@ -24,8 +24,13 @@ def kinds_at(findings):
     return {k: sorted(v, key=lambda x: (x is None, x)) for k, v in out.items()}
 
 
+def in_order(rows):
+    """Sorted rows, missing values last."""
+    return sorted(rows, key=lambda row: [(x is None, 0 if x is None else x) for x in row])
+
+
 def rows_of(df, *columns):
-    return sorted(tuple(r[c] for c in columns) for r in df.collect())
+    return in_order(tuple(r[c] for c in columns) for r in df.collect())
 
 
 def details(findings):
