@@ -1,12 +1,14 @@
 """One place for the text rules every operator shares.
 
 Patterns in this library are written in the common regex dialect with ASCII word boundaries and Unicode white space.
-`regex` rewrites such a pattern for the JVM engine, where `\\b` is Unicode aware and `\\s` is ASCII only.
+`regex` rewrites such a pattern for the JVM engine, where `\\b` is Unicode aware and `\\s` is ASCII only. On text that is
+pure ASCII the two dialects agree and the plain spelling is several times faster, so `by_script` picks one per row.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,7 +30,16 @@ DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
 
 
 def regex(pattern: str, flags: str = "") -> str:
-    """JVM spelling of a pattern; `flags` is any of i, m, s."""
+    """JVM spelling of a pattern for any text; `flags` is any of i, m, s."""
+    return _spell(pattern, flags, True)
+
+
+def ascii_regex(pattern: str, flags: str = "") -> str:
+    """JVM spelling of a pattern for text known to be pure ASCII."""
+    return _spell(pattern, flags, False)
+
+
+def _spell(pattern: str, flags: str, any_text: bool) -> str:
     out = []
     in_class = False
     i = 0
@@ -36,11 +47,11 @@ def regex(pattern: str, flags: str = "") -> str:
         c = pattern[i]
         pair = pattern[i : i + 2]
         if c == "\\" and len(pair) == 2:
-            if pair == r"\b" and not in_class:
+            if any_text and pair == r"\b" and not in_class:
                 out.append(BOUNDARY)
-            elif pair == r"\s":
+            elif any_text and pair == r"\s":
                 out.append(SPACE_CLASS if in_class else f"[{SPACE_CLASS}]")
-            elif pair == r"\S":
+            elif any_text and pair == r"\S":
                 out.append(f"[^{SPACE_CLASS}]")
             else:
                 out.append(pair)
@@ -61,6 +72,30 @@ def regex(pattern: str, flags: str = "") -> str:
     return prefix + "".join(out)
 
 
+Spelling = Callable[..., str]
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def by_script(text: Column, build: Callable[[Spelling], Column]) -> Column:
+    """`build` with the spelling that fits each row's text; only one of the two is evaluated."""
+    return F.when(is_ascii(text), build(ascii_regex)).otherwise(build(regex))
+
+
+def matches(text: Column, pattern: str, flags: str = "") -> Column:
+    return by_script(text, lambda spell: text.rlike(spell(pattern, flags)))
+
+
+def replaced(text: Column, pattern: str, flags: str, mark: str) -> Column:
+    return by_script(text, lambda spell: F.regexp_replace(text, spell(pattern, flags), mark))
+
+
+def extracted(text: Column, pattern: str, flags: str, group: int) -> Column:
+    return by_script(text, lambda spell: F.regexp_extract(text, spell(pattern, flags), group))
+
+
 def regex_column(pattern: Column, flags: Column) -> Column:
     """The same rewrite for a pattern that is data. Only boundaries and flags change."""
     escaped = BOUNDARY.replace("\\", "\\\\").replace("$", "\\$")

@@ -12,6 +12,8 @@ MARKDOWN_LINK = r"\[([^\]]*)\]\(([^)\s]+)\)"
 HREF_LINK = r"href\s*=\s*[\"'](https?:\/\/[^\"'\s>]+)[\"']"
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
 DIGIT_RUN = r"\+?[\d][\d\s-]*\d"
+# A run that is long enough spans nine characters; testing this first spares most lines the full search.
+NINE_CHARS = r"\d[\d\s-]{7,}\d"
 UTM3 = ("utm_source", "utm_medium", "utm_campaign")
 
 
@@ -61,8 +63,9 @@ def has_phone(line: Column) -> Column:
         separators = F.regexp_count(run, F.lit(regex(r"[\s-]")))
         return (digits >= 10) | ((separators >= 1) & (digits >= 9))
 
-    return F.exists(F.regexp_extract_all(line, F.lit(regex(DIGIT_RUN)), F.lit(0)), long_enough)
+    runs = F.regexp_extract_all(line, F.lit(regex(DIGIT_RUN)), F.lit(0))
+    return line.rlike(regex(NINE_CHARS)) & F.exists(runs, long_enough)
 
 
 def is_pii_line(line: Column) -> Column:
-    return line.rlike(EMAIL) | has_phone(line)
+    return (F.contains(line, F.lit("@")) & line.rlike(EMAIL)) | has_phone(line)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievelight.functions.compat import is_blank, regex, text_or_empty, trim
+from sievelight.functions.compat import Spelling, by_script, is_ascii, is_blank, matches, regex, text_or_empty, trim
 
 # Stamps, masks and word lists that decide the results.
 STAMP = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z)"
@@ -39,7 +39,8 @@ WARN_WORDS = (
 )
 FINGERPRINT_PREFIX = "bt-"
 KEY_LETTERS = "a-z0-9\\u0590-\\u05FF"
-WORD_TOKEN = r"[\p{L}\p{N}]+"
+HEBREW = "[\\u0590-\\u05FF]"
+WORD_LETTERS = r"\p{L}\p{N}"
 
 
 def stamp_ms(line: Column) -> Column:
@@ -58,8 +59,9 @@ def stamp_text(line: Column) -> Column:
     return F.when(stamp != "", stamp)
 
 
-def collapse(col: Column) -> Column:
-    return trim(F.regexp_replace(col, regex(r"\s+"), " "))
+def collapse(col: Column, spell: Spelling = regex) -> Column:
+    """Every run of white space becomes one space. Single spaces are left alone instead of being rewritten."""
+    return trim(F.regexp_replace(col, spell(r"\s{2,}|[\s&&[^ ]]"), " "))
 
 
 def shape_of(line: Column) -> Column:
@@ -67,23 +69,28 @@ def shape_of(line: Column) -> Column:
     folded = F.lower(without_stamp(text_or_empty(line)))
     for pattern, mark in ((r"[0-9a-f]{6,}", "#"), (r"\d+", "#"), (r"[^a-z# /._-]+", " ")):
         folded = F.regexp_replace(folded, pattern, mark)
-    return collapse(folded)
+    return trim(F.regexp_replace(folded, " {2,}", " "))
 
 
 def normalize_line(line: Column) -> Column:
     """The pattern of a log line: everything that varies between repeats becomes a mark."""
-    masked = text_or_empty(line)
-    for pattern, flags, mark in MASKS:
-        masked = F.regexp_replace(masked, regex(pattern, flags), mark)
-    return collapse(masked)
+
+    def build(spell: Spelling) -> Column:
+        masked = text_or_empty(line)
+        for pattern, flags, mark in MASKS:
+            masked = F.regexp_replace(masked, spell(pattern, flags), mark)
+        return collapse(masked, spell)
+
+    return by_script(line, build)
 
 
 def severity(line: Column) -> Column:
-    return (
-        F.when(line.rlike(regex(NEGATED, "i")), "info")
-        .when(line.rlike(regex(ERROR_WORDS, "i")), "error")
-        .when(line.rlike(regex(WARN_WORDS, "i")), "warn")
-        .otherwise("info")
+    return by_script(
+        line,
+        lambda spell: F.when(line.rlike(spell(NEGATED, "i")), "info")
+        .when(line.rlike(spell(ERROR_WORDS, "i")), "error")
+        .when(line.rlike(spell(WARN_WORDS, "i")), "warn")
+        .otherwise("info"),
     )
 
 
@@ -104,7 +111,7 @@ def is_continuation(line: Column) -> Column:
 
 
 def is_denied(line: Column, pattern: str = DENIED) -> Column:
-    return line.rlike(regex(pattern, "i"))
+    return matches(line, pattern, "i")
 
 
 def id_tokens(line: Column) -> Column:
@@ -118,13 +125,18 @@ def norm_text(col: Column, keep_all_scripts: bool = False) -> Column:
     By default only a-z, digits and Hebrew survive, so rows in other scripts can share an empty key;
     `keep_all_scripts` keeps every letter and digit.
     """
-    letters = "\\p{L}\\p{N}" if keep_all_scripts else KEY_LETTERS
-    return trim(F.regexp_replace(F.lower(text_or_empty(col)), f"[^{letters}]+", " "))
+    lowered = F.lower(text_or_empty(col))
+    # A class over several Unicode blocks is many times slower than one of ASCII only, so it is kept for texts it matters to.
+    wide, is_plain = (WORD_LETTERS, is_ascii(lowered)) if keep_all_scripts else (KEY_LETTERS, ~lowered.rlike(HEBREW))
+    plain = F.regexp_replace(lowered, "[^a-z0-9]+", " ")
+    return trim(F.when(is_plain, plain).otherwise(F.regexp_replace(lowered, f"[^{wide}]+", " ")))
 
 
 def tokenize(text: Column) -> Column:
     """Lower-case runs of letters and digits of any script."""
-    return F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(WORD_TOKEN), F.lit(0))
+    lowered = F.lower(text_or_empty(text))
+    plain = F.regexp_extract_all(lowered, F.lit("[a-z0-9]+"), F.lit(0))
+    return F.when(is_ascii(lowered), plain).otherwise(F.regexp_extract_all(lowered, F.lit(f"[{WORD_LETTERS}]+"), F.lit(0)))
 
 
 def filled(col: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievelight.functions import text as tx
 from sievelight.operators.findings import as_findings, first_per_kind, text, union_findings
 from sievelight.plans.blocks import BLOCK_ROWS, dense_index
+from sievelight.plans.spread import explode_once
 from sievelight.plans.windows import forward_counts, forward_distinct
 
 # Default thresholds.
@@ -36,7 +37,7 @@ def auth_burst(
 
 def id_sweep(lines: DataFrame, n: int = SWEEP_IDS, window_ms: int = SWEEP_WINDOW_MS) -> DataFrame:
     """Stamps whose following window shows `n` or more distinct id tokens: `source, row, ts_ms, ids`."""
-    tokens = lines.select("source", "n", "ts_ms", F.explode(tx.id_tokens(F.col("line"))).alias("token"))
+    tokens = explode_once(lines, tx.id_tokens(F.col("line")), "token", "source", "n", "ts_ms")
     counted = forward_distinct(tokens, window_ms)
     return counted.filter(F.col("total") >= n).select("source", "row", "ts_ms", F.col("total").alias("ids"))
 

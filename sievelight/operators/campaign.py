@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sievelight.functions.compat import is_blank, number, split_lines, trim
 from sievelight.functions.links import UTM3, is_pii_line, link_utm, links_in_line, lower_ok
 from sievelight.operators.findings import as_findings, exploded, text, union_findings
+from sievelight.plans.spread import explode_once
 
 HASH_LENGTH = 16
 SMALL_DIR_BYTES = 16 << 20
@@ -29,7 +30,7 @@ def lines_of_files(files: DataFrame) -> DataFrame:
 
 def extract_links(posts: DataFrame) -> DataFrame:
     """`source, file, line_no, url` of every external markdown or href link."""
-    return lines_of_files(posts).select("source", "file", "line_no", F.explode(links_in_line(F.col("line"))).alias("url"))
+    return explode_once(lines_of_files(posts), links_in_line(F.col("line")), "url", "source", "file", "line_no")
 
 
 def campaign_fields(campaigns: DataFrame, required: Sequence[str] = UTM3) -> DataFrame:

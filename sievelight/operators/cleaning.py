@@ -15,6 +15,7 @@ from sievelight.functions.compat import number, regex, trim
 from sievelight.functions.text import filled, norm_text
 from sievelight.operators.findings import as_findings, exploded, text, union_findings
 from sievelight.plans.skew import attach_group_first
+from sievelight.plans.spread import explode_once
 
 # Default rules.
 REQUIRED = ("id", "name", "email")
@@ -93,7 +94,9 @@ def nested_out_of_range(df: DataFrame, fields: Sequence[str] = PAY_FIELDS, lo: f
 
 
 def _key_hash(*parts: Column) -> Column:
-    return F.unhex(F.sha2(F.to_json(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])), 256))
+    """Never NULL, and typed so: joins then add no null test that would compute the key a second time."""
+    body = F.to_json(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)]))
+    return F.coalesce(F.unhex(F.sha2(body, 256)), F.lit(b""))
 
 
 def exact_key(df: DataFrame) -> Column:
@@ -153,7 +156,7 @@ def near_dupe(df: DataFrame, keys: Column | None = None, order: str = "n") -> Da
     tagged = (
         base.select("source", "n", (near_keys(df) if keys is None else keys).alias("keys"))
         .join(kept, ["source", "n"], "left_semi")
-        .select("source", "n", F.posexplode("keys").alias("position", "tagged"))
+        .transform(lambda rows: explode_once(rows, F.col("keys"), "tagged", "source", "n", position="position"))
         .withColumn("tag", F.left("tagged", F.lit(2)))
         .withColumn("key", _key_hash(F.col("source"), F.col("tagged")))
         .drop("tagged")

@@ -9,6 +9,7 @@ from sievelight.functions.compat import is_blank, regex, text_or_empty, trim
 from sievelight.functions.html import attribute, has_attribute, match_spans
 from sievelight.operators.findings import as_findings, exploded, text, union_findings
 from sievelight.plans.skew import attach_facts
+from sievelight.plans.spread import explode_once
 
 # Tags, style rules, input types without a label, and link kinds.
 HTML_TAG = r"<html\b[^>]*>"
@@ -66,7 +67,7 @@ def page_head(pages: DataFrame) -> DataFrame:
 
 
 def missing_alt(pages: DataFrame) -> DataFrame:
-    images = pages.select("page_id", F.explode(match_lines(F.col("html"), IMG_TAG, "i")).alias("at"))
+    images = explode_once(pages, match_lines(F.col("html"), IMG_TAG, "i"), "at", "page_id")
     bare = _source(images.filter(~has_attribute(F.col("at.match"), "alt")))
     line = F.col("at.line")
     return as_findings(bare, "missing-alt", text("line ", line, ": img tag without an alt attribute"), line)
@@ -98,7 +99,7 @@ def missing_label(pages: DataFrame) -> DataFrame:
         spoken = has_attribute(tag, "aria-label") | has_attribute(tag, "aria-labelledby") | has_attribute(tag, "title")
         return _is_control(tag) & ~spoken & ~named & ~wrapped
 
-    found = _source(parsed.select("page_id", F.explode(F.filter("controls", unlabelled)).alias("at")))
+    found = _source(explode_once(parsed, F.filter("controls", unlabelled), "at", "page_id"))
     tag_name = F.lower(_extract(F.col("at.match"), CONTROL_TAG, "i", 1))
     detail = text("line ", F.col("at.line"), ": ", tag_name, " control without a label, aria-label or title")
     return as_findings(found, "missing-label", detail, F.col("at.line"))
@@ -109,7 +110,7 @@ def style_sources(pages: DataFrame, css: DataFrame | None = None) -> DataFrame:
     html = F.col("html")
 
     def pieces(name: str, pattern: str, flags: str) -> DataFrame:
-        spans = pages.select("page_id", F.explode(match_lines(html, pattern, flags)).alias("at"))
+        spans = explode_once(pages, match_lines(html, pattern, flags), "at", "page_id")
         return spans.select(
             "page_id", F.lit(name).alias("name"), _extract(F.col("at.match"), pattern, flags, 1).alias("css"), F.col("at.line").alias("line")
         )
@@ -157,7 +158,7 @@ def broken_anchor(pages: DataFrame, include_text: bool = False) -> DataFrame:
     ids = F.filter(F.transform(tags, lambda t: _attribute_text(t, "id")), lambda v: v.isNotNull())
     wanted = F.filter(_hrefs(html), lambda h: h.rlike("^#."))
     missing = _source(
-        pages.select("page_id", ids.alias("ids"), F.explode(wanted).alias("href")).filter(
+        explode_once(pages, wanted, "href", "page_id", ids.alias("ids")).filter(
             ~F.array_contains("ids", F.coalesce(F.try_url_decode(F.replace(F.substr("href", F.lit(2)), F.lit("+"), F.lit("%2B"))), F.lit("")))
         )
     )
@@ -182,7 +183,7 @@ def page_path(url: Column) -> Column:
 def internal_links(pages: DataFrame) -> DataFrame:
     """`page_id, url, href, target`: links that lead to a path of the same site, resolved against their page."""
     href = F.col("href")
-    links = pages.select("page_id", "url", F.explode(_hrefs(F.col("html"))).alias("href")).filter(
+    links = explode_once(pages, _hrefs(F.col("html")), "href", "page_id", "url").filter(
         (href != "") & ~href.rlike(f"(?i){EXTERNAL}") & ~href.rlike(f"(?i){OTHER_SCHEME}") & ~href.startswith("#")
     )
     decoded = F.try_url_decode(F.replace(F.regexp_replace(href, r"[?#][\s\S]*", ""), F.lit("+"), F.lit("%2B")))

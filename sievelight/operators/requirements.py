@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.functions.compat import half_up, regex, trim
+from sievelight.functions.compat import extracted, half_up, matches, regex, trim
 from sievelight.functions.html import match_spans
 from sievelight.functions.text import collapse
 from sievelight.operators.findings import as_findings
@@ -59,7 +59,7 @@ SAME_RESULTS = "same results as before the change (P2P)"
 
 
 def _says(col: Column, pattern: str) -> Column:
-    return col.rlike(regex(pattern, "i"))
+    return matches(col, pattern, "i")
 
 
 def _plain(col: Column) -> Column:
@@ -80,12 +80,12 @@ def _trimmed(lines: DataFrame) -> DataFrame:
 
 def parse_proofs(lines: DataFrame) -> DataFrame:
     """`source, line_no, kind, text` of F2P and P2P lines."""
-    line, pattern = F.col("line"), regex(PROOF_LINE, "i")
-    return _trimmed(lines).filter(line.rlike(pattern)).select(
+    line = F.col("line")
+    return _trimmed(lines).filter(_says(line, PROOF_LINE)).select(
         "source",
         "line_no",
-        F.upper(F.regexp_extract(line, pattern, 1)).alias("kind"),
-        _plain(F.regexp_extract(line, pattern, 2)).alias("text"),
+        F.upper(extracted(line, PROOF_LINE, "i", 1)).alias("kind"),
+        _plain(extracted(line, PROOF_LINE, "i", 2)).alias("text"),
     )
 
 
@@ -95,19 +95,17 @@ def parse_requirements(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFr
     Lines without an id of their own are named `R<position>`; positions count per spec.
     """
     line = F.col("line")
-    item = regex(ITEM_LINE, "i")
     table = line.startswith("|")
     cells = _cells(line)
     is_row = table & (F.size(cells) >= 2) & F.get(cells, F.lit(0)).rlike(regex(TABLE_ID))
     parsed = (
         _trimmed(lines)
-        .filter(~line.rlike(regex(PROOF_LINE, "i")))
-        .filter(is_row | (~table & line.rlike(item)))
+        .filter(is_row | (~table & _says(line, ITEM_LINE) & ~_says(line, PROOF_LINE)))
         .select(
             "source",
             "line_no",
             F.when(table, F.get(cells, F.lit(0))).alias("own_id"),
-            F.when(table, _plain(F.get(cells, F.lit(1)))).otherwise(_plain(F.regexp_extract(line, item, 1))).alias("text"),
+            F.when(table, _plain(F.get(cells, F.lit(1)))).otherwise(_plain(extracted(line, ITEM_LINE, "i", 1))).alias("text"),
             F.when(table, _plain(F.coalesce(F.get(cells, F.lit(2)), F.lit("")))).otherwise("").alias("proof"),
         )
     )
@@ -126,8 +124,8 @@ def requirement_flags(reqs: DataFrame) -> DataFrame:
     """Findings for requirements nobody can test as written; the detail names the listed word that was used."""
     body = F.col("text")
     kind = flag_kind(body, F.col("proof"))
-    word = F.when(F.col("flag") == "incomplete", F.regexp_extract(body, regex(INCOMPLETE, "i"), 0)).otherwise(
-        F.regexp_extract(body, regex(VAGUE, "i"), 0)
+    word = F.when(F.col("flag") == "incomplete", extracted(body, INCOMPLETE, "i", 0)).otherwise(
+        extracted(body, VAGUE, "i", 0)
     )
     flagged = reqs.withColumn("flag", kind).filter(F.col("flag").isNotNull())
     detail = F.when(F.col("flag") == "incomplete", F.concat(F.lit('says "'), word, F.lit('"'))).otherwise(
@@ -228,16 +226,24 @@ def plan_cases(reqs: DataFrame) -> DataFrame:
 
 def coverage(reqs: DataFrame, cases: DataFrame, proofs: DataFrame | None = None) -> DataFrame:
     """`source, requirements, cases, negative, boundary, regression, flagged, uncovered, proof_lines` per spec."""
+    types = ("negative", "boundary", "regression")
+    per_req = cases.groupBy("source", F.col("req").alias("id")).agg(
+        F.count("*").alias("cases"), *[F.count_if(F.col("type") == t).alias(t) for t in types]
+    )
     flagged = flag_kind(F.col("text"), F.col("proof")).isNotNull()
-    wanted = reqs.select(
-        "source", F.lit(1).alias("requirements"), flagged.cast("int").alias("flagged"), (F.col("proof") != "").cast("int").alias("proof_lines")
+    facts = reqs.select(
+        "source",
+        "id",
+        F.lit(1).alias("requirements"),
+        flagged.cast("int").alias("flagged"),
+        (F.col("proof") != "").cast("int").alias("proof_lines"),
     )
-    have = cases.select("source", F.lit(1).alias("cases"), *[(F.col("type") == t).cast("int").alias(t) for t in ("negative", "boundary", "regression")])
-    bare = reqs.select("source", F.col("id").alias("req")).join(cases.select("source", "req"), ["source", "req"], "left_anti")
-    parts = wanted.unionByName(have, allowMissingColumns=True).unionByName(
-        bare.select("source", F.lit(1).alias("uncovered")), allowMissingColumns=True
+    # An id can name several requirements; its cases are counted once.
+    per_id = facts.groupBy("source", "id").agg(*[F.sum(n).alias(n) for n in ("requirements", "flagged", "proof_lines")])
+    parts = per_id.join(per_req, ["source", "id"], "left").withColumn(
+        "uncovered", F.when(F.col("cases").isNull(), F.col("requirements"))
     )
     if proofs is not None:
         parts = parts.unionByName(proofs.select("source", F.lit(1).alias("proof_lines")), allowMissingColumns=True)
-    names = ("requirements", "cases", "negative", "boundary", "regression", "flagged", "uncovered", "proof_lines")
+    names = ("requirements", "cases", *types, "flagged", "uncovered", "proof_lines")
     return parts.groupBy("source").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])

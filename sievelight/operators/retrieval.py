@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions.stats import bm25_part, idf
 from sievelight.functions.text import tokenize
+from sievelight.plans.spread import explode_once
 
 # Saturation, length weight and list length.
 K1, B, TOP = 1.2, 0.75, 5
@@ -37,7 +38,7 @@ def build_index(docs: DataFrame) -> Index:
     tokens = docs.select("source", "doc", tokenize(F.col("text")).alias("tokens"))
     sized = tokens.withColumn("length", F.size("tokens"))
     postings = (
-        sized.select("source", "doc", "length", F.explode("tokens").alias("term"))
+        explode_once(sized, F.col("tokens"), "term", "source", "doc", "length")
         .groupBy("source", "doc", "length", "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -46,7 +47,7 @@ def build_index(docs: DataFrame) -> Index:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """`query, position, term`: distinct terms of `query, text` in order of first use."""
-    return queries.select("query", F.posexplode(F.array_distinct(tokenize(F.col("text")))).alias("position", "term"))
+    return explode_once(queries, F.array_distinct(tokenize(F.col("text"))), "term", "query", position="position")
 
 
 def _weighted(index: Index, queries: DataFrame) -> DataFrame:

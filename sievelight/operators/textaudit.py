@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.functions.compat import regex, trim
+from sievelight.functions.compat import matches, trim
 from sievelight.operators.findings import as_findings, text, union_findings
 
 # Phrases, line limit, and the sections a runbook needs.
@@ -47,8 +47,8 @@ def jargon(lines: DataFrame, phrases: Sequence[str] = JARGON, include_text: bool
     """
     line = F.col("line")
     any_of = "|".join(_literal(p) for p in phrases)
-    marks = [F.when(line.rlike(regex(rf"\b{_literal(p)}\b", "i")), F.lit(p)) for p in phrases]
-    hits = lines.filter(line.rlike(regex(rf"\b(?:{any_of})\b", "i"))).withColumn(
+    marks = [F.when(matches(line, rf"\b{_literal(p)}\b", "i"), F.lit(p)) for p in phrases]
+    hits = lines.filter(matches(line, any_of, "i")).withColumn(
         "phrase", F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull()))
     )
     detail = text("line ", F.col("line_no"), ' uses banned jargon "', F.col("phrase"), '"')
@@ -64,13 +64,13 @@ def long_line(lines: DataFrame, limit: int = LONG_LINE) -> DataFrame:
 
 
 def _heading(section: str) -> Column:
-    return F.col("line").rlike(regex(rf"^#{{1,3}}\s*{_literal(section)}\b", "i"))
+    return matches(F.col("line"), rf"^#{{1,3}}\s*{_literal(section)}\b", "i")
 
 
 def missing_section(lines: DataFrame, trigger: str = RUNBOOK, required: Sequence[str] = SECTIONS) -> DataFrame:
     """Documents that mention the trigger word need a heading, level 1 to 3, for each required section."""
     found = [F.bool_or(_heading(s)).alias(f"s{i}") for i, s in enumerate(required)]
-    docs = lines.groupBy("source").agg(F.bool_or(F.col("line").rlike(regex(_literal(trigger), "i"))).alias("asked"), *found)
+    docs = lines.groupBy("source").agg(F.bool_or(matches(F.col("line"), _literal(trigger), "i")).alias("asked"), *found)
     lacking = F.filter(
         F.array(*[F.when(~F.col(f"s{i}"), F.lit(s)) for i, s in enumerate(required)]), lambda s: s.isNotNull()
     )

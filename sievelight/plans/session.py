@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, **settings: str)
         .appName("sievelight")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        # Small inputs can still be heavy per row; keep all cores at work on them.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
     )
@@ -37,6 +40,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, for inputs that several branches of a plan read.
+
+    Each branch then scans only the columns it needs instead of deriving the rows again.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are written once to shared storage and survive a lost executor."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -21,7 +21,7 @@ def attach_facts(rows: DataFrame, key: str, facts: DataFrame, copies: str, colum
     hot = hot.select(F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in columns])
     cold = cold.select(F.col(key).alias("_cold_key"), *[F.col(c).alias(f"_cold_{c}") for c in columns])
     scattered = F.unhex(F.sha1(spread.cast("string"))).cast(rows.schema[key].dataType)
-    is_cold = F.col("_hot_key").isNull() & F.col(key).isNotNull()
+    is_cold = F.col("_hot_key").isNull()
     joined = (
         rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
         .withColumn("_join_key", F.when(is_cold, F.col(key)).otherwise(scattered))
@@ -32,10 +32,9 @@ def attach_facts(rows: DataFrame, key: str, facts: DataFrame, copies: str, colum
 
 
 def attach_group_first(rows: DataFrame, key: str, row: str = "n", name: str = "first_n") -> DataFrame:
-    """Adds the lowest `row` of each row's `key` group; NULL where the key is NULL or not repeated."""
+    """Adds the lowest `row` of each row's non-null `key` group; NULL where the key is not repeated."""
     groups = (
-        rows.filter(F.col(key).isNotNull())
-        .groupBy(key)
+        rows.groupBy(key)
         .agg(F.min(row).alias(name), F.count("*").alias("_copies"))
         .filter(F.col("_copies") > 1)
     )

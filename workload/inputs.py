@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from sievelight.functions.text import stamp_ms
 from sievelight.operators.evaluation import rubric_checks
+from sievelight.plans.spread import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievelight.operators import board as bd
 from sievelight.operators import filecorpus as fc
 from sievelight.operators import requirements as rq
+from sievelight.plans.session import stored
 from sievelight.sources.corpus import read_md_table
 from workload import inputs as i
 
@@ -46,7 +47,7 @@ def _reqs(spark, sf_dir):
 
 
 def _coverage(spark, sf_dir):
-    lines, reqs = i.spec_lines(spark, sf_dir), _reqs(spark, sf_dir)
+    lines, reqs = i.spec_lines(spark, sf_dir), stored(_reqs(spark, sf_dir))
     return rq.coverage(reqs, rq.plan_cases(reqs), rq.parse_proofs(lines))
 
 

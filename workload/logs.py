@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievelight.functions import text as tx
 from sievelight.operators import abuse, triage
 from sievelight.operators.findings import by_kind, kinds
+from sievelight.plans.session import stored
 from sievelight.sources.lines import log_lines_from_text, read_log_lines
 from sievelight.sources.sinks import save_known
 from workload import inputs as i
@@ -147,7 +148,7 @@ def _joined(df, name):
 
 
 def _triage_report(spark, sf_dir):
-    got = triage.triage(i.service_lines(spark, sf_dir), _known(spark, sf_dir))
+    got = triage.triage(stored(i.service_lines(spark, sf_dir)), _known(spark, sf_dir))
     return _joined(_joined(got, "before"), "stack").select("source", "id", "status", "count", "first_line", "before", "stack")
 
 
@@ -173,11 +174,11 @@ QUERIES = {
     "auth_burst": (_abuse(abuse.auth_burst, n=3, window_ms=HALF_HOUR), f"WITH {i.SQL_ACCESS} {sql_burst(3, HALF_HOUR, DENIED_LINES)}"),
     "id_sweep": (_abuse(abuse.id_sweep, n=6, window_ms=HALF_HOUR), f"WITH {i.SQL_ACCESS}, {SQL_TOKENS} {sql_sweep(6, HALF_HOUR)}"),
     "abuse_findings": (
-        lambda s, d: abuse.abuse_findings(i.access_lines(s, d)).drop("key"),
+        lambda s, d: abuse.abuse_findings(stored(i.access_lines(s, d))).drop("key"),
         SQL_ABUSE + "SELECT source, kind, \"row\", detail FROM firsts",
     ),
     "abuse_findings_all": (
-        lambda s, d: abuse.abuse_findings(i.access_lines(s, d), first_only=False).drop("key"),
+        lambda s, d: abuse.abuse_findings(stored(i.access_lines(s, d)), first_only=False).drop("key"),
         SQL_ABUSE + 'SELECT source, kind, "row", detail FROM found',
     ),
     "scan_totals": (
@@ -185,11 +186,11 @@ QUERIES = {
         f"WITH {i.SQL_ACCESS} SELECT source, count(*) AS rows, count(ts_ms) AS events FROM lines GROUP BY 1",
     ),
     "kinds": (
-        lambda s, d: _joined(kinds(abuse.abuse_findings(i.access_lines(s, d))), "kinds"),
+        lambda s, d: _joined(kinds(abuse.abuse_findings(stored(i.access_lines(s, d)))), "kinds"),
         SQL_ABUSE + "SELECT source, array_to_string(list(kind ORDER BY kind), ' / ') AS kinds FROM firsts GROUP BY 1",
     ),
     "by_kind": (
-        lambda s, d: by_kind(abuse.abuse_findings(i.access_lines(s, d), first_only=False)),
+        lambda s, d: by_kind(abuse.abuse_findings(stored(i.access_lines(s, d)), first_only=False)),
         SQL_ABUSE + "SELECT source, kind, count(*) AS findings FROM found GROUP BY 1, 2",
     ),
     "normalize_line": (
@@ -209,7 +210,7 @@ QUERIES = {
         f'WITH {SQL_HEADS} SELECT source, id, severity, "count", pattern, first_line, first_ts, last_ts, sample FROM patterns',
     ),
     "attach_continuations": (
-        lambda s, d: _joined(triage.attach_continuations(i.service_lines(s, d)), "stack"),
+        lambda s, d: _joined(triage.attach_continuations(stored(i.service_lines(s, d))), "stack"),
         f"WITH {SQL_HEADS} SELECT source, line_no, array_to_string(stack, ' / ') AS stack FROM stacks",
     ),
     "line_context": (
@@ -240,7 +241,7 @@ QUERIES = {
         "WHERE p.severity <> 'info'",
     ),
     "triage_summary": (
-        _triage(triage.triage_summary),
+        lambda s, d: triage.triage_summary(stored(i.service_lines(s, d))),
         f"WITH {SQL_HEADS}, f AS (SELECT source, count(*) AS families, max(lines) AS biggest_family FROM families GROUP BY 1) "
         'SELECT source, CAST(sum("count") AS BIGINT) AS lines, count(*) AS patterns, count(*) FILTER (severity <> \'info\') AS problem_patterns, '
         "count(*) FILTER (severity = 'error') AS error_patterns, any_value(families) AS families, any_value(biggest_family) AS biggest_family "
