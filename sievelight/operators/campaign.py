@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from sievelight.functions.compat import is_blank, number, split_lines, trim
 from sievelight.functions.links import UTM3, is_pii_line, link_utm, links_in_line, lower_ok
-from sievelight.operators.findings import as_findings, exploded, text, union_findings
+from sievelight.operators.findings import as_findings, from_hits, hit, hits, text, union_findings
+from sievelight.plans.skew import HOT_SHARES
 from sievelight.plans.spread import explode_once
 
 HASH_LENGTH = 16
@@ -36,20 +37,13 @@ def extract_links(posts: DataFrame) -> DataFrame:
 def campaign_fields(campaigns: DataFrame, required: Sequence[str] = UTM3) -> DataFrame:
     """Required fields: absent ones are `missing-field`, ones with upper case `bad-utm`."""
     known = F.col("fields").isNotNull()
-    none = F.lit(None).cast("string")
-    checks = [(~known, F.struct(F.lit("missing-field").alias("kind"), none.alias("field")))]
+    checks = [(~known, hit("missing-field", "campaign file is missing or is not JSON"))]
     for name in required:
-        value = F.col("fields")[name]
+        value, key = F.col("fields")[name], F.lit(name)
         blank = is_blank(value)
-        checks.append((known & blank, F.struct(F.lit("missing-field").alias("kind"), F.lit(name).alias("field"))))
-        checks.append((known & ~blank & ~lower_ok(value), F.struct(F.lit("bad-utm").alias("kind"), F.lit(name).alias("field"))))
-    field, kind = F.col("hit.field"), F.col("hit.kind")
-    detail = (
-        F.when(field.isNull(), F.lit("campaign file is missing or is not JSON"))
-        .when(kind == "bad-utm", text("campaign field ", field, " is not lowercase"))
-        .otherwise(text("campaign file is missing ", field))
-    )
-    return as_findings(exploded(campaigns, checks), kind, detail, key=field)
+        checks.append((known & blank, hit("missing-field", f"campaign file is missing {name}", key=key)))
+        checks.append((known & ~blank & ~lower_ok(value), hit("bad-utm", f"campaign field {name} is not lowercase", key=key)))
+    return from_hits(campaigns, hits(*checks))
 
 
 def _quoted(detail: Column, value: Column, include_text: bool) -> Column:
@@ -149,22 +143,27 @@ def content_hash(files: DataFrame) -> DataFrame:
     needs no order and runs as a partial aggregate. Such a digest is marked with `sum:`.
     """
     body = F.concat("file", F.lit("\n"), "text")
-    sizes = files.groupBy("source").agg(F.sum(F.octet_length(body)).alias("bytes"), F.count("*").alias("files"))
+    digest = F.sha2(body, 256)
+    words = [F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    dirs = files.groupBy("source").agg(
+        F.sum(F.octet_length(body)).alias("bytes"),
+        F.count("*").alias("files"),
+        *[F.sum(word).alias(f"w{i}") for i, word in enumerate(words)],
+    )
     small = (F.col("bytes") <= SMALL_DIR_BYTES) & (F.col("files") <= SMALL_DIR_FILES)
+    # Large directories with more than a thousandth of all files are at most a thousand; they leave before the shuffle.
+    share = dirs.select((F.sum("files") / HOT_SHARES).alias("share")).scalar()
+    hot = dirs.filter(~small & (F.col("files") > share)).select("source")
     gathered = (
-        files.join(sizes.filter(small), "source", "left_semi")
+        files.join(F.broadcast(hot), "source", "left_anti")
+        .join(dirs.filter(small).select("source"), "source", "left_semi")
         .groupBy("source")
         .agg(F.array_sort(F.collect_list(F.struct("position", body.alias("body")))).alias("all"))
         .select("source", F.sha2(F.array_join(F.transform("all", lambda f: f["body"]), ""), 256).alias("digest"))
         .select("source", F.left("digest", F.lit(HASH_LENGTH)).alias("digest"))
     )
-    digest = F.sha2(body, 256)
-    words = [F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)") for i in range(4)]
-    sums = [F.sum(word).alias(f"w{i}") for i, word in enumerate(words)]
     summed = (
-        files.join(sizes.filter(~small), "source", "left_semi")
-        .groupBy("source")
-        .agg(*sums)
+        dirs.filter(~small)
         .select("source", F.sha2(F.concat_ws(",", *[F.col(f"w{i}") for i in range(4)]), 256).alias("digest"))
         .select("source", F.concat(F.lit("sum:"), F.left("digest", F.lit(HASH_LENGTH))).alias("digest"))
     )

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from sievelight.functions.compat import number, regex, trim
 from sievelight.functions.text import filled, norm_text
-from sievelight.operators.findings import as_findings, exploded, text, union_findings
+from sievelight.operators.findings import as_findings, from_hits, hit, hits, text, union_findings
 from sievelight.plans.skew import attach_group_first
 from sievelight.plans.spread import explode_once
 
@@ -32,25 +32,45 @@ def column(df: DataFrame, name: str) -> Column:
     return F.col(name) if name.split(".")[0] in df.columns else F.lit(None).cast("string")
 
 
+def _missing_checks(df: DataFrame, required: Sequence[str]) -> list:
+    row = F.col("n")
+    return [
+        (
+            ~filled(column(df, f).cast("string")),
+            hit("missing-field", text("row ", row, f' is missing field "{f}"'), row, F.lit(f)),
+        )
+        for f in required
+    ]
+
+
+def _email_checks(df: DataFrame, name: str) -> list:
+    value, row = column(df, name).cast("string"), F.col("n")
+    wrong = filled(value) & ~trim(value).rlike(regex(EMAIL_SHAPE))
+    return [(wrong, hit("bad-email", text("row ", row, f' has a bad email in field "{name}"'), row, F.lit(name)))]
+
+
+def _range_checks(df: DataFrame, name: str, lo: float | None, hi: float | None) -> list:
+    value, row = column(df, name).cast("string"), F.col("n")
+    wrong = filled(value) & _outside(value, lo, hi)
+    return [(wrong, hit("out-of-range", text("row ", row, f' has field "{name}" outside its range'), row, F.lit(name)))]
+
+
+def _nested_checks(df: DataFrame, fields: Sequence[str], lo: float) -> list:
+    checks, row = [], F.col("n")
+    for name in fields:
+        value = column(df, name).cast("string")
+        found = hit("out-of-range", text("row ", row, f' has field "{name}" outside range'), row, F.lit(name))
+        checks.append((value.isNotNull() & _outside(value, lo, None), found))
+    return checks
+
+
 def missing_field(df: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
     """One finding per empty required field of a row."""
-    checks = [(~filled(column(df, f).cast("string")), F.struct(F.lit(f).alias("field"))) for f in required]
-    field = F.col("hit.field")
-    return as_findings(
-        exploded(df, checks), "missing-field", text("row ", F.col("n"), ' is missing field "', field, '"'), F.col("n"), field
-    )
+    return from_hits(df, hits(*_missing_checks(df, required)))
 
 
 def bad_email(df: DataFrame, column_name: str = "email") -> DataFrame:
-    value = column(df, column_name)
-    wrong = df.filter(filled(value) & ~trim(value).rlike(regex(EMAIL_SHAPE)))
-    return as_findings(
-        wrong,
-        "bad-email",
-        text("row ", F.col("n"), f' has a bad email in field "{column_name}"'),
-        F.col("n"),
-        F.lit(column_name),
-    )
+    return from_hits(df, hits(*_email_checks(df, column_name)))
 
 
 def _outside(value: Column, lo: float | None, hi: float | None) -> Column:
@@ -67,30 +87,12 @@ def _outside(value: Column, lo: float | None, hi: float | None) -> Column:
 def out_of_range(
     df: DataFrame, column_name: str = "age", lo: float | None = AGE_RANGE[0], hi: float | None = AGE_RANGE[1]
 ) -> DataFrame:
-    value = column(df, column_name).cast("string")
-    return as_findings(
-        df.filter(filled(value) & _outside(value, lo, hi)),
-        "out-of-range",
-        text("row ", F.col("n"), f' has field "{column_name}" outside its range'),
-        F.col("n"),
-        F.lit(column_name),
-    )
+    return from_hits(df, hits(*_range_checks(df, column_name, lo, hi)))
 
 
 def nested_out_of_range(df: DataFrame, fields: Sequence[str] = PAY_FIELDS, lo: float = 0) -> DataFrame:
     """The same for fields inside a struct; absent ones pass."""
-    checks = []
-    for name in fields:
-        value = column(df, name).cast("string")
-        checks.append((value.isNotNull() & _outside(value, lo, None), F.struct(F.lit(name).alias("field"))))
-    field = F.col("hit.field")
-    return as_findings(
-        exploded(df, checks),
-        "out-of-range",
-        text("row ", F.col("n"), ' has field "', field, '" outside range'),
-        F.col("n"),
-        field,
-    )
+    return from_hits(df, hits(*_nested_checks(df, fields, lo)))
 
 
 def _key_hash(*parts: Column) -> Column:
@@ -182,15 +184,15 @@ def dataset_findings(
     check_age: bool = True,
     check_pay: bool = False,
 ) -> DataFrame:
-    """All checks. Details name row numbers and fields, never values."""
-    parts = [missing_field(df, required), exact_dupe(df), near_dupe(df)]
+    """All checks, those within a row in one scan. Details name row numbers and fields, never values."""
+    checks = _missing_checks(df, required)
     if check_email:
-        parts.append(bad_email(df))
+        checks += _email_checks(df, "email")
     if check_age:
-        parts.append(out_of_range(df))
+        checks += _range_checks(df, "age", *AGE_RANGE)
     if check_pay:
-        parts.append(nested_out_of_range(df))
-    return union_findings(parts)
+        checks += _nested_checks(df, PAY_FIELDS, 0)
+    return union_findings([from_hits(df, hits(*checks)), exact_dupe(df), near_dupe(df)])
 
 
 def clean_rows(df: DataFrame, findings: DataFrame, keep_near: bool = False) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sievelight.functions.compat import half_up, is_blank, is_json, regex_column, split_lines
 from sievelight.functions.stats import wilson_interval
 from sievelight.plans.blocks import global_rank
+from sievelight.plans.skew import lookup
 
 # Check kinds, the gate and the default rubric.
 KINDS = ("contains", "notContains", "regex", "notRegex", "maxLines", "minLines", "json")
@@ -67,7 +68,7 @@ def run_checks(answers: DataFrame, cases: DataFrame, kinds: Sequence[str] = KIND
             ),
         ).alias("checks"),
     )
-    joined = answers.withColumn("text", F.coalesce("text", F.lit(""))).join(prepared, on)
+    joined = lookup(answers.withColumn("text", F.coalesce("text", F.lit(""))), prepared, on)
     filled = F.size(F.filter(split_lines(F.col("text")), lambda line: ~is_blank(line)))
     joined = joined.withColumn("filled_lines", filled)
     if "json" in kinds:

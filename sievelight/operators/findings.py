@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.plans.spread import explode_once
+
 COLUMNS = ("source", "kind", "row", "key", "detail")
+HITS_TYPE = "array<struct<kind:string,row:bigint,key:string,detail:string>>"
 
 
 def as_findings(
@@ -33,10 +36,25 @@ def text(*parts: str | Column) -> Column:
     return F.concat(*cells)
 
 
-def exploded(df: DataFrame, checks: list[tuple[Column, Column]]) -> DataFrame:
-    """One row per failed check: `checks` are (failed, struct describing the finding) pairs."""
-    marks = F.array(*[F.when(failed, fact) for failed, fact in checks])
-    return df.withColumn("hit", F.explode(F.filter(marks, lambda m: m.isNotNull())))
+def hit(kind: str | Column, detail: str | Column, row: Column | None = None, key: Column | None = None) -> Column:
+    """One finding inside a row."""
+    return F.struct(
+        (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"),
+        (F.lit(None) if row is None else row).cast("long").alias("row"),
+        (F.lit(None) if key is None else key).cast("string").alias("key"),
+        (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"),
+    )
+
+
+def hits(*checks: tuple[Column, Column]) -> Column:
+    """The findings of the (failed, finding) checks that fail, as an array."""
+    return F.filter(F.array(*[F.when(failed, found) for failed, found in checks]), lambda h: h.isNotNull())
+
+
+def from_hits(df: DataFrame, found: Column, source: str = "source") -> DataFrame:
+    """Findings of the arrays in one scan, however many checks they come from."""
+    rows = explode_once(df, found, "hit", F.col(source).cast("string").alias("source"))
+    return rows.select("source", *[F.col(f"hit.{c}").alias(c) for c in COLUMNS[1:]])
 
 
 def first_per_kind(findings: DataFrame) -> DataFrame:

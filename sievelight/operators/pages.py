@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions.compat import is_blank, regex, text_or_empty, trim
 from sievelight.functions.html import attribute, has_attribute, match_spans
-from sievelight.operators.findings import as_findings, exploded, text, union_findings
+from sievelight.operators.findings import as_findings, from_hits, hit, hits, text, union_findings
 from sievelight.plans.skew import attach_facts
 from sievelight.plans.spread import explode_once
 
@@ -49,28 +49,34 @@ def match_lines(text_col: Column, pattern: str, flags: str = "") -> Column:
     return match_spans(text_col, regex(pattern, flags))
 
 
-def page_head(pages: DataFrame) -> DataFrame:
-    """`missing-lang`, `no-title`, and `missing-dir` for a Hebrew page that is not right to left."""
+def _head_hits() -> Column:
     html = text_or_empty(F.col("html"))
-    tagged = _source(pages.select("page_id", _extract(html, HTML_TAG, "i", 0).alias("tag"), _extract(html, TITLE, "is", 1).alias("title")))
-    lang = attribute(F.col("tag"), "lang")
-    hebrew = lang.rlike("(?i)^he")
-    checks = [
-        (lang == "", F.struct(F.lit("missing-lang").alias("kind"), F.lit("html has no lang attribute").alias("detail"))),
-        (is_blank(F.col("title")), F.struct(F.lit("no-title").alias("kind"), F.lit("page has no title").alias("detail"))),
+    tag = _extract(html, HTML_TAG, "i", 0)
+    lang = attribute(tag, "lang")
+    return hits(
+        (lang == "", hit("missing-lang", "html has no lang attribute")),
+        (is_blank(_extract(html, TITLE, "is", 1)), hit("no-title", "page has no title")),
         (
-            hebrew & (F.lower(attribute(F.col("tag"), "dir")) != "rtl"),
-            F.struct(F.lit("missing-dir").alias("kind"), F.lit("Hebrew page without dir=rtl").alias("detail")),
+            lang.rlike("(?i)^he") & (F.lower(attribute(tag, "dir")) != "rtl"),
+            hit("missing-dir", "Hebrew page without dir=rtl"),
         ),
-    ]
-    return as_findings(exploded(tagged, checks), F.col("hit.kind"), F.col("hit.detail"))
+    )
+
+
+def page_head(pages: DataFrame) -> DataFrame:
+    """`missing-lang`, `no-title`, and `missing-dir` for a Hebrew page that is not right to left."""
+    return from_hits(pages, _head_hits(), "page_id")
+
+
+def _alt_hits() -> Column:
+    bare = F.filter(match_lines(F.col("html"), IMG_TAG, "i"), lambda m: ~has_attribute(m["match"], "alt"))
+    return F.transform(
+        bare, lambda m: hit("missing-alt", text("line ", m["line"], ": img tag without an alt attribute"), m["line"])
+    )
 
 
 def missing_alt(pages: DataFrame) -> DataFrame:
-    images = explode_once(pages, match_lines(F.col("html"), IMG_TAG, "i"), "at", "page_id")
-    bare = _source(images.filter(~has_attribute(F.col("at.match"), "alt")))
-    line = F.col("at.line")
-    return as_findings(bare, "missing-alt", text("line ", line, ": img tag without an alt attribute"), line)
+    return from_hits(pages, _alt_hits(), "page_id")
 
 
 def _is_control(tag: Column) -> Column:
@@ -78,19 +84,19 @@ def _is_control(tag: Column) -> Column:
     return ~((kind == "input") & F.lower(attribute(tag, "type")).isin(*SKIP_TYPES))
 
 
-def missing_label(pages: DataFrame) -> DataFrame:
-    """Form controls without a label, aria-label, aria-labelledby or title."""
+def _with_labels(pages: DataFrame) -> DataFrame:
+    """Adds the ids that labels name and the ranges that labels enclose."""
     html = F.col("html")
-    parsed = pages.select(
-        "page_id",
-        match_lines(html, CONTROL_TAG, "i").alias("controls"),
-        F.regexp_extract_all(html, F.lit(regex(LABEL_FOR, "i")), F.lit(1)).alias("for_ids"),
+    return pages.withColumn("for_ids", F.regexp_extract_all(html, F.lit(regex(LABEL_FOR, "i")), F.lit(1))).withColumn(
+        "labels",
         F.transform(
             match_lines(html, LABEL_BLOCK, "is"),
             lambda m: F.struct(m["start"].alias("lo"), (m["start"] + F.length(m["match"])).alias("hi")),
-        ).alias("labels"),
+        ),
     )
 
+
+def _label_hits() -> Column:
     def unlabelled(control: Column) -> Column:
         tag, at = control["match"], control["start"]
         id_of = attribute(tag, "id")
@@ -99,41 +105,60 @@ def missing_label(pages: DataFrame) -> DataFrame:
         spoken = has_attribute(tag, "aria-label") | has_attribute(tag, "aria-labelledby") | has_attribute(tag, "title")
         return _is_control(tag) & ~spoken & ~named & ~wrapped
 
-    found = _source(explode_once(parsed, F.filter("controls", unlabelled), "at", "page_id"))
-    tag_name = F.lower(_extract(F.col("at.match"), CONTROL_TAG, "i", 1))
-    detail = text("line ", F.col("at.line"), ": ", tag_name, " control without a label, aria-label or title")
-    return as_findings(found, "missing-label", detail, F.col("at.line"))
+    def describe(control: Column) -> Column:
+        name = F.lower(_extract(control["match"], CONTROL_TAG, "i", 1))
+        words = text("line ", control["line"], ": ", name, " control without a label, aria-label or title")
+        return hit("missing-label", words, control["line"])
 
+    return F.transform(F.filter(match_lines(F.col("html"), CONTROL_TAG, "i"), unlabelled), describe)
 
-def style_sources(pages: DataFrame, css: DataFrame | None = None) -> DataFrame:
-    """`page_id, name, css, line`: inline styles, style blocks and, given `css(page_id, css)`, external sheets."""
-    html = F.col("html")
 
-    def pieces(name: str, pattern: str, flags: str) -> DataFrame:
-        spans = explode_once(pages, match_lines(html, pattern, flags), "at", "page_id")
-        return spans.select(
-            "page_id", F.lit(name).alias("name"), _extract(F.col("at.match"), pattern, flags, 1).alias("css"), F.col("at.line").alias("line")
-        )
+def missing_label(pages: DataFrame) -> DataFrame:
+    """Form controls without a label, aria-label, aria-labelledby or title."""
+    return from_hits(_with_labels(pages), _label_hits(), "page_id")
+
+
+def _page_styles(name: str, pattern: str, flags: str) -> Column:
+    return F.transform(
+        match_lines(F.col("html"), pattern, flags),
+        lambda m: F.struct(
+            F.lit(name).alias("name"), _extract(m["match"], pattern, flags, 1).alias("css"), m["line"].alias("line")
+        ),
+    )
+
+
+def _own_styles() -> Column:
+    return F.concat(_page_styles("inline style", INLINE_STYLE, "i"), _page_styles("style block", STYLE_BLOCK, "is"))
 
-    out = pieces("inline style", INLINE_STYLE, "i").unionByName(pieces("style block", STYLE_BLOCK, "is"))
+
+def style_sources(pages: DataFrame, css: DataFrame | None = None) -> DataFrame:
+    """`page_id, name, css, line`: inline styles, style blocks and, given `css(page_id, css)`, external sheets."""
+    out = explode_once(pages, _own_styles(), "style", "page_id").select("page_id", "style.*")
     if css is None:
         return out
     sheets = css.filter(F.coalesce("css", F.lit("")) != "")
     return out.unionByName(sheets.select("page_id", F.lit("css").alias("name"), "css", F.lit(None).cast("int").alias("line")))
 
 
-def _style_finding(styles: DataFrame, kind: str, pattern: str, words: str) -> DataFrame:
-    found = _source(styles.filter(F.col("css").rlike(regex(pattern, "i"))))
-    place = F.when(F.col("line").isNull(), F.lit("")).otherwise(text(" at line ", F.col("line")))
-    return as_findings(found, kind, text(F.col("name"), place, words), F.col("line"), F.col("name"))
+def _color_check(name: Column, css: Column, line: Column) -> tuple[Column, Column]:
+    return _style_check("hardcoded-color", COLOR, " uses a hardcoded color", name, css, line)
+
+
+def _physical_check(name: Column, css: Column, line: Column) -> tuple[Column, Column]:
+    return _style_check("physical-css", PHYSICAL, " uses a physical property", name, css, line)
+
+
+def _style_check(kind: str, pattern: str, words: str, name: Column, css: Column, line: Column) -> tuple[Column, Column]:
+    place = F.when(line.isNull(), F.lit("")).otherwise(text(" at line ", line))
+    return css.rlike(regex(pattern, "i")), hit(kind, text(name, place, words), line, name)
 
 
 def hardcoded_color(styles: DataFrame) -> DataFrame:
-    return _style_finding(styles, "hardcoded-color", COLOR, " uses a hardcoded color")
+    return from_hits(styles, hits(_color_check(F.col("name"), F.col("css"), F.col("line"))), "page_id")
 
 
 def physical_css(styles: DataFrame) -> DataFrame:
-    return _style_finding(styles, "physical-css", PHYSICAL, " uses a physical property")
+    return from_hits(styles, hits(_physical_check(F.col("name"), F.col("css"), F.col("line"))), "page_id")
 
 
 def _attribute_text(tag: Column, name: str) -> Column:
@@ -258,11 +283,18 @@ def browser_event_defects(events: DataFrame, include_text: bool = False) -> Data
 
 
 def page_findings(pages: DataFrame, css: DataFrame | None = None) -> DataFrame:
-    """The seven markup and style checks."""
-    styles = style_sources(pages, css)
-    return union_findings(
-        [page_head(pages), missing_alt(pages), missing_label(pages), hardcoded_color(styles), physical_css(styles)]
-    )
+    """The seven markup and style checks in one scan of the pages."""
+
+    def both(style: Column) -> Column:
+        cells = (style["name"], style["css"], style["line"])
+        return hits(_color_check(*cells), _physical_check(*cells))
+
+    styled = F.flatten(F.transform(_own_styles(), both))
+    found = from_hits(_with_labels(pages), F.concat(_head_hits(), _alt_hits(), _label_hits(), styled), "page_id")
+    if css is None:
+        return found
+    sheets = css.filter(F.coalesce("css", F.lit("")) != "").select("page_id", F.lit("css").alias("name"), "css", F.lit(None).cast("int").alias("line"))
+    return union_findings([found, hardcoded_color(sheets), physical_css(sheets)])
 
 
 def site_rollup(findings: DataFrame, pages: DataFrame, checks: int = CHECKS) -> DataFrame:

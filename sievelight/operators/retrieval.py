@@ -54,8 +54,10 @@ def _weighted(index: Index, queries: DataFrame) -> DataFrame:
     """Query terms of each corpus with their weight. Everything small meets here, before the postings."""
     terms = query_terms(queries)
     wanted = terms.select("term").distinct()
-    # Restricting the terms first lets the restriction reach below the posting counts.
-    df = index.postings.join(wanted, "term", "left_semi").groupBy("source", "term").agg(F.count("*").alias("df"))
+    # Restricting the terms first lets the restriction reach below the posting counts. Counting over `tf` keeps that
+    # column, so that this branch and the scored postings are the same shuffle and the texts are tokenised once.
+    matched = index.postings.join(wanted, "term", "left_semi")
+    df = matched.groupBy("source", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     return (
         df.join(terms, "term")
         .join(index.stats, "source")
@@ -64,8 +66,14 @@ def _weighted(index: Index, queries: DataFrame) -> DataFrame:
 
 
 def _matches(index: Index, queries: DataFrame) -> DataFrame:
+    """Postings of query terms with every query that asks for them.
+
+    The postings are placed by document before the queries fan them out, so the sums per query and document
+    need no further shuffle: what travels does not grow with the number of queries.
+    """
     wanted = query_terms(queries).select("term").distinct()
-    return index.postings.join(wanted, "term", "left_semi").join(_weighted(index, queries), ["source", "term"])
+    placed = index.postings.join(wanted, "term", "left_semi").repartition("source", "doc")
+    return placed.join(_weighted(index, queries), ["source", "term"])
 
 
 def bm25_topk(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions.compat import matches, trim
-from sievelight.operators.findings import as_findings, text, union_findings
+from sievelight.operators.findings import HITS_TYPE, as_findings, from_hits, hit, hits, text, union_findings
 
 # Phrases, line limit, and the sections a runbook needs.
 JARGON = (
@@ -40,27 +40,33 @@ def _literal(words: str) -> str:
     return r"\s+".join(re.escape(w).replace(r"\-", "-") for w in words.split())
 
 
-def jargon(lines: DataFrame, phrases: Sequence[str] = JARGON, include_text: bool = False) -> DataFrame:
-    """One finding per banned phrase per line.
-
-    The phrases are part of the expression, not a table to join; lines without any of them leave at the first test.
-    """
+def _jargon_hits(phrases: Sequence[str], include_text: bool) -> Column:
+    """The phrases are part of the expression, not a table to join; most lines end at the first test."""
     line = F.col("line")
     any_of = "|".join(_literal(p) for p in phrases)
-    marks = [F.when(matches(line, rf"\b{_literal(p)}\b", "i"), F.lit(p)) for p in phrases]
-    hits = lines.filter(matches(line, any_of, "i")).withColumn(
-        "phrase", F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull()))
-    )
-    detail = text("line ", F.col("line_no"), ' uses banned jargon "', F.col("phrase"), '"')
-    if include_text:
-        detail = F.concat(detail, F.lit(": "), F.left(trim(line), F.lit(100)))
-    return as_findings(hits, "jargon", detail, F.col("line_no"), F.col("phrase"))
+    checks = []
+    for phrase in phrases:
+        detail = text("line ", F.col("line_no"), f' uses banned jargon "{phrase}"')
+        if include_text:
+            detail = F.concat(detail, F.lit(": "), F.left(trim(line), F.lit(100)))
+        found = hit("jargon", detail, F.col("line_no"), F.lit(phrase))
+        checks.append((matches(line, rf"\b{_literal(phrase)}\b", "i"), found))
+    return F.when(matches(line, any_of, "i"), hits(*checks)).otherwise(F.array().cast(HITS_TYPE))
 
 
-def long_line(lines: DataFrame, limit: int = LONG_LINE) -> DataFrame:
+def _long_hits(limit: int) -> Column:
     size = F.length("line")
     detail = text("line ", F.col("line_no"), " is ", size, f" chars (limit {limit})")
-    return as_findings(lines.filter(size > limit), "long-line", detail, F.col("line_no"))
+    return hits((size > limit, hit("long-line", detail, F.col("line_no"))))
+
+
+def jargon(lines: DataFrame, phrases: Sequence[str] = JARGON, include_text: bool = False) -> DataFrame:
+    """One finding per banned phrase per line."""
+    return from_hits(lines, _jargon_hits(phrases, include_text))
+
+
+def long_line(lines: DataFrame, limit: int = LONG_LINE) -> DataFrame:
+    return from_hits(lines, _long_hits(limit))
 
 
 def _heading(section: str) -> Column:
@@ -79,4 +85,6 @@ def missing_section(lines: DataFrame, trigger: str = RUNBOOK, required: Sequence
 
 
 def text_findings(lines: DataFrame, include_text: bool = False) -> DataFrame:
-    return union_findings([jargon(lines, include_text=include_text), long_line(lines), missing_section(lines)])
+    """All three checks; the two within a line share a scan."""
+    in_line = F.concat(_jargon_hits(JARGON, include_text), _long_hits(LONG_LINE))
+    return union_findings([from_hits(lines, in_line), missing_section(lines)])

@@ -39,3 +39,17 @@ def attach_group_first(rows: DataFrame, key: str, row: str = "n", name: str = "f
         .filter(F.col("_copies") > 1)
     )
     return attach_facts(rows, key, groups, "_copies", [name], F.col(row))
+
+
+def lookup(rows: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of `rows` with `facts`, which has one row per `on`; wide hot rows are not shuffled at all.
+
+    Keys holding more than one thousandth of all rows are at most a thousand. Their rows meet broadcast facts
+    where they are; all other rows take the shuffle join.
+    """
+    counts = rows.groupBy(*on).agg(F.count("*").alias("_copies"))
+    share = rows.select((F.count("*") / HOT_SHARES).alias("share")).scalar()
+    hot_keys = F.broadcast(counts.filter(F.col("_copies") > share).select(*on))
+    hot = rows.join(F.broadcast(facts.join(hot_keys, on, "left_semi")), on)
+    cold = rows.join(hot_keys, on, "left_anti").join(facts, on)
+    return hot.unionByName(cold)

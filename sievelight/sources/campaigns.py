@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.functions.compat import trim
+from sievelight.plans.skew import attach_facts
 from sievelight.sources.lines import read_numbered_lines, read_text_files
 
 HOME = r"(?i)^(.*?)/(campaign\.json|posts/[^/]*\.md|visits\.csv|sales\.csv)$"
@@ -32,8 +33,10 @@ def _table(spark: SparkSession, root: str, name: str, wanted: list[str]) -> Data
     """Rows of a CSV per campaign; columns are found by lower-cased header cell, absent ones are empty."""
     lines = read_numbered_lines(spark, f"{root}/*/{name}").filter(F.col("n").isNotNull())
     cells = lines.select("source", "n", F.transform(F.split("line", ",", -1), trim).alias("cells"))
-    heads = cells.filter(F.col("n") == 1).select("source", F.transform("cells", F.lower).alias("head"))
-    rows = cells.filter(F.col("n") > 1).join(heads, "source")
+    heads = cells.groupBy("source").agg(
+        F.count("*").alias("copies"), F.max(F.when(F.col("n") == 1, F.transform("cells", F.lower))).alias("head")
+    )
+    rows = attach_facts(cells.filter(F.col("n") > 1), "source", heads, "copies", ["head"], F.col("n"))
 
     def cell(column: str) -> Column:
         at = F.array_position("head", column).cast("int") - 1

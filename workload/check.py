@@ -37,15 +37,26 @@ def table(columns, rows):
     return [columns[k] for k in order], sorted(repr(tuple(cell(r[k]) for k in order)) for r in rows)
 
 
+TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE"}
+
+
+def types_differ(df, answer) -> str:
+    """Columns whose type is spelled differently on the two sides."""
+    want = {c[0]: str(c[1]) for c in answer.description}
+    odd = [f"{n} {t}/{want.get(n)}" for n, t in df.dtypes if TYPES.get(t, t) != want.get(n)]
+    return f"types {odd}" if odd else ""
+
+
 def compare(spark, db, name: str, sf_dir: str) -> tuple[bool, int, str]:
     df = QUERIES[name](spark, sf_dir)
     got = table(df.columns, df.collect())
     if name not in ORACLES:
         return True, len(got[1]), "no SQL"
     answer = db.execute(ORACLES[name])
+    note = types_differ(df, answer)
     want = table([c[0] for c in answer.description], answer.fetchall())
     if got == want:
-        return True, len(got[1]), ""
+        return True, len(got[1]), note
     if got[0] != want[0]:
         return False, len(got[1]), f"columns {got[0]} want {want[0]}"
     extra, lacking = set(got[1]) - set(want[1]), set(want[1]) - set(got[1])

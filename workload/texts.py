@@ -25,7 +25,7 @@ SQL_RANKED = (
     f"{SQL_INDEX}, {SQL_TERMS}, matched AS (SELECT query, doc, term, pos, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, "
     "tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * greatest(length, 1) / average)) AS part FROM terms JOIN postings USING (term) JOIN dfs USING (term) JOIN lengths USING (doc), stats), "
     "summed AS (SELECT query, doc, round(sum(idf * part), 9) AS raw FROM matched GROUP BY 1, 2), "
-    "ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY raw DESC, doc) AS place FROM summed WHERE raw > 0 QUALIFY place <= 5)"
+    "ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY raw DESC, doc) AS INTEGER) AS place FROM summed WHERE raw > 0 QUALIFY place <= 5)"
 )
 
 
