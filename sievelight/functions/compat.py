@@ -23,6 +23,8 @@ SPACE_CHARS = (
 )
 SPACE_CLASS = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
+ASCII_CLASSES = {r"\d": "0-9", r"\w": "A-Za-z0-9_", r"\s": r"\t\n\x0B\f\r "}
+
 WORD = "[A-Za-z0-9_]"
 BOUNDARY = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
 
@@ -53,6 +55,9 @@ def _spell(pattern: str, flags: str, any_text: bool) -> str:
                 out.append(SPACE_CLASS if in_class else f"[{SPACE_CLASS}]")
             elif any_text and pair == r"\S":
                 out.append(f"[^{SPACE_CLASS}]")
+            elif pair in ASCII_CLASSES:
+                # Written out, a class is one bit set; a shorthand inside a class is a chain of tests and far slower.
+                out.append(ASCII_CLASSES[pair] if in_class else f"[{ASCII_CLASSES[pair]}]")
             else:
                 out.append(pair)
             i += 2

@@ -68,4 +68,4 @@ def has_phone(line: Column) -> Column:
 
 
 def is_pii_line(line: Column) -> Column:
-    return (F.contains(line, F.lit("@")) & line.rlike(EMAIL)) | has_phone(line)
+    return (F.contains(line, F.lit("@")) & line.rlike(regex(EMAIL))) | has_phone(line)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions.stats import bm25_part, idf
 from sievelight.functions.text import tokenize
+from sievelight.plans.sizing import broadcast_if_small
 from sievelight.plans.spread import explode_once
 
 # Saturation, length weight and list length.
@@ -50,30 +51,20 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return explode_once(queries, F.array_distinct(tokenize(F.col("text"))), "term", "query", position="position")
 
 
-def _weighted(index: Index, queries: DataFrame) -> DataFrame:
-    """Query terms of each corpus with their weight. Everything small meets here, before the postings."""
+def _matches(index: Index, queries: DataFrame) -> DataFrame:
+    """Postings of query terms with their weight and every query that asks for them.
+
+    The weighted postings are placed by document before the queries fan them out, so the sums per query and
+    document need no further shuffle: what travels does not grow with the number of queries.
+    """
     terms = query_terms(queries)
-    wanted = terms.select("term").distinct()
     # Restricting the terms first lets the restriction reach below the posting counts. Counting over `tf` keeps that
     # column, so that this branch and the scored postings are the same shuffle and the texts are tokenised once.
-    matched = index.postings.join(wanted, "term", "left_semi")
+    matched = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = matched.groupBy("source", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    return (
-        df.join(terms, "term")
-        .join(index.stats, "source")
-        .select("source", "term", "query", "position", idf(F.col("df"), F.col("n")).alias("idf"), "average")
-    )
-
-
-def _matches(index: Index, queries: DataFrame) -> DataFrame:
-    """Postings of query terms with every query that asks for them.
-
-    The postings are placed by document before the queries fan them out, so the sums per query and document
-    need no further shuffle: what travels does not grow with the number of queries.
-    """
-    wanted = query_terms(queries).select("term").distinct()
-    placed = index.postings.join(wanted, "term", "left_semi").repartition("source", "doc")
-    return placed.join(_weighted(index, queries), ["source", "term"])
+    weights = df.join(index.stats, "source").select("source", "term", idf(F.col("df"), F.col("n")).alias("idf"), "average")
+    placed = matched.join(weights, ["source", "term"]).repartition("source", "doc")
+    return placed.join(broadcast_if_small(terms), "term")
 
 
 def bm25_topk(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sievelight.plans.session import cut_lineage
 
-BLOCK_ROWS = 1_000_000
+BLOCK_ROWS = 100_000
 
 
 def _blocked(df: DataFrame, order: str, block_rows: int) -> DataFrame:
