@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.functions.text import stamp_ms
 from sievelight.operators.evaluation import rubric_checks
 from sievelight.plans.spread import spread
 
@@ -41,10 +40,11 @@ def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("user "), "user_id"),
         F.concat(F.lit("item "), "k"),
     )
-    lines = _keyed_events(spark, sf_dir).select(
-        F.col("event_type").alias("source"), (F.col("event_id") + 1).alias("n"), line.alias("line")
+    # Whole milliseconds of the event time, as the stamp in the line says them.
+    ts_ms = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    return _keyed_events(spark, sf_dir).select(
+        F.col("event_type").alias("source"), (F.col("event_id") + 1).alias("n"), ts_ms.alias("ts_ms"), line.alias("line")
     )
-    return lines.withColumn("ts_ms", stamp_ms(F.col("line")))
 
 
 SQL_ACCESS = SQL_EVENTS + """, lines AS (
