@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from sievelight.functions import text as tx
 from sievelight.functions.compat import trim
 from sievelight.plans.blocks import BLOCK_ROWS, global_rank, max_before
+from sievelight.plans.session import stored
 
 # How much of a line is kept.
 CONTEXT_CHARS, SAMPLE_CHARS, PATTERN_CHARS = 160, 220, 200
@@ -26,27 +27,63 @@ def head_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def pattern_counts(lines: DataFrame) -> DataFrame:
-    """`source, id, count, first_line, last_stamped, severity`: numbers only, so the counts stay in a hash aggregate.
+def entry_counts(lines: DataFrame) -> DataFrame:
+    """One row per source, fingerprint and family: what patterns and families both count, from one pass over the lines.
 
-    The severity is the one of the first line.
+    Numbers and the short family name only, so the counts stay in a hash aggregate. The family follows from the
+    pattern; the severity does not, since it looks at the line as written.
     """
     level = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warn", 1).otherwise(2)
     stamped = F.when(tx.stamp_text(F.col("line")).isNotNull(), F.col("line_no"))
+    problem = F.col("severity") != "info"
     return (
         head_lines(lines)
-        .groupBy("source", "id")
+        .groupBy("source", "id", tx.family_of(F.col("pattern")).alias("family"))
         .agg(
             F.count("*").alias("count"),
             F.min("line_no").alias("first_line"),
             F.max(stamped).alias("last_stamped"),
             F.min_by(level, "line_no").alias("level"),
+            F.count_if(problem).alias("problem_lines"),
+            F.min(F.when(problem, F.col("line_no"))).alias("first_problem"),
+            F.count_if(F.col("severity") == "error").alias("error_lines"),
+        )
+    )
+
+
+def _patterns(entries: DataFrame) -> DataFrame:
+    """Entries by fingerprint alone: fingerprints are short, and two families can share one."""
+    severity = F.get(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("level"))
+    return (
+        entries.groupBy("source", "id")
+        .agg(
+            F.sum("count").alias("count"),
+            F.min_by("level", "first_line").alias("level"),
+            F.max("last_stamped").alias("last_stamped"),
+            F.min("first_line").alias("first_line"),
         )
-        .withColumn("severity", F.get(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("level")))
-        .drop("level")
+        .select("source", "id", "count", "first_line", "last_stamped", severity.alias("severity"))
     )
 
 
+def _families(entries: DataFrame) -> DataFrame:
+    return (
+        entries.filter(F.col("problem_lines") > 0)
+        .groupBy("source", "family")
+        .agg(
+            F.sum("problem_lines").alias("lines"),
+            F.min("first_problem").alias("first_line"),
+            F.sum("error_lines").alias("errors"),
+        )
+        .select("source", "family", F.when(F.col("errors") > 0, "error").otherwise("warn").alias("severity"), "lines", "first_line")
+    )
+
+
+def pattern_counts(lines: DataFrame) -> DataFrame:
+    """`source, id, count, first_line, last_stamped, severity`; the severity is the one of the first line."""
+    return _patterns(entry_counts(lines))
+
+
 def pattern_agg(lines: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """`source, id, severity, count, pattern, first_line, first_ts, last_ts, sample` per fingerprint.
 
@@ -141,17 +178,7 @@ def line_context(lines: DataFrame, before: int = BEFORE_LINES, anchors: DataFram
 
 def family_agg(lines: DataFrame) -> DataFrame:
     """`source, family, severity, lines, first_line` of problem lines by the first two words of their pattern."""
-    problems = head_lines(lines).filter(F.col("severity") != "info")
-    return (
-        problems.groupBy("source", tx.family_of(F.col("pattern")).alias("family"))
-        .agg(
-            F.count("*").alias("lines"),
-            F.min("line_no").alias("first_line"),
-            F.max((F.col("severity") == "error").cast("int")).alias("errors"),
-        )
-        .select("source", "family", F.when(F.col("errors") == 1, "error").otherwise("warn").alias("severity"), "lines", "first_line")
-        .orderBy("source", F.desc("lines"), "first_line")
-    )
+    return _families(entry_counts(lines)).orderBy("source", F.desc("lines"), "first_line")
 
 
 def rank_problems(patterns: DataFrame, numbered: bool = False) -> DataFrame:
@@ -179,7 +206,8 @@ def new_vs_known(problems: DataFrame, known: DataFrame) -> DataFrame:
 
 def triage(lines: DataFrame, known: DataFrame) -> DataFrame:
     """Problem patterns with status, the lines above their first line and its continuation lines."""
-    counts = pattern_counts(lines).filter(F.col("severity") != "info")
+    # Counted once and kept: the table is short, and three branches below start from it.
+    counts = stored(pattern_counts(lines).filter(F.col("severity") != "info"))
     problems = new_vs_known(pattern_agg(lines, counts), known)
     anchors = counts.select("source", F.col("first_line").alias("line_no"))
     context = line_context(lines, anchors=anchors).withColumnRenamed("line_no", "first_line")
@@ -191,13 +219,12 @@ def triage(lines: DataFrame, known: DataFrame) -> DataFrame:
 
 def triage_summary(lines: DataFrame) -> DataFrame:
     """`source, lines, patterns, problem_patterns, error_patterns, families, biggest_family` per log."""
-    patterns = pattern_counts(lines).groupBy("source").agg(
+    entries = stored(entry_counts(lines))
+    patterns = _patterns(entries).groupBy("source").agg(
         F.sum("count").alias("lines"),
         F.count("*").alias("patterns"),
         F.count_if(F.col("severity") != "info").alias("problem_patterns"),
         F.count_if(F.col("severity") == "error").alias("error_patterns"),
     )
-    families = family_agg(lines).groupBy("source").agg(
-        F.count("*").alias("families"), F.max("lines").alias("biggest_family")
-    )
+    families = _families(entries).groupBy("source").agg(F.count("*").alias("families"), F.max("lines").alias("biggest_family"))
     return patterns.join(families, "source", "left").na.fill(0, ["families", "biggest_family"])

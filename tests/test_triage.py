@@ -2,6 +2,7 @@ import random
 
 import pytest
 from helpers import rows_of, text_frame
+from pyspark.sql import functions as F
 
 from sievelight.operators import triage as tr
 from sievelight.sources.lines import lines_from_text
@@ -71,6 +72,13 @@ def test_known_patterns_are_not_new(spark):
     assert [(r["severity"], r["status"]) for r in got] == [("warn", "known")]
 
 
+def test_families_sharing_a_fingerprint_stay_one_pattern(spark, monkeypatch):
+    monkeypatch.setattr(tr.tx, "fingerprint", lambda pattern: F.lit("bt-same"))
+    log = lines(spark, "ERROR red lamp\nWARN blue lamp\nERROR red lamp\n")
+    assert rows_of(tr.pattern_counts(log), "id", "count", "first_line", "severity") == [("bt-same", 3, 1, "error")]
+    assert rows_of(tr.family_agg(log), "family", "lines") == [("ERROR red", 2), ("WARN blue", 1)]
+
+
 def brute_force(text, keep):
     """Stack per first line, straight from the definition."""
     stacks, last, seen = {}, None, set()

@@ -241,7 +241,7 @@ QUERIES = {
         "WHERE p.severity <> 'info'",
     ),
     "triage_summary": (
-        lambda s, d: triage.triage_summary(stored(i.service_lines(s, d))),
+        lambda s, d: triage.triage_summary(i.service_lines(s, d)),
         f"WITH {SQL_HEADS}, f AS (SELECT source, count(*) AS families, max(lines) AS biggest_family FROM families GROUP BY 1) "
         'SELECT source, CAST(sum("count") AS BIGINT) AS lines, count(*) AS patterns, count(*) FILTER (severity <> \'info\') AS problem_patterns, '
         "count(*) FILTER (severity = 'error') AS error_patterns, any_value(families) AS families, any_value(biggest_family) AS biggest_family "
