@@ -18,10 +18,10 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
 
 
-def slices(batches: Iterator[pa.RecordBatch], size_of: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in pieces of at most `limit` bytes in a text column; a longer row is a piece of its own."""
+def slices(batches: Iterator[pa.RecordBatch], *size_of: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces of at most `limit` bytes in the named text or binary columns; a longer row is a piece of its own."""
     for batch in batches:
-        sizes = pc.binary_length(batch.column(size_of)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = sum(pc.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(int) for c in size_of)
         start = total = 0
         for at, size in enumerate(sizes):
             if at > start and total + size > limit:
