@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievelight.llm.jaccard import jaccard_components
 from sievelight.llm.quality import quality_verdicts
 from sievelight.llm.sharding import hash_class, hilbert_shards, log_class
+from sievelight.llm.suffixes import suffix_dedup
 from sievelight.llm.toxicity import fit_toxicity, toxicity_scores
 from sievelight.llm.urls import url_filter
 
@@ -22,6 +23,10 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_verdicts(_table(spark, sf_dir, "documents"))
     return judged.select(
@@ -114,5 +119,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op5_quality, op6_urls, op7_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op4_suffixes, op5_quality, op6_urls, op7_sharding, op10_toxicity)}
 ORACLES = {"op6_urls": OP6_SQL}
