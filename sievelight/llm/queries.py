@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelight.llm.decontam import benchmark_hits, contaminated
 from sievelight.llm.jaccard import jaccard_components
 from sievelight.llm.quality import quality_verdicts
 from sievelight.llm.sharding import hash_class, hilbert_shards, log_class
@@ -107,6 +108,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return contaminated(hits).withColumn("score", F.round("score", 6))
+
+
 def held_out(doc_id="doc_id"):
     """True for documents whose labels are never learned from."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
@@ -119,5 +125,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op4_suffixes, op5_quality, op6_urls, op7_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op4_suffixes, op5_quality, op6_urls, op7_sharding, op9_decontamination, op10_toxicity)}
 ORACLES = {"op6_urls": OP6_SQL}
