@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm.decontam import benchmark_hits, contaminated
 from sievelight.llm.jaccard import jaccard_components
+from sievelight.llm.pieces import build_dictionary, document_digests, encoded_segments, load_model
 from sievelight.llm.quality import quality_verdicts
 from sievelight.llm.sharding import hash_class, hilbert_shards, log_class
 from sievelight.llm.suffixes import suffix_dedup
@@ -24,6 +27,16 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+#: The model file of op3; any SentencePiece file of pieces by merges or by unigram scores will do.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, model = _table(spark, sf_dir, "documents"), load_model(PIECE_MODEL)
+    segments = encoded_segments(docs, build_dictionary(docs, model), model)
+    return document_digests(docs, segments, model)
+
+
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -125,5 +138,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op4_suffixes, op5_quality, op6_urls, op7_sharding, op9_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op3_pieces, op4_suffixes, op5_quality, op6_urls, op7_sharding, op9_decontamination, op10_toxicity)}
 ORACLES = {"op6_urls": OP6_SQL}
