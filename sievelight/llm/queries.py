@@ -15,6 +15,8 @@ from sievelight.llm.sharding import hash_class, hilbert_shards, log_class
 from sievelight.llm.suffixes import suffix_dedup
 from sievelight.llm.toxicity import fit_toxicity, toxicity_scores
 from sievelight.llm.urls import url_filter
+from sievelight.llm.warc import resolve_revisits
+from sievelight.llm.wrappers import extract_main_text
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -27,6 +29,10 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 #: The model file of op3; any SentencePiece file of pieces by merges or by unigram scores will do.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -121,6 +127,71 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def archive_records(pages: DataFrame) -> DataFrame:
+    """Archive records of a page table: every page has a full response, a failed one and a 304 for a variant of its URL.
+
+    The validators and times of the 304s vary with the page's number: other etags, weak ones, dates only, payload
+    digests only, none at all, and captures before the page's own response.
+    """
+    n, tag = F.col("page_id"), F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
+    base = F.substring_index("url", "#", 1)
+    variant = F.concat(base, F.when(base.contains("?"), "&").otherwise("?"), F.lit("utm_campaign=again#x"))
+    date, digest = F.concat(F.lit("day "), n), F.sha1(F.coalesce("html", F.lit("")))
+
+    def record(k: int, url, ts, kind: str, status: int, etag, modified, digest, age: str):
+        headers = F.map_from_arrays(
+            F.array(*map(F.lit, ("date", "cache-control", "content-length", "etag"))),
+            F.array(ts.cast("string"), F.lit(f"max-age={age}"), F.length("html").cast("string"), F.coalesce(etag, F.lit(""))),
+        )
+        return F.struct(
+            (n * 4 + k).alias("record_id"), url.alias("url"), ts.alias("ts"), F.lit(kind).alias("kind"), F.lit(status).alias("status"),
+            etag.alias("etag"), modified.alias("last_modified"), digest.alias("digest"), headers.alias("headers"),
+        )
+
+    none, last = F.lit(None).cast("string"), n % 20
+    late = F.when(n % 11 == 0, n * 10 - 5).otherwise(n * 10 + 5 + 1000 * (n % 3))
+    sent = F.when(last < 12, tag).when(last < 14, F.concat(F.lit("W/"), tag)).when(last < 16, F.lit('"other"'))
+    rows = F.array(
+        record(0, F.col("url"), n * 10, "response", 200, tag, date, digest, "60"),
+        record(1, variant, late, "revisit", 304, sent, F.when(last < 18, date), F.when(last < 19, digest), "600"),
+        record(2, F.col("url"), n * 10 + 2, "response", 500, none, none, none, "0"),
+    )
+    return pages.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = resolve_revisits(archive_records(_table(spark, sf_dir, "pages")))
+    fields = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return told.withColumn("headers", F.array_join(fields, "\n"))
+
+
+OP8_SQL = """WITH n AS (SELECT *, '"' || md5(coalesce(html, '')) || '"' AS tag, sha1(coalesce(html, '')) AS dig, split_part(url, '#', 1) AS base, page_id % 20 AS l FROM pages),
+records AS (
+  SELECT page_id * 4 AS record_id, url, page_id * 10 AS ts, 'response' AS kind, tag AS etag, 'day ' || page_id AS modified, dig AS digest, length(html) AS size FROM n
+  UNION ALL
+  SELECT page_id * 4 + 1, base || CASE WHEN contains(base, '?') THEN '&' ELSE '?' END || 'utm_campaign=again#x',
+         CASE WHEN page_id % 11 = 0 THEN page_id * 10 - 5 ELSE page_id * 10 + 5 + 1000 * (page_id % 3) END, 'revisit',
+         CASE WHEN l < 12 THEN tag WHEN l < 14 THEN 'W/' || tag WHEN l < 16 THEN '"other"' END, CASE WHEN l < 18 THEN 'day ' || page_id END,
+         CASE WHEN l < 19 THEN dig END, length(html) FROM n),
+parsed AS (SELECT *, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM records),
+fields AS (SELECT record_id, string_agg(f, '&' ORDER BY f) AS query FROM (SELECT record_id, unnest(string_split(query, '&')) AS f FROM parsed) WHERE f <> '' AND NOT starts_with(f, 'utm_') GROUP BY record_id),
+named AS (SELECT p.* EXCLUDE query, regexp_replace(host, ':(80|443)?$', '') || path || coalesce('?' || f.query, '') AS canonical_url FROM parsed p LEFT JOIN fields f USING (record_id)),
+met AS (
+  SELECT v.*, o.record_id AS original_id, o.etag AS o_etag, o.modified AS o_modified, o.digest AS o_digest, o.size AS o_size,
+         row_number() OVER (PARTITION BY v.record_id ORDER BY o.ts DESC, o.record_id DESC) AS place
+  FROM named v LEFT JOIN named o ON o.kind = 'response' AND o.canonical_url = v.canonical_url AND o.ts < v.ts WHERE v.kind = 'revisit'),
+judged AS (
+  SELECT *, CASE WHEN original_id IS NULL THEN 'orphan'
+    WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = o_etag THEN 'resolved' ELSE 'mismatch' END
+    WHEN modified IS NOT NULL THEN CASE WHEN modified = o_modified THEN 'resolved' ELSE 'mismatch' END
+    WHEN digest IS NOT NULL THEN CASE WHEN digest = o_digest THEN 'resolved' ELSE 'mismatch' END ELSE 'unvalidated' END AS outcome
+  FROM met WHERE place = 1)
+SELECT record_id, canonical_url, original_id, outcome, CASE WHEN outcome = 'resolved' THEN
+  'cache-control: max-age=600' || chr(10) || 'content-length: ' || o_size || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || coalesce(etag, '') END AS headers
+FROM judged"""
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return contaminated(hits).withColumn("score", F.round("score", 6))
@@ -138,5 +209,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op3_pieces, op4_suffixes, op5_quality, op6_urls, op7_sharding, op9_decontamination, op10_toxicity)}
-ORACLES = {"op6_urls": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_main_text, op3_pieces, op4_suffixes, op5_quality, op6_urls, op7_sharding, op8_revisits, op9_decontamination, op10_toxicity)}
+ORACLES = {"op6_urls": OP6_SQL, "op8_revisits": OP8_SQL}
