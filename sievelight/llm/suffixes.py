@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -161,8 +161,10 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def suffix_dedup(docs: DataFrame, window: int = 100, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per row of `docs`: `doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans` and `kept` with `with_text`.
+def suffix_dedup(
+    docs: DataFrame, window: int = 100, key: str = "doc_id", text: str = "text", with_text: bool = False, keep: Sequence[str] = ()
+) -> DataFrame:
+    """One row per row of `docs`: `doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`, `kept` with `with_text`, columns `keep`.
 
     Texts are UTF-8 bytes; a byte goes if a string of `window` bytes that covers it also starts earlier, in a smaller id
     or before in the same text. Strings are those of the input. `spans` are the maximal removed runs, `kept` is the rest
@@ -170,7 +172,8 @@ def suffix_dedup(docs: DataFrame, window: int = 100, key: str = "doc_id", text:
     hold a window; only first texts are compared further. A null text is empty. Rows that share an id share the ranges
     that either has, which is why ids should be unique; other columns don't matter.
     """
-    docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    extra = {c: kind for c, kind in docs.dtypes if c in keep}
+    docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), *extra)
     digests = stored(docs.select("doc", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")))
     firsts = digests.groupBy("digest").agg(F.min("doc").alias("doc"))
     copies = stored(digests.join(firsts, ["digest", "doc"], "left_anti").select("doc").distinct())
@@ -196,7 +199,9 @@ def suffix_dedup(docs: DataFrame, window: int = 100, key: str = "doc_id", text:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             types = [pa.int64()] * 4 + [pa.string(), span]
             out = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(rest, pa.string())] * with_text, names + ["kept"] * with_text)
+            out += [pa.array(rest, pa.string())] * with_text + [batch.column(c) for c in extra]
+            yield pa.RecordBatch.from_arrays(out, names + ["kept"] * with_text + list(extra))
 
     schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)) + ", kept string" * with_text
-    return docs.join(ranges, "doc", "left").select("doc", "text", "ranges").mapInArrow(make, schema)
+    schema += "".join(f", `{c}` {kind}" for c, kind in extra.items())
+    return docs.join(ranges, "doc", "left").select("doc", "text", "ranges", *extra).mapInArrow(make, schema)
