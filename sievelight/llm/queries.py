@@ -174,7 +174,7 @@ records AS (
          CASE WHEN l < 12 THEN tag WHEN l < 14 THEN 'W/' || tag WHEN l < 16 THEN '"other"' END, CASE WHEN l < 18 THEN 'day ' || page_id END,
          CASE WHEN l < 19 THEN dig END, length(html) FROM n),
 parsed AS (SELECT *, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM records),
+  regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) AS query FROM records),
 fields AS (SELECT record_id, string_agg(f, '&' ORDER BY f) AS query FROM (SELECT record_id, unnest(string_split(query, '&')) AS f FROM parsed) WHERE f <> '' AND NOT starts_with(f, 'utm_') GROUP BY record_id),
 named AS (SELECT p.* EXCLUDE query, regexp_replace(host, ':(80|443)?$', '') || path || coalesce('?' || f.query, '') AS canonical_url FROM parsed p LEFT JOIN fields f USING (record_id)),
 met AS (
