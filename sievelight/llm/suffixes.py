@@ -93,6 +93,18 @@ def _runs(docs: DataFrame, window: int, seeds_only: bool) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(make, ", ".join(f"{n} long" for n in names))
 
 
+def _near(runs: list[dict], window: int) -> Iterator[tuple[int, list[dict]]]:
+    """Runs of one text in groups that lie within a piece of it, with the piece's first byte."""
+    some: list[dict] = []
+    for r in sorted(runs, key=lambda r: r["pos"]):
+        if some and r["pos"] + r["windows"] - 1 + window > some[0]["pos"] + PIECE:
+            yield some[0]["pos"], some
+            some = []
+        some.append(r)
+    if some:
+        yield some[0]["pos"], some
+
+
 def _windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
     """`core, doc, start, hashes` for every block of windows of the runs, which are collected per document.
 
@@ -101,23 +113,27 @@ def _windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = ByteHasher(2 * window)
+        hasher = ByteHasher(PIECE)
         for batch in batches:
             out = []
             for doc, text, found in zip(batch.column("doc").to_pylist(), utf8(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
-                for r in found:
-                    sums = hasher.prefix(np.frombuffer(text[r["pos"] : r["pos"] + r["windows"] - 1 + window], np.uint8))
-                    far = r["seed"] - np.arange(r["pos"], r["pos"] + r["windows"])
-                    for block in np.unique(far // BLOCK):
-                        mine = np.flatnonzero(far // BLOCK == block)
-                        a = np.array([r["seed"] - block * BLOCK - r["pos"]])
-                        core = hasher.between(sums, a, a - BLOCK + 1 + window)[0]
-                        out.append((core.astype(np.int64), doc, r["pos"] + int(mine[0]), hasher.between(sums, mine, mine + window).astype(np.int64)))
+                for base, some in _near(found, window):
+                    pos, count, seed = (np.array([r[c] for r in some], np.int64) for c in ("pos", "windows", "seed"))
+                    data = np.frombuffer(text[base : int((pos + count).max()) - 1 + window], np.uint8)
+                    sums = hasher.prefix(data)
+                    of = np.repeat(np.arange(len(some)), count)
+                    start = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + (pos - base)[of]
+                    block = (seed - base)[of] - start
+                    block //= BLOCK
+                    first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (block[1:] != block[:-1])]))
+                    last = (seed - base)[of[first]] - block[first] * BLOCK
+                    core = hasher.between(sums, last, last - BLOCK + 1 + window)
+                    out.append((core, np.full(len(first), doc), start[first] + base, np.diff(np.append(first, len(of))), hasher.between(sums, start, start + window)))
             if out:
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int64()))], ["core", "doc", "start", "hashes"]
-                )
+                core, ids, start, sizes, hashes = (np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True))
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(ids), pa.array(start), lists], ["core", "doc", "start", "hashes"])
 
     per_doc = runs.groupBy("doc").agg(F.collect_list(F.struct("pos", "windows", "seed")).alias("runs"))
     chosen = docs.join(broadcast_if_small(per_doc.select("doc")), "doc", "left_semi").join(per_doc, "doc")
@@ -140,10 +156,14 @@ def repeated_ranges(docs: DataFrame, window: int = 100) -> DataFrame:
     """
     seeds = _runs(docs, window, True).groupBy("h1").agg(F.sum("n").alias("n")).filter("n > 1").select("h1")
     runs = stored(_runs(docs, window, False).join(broadcast_if_small(stored(seeds), KEYS), "h1", "left_semi"))
-    whole = _not_first(runs, ["h1", "h2"]).select("doc", F.col("pos").alias("start"), (F.col("pos") + F.col("windows") - 1 + window).alias("end"))
-    firsts = runs.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos", "windows", "seed")).alias("r"))
-    mixed = firsts.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1")
-    blocks = stored(_windows(docs, firsts.join(mixed, "h1", "left_semi").select("r.*"), window))
+    groups = runs.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos", "windows", "seed")).alias("first"), F.count("*").alias("n"))
+    groups = stored(groups)
+    known = groups.filter("n > 1").select("h1", "h2", "first.doc", "first.pos").alias("f")
+    later = runs.alias("r").join(known, ["h1", "h2"]).filter("r.doc != f.doc OR r.pos != f.pos")
+    whole = later.select("r.doc", F.col("r.pos").alias("start"), (F.col("r.pos") + F.col("windows") - 1 + window).alias("end"))
+    mixed = groups.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1")
+    mixed = groups.join(broadcast_if_small(stored(mixed), KEYS), "h1", "left_semi").select("first.*")
+    blocks = stored(_windows(docs, mixed, window))
     cores = blocks.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
     left = blocks.join(broadcast_if_small(stored(cores), KEYS), "core", "left_semi")
     left = left.select("doc", F.posexplode("hashes").alias("at", "h"), "start").select("h", "doc", (F.col("start") + F.col("at")).alias("pos"))
