@@ -14,12 +14,9 @@ from pyspark.sql import functions as F
 from sievelight.functions.compat import is_blank, number, split_lines, trim
 from sievelight.functions.links import UTM3, is_pii_line, link_utm, links_in_line, lower_ok
 from sievelight.operators.findings import as_findings, from_hits, hit, hits, text, union_findings
-from sievelight.plans.skew import HOT_SHARES
 from sievelight.plans.spread import explode_once
 
 HASH_LENGTH = 16
-SMALL_DIR_BYTES = 16 << 20
-SMALL_DIR_FILES = 10_000
 
 
 def lines_of_files(files: DataFrame) -> DataFrame:
@@ -73,7 +70,7 @@ def missing_utm(links: DataFrame, required: Sequence[str] = UTM3, include_text:
     short = links.withColumn("lacking", lacking).filter(F.size("lacking") > 0)
     detail = _quoted(
         text("link line ", F.col("line_no"), " is missing ", F.array_join("lacking", ", ")),
-        F.left(F.col("url"), F.lit(80)),
+        F.col("url"),
         include_text,
     )
     return as_findings(short, "missing-utm", detail, F.col("line_no"), F.col("file"))
@@ -136,35 +133,16 @@ def campaign_findings(campaigns: DataFrame, posts: DataFrame, include_text: bool
 
 
 def content_hash(files: DataFrame) -> DataFrame:
-    """`source, digest`: a fingerprint of each directory's file names and texts.
+    """`source, digest`: a fingerprint of each directory's file names, positions and texts, of whatever size.
 
-    `files` is `source, file, position, text`. A directory whose size is small is hashed as one text in file
-    order. A larger one is never gathered: its files are hashed one by one and the digests are summed, which
-    needs no order and runs as a partial aggregate. Such a digest is marked with `sum:`.
+    `files` is `source, file, position, text`. Each file is hashed with its place; the hashes of a directory are hashed in
+    256 blocks, by a hash of the place, and those in turn. Only hashes are gathered, a block at a time.
     """
-    body = F.concat("file", F.lit("\n"), "text")
-    digest = F.sha2(body, 256)
-    words = [F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)") for i in range(4)]
-    dirs = files.groupBy("source").agg(
-        F.sum(F.octet_length(body)).alias("bytes"),
-        F.count("*").alias("files"),
-        *[F.sum(word).alias(f"w{i}") for i, word in enumerate(words)],
-    )
-    small = (F.col("bytes") <= SMALL_DIR_BYTES) & (F.col("files") <= SMALL_DIR_FILES)
-    # Large directories with more than a thousandth of all files are at most a thousand; they leave before the shuffle.
-    share = dirs.select((F.sum("files") / HOT_SHARES).alias("share")).scalar()
-    hot = dirs.filter(~small & (F.col("files") > share)).select("source")
-    gathered = (
-        files.join(F.broadcast(hot), "source", "left_anti")
-        .join(dirs.filter(small).select("source"), "source", "left_semi")
-        .groupBy("source")
-        .agg(F.array_sort(F.collect_list(F.struct("position", body.alias("body")))).alias("all"))
-        .select("source", F.sha2(F.array_join(F.transform("all", lambda f: f["body"]), ""), 256).alias("digest"))
-        .select("source", F.left("digest", F.lit(HASH_LENGTH)).alias("digest"))
-    )
-    summed = (
-        dirs.filter(~small)
-        .select("source", F.sha2(F.concat_ws(",", *[F.col(f"w{i}") for i in range(4)]), 256).alias("digest"))
-        .select("source", F.concat(F.lit("sum:"), F.left("digest", F.lit(HASH_LENGTH))).alias("digest"))
-    )
-    return gathered.unionByName(summed)
+    place = F.concat(F.coalesce("position", F.lit("")), F.lit("\n"), F.coalesce("file", F.lit("")))
+    leaf = F.sha2(F.concat(place, F.lit("\n"), F.coalesce("text", F.lit(""))), 256)
+    leaves = files.select("source", F.left(F.sha2(place, 256), F.lit(2)).alias("block"), place.alias("place"), leaf.alias("leaf"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("place", "leaf"))), lambda x: x["leaf"])
+    blocks = leaves.groupBy("source", "block").agg(F.sha2(F.array_join(in_order, ""), 256).alias("hash"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("block", "hash"))), lambda x: x["hash"])
+    whole = blocks.groupBy("source").agg(F.sha2(F.array_join(in_order, ""), 256).alias("digest"))
+    return whole.select("source", F.left("digest", F.lit(HASH_LENGTH)).alias("digest"))

@@ -101,14 +101,14 @@ def _key_hash(*parts: Column) -> Column:
     return F.coalesce(F.unhex(F.sha2(body, 256)), F.lit(b""))
 
 
-def exact_key(df: DataFrame) -> Column:
-    """Digest of the row's source and its sorted (name, normalised value) pairs."""
+def exact_key(df: DataFrame, order: str = "n") -> Column:
+    """Digest of the row's source and its sorted (name, normalised value) pairs, the order column excepted."""
     if "fields" in df.columns:
         pairs = F.array_sort(F.map_entries("fields"))
         return _key_hash(F.col("source"), F.transform(pairs, lambda p: F.array(p["key"], norm_text(p["value"]))))
     cells = []
     for field in sorted(df.schema.fields, key=lambda f: f.name):
-        if field.name not in ORDER_COLUMNS:
+        if field.name not in (*ORDER_COLUMNS, order):
             nested = isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType))
             cells.append(norm_text(F.to_json(field.name) if nested else F.col(field.name)))
     return _key_hash(F.col("source"), F.array(*cells))
@@ -120,17 +120,20 @@ def near_keys(df: DataFrame, keep_all_scripts: bool = False) -> Column:
     def norm(name: str) -> Column:
         return norm_text(column(df, name), keep_all_scripts)
 
+    def tagged(tag: str, key: Column) -> Column:
+        return F.struct(F.lit(tag).alias("tag"), key.alias("key"))
+
     company, title, email, name = (filled(column(df, c)) for c in ("company", "title", "email", "name"))
     keys = F.array(
-        F.when(company & title, F.concat(F.lit("ct:"), norm("company"), F.lit("|"), norm("title"))),
-        F.when(email, F.concat(F.lit("em:"), norm("email"))).when(name, F.concat(F.lit("nm:"), norm("name"))),
+        F.when(company & title, tagged("ct", F.concat(norm("company"), F.lit("|"), norm("title")))),
+        F.when(email, tagged("em", norm("email"))).when(name, tagged("nm", norm("name"))),
     )
     return F.filter(keys, lambda k: k.isNotNull())
 
 
 def exact_dupe(df: DataFrame, order: str = "n") -> DataFrame:
     """Later rows equal to an earlier row of their source; the finding refers to the first one."""
-    keyed = df.select("source", F.col(order).alias("n"), exact_key(df).alias("key"))
+    keyed = df.select("source", F.col(order).alias("n"), exact_key(df, order).alias("key"))
     later = attach_group_first(keyed, "key").filter(F.col("first_n") < F.col("n"))
     return as_findings(
         later,
@@ -144,13 +147,13 @@ def exact_dupe(df: DataFrame, order: str = "n") -> DataFrame:
 def near_dupe(df: DataFrame, keys: Column | None = None, order: str = "n") -> DataFrame:
     """Rows that are no exact dupes but share a near key with an earlier such row, once per row.
 
-    `keys` is an array of tagged keys in order of preference. Rows that are near dupes themselves still
+    `keys` is an array of struct(tag, key) in order of preference; the tag is what the finding names. Rows that are near dupes themselves still
     lend their other keys, so the lowest row per key among the non-exact rows is the one referred to.
     """
     base = df.withColumn("n", F.col(order))
     # The lowest row per exact key is what survives the exact check; row numbers are unique, so no key is hot here.
     kept = (
-        base.select("source", "n", exact_key(df).alias("key"))
+        base.select("source", "n", exact_key(df, order).alias("key"))
         .groupBy("source", "key")
         .agg(F.min("n").alias("n"))
         .select("source", "n")
@@ -159,8 +162,8 @@ def near_dupe(df: DataFrame, keys: Column | None = None, order: str = "n") -> Da
         base.select("source", "n", (near_keys(df) if keys is None else keys).alias("keys"))
         .join(kept, ["source", "n"], "left_semi")
         .transform(lambda rows: explode_once(rows, F.col("keys"), "tagged", "source", "n", position="position"))
-        .withColumn("tag", F.left("tagged", F.lit(2)))
-        .withColumn("key", _key_hash(F.col("source"), F.col("tagged")))
+        .withColumn("tag", F.col("tagged.tag"))
+        .withColumn("key", _key_hash(F.col("source"), F.col("tagged.tag"), F.col("tagged.key")))
         .drop("tagged")
     )
     shared = attach_group_first(tagged, "key").filter(F.col("first_n") < F.col("n"))

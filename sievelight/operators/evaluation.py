@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sievelight.functions.compat import half_up, is_blank, is_json, regex_column, split_lines
 from sievelight.functions.stats import wilson_interval
 from sievelight.plans.blocks import global_rank
+from sievelight.plans.sizing import broadcast_if_small
 from sievelight.plans.skew import lookup
 
 # Check kinds, the gate and the default rubric.
@@ -157,7 +158,7 @@ def split_compare(scored: DataFrame, order: Sequence[str]) -> DataFrame:
     keyed = scored if "suite" in scored.columns else scored.withColumn("suite", F.lit(""))
     ranked = global_rank(keyed.select("suite", *order, "passed"), ["suite", *order])
     ends = ranked.groupBy("suite").agg(F.min("rank").alias("first"), F.count("*").alias("size"))
-    half = ranked.join(ends, "suite").withColumn(
+    half = ranked.join(broadcast_if_small(ends), "suite").withColumn(
         "half", F.when(F.col("rank") - F.col("first") < F.floor(F.col("size") / 2), "older").otherwise("newer")
     )
     sums = half.groupBy("suite", "half").agg(F.count("*").alias("n"), F.count_if("passed").alias("pass"))

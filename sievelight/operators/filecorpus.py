@@ -68,7 +68,7 @@ def unsafe_capability(files: DataFrame, include_text: bool = False) -> DataFrame
     found = runners.select("source", "name", first.alias("hit")).filter(F.col("hit").isNotNull())
     detail = text(F.col("name"), " runs a network, shell or eval capability")
     if include_text:
-        detail = F.concat(detail, F.lit(": "), F.left(trim(F.col("hit.line")), F.lit(120)))
+        detail = F.concat(detail, F.lit(": "), trim(F.col("hit.line")))
     return as_findings(found, "unsafe-capability", detail, F.col("hit.no"), F.col("name"))
 
 

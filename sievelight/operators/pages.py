@@ -273,9 +273,9 @@ def browser_event_defects(events: DataFrame, include_text: bool = False) -> Data
     found = _source(events.withColumn("kind", name).filter(F.col("kind").isNotNull()))
     if include_text:
         detail = (
-            F.when(kind == "response", text(F.col("status"), " ", F.left(F.coalesce("url", F.lit("")), F.lit(120))))
+            F.when(kind == "response", text(F.col("status"), " ", F.coalesce("url", F.lit(""))))
             .when(kind == "failed", text("request failed: ", words))
-            .otherwise(F.left(F.get(F.split(words, "\n", -1), F.lit(0)), F.lit(160)))
+            .otherwise(F.get(F.split(words, "\n", -1), F.lit(0)))
         )
     else:
         detail = F.when(kind == "response", text("status ", F.col("status"))).otherwise(kind)

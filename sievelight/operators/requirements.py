@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.functions.compat import extracted, half_up, matches, regex, trim
@@ -147,10 +147,16 @@ def _exploded(reqs: DataFrame, cases: Column) -> DataFrame:
 
 
 def expand_cases(reqs: DataFrame) -> DataFrame:
-    """`source, position, req, case, type, check, expect`: positive, negative and regression cases."""
+    """`source, position, req, case, type, check, expect`: positive, negative and regression cases.
+
+    A requirement is blocked by a flag of its own or of an earlier one with its id.
+    """
+    own = F.when(flag_kind(F.col("text"), F.col("proof")).isNotNull(), F.col("position"))
+    first = Window.partitionBy("source", "id").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reqs = reqs.withColumn("_blocked", F.min(own).over(first).isNotNull())
     body = F.col("text")
     inputy, regression = _says(body, INPUTY), _says(body, REGRESSION)
-    blocked = flag_kind(body, F.col("proof")).isNotNull()
+    blocked = F.col("_blocked")
     setting = F.when(inputy, "With empty, malformed or oversized input, verify: ").otherwise(
         "With the precondition missing, verify: "
     )
@@ -239,7 +245,7 @@ def coverage(reqs: DataFrame, cases: DataFrame, proofs: DataFrame | None = None)
         (F.col("proof") != "").cast("int").alias("proof_lines"),
     )
     # An id can name several requirements; its cases are counted once.
-    per_id = facts.groupBy("source", "id").agg(*[F.sum(n).alias(n) for n in ("requirements", "flagged", "proof_lines")])
+    per_id = facts.groupBy("source", "id").agg(F.sum("requirements").alias("requirements"), F.max("flagged").alias("flagged"), F.sum("proof_lines").alias("proof_lines"))
     parts = per_id.join(per_req, ["source", "id"], "left").withColumn(
         "uncovered", F.when(F.col("cases").isNull(), F.col("requirements"))
     )

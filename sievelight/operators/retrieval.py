@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions.stats import bm25_part, idf
 from sievelight.functions.text import tokenize
-from sievelight.plans.sizing import broadcast_if_small
+from sievelight.plans.sizing import BROADCAST_ROWS, broadcast_if_small, is_small
 from sievelight.plans.spread import explode_once
 
 # Saturation, length weight and list length.
@@ -62,9 +62,13 @@ def _matches(index: Index, queries: DataFrame) -> DataFrame:
     # column, so that this branch and the scored postings are the same shuffle and the texts are tokenised once.
     matched = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = matched.groupBy("source", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    weights = df.join(index.stats, "source").select("source", "term", idf(F.col("df"), F.col("n")).alias("idf"), "average")
+    weights = df.join(broadcast_if_small(index.stats), "source").select("source", "term", idf(F.col("df"), F.col("n")).alias("idf"), "average")
+    # A corpus has at most one weight per query term, so few terms have few weights, and no common term is a hot key.
+    few = is_small(terms, BROADCAST_ROWS)
+    if few and is_small(index.stats, max(1, BROADCAST_ROWS // max(1, terms.select("term").distinct().count()))):
+        weights = F.broadcast(weights)
     placed = matched.join(weights, ["source", "term"]).repartition("source", "doc")
-    return placed.join(broadcast_if_small(terms), "term")
+    return placed.join(F.broadcast(terms) if few else terms, "term")
 
 
 def bm25_topk(
@@ -104,12 +108,12 @@ def hit_terms(index: Index, queries: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def rank_eval(ranked: DataFrame, expected: DataFrame) -> DataFrame:
-    """`query, doc, place, at_first, miss` for expectations `query, doc`; a document not ranked is a miss."""
+    """`query, doc, place, at_first, miss` for expectations `query, doc`; only a document that is not ranked is a miss."""
     on = [c for c in ("source", "query", "doc") if c in expected.columns]
     return (
         expected.join(ranked.select(*on, "place"), on, "left")
         .withColumn("at_first", F.coalesce(F.col("place") == 1, F.lit(False)))
-        .withColumn("miss", ~F.col("at_first"))
+        .withColumn("miss", F.col("place").isNull())
     )
 
 

@@ -48,7 +48,7 @@ def _jargon_hits(phrases: Sequence[str], include_text: bool) -> Column:
     for phrase in phrases:
         detail = text("line ", F.col("line_no"), f' uses banned jargon "{phrase}"')
         if include_text:
-            detail = F.concat(detail, F.lit(": "), F.left(trim(line), F.lit(100)))
+            detail = F.concat(detail, F.lit(": "), trim(line))
         found = hit("jargon", detail, F.col("line_no"), F.lit(phrase))
         checks.append((matches(line, rf"\b{_literal(phrase)}\b", "i"), found))
     return F.when(matches(line, any_of, "i"), hits(*checks)).otherwise(F.array().cast(HITS_TYPE))

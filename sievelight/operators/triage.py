@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -10,20 +10,24 @@ from sievelight.functions import text as tx
 from sievelight.functions.compat import trim
 from sievelight.plans.blocks import BLOCK_ROWS, global_rank, max_before
 from sievelight.plans.session import stored
+from sievelight.plans.sizing import broadcast_if_small
 
-# How much of a line is kept.
-CONTEXT_CHARS, SAMPLE_CHARS, PATTERN_CHARS = 160, 220, 200
-STACK_LINES, BEFORE_LINES = 4, 2
+# Lines above an entry that are shown with it.
+BEFORE_LINES = 2
 SEVERITIES = ("error", "warn", "info")
 
 
 def head_lines(lines: DataFrame) -> DataFrame:
-    """Lines that start an entry: `source, line_no, line, pattern, id, severity`."""
+    """Lines that start an entry: `source, line_no, line, pattern, id, severity, key`.
+
+    `id` is the short form that people read; `key`, the whole digest, is what patterns are told apart by.
+    """
     line = F.col("line")
     return (
         lines.filter(tx.filled(line) & ~tx.is_continuation(line))
         .select("source", "line_no", "line", tx.normalize_line(line).alias("pattern"), tx.severity(line).alias("severity"))
         .withColumn("id", tx.fingerprint(F.col("pattern")))
+        .withColumn("key", F.unhex(F.sha1(F.col("pattern"))))
     )
 
 
@@ -38,7 +42,7 @@ def entry_counts(lines: DataFrame) -> DataFrame:
     problem = F.col("severity") != "info"
     return (
         head_lines(lines)
-        .groupBy("source", "id", tx.family_of(F.col("pattern")).alias("family"))
+        .groupBy("source", "key", "id", tx.family_of(F.col("pattern")).alias("family"))
         .agg(
             F.count("*").alias("count"),
             F.min("line_no").alias("first_line"),
@@ -52,17 +56,17 @@ def entry_counts(lines: DataFrame) -> DataFrame:
 
 
 def _patterns(entries: DataFrame) -> DataFrame:
-    """Entries by fingerprint alone: fingerprints are short, and two families can share one."""
+    """Entries by the whole digest of their pattern."""
     severity = F.get(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("level"))
     return (
-        entries.groupBy("source", "id")
+        entries.groupBy("source", "key", "id")
         .agg(
             F.sum("count").alias("count"),
             F.min_by("level", "first_line").alias("level"),
             F.max("last_stamped").alias("last_stamped"),
             F.min("first_line").alias("first_line"),
         )
-        .select("source", "id", "count", "first_line", "last_stamped", severity.alias("severity"))
+        .select("source", "id", "count", "first_line", "last_stamped", severity.alias("severity"), "key")
     )
 
 
@@ -80,52 +84,63 @@ def _families(entries: DataFrame) -> DataFrame:
 
 
 def pattern_counts(lines: DataFrame) -> DataFrame:
-    """`source, id, count, first_line, last_stamped, severity`; the severity is the one of the first line."""
+    """`source, id, count, first_line, last_stamped, severity, key`; the severity is the one of the first line."""
     return _patterns(entry_counts(lines))
 
 
-def pattern_agg(lines: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """`source, id, severity, count, pattern, first_line, first_ts, last_ts, sample` per fingerprint.
+def _cut(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.left(text, F.lit(chars))
+
 
-    Texts are fetched once per pattern by line number, which is unique per source.
+def pattern_agg(
+    lines: DataFrame, counts: DataFrame | None = None, pattern_chars: int | None = None, sample_chars: int | None = None
+) -> DataFrame:
+    """`source, id, severity, count, pattern, first_line, first_ts, last_ts, sample` per pattern.
+
+    Texts are fetched once per pattern by line number, which is unique per source. The numbers wanted are broadcast when
+    they are few, so that the log stays where it is. Patterns and samples are whole unless a number of characters is given.
     """
     counts = pattern_counts(lines) if counts is None else counts
     wanted = counts.select(
         "source",
-        "id",
+        "key",
         F.explode(
             F.array(
                 F.struct(F.lit("first").alias("role"), F.col("first_line").alias("line_no")),
                 F.struct(F.lit("last").alias("role"), F.col("last_stamped").alias("line_no")),
             )
         ).alias("w"),
-    ).select("source", "id", "w.role", "w.line_no")
+    ).select("source", "key", "w.role", "w.line_no")
     texts = (
-        lines.join(wanted, ["source", "line_no"])
-        .groupBy("source", "id")
+        lines.join(broadcast_if_small(wanted.filter("line_no IS NOT NULL")), ["source", "line_no"])
+        .groupBy("source", "key")
         .agg(
             F.max(F.when(F.col("role") == "first", F.col("line"))).alias("first_text"),
             F.max(F.when(F.col("role") == "last", F.col("line"))).alias("last_text"),
         )
     )
     first = F.col("first_text")
-    return counts.join(texts, ["source", "id"]).select(
+    return counts.join(texts, ["source", "key"]).select(
         "source",
         "id",
         "severity",
         "count",
-        F.left(tx.normalize_line(first), F.lit(PATTERN_CHARS)).alias("pattern"),
+        _cut(tx.normalize_line(first), pattern_chars).alias("pattern"),
         "first_line",
         tx.stamp_text(first).alias("first_ts"),
         tx.stamp_text(F.col("last_text")).alias("last_ts"),
-        F.left(trim(first), F.lit(SAMPLE_CHARS)).alias("sample"),
+        _cut(trim(first), sample_chars).alias("sample"),
     )
 
 
 def attach_continuations(
-    lines: DataFrame, max_lines: int = STACK_LINES, counts: DataFrame | None = None, block_rows: int = BLOCK_ROWS
+    lines: DataFrame,
+    max_lines: int | None = None,
+    counts: DataFrame | None = None,
+    block_rows: int = BLOCK_ROWS,
+    chars: int | None = None,
 ) -> DataFrame:
-    """`source, line_no, stack`: continuation lines of the first entry of each pattern, at most `max_lines`.
+    """`source, line_no, stack`: continuation lines of the first entry of each pattern, `max_lines` at most if given.
 
     Entries without continuation lines are left out. A continuation belongs to the nearest entry above it;
     blank lines do not break the chain.
@@ -136,7 +151,7 @@ def attach_continuations(
     slim = lines.filter(tx.filled(line)).select(
         "source",
         "line_no",
-        F.when(continued, F.left(trim(line), F.lit(CONTEXT_CHARS))).alias("text"),
+        F.when(continued, _cut(trim(line), chars)).alias("text"),
         continued.alias("continued"),
     )
     heads = F.when(~F.col("continued"), F.col("line_no"))
@@ -144,16 +159,17 @@ def attach_continuations(
         F.col("continued") & F.col("head").isNotNull()
     )
     nth = F.row_number().over(Window.partitionBy("source", "head").orderBy("line_no"))
-    kept = tied.withColumn("nth", nth).filter(F.col("nth") <= max_lines)
+    firsts = counts.select("source", F.col("first_line").alias("head"))
+    kept = tied.join(broadcast_if_small(firsts), ["source", "head"], "left_semi").withColumn("nth", nth)
     return (
-        kept.join(counts.select("source", F.col("first_line").alias("head")), ["source", "head"], "left_semi")
+        (kept if max_lines is None else kept.filter(F.col("nth") <= max_lines))
         .groupBy("source", "head")
         .agg(F.array_sort(F.collect_list(F.struct("nth", "text"))).alias("all"))
         .select("source", F.col("head").alias("line_no"), F.transform("all", lambda s: s["text"]).alias("stack"))
     )
 
 
-def line_context(lines: DataFrame, before: int = BEFORE_LINES, anchors: DataFrame | None = None) -> DataFrame:
+def line_context(lines: DataFrame, before: int = BEFORE_LINES, anchors: DataFrame | None = None, chars: int | None = None) -> DataFrame:
     """`source, line_no, before`: the physical lines above each anchor, blanks removed.
 
     `anchors` is `source, line_no`, by default the first line of every pattern.
@@ -166,10 +182,10 @@ def line_context(lines: DataFrame, before: int = BEFORE_LINES, anchors: DataFram
         F.explode(F.sequence(F.col("line_no") - before, F.col("line_no") - 1)).alias("line_no"),
     )
     texts = (
-        lines.join(above, ["source", "line_no"])
+        lines.join(broadcast_if_small(above), ["source", "line_no"])
         .filter(tx.filled(F.col("line")))
         .groupBy("source", F.col("anchor").alias("line_no"))
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", F.left(trim(F.col("line")), F.lit(CONTEXT_CHARS)).alias("text")))).alias("all"))
+        .agg(F.array_sort(F.collect_list(F.struct("line_no", _cut(trim(F.col("line")), chars).alias("text")))).alias("all"))
         .select("source", "line_no", F.transform("all", lambda s: s["text"]).alias("before"))
     )
     empty = F.array().cast("array<string>")
@@ -193,7 +209,7 @@ def rank_problems(patterns: DataFrame, numbered: bool = False) -> DataFrame:
         return keyed.orderBy(*order).drop("_level", "_fewer")
     ranked = global_rank(keyed, order, "_rank")
     starts = ranked.groupBy("source").agg(F.min("_rank").alias("_start"))
-    placed = ranked.join(starts, "source").withColumn("place", F.col("_rank") - F.col("_start") + 1)
+    placed = ranked.join(broadcast_if_small(starts), "source").withColumn("place", F.col("_rank") - F.col("_start") + 1)
     return placed.drop("_level", "_fewer", "_rank", "_start")
 
 

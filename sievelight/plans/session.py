@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,14 +30,21 @@ def local_session(cores: int | str = "*", partitions: int = 8, **settings: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder where it names one; a folder of our own only where it names none."""
+    """The cluster's shared folder where it names one.
+
+    Where it names none, a local session gets a temporary folder that goes when the process ends. On a cluster that is
+    an error: executors would each write to a disk of their own.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getConf().get(CHECKPOINT_SETTING)
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="sievelight-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder
 

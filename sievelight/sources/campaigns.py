@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.functions.compat import trim
+from sievelight.functions.compat import is_json, trim
 from sievelight.plans.skew import attach_facts
 from sievelight.sources.lines import read_numbered_lines, read_text_files
 
@@ -31,7 +31,7 @@ def _home(path: Column) -> Column:
 
 def _table(spark: SparkSession, root: str, name: str, wanted: list[str]) -> DataFrame:
     """Rows of a CSV per campaign; columns are found by lower-cased header cell, absent ones are empty."""
-    lines = read_numbered_lines(spark, f"{root}/*/{name}").filter(F.col("n").isNotNull())
+    lines = read_numbered_lines(spark, root, glob=name).filter(F.col("n").isNotNull())
     cells = lines.select("source", "n", F.transform(F.split("line", ",", -1), trim).alias("cells"))
     heads = cells.groupBy("source").agg(
         F.count("*").alias("copies"), F.max(F.when(F.col("n") == 1, F.transform("cells", F.lower))).alias("head")
@@ -52,7 +52,7 @@ def read_campaigns(spark: SparkSession, root: str) -> Campaigns:
     ).filter(F.col("file") != "")
     raw = placed.filter(F.col("file") == "campaign.json").select("source", F.col("text"))
     homes = placed.select("source").distinct()
-    is_object = F.left(trim(F.col("text")), F.lit(1)) == "{"
+    is_object = (F.left(trim(F.col("text")), F.lit(1)) == "{") & is_json(F.col("text"))
     fields = F.when(is_object, F.from_json("text", "map<string,string>", {"mode": "PERMISSIVE"}))
     campaigns = homes.join(raw, "source", "left").select("source", fields.alias("fields"), "text")
     posts = placed.filter(F.col("file").rlike(r"^posts/"))

@@ -12,7 +12,6 @@ from sievelight.sources.lines import decode_bytes, read_text_files
 # What a corpus takes in, reply layout, and table layout.
 TEXT_ENDINGS = (".md", ".mjs", ".js", ".cjs", ".json", ".txt", ".py", ".cs", ".rs", ".yaml", ".yml")
 SKIP_DIRS = ("node_modules", ".git", "archive")
-MAX_FILE_BYTES = 300 * 1024
 REPLY_NAME = r"^\d+-judge.*\.md$"
 RESULT_HEADING = "## Result"
 RESULT_OPEN, RESULT_CLOSE = r"^[\s\S]*?<task_result>\s*", r"\s*<\/task_result>[\s\S]*$"
@@ -20,17 +19,22 @@ VERDICT = "(?i)VERDICT"
 TABLE_COLUMNS = ("id", "status", "scorecard", "what", "done_when", "owner", "evidence")
 
 
-def read_corpus(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """`source, doc, text`: text files below `root` by ending and size; `doc` is the relative path."""
+def read_corpus(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """`source, doc, text`: text files below `root` by ending; `doc` is the relative path.
+
+    With `max_bytes`, larger files stay in the table with a null text, so that what was left out can be seen.
+    """
     base = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.substring_index("path", root.rstrip("/") + "/", -1)
+    # The folder's own spelling of its path, as the reader gives it, is what all paths start with.
+    plain = root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
+    rel = F.substr(F.col("path"), F.instr("path", plain) + F.lit(len(plain)))
     ending = F.lower(F.regexp_extract("doc", r"(\.[^.]*)\z", 1))
+    text = decode_bytes(F.col("content"))
     skipped = F.exists(F.split(F.col("doc"), "/", -1), lambda part: part.isin(*SKIP_DIRS))
     return (
-        base.filter(F.col("length") <= max_bytes)
-        .withColumn("doc", rel)
+        base.withColumn("doc", rel)
         .filter(ending.isin(*TEXT_ENDINGS) & ~skipped)
-        .select(F.lit(root).alias("source"), "doc", decode_bytes(F.col("content")).alias("text"))
+        .select(F.lit(root).alias("source"), "doc", (text if max_bytes is None else F.when(F.col("length") <= max_bytes, text)).alias("text"))
     )
 
 
@@ -48,7 +52,7 @@ def read_eval_suite(spark: SparkSession, cases_path: str, answers_path: str) ->
 def read_judge_replies(spark: SparkSession, path: str, name: str = REPLY_NAME) -> DataFrame:
     """`reply, modified, text`: the result part of reply files that name a verdict. Order by `modified, reply`."""
     files = read_text_files(spark, path, recursive=False)
-    part = F.coalesce(F.get(F.split("text", regex(RESULT_HEADING), -1), F.lit(1)), F.lit(""))
+    part = F.coalesce(F.get(F.split("text", regex(RESULT_HEADING), 2), F.lit(1)), F.lit(""))
     cleaned = F.regexp_replace(F.regexp_replace(part, regex(RESULT_OPEN), ""), regex(RESULT_CLOSE), "")
     return (
         files.withColumn("reply", F.substring_index("source", "/", -1))

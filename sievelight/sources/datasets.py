@@ -17,14 +17,21 @@ def _named(name: str) -> str:
 
 
 def read_csv_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """`source, n` and one text column per header cell; short rows are padded with empty text."""
+    """`source, n` and one text column per header cell; short rows are padded with empty text.
+
+    All files under the path must have the same header; one with another header is an error when rows are read.
+    """
     header = [c.strip() for c in spark.read.option("header", True).csv(path).columns]
-    shape = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    lines = read_numbered_lines(spark, path).filter(F.col("n") > 1)
     options = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-    cells = F.from_csv("line", shape.simpleString()[len("struct<") : -1].replace(":", " "), options)
-    parsed = lines.select("source", (F.col("n") - 1).alias("n"), cells.alias("row"))
-    return parsed.select("source", "n", *[F.coalesce(F.col("row")[c], F.lit("")).alias(c) for c in header])
+    shape = ", ".join(f"{_named(name)} string" for name in header)
+    cells = F.array(*[F.coalesce(F.col("row")[name], F.lit("")) for name in header])
+    lines = read_numbered_lines(spark, path).filter(F.col("n").isNotNull())
+    lines = lines.select("source", "n", F.from_csv("line", shape, options).alias("row")).select("source", "n", cells.alias("cells"))
+    other = (F.col("n") == 1) & (F.col("cells") != F.array(*map(F.lit, header)))
+    # The check is part of the filter, or the optimizer would drop header rows before they are looked at.
+    wrong = F.raise_error(F.concat(F.lit("another header in "), F.col("source"))).cast("boolean")
+    rows = lines.filter(F.when(other, wrong).otherwise(F.col("n") > 1))
+    return rows.select("source", (F.col("n") - 1).alias("n"), *[F.get("cells", F.lit(k)).alias(name) for k, name in enumerate(header)])
 
 
 def _from_json_rows(rows: DataFrame, schema: T.StructType) -> DataFrame:
@@ -36,10 +43,12 @@ def _from_json_rows(rows: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_jsonl_dataset(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """One object per line; lines that do not start an object are skipped and not counted."""
+    """One object per line; lines that do not start an object are skipped and not counted. A broken object is an error."""
     schema = schema or spark.read.json(path).drop("_corrupt_record").schema
     lines = read_numbered_lines(spark, path, keep=trim(F.col("line")).startswith("{")).filter(F.col("n").isNotNull())
-    return _from_json_rows(lines.select("source", "n", F.col("line").alias("object")), schema)
+    broken = F.raise_error(F.concat(F.lit("broken JSON in row "), F.col("n"), F.lit(" of "), F.col("source"))).cast("string")
+    whole = F.when(trim(F.col("line")).endswith("}") & F.from_json("line", JSON_MAP).isNotNull(), F.col("line")).otherwise(broken)
+    return _from_json_rows(lines.select("source", "n", whole.alias("object")), schema)
 
 
 def read_json_dataset(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

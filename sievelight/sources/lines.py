@@ -9,17 +9,20 @@ from sievelight.functions.compat import is_blank, split_lines
 from sievelight.functions.text import stamp_ms
 
 
-def read_numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
+def read_numbered_lines(spark: SparkSession, path: str, keep: Column | None = None, glob: str | None = None) -> DataFrame:
     """`source, line_no, n, line` of text files of any size.
 
     `line_no` counts physical lines from 1, `n` the lines for which `keep` (over `line`) holds, NULL for others.
     Lines are numbered inside their file block; blocks then start where the blocks before them end, which
-    needs only two counts per block.
+    needs only two counts per block. `glob` takes the files of that name anywhere below the path. Lines are UTF-8; a
+    file that starts with a UTF-16 mark is an error, since its lines can't be told apart here (see `read_text_files`).
     """
     keep = ~is_blank(F.col("line")) if keep is None else keep
+    reader = spark.read.option("lineSep", "\n")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
     raw = (
-        spark.read.option("lineSep", "\n")
-        .text(path)
+        reader.text(path)
         .select(
             F.col("_metadata.file_path").alias("source"),
             F.col("_metadata.file_block_start").alias("_block"),
@@ -44,11 +47,13 @@ def read_numbered_lines(spark: SparkSession, path: str, keep: Column | None = No
         "_nth", F.sum("_keep").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
     line_no = F.col("_lines_before") + F.col("_row")
+    marked = F.left("line", F.lit(2)) == "\ufffd\ufffd"
+    utf16 = F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("source"))).cast("string")
     return numbered.join(starts, ["source", "_block"]).select(
         "source",
         line_no.alias("line_no"),
         F.when(F.col("_keep") == 1, F.col("_kept_before") + F.col("_nth")).alias("n"),
-        F.when(line_no == 1, F.regexp_replace("line", "^﻿", "")).otherwise(F.col("line")).alias("line"),
+        F.when((line_no == 1) & marked, utf16).when(line_no == 1, F.regexp_replace("line", "^﻿", "")).otherwise(F.col("line")).alias("line"),
     )
 
 

@@ -11,8 +11,10 @@ ERROR_IF_EXISTS = "errorifexists"
 def write_clean(clean: DataFrame, path: str, form: str = "csv", mode: str = ERROR_IF_EXISTS) -> None:
     """Defect-free rows: CSV with its header, any JSON form as JSON lines. Order columns are not data.
 
-    JSON rows keep only the keys they came with.
+    JSON rows keep only the keys they came with. Files hold the rows by `source` and `n`, from first file to last.
     """
+    if {"source", "n"} <= set(clean.columns):
+        clean = clean.orderBy("source", "n")
     if form == "csv":
         clean.drop("source", "n").write.mode(mode).option("header", True).csv(path)
     else:

@@ -79,15 +79,33 @@ def test_scoreboard(campaigns):
     ]
 
 
-def test_content_hash(campaigns, monkeypatch):
-    order = ["campaign.json", "posts/one.md", "posts/two.md", "visits.csv", "sales.csv"]
-    want = hashlib.sha256("".join(f"{f}\n{CLEAN[f]}" for f in order).encode()).hexdigest()[:16]
+def block_hash(files):
+    """The rule in plain Python: files, blocks of files by a hash of their place, blocks."""
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    blocks = {}
+    for position, file, text in files:
+        place = f"{position}\n{file}"
+        blocks.setdefault(sha(place)[:2], []).append((place, sha(f"{place}\n{text}")))
+    return sha("".join(sha("".join(leaf for _, leaf in sorted(blocks[b]))) for b in sorted(blocks)))[:16]
+
+
+def test_content_hash(campaigns):
     got = {r["source"]: r["digest"] for r in named(cp.content_hash(campaigns.files)).collect()}
-    assert got["good"] == want and len(set(got.values())) == 3
-    monkeypatch.setattr(cp, "SMALL_DIR_FILES", 2)
-    large = {r["source"]: r["digest"] for r in named(cp.content_hash(campaigns.files.repartition(3))).collect()}
-    again = {r["source"]: r["digest"] for r in named(cp.content_hash(campaigns.files)).collect()}
-    assert large == again and large["good"].startswith("sum:") and large["none"] == got["none"]
+    good = [(r["position"], r["file"], r["text"]) for r in named(campaigns.files).filter("source = 'good'").collect()]
+    assert got["good"] == block_hash(good) and len(set(got.values())) == 3
+    again = {r["source"]: r["digest"] for r in named(cp.content_hash(campaigns.files.repartition(3))).collect()}
+    assert again == got
+
+
+def test_content_hash_is_one_rule_for_all_sizes(spark):
+    """More files than any former limit; one more file, another order or another text each change the digest."""
+    files = [(f"{k:06}", f"f{k}", "x" * (k % 7)) for k in range(12_000)]
+    digests = []
+    for rows in (files, files[:-1], [("9", "f0", ""), *files[1:]], [("000000", "f0", "y"), *files[1:]]):
+        df = spark.createDataFrame([("s", *r) for r in rows], "source string, position string, file string, text string")
+        digests.append(cp.content_hash(df).first()["digest"])
+        assert digests[-1] == block_hash(rows)
+    assert len(set(digests)) == 4
 
 
 GOOD = {

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from helpers import details, kinds_at, rows_of
+from pyspark.sql import functions as F
 
 from sievelight.operators import cleaning as cl
 
@@ -98,3 +99,13 @@ def test_duplicates_equal_brute_force_with_a_hot_key(spark, partitions):
         near_first.setdefault(r[0], n)
     assert rows_of(cl.exact_dupe(df), "source", "row", "key") == sorted((s, *e) for s in "pq" for e in exact)
     assert rows_of(cl.near_dupe(df), "source", "row", "key") == sorted((s, *e) for s in "pq" for e in near)
+
+
+def test_duplicates_by_another_order_column(spark):
+    rows = [("s", 3, "a", "x"), ("s", 1, "a", "x"), ("s", 2, "b", "y")]
+    df = spark.createDataFrame(rows, "source string, seq long, id string, email string")
+    assert [(r["row"], r["key"]) for r in cl.exact_dupe(df, order="seq").collect()] == [(3, "1")]
+    assert cl.near_dupe(df, order="seq").collect() == []
+    keys = F.array(F.struct(F.lit("any tag").alias("tag"), F.lit("k").alias("key")))
+    got = cl.near_dupe(df, keys, order="seq").collect()
+    assert [(r["row"], "any tag" in r["detail"]) for r in got] == [(2, True)]

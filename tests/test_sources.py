@@ -12,6 +12,8 @@ from sievelight.operators.evaluation import pass_gate, score_answers
 from sievelight.operators.findings import union_findings
 from sievelight.operators.retrieval import bm25_topk, build_index
 from sievelight.sources import corpus, datasets, lines, sinks
+from sievelight.sources.campaigns import read_campaigns
+from sievelight.sources.lines import read_numbered_lines
 
 
 def put(folder, name, text, encoding="utf8"):
@@ -103,7 +105,6 @@ def test_corpus(spark, tmp_path):
     put(tmp_path, "deep/archive/x.md", "skip")
     put(tmp_path, "photo.png", "skip")
     put(tmp_path, "plain", "skip")
-    put(tmp_path, "big.md", "x" * (300 * 1024 + 1))
     docs = corpus.read_corpus(spark, str(tmp_path))
     assert rows_of(docs, "doc") == [("shop/deep/boat.TXT",), ("shop/oven.md",)]
     queries = spark.createDataFrame([("q", "boat")], "query string, text string")
@@ -144,3 +145,66 @@ def test_findings_are_written_as_json(spark, tmp_path):
     df = datasets.read_dataset(spark, put(tmp_path, "in/data.csv", CSV))
     sinks.write_findings(union_findings([cl.missing_field(df)]), str(tmp_path / "found"))
     assert spark.read.json(str(tmp_path / "found")).count() == 1
+
+
+def test_csv_headers_with_blanks_and_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,first name\n1,Ann\n2\n")
+    got = datasets.read_csv_dataset(spark, str(tmp_path)).orderBy("n").collect()
+    assert [(r["id"], r["first name"]) for r in got] == [("1", "Ann"), ("2", "")]
+    (tmp_path / "b.csv").write_text("first name,id\nBob,3\n")
+    with pytest.raises(Exception, match="another header"):
+        datasets.read_csv_dataset(spark, str(tmp_path)).collect()
+
+
+def test_broken_json_lines_are_an_error(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": "1"}\n{"id": \n')
+    with pytest.raises(Exception, match="broken JSON in row 2"):
+        datasets.read_jsonl_dataset(spark, str(tmp_path)).collect()
+
+
+def test_utf16_logs_are_an_error(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes("one\ntwo".encode("utf-16"))
+    with pytest.raises(Exception, match="not UTF-8"):
+        read_numbered_lines(spark, str(tmp_path)).collect()
+
+
+def test_clean_rows_are_written_in_order(spark, tmp_path):
+    rows = [("s", n, f"r{n}") for n in range(200)]
+    df = spark.createDataFrame(rows[::-1], "source string, n long, id string").repartition(7)
+    sinks.write_clean(df, str(tmp_path / "out"), "csv")
+    parts = sorted((tmp_path / "out").glob("part-*.csv"))
+    assert [x for p in parts for x in p.read_text().split()[1:]] == [r[2] for r in rows]
+
+
+def test_corpus_takes_large_files_and_odd_folders(spark, tmp_path):
+    root = tmp_path / "docs"
+    (root / "docs").mkdir(parents=True)
+    (root / "docs" / "big.txt").write_text("x" * 400_000)
+    got = corpus.read_corpus(spark, str(root)).collect()
+    assert [(r["doc"], len(r["text"])) for r in got] == [("docs/big.txt", 400_000)]
+    assert [(r["doc"], r["text"]) for r in corpus.read_corpus(spark, str(root), max_bytes=10).collect()] == [("docs/big.txt", None)]
+
+
+def test_campaign_files_must_be_json(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "campaign.json").write_text('{"utm_source": "a"} junk')
+    got = read_campaigns(spark, str(tmp_path))
+    assert got.campaigns.first()["fields"] is None and got.sales.collect() == []
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from sievelight.plans import session
+
+    def fake(master):
+        made = []
+        conf = SimpleNamespace(get=lambda *_: None)
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, getConf=lambda: conf, setCheckpointDir=made.append)
+        return SimpleNamespace(sparkContext=context, conf=conf), made
+
+    local, made = fake("local[2]")
+    assert session.ensure_checkpoint_dir(local) == made[0]
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="share"):
+            session.ensure_checkpoint_dir(fake(master)[0])

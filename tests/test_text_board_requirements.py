@@ -141,3 +141,12 @@ def test_positions_do_not_depend_on_blocks(spark):
 def test_uncovered_requirements_are_counted(spark):
     reqs, cases, _ = plan(spark, SPEC)
     assert rq.coverage(reqs, cases.filter(F.col("req") != "R4")).first()["uncovered"] == 1
+
+
+def test_flags_count_ids_and_block_later_requirements(spark):
+    rows = [("s", 1, "AB-1", "Be fast", "", 1), ("s", 2, "AB-1", "Be quick", "", 2), ("s", 3, "AB-1", "Add a name of 5 signs", "", 3)]
+    reqs = spark.createDataFrame(rows, "source string, position long, id string, text string, proof string, line_no long")
+    cases = rq.plan_cases(reqs)
+    assert rq.coverage(reqs, cases).first()["flagged"] == 1
+    expect = {r["case"]: r["expect"] for r in cases.collect()}
+    assert expect["T3.1"] == expect["T1.1"] != "requirement holds"

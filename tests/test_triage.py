@@ -72,10 +72,10 @@ def test_known_patterns_are_not_new(spark):
     assert [(r["severity"], r["status"]) for r in got] == [("warn", "known")]
 
 
-def test_families_sharing_a_fingerprint_stay_one_pattern(spark, monkeypatch):
+def test_families_sharing_a_fingerprint_are_two_patterns(spark, monkeypatch):
     monkeypatch.setattr(tr.tx, "fingerprint", lambda pattern: F.lit("bt-same"))
     log = lines(spark, "ERROR red lamp\nWARN blue lamp\nERROR red lamp\n")
-    assert rows_of(tr.pattern_counts(log), "id", "count", "first_line", "severity") == [("bt-same", 3, 1, "error")]
+    assert rows_of(tr.pattern_counts(log), "id", "count", "first_line", "severity") == [("bt-same", 1, 2, "warn"), ("bt-same", 2, 1, "error")]
     assert rows_of(tr.family_agg(log), "family", "lines") == [("ERROR red", 2), ("WARN blue", 1)]
 
 
@@ -87,7 +87,7 @@ def brute_force(text, keep):
             continue
         if raw[0].isspace():
             if last and len(stacks[last]) < keep:
-                stacks[last].append(raw.strip()[:160])
+                stacks[last].append(raw.strip())
             continue
         last = None if raw in seen else i
         seen.add(raw)
@@ -102,6 +102,23 @@ def test_continuations_do_not_depend_on_blocks(spark, block_rows):
     words = "ash birch cedar elm fir hazel".split()
     text = "\n".join(rng.choice(["", "  deep " + str(i), f"\tin {i}", f"head {rng.choice(words)} {rng.choice(words)}"]) for i in range(200))
     text = "   orphan\n" + text
-    got = tr.attach_continuations(lines(spark, {"a": text, "b": text}).repartition(7), block_rows=block_rows)
-    want = brute_force(text, 4)
-    assert {(r["source"], r["line_no"]): r["stack"] for r in got.collect()} == {(s, k): v for s in "ab" for k, v in want.items()}
+    for most in (4, None):
+        got = tr.attach_continuations(lines(spark, {"a": text, "b": text}).repartition(7), most, block_rows=block_rows)
+        want = brute_force(text, most or 1_000)
+        assert {(r["source"], r["line_no"]): r["stack"] for r in got.collect()} == {(s, k): v for s in "ab" for k, v in want.items()}
+
+
+def test_patterns_with_one_short_id_stay_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(tr.tx, "fingerprint", lambda pattern: F.concat(F.lit("bt-"), F.lit("same")))
+    log = lines(spark, {"a": "ERROR red fox\nERROR blue sky\nERROR red fox"})
+    assert rows_of(tr.pattern_agg(log), "id", "count", "pattern") == [("bt-same", 1, "ERROR blue sky"), ("bt-same", 2, "ERROR red fox")]
+
+
+def test_texts_are_whole_unless_a_length_is_given(spark):
+    log = lines(spark, {"a": "ERROR " + "word " * 100 + "end\n  " + "deep " * 80 + "end"})
+    row = tr.pattern_agg(log).first()
+    assert row["pattern"].endswith("end") and row["sample"].endswith("end")
+    assert len(tr.pattern_agg(log, pattern_chars=10, sample_chars=20).first()["sample"]) == 20
+    assert tr.attach_continuations(log).first()["stack"][0].endswith("end")

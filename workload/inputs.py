@@ -371,7 +371,7 @@ judged AS (
   FROM reqs),
 expanded AS (
   SELECT source, position, id AS req, 'T' || position || '.1' AS "case", 'positive' AS type, 'With a typical valid input, verify: ' || text AS "check",
-    CASE WHEN flag IS NOT NULL THEN 'blocked: the requirement needs a measurable criterion first' ELSE 'requirement holds' END AS expect FROM judged
+    CASE WHEN bool_or(flag IS NOT NULL) OVER (PARTITION BY source, id ORDER BY position) THEN 'blocked: the requirement needs a measurable criterion first' ELSE 'requirement holds' END AS expect FROM judged
   UNION ALL SELECT source, position, id, 'T' || position || '.2', 'negative',
     CASE WHEN inputy THEN 'With empty, malformed or oversized input, verify: ' ELSE 'With the precondition missing, verify: ' END || text,
     'fails cleanly: clear message, nothing half-done' FROM judged WHERE inputy OR NOT guard

@@ -143,7 +143,7 @@ QUERIES = {
         f"{SPECS}, counted AS (SELECT source, count(*) AS cases, count(*) FILTER (type = 'negative') AS negative, count(*) FILTER (type = 'boundary') AS boundary, "
         "count(*) FILTER (type = 'regression') AS regression FROM plan GROUP BY 1), p AS (SELECT source, count(*) AS lines FROM proofs GROUP BY 1) "
         "SELECT source, count(*) AS requirements, any_value(cases) AS cases, any_value(negative) AS negative, any_value(boundary) AS boundary, any_value(regression) AS regression, "
-        "count(flag) AS flagged, CAST(0 AS BIGINT) AS uncovered, count(*) FILTER (proof <> '') + any_value(lines) AS proof_lines FROM judged JOIN counted USING (source) JOIN p USING (source) GROUP BY 1",
+        "count(DISTINCT id) FILTER (flag IS NOT NULL) AS flagged, CAST(0 AS BIGINT) AS uncovered, count(*) FILTER (proof <> '') + any_value(lines) AS proof_lines FROM judged JOIN counted USING (source) JOIN p USING (source) GROUP BY 1",
     ),
     "missing_file": (_on(i.scaffold_files, fc.missing_file), f"{FILES} {SQL_MISSING_FILE}"),
     "overbroad_scope": (_on(i.scaffold_files, fc.overbroad_scope), f"{FILES} {SQL_WIDE}"),

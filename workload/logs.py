@@ -97,19 +97,19 @@ SQL_HEADS = i.SQL_SERVICE + f""", heads AS (
          ELSE 'info' END AS severity, substr(line, 1, 19) AS ts
   FROM (SELECT source, line_no, line, {SQL_NORM} AS pattern FROM lines WHERE trim(line) <> '' AND NOT regexp_matches(line, '^\\s+\\S'))),
 patterns AS (
-  SELECT source, id, count(*) AS "count", min(line_no) AS first_line, arg_min(severity, line_no) AS severity, left(arg_min(pattern, line_no), 200) AS pattern,
-         arg_min(ts, line_no) AS first_ts, arg_max(ts, line_no) AS last_ts, left(arg_min(line, line_no), 220) AS sample
+  SELECT source, id, count(*) AS "count", min(line_no) AS first_line, arg_min(severity, line_no) AS severity, arg_min(pattern, line_no) AS pattern,
+         arg_min(ts, line_no) AS first_ts, arg_max(ts, line_no) AS last_ts, arg_min(trim(line), line_no) AS sample
   FROM heads GROUP BY 1, 2),
 families AS (
   SELECT source, array_to_string(string_split(regexp_replace(pattern, '^<sid> ', ''), ' ')[1:2], ' ') AS family, count(*) AS lines,
          min(line_no) AS first_line, CASE WHEN bool_or(severity = 'error') THEN 'error' ELSE 'warn' END AS severity
   FROM heads WHERE severity <> 'info' GROUP BY 1, 2),
 stacks AS (
-  SELECT source, head AS line_no, list(left(trim(line), 160) ORDER BY line_no) AS stack FROM (
+  SELECT source, head AS line_no, list(trim(line) ORDER BY line_no) AS stack FROM (
     SELECT l.source, l.line_no, l.line, (SELECT max(h.line_no) FROM heads h WHERE h.source = l.source AND h.line_no < l.line_no AND h.line_no >= l.line_no - 3) AS head
     FROM lines l WHERE regexp_matches(l.line, '^\\s+\\S')) JOIN patterns p USING (source) WHERE head = p.first_line GROUP BY 1, 2),
 context AS (
-  SELECT p.source, p.first_line AS line_no, coalesce(list(left(trim(l.line), 160) ORDER BY l.line_no) FILTER (trim(l.line) <> ''), []) AS before
+  SELECT p.source, p.first_line AS line_no, coalesce(list(trim(l.line) ORDER BY l.line_no) FILTER (trim(l.line) <> ''), []) AS before
   FROM patterns p LEFT JOIN lines l ON l.source = p.source AND l.line_no BETWEEN p.first_line - 2 AND p.first_line - 1 GROUP BY 1, 2)"""
 
 

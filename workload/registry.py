@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from workload import items, logs, rows, scores, texts
+from workload import items, logs, readback, rows, scores, texts
 
-FAMILIES = (logs, rows, scores, texts, items)
+FAMILIES = (logs, rows, scores, texts, items, readback)
 QUERIES = {name: fn for family in FAMILIES for name, (fn, _) in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, (_, sql) in family.QUERIES.items() if sql}

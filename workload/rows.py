@@ -216,6 +216,8 @@ QUERIES = {
     ),
     "content_hash": (
         _hashes,
-        "SELECT source, left(sha256(string_agg('d' || doc_id || '.md' || chr(10) || text, '' ORDER BY doc_id)), 16) AS digest FROM documents GROUP BY 1",
+        "WITH files AS (SELECT source, lpad(CAST(doc_id AS VARCHAR), 12, '0') || chr(10) || 'd' || doc_id || '.md' AS place, text FROM documents), "
+        "blocks AS (SELECT source, left(sha256(place), 2) AS block, sha256(string_agg(sha256(place || chr(10) || text), '' ORDER BY place)) AS hash FROM files GROUP BY 1, 2) "
+        "SELECT source, left(sha256(string_agg(hash, '' ORDER BY block)), 16) AS digest FROM blocks GROUP BY 1",
     ),
 }

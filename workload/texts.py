@@ -8,6 +8,7 @@ from sievelight.functions.text import tokenize
 from sievelight.operators import pages as pg
 from sievelight.operators import retrieval as rt
 from sievelight.operators import textaudit as ta
+from sievelight.plans.session import stored
 from sievelight.sources.lines import decode_bytes
 from workload import inputs as i
 
@@ -54,9 +55,11 @@ def _hits(spark, sf_dir):
 
 
 def _expectations(spark, sf_dir):
-    """Each benchmark passage expects the document of its own number."""
-    expected = i.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("item_id").alias("doc"))
-    return rt.rank_eval(_ranked(spark, sf_dir), expected)
+    """Each benchmark passage expects the document of its own number, and one of its three best, so that all places occur."""
+    own = i.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("item_id").alias("doc"))
+    ranked = stored(_ranked(spark, sf_dir))
+    best = ranked.filter(F.col("place") == F.col("query") % 3 + 1).select("query", "doc")
+    return rt.rank_eval(ranked, own.unionByName(best).distinct())
 
 
 def _decoded(spark, sf_dir):
@@ -235,8 +238,9 @@ QUERIES = {
     ),
     "rank_eval": (
         _expectations,
-        f"WITH {SQL_RANKED} SELECT item_id AS query, item_id AS doc, place, coalesce(place = 1, false) AS at_first, NOT coalesce(place = 1, false) AS miss "
-        "FROM benchmark LEFT JOIN ranked ON query = item_id AND doc = item_id",
+        f"WITH {SQL_RANKED} SELECT e.query, e.doc, place, coalesce(place = 1, false) AS at_first, place IS NULL AS miss "
+        "FROM (SELECT item_id AS query, item_id AS doc FROM benchmark UNION SELECT query, doc FROM ranked WHERE place = query % 3 + 1) e "
+        "LEFT JOIN ranked r ON r.query = e.query AND r.doc = e.doc",
     ),
     "index_stats": (
         lambda s, d: rt.index_stats(_index(s, d), i.benchmark_queries(s, d)),
