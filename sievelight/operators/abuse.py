@@ -93,35 +93,46 @@ def template_reuse(lines: DataFrame, n: int = TEMPLATE_LINES, min_buckets: int =
     )
 
 
-def abuse_findings(lines: DataFrame, first_only: bool = True) -> DataFrame:
-    """All five signals with default thresholds. Details carry numbers only, never log text."""
+def _span(window_ms: int) -> str:
+    seconds = window_ms // 1000
+    return f"{seconds // 60}min" if seconds >= 120 and seconds % 60 == 0 else f"{seconds}s"
+
+
+def abuse_findings(
+    lines: DataFrame,
+    first_only: bool = True,
+    rate: tuple[int, int] = (RATE_EVENTS, RATE_WINDOW_MS),
+    rhythm: tuple[int, float] = (RHYTHM_GAPS, RHYTHM_CV),
+    template: tuple[int, int] = (TEMPLATE_LINES, TEMPLATE_MINUTES),
+    auth: tuple[int, int] = (AUTH_LINES, AUTH_WINDOW_MS),
+    sweep: tuple[int, int] = (SWEEP_IDS, SWEEP_WINDOW_MS),
+) -> DataFrame:
+    """All five signals, each with its two thresholds. Details carry numbers only, never log text."""
     row = F.col("row")
     parts = [
         as_findings(
-            rate_burst(lines),
+            rate_burst(lines, *rate),
             "rate-burst",
-            text("line ", row, " starts a 60s window with ", F.col("events"), " timestamped lines"),
+            text("line ", row, f" starts a {_span(rate[1])} window with ", F.col("events"), " timestamped lines"),
             row,
         ),
+        as_findings(machine_rhythm(lines, *rhythm), "machine-rhythm", text("line ", row, f" starts {rhythm[0]} even gaps"), row),
         as_findings(
-            machine_rhythm(lines), "machine-rhythm", text("line ", row, f" starts {RHYTHM_GAPS} even gaps"), row
-        ),
-        as_findings(
-            template_reuse(lines),
+            template_reuse(lines, *template),
             "template-reuse",
             text("line ", row, " shape repeats ", F.col("lines"), " times across ", F.col("minutes"), " minutes"),
             row,
         ),
         as_findings(
-            auth_burst(lines),
+            auth_burst(lines, *auth),
             "auth-burst",
-            text("line ", row, " starts a 5min window with ", F.col("events"), " denied lines"),
+            text("line ", row, f" starts a {_span(auth[1])} window with ", F.col("events"), " denied lines"),
             row,
         ),
         as_findings(
-            id_sweep(lines),
+            id_sweep(lines, *sweep),
             "sweep",
-            text("line ", row, " starts a 2min window with ", F.col("ids"), " distinct id tokens"),
+            text("line ", row, f" starts a {_span(sweep[1])} window with ", F.col("ids"), " distinct id tokens"),
             row,
         ),
     ]

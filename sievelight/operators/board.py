@@ -51,6 +51,6 @@ def board_status(items: DataFrame, rules: Mapping[str, str] = STATUS_RULES) -> D
     return from_hits(items, hits(*_status_checks(rules)))
 
 
-def board_findings(items: DataFrame) -> DataFrame:
+def board_findings(items: DataFrame, rules: Mapping[str, str] = STATUS_RULES) -> DataFrame:
     """All six checks in one scan."""
-    return from_hits(items, hits(*_proof_checks(), *_owner_checks(), *_status_checks(STATUS_RULES)))
+    return from_hits(items, hits(*_proof_checks(), *_owner_checks(), *_status_checks(rules)))

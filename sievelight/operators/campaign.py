@@ -116,7 +116,9 @@ def scoreboard_join(visits: DataFrame, sales: DataFrame, campaigns: DataFrame) -
     )
 
 
-def campaign_findings(campaigns: DataFrame, posts: DataFrame, include_text: bool = False) -> DataFrame:
+def campaign_findings(
+    campaigns: DataFrame, posts: DataFrame, include_text: bool = False, required: Sequence[str] = UTM3
+) -> DataFrame:
     """All four checks over campaign files and posts."""
     links = extract_links(posts)
     texts = posts.unionByName(
@@ -126,7 +128,7 @@ def campaign_findings(campaigns: DataFrame, posts: DataFrame, include_text: bool
         [
             campaign_fields(campaigns),
             bad_utm(links, include_text),
-            missing_utm(links, include_text=include_text),
+            missing_utm(links, required, include_text),
             pii_scan(lines_of_files(texts)),
         ]
     )

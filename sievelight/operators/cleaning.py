@@ -186,15 +186,17 @@ def dataset_findings(
     check_email: bool = True,
     check_age: bool = True,
     check_pay: bool = False,
+    age_range: tuple[float | None, float | None] = AGE_RANGE,
+    pay_fields: Sequence[str] = PAY_FIELDS,
 ) -> DataFrame:
     """All checks, those within a row in one scan. Details name row numbers and fields, never values."""
     checks = _missing_checks(df, required)
     if check_email:
         checks += _email_checks(df, "email")
     if check_age:
-        checks += _range_checks(df, "age", *AGE_RANGE)
+        checks += _range_checks(df, "age", *age_range)
     if check_pay:
-        checks += _nested_checks(df, PAY_FIELDS, 0)
+        checks += _nested_checks(df, pay_fields, 0)
     return union_findings([from_hits(df, hits(*checks)), exact_dupe(df), near_dupe(df)])
 
 

@@ -84,7 +84,14 @@ def missing_section(lines: DataFrame, trigger: str = RUNBOOK, required: Sequence
     return as_findings(missing, "missing-section", text("runbook is missing a ", F.col("section"), " section"), key=F.col("section"))
 
 
-def text_findings(lines: DataFrame, include_text: bool = False) -> DataFrame:
+def text_findings(
+    lines: DataFrame,
+    include_text: bool = False,
+    phrases: Sequence[str] = JARGON,
+    limit: int = LONG_LINE,
+    trigger: str = RUNBOOK,
+    required: Sequence[str] = SECTIONS,
+) -> DataFrame:
     """All three checks; the two within a line share a scan."""
-    in_line = F.concat(_jargon_hits(JARGON, include_text), _long_hits(LONG_LINE))
-    return union_findings([from_hits(lines, in_line), missing_section(lines)])
+    in_line = F.concat(_jargon_hits(phrases, include_text), _long_hits(limit))
+    return union_findings([from_hits(lines, in_line), missing_section(lines, trigger, required)])

@@ -66,13 +66,15 @@ def sql_template(n: int, minutes: int) -> str:
     )
 
 
+# Thresholds at which every signal occurs in these logs.
+LOUD = {"rate": (4, HALF_HOUR), "rhythm": (8, 0.4), "template": (5, 2), "auth": (3, HALF_HOUR), "sweep": (6, HALF_HOUR)}
 SQL_ABUSE = (
     f"WITH {i.SQL_ACCESS}, {SQL_TOKENS}, found AS ("
-    f"SELECT source, 'rate-burst' AS kind, \"row\", 'line ' || \"row\" || ' starts a 60s window with ' || events || ' timestamped lines' AS detail FROM ({sql_burst(12, 60000)}) "
-    f"UNION ALL SELECT source, 'machine-rhythm', \"row\", 'line ' || \"row\" || ' starts 8 even gaps' FROM ({sql_rhythm(0.15)}) "
+    f"SELECT source, 'rate-burst' AS kind, \"row\", 'line ' || \"row\" || ' starts a 30min window with ' || events || ' timestamped lines' AS detail FROM ({sql_burst(4, HALF_HOUR)}) "
+    f"UNION ALL SELECT source, 'machine-rhythm', \"row\", 'line ' || \"row\" || ' starts 8 even gaps' FROM ({sql_rhythm(0.4)}) "
     f"UNION ALL SELECT source, 'template-reuse', \"row\", 'line ' || \"row\" || ' shape repeats ' || lines || ' times across ' || minutes || ' minutes' FROM ({sql_template(5, 2)}) "
-    f"UNION ALL SELECT source, 'auth-burst', \"row\", 'line ' || \"row\" || ' starts a 5min window with ' || events || ' denied lines' FROM ({sql_burst(4, 300000, DENIED_LINES)}) "
-    f"UNION ALL SELECT source, 'sweep', \"row\", 'line ' || \"row\" || ' starts a 2min window with ' || ids || ' distinct id tokens' FROM ({sql_sweep(8, 120000)})), "
+    f"UNION ALL SELECT source, 'auth-burst', \"row\", 'line ' || \"row\" || ' starts a 30min window with ' || events || ' denied lines' FROM ({sql_burst(3, HALF_HOUR, DENIED_LINES)}) "
+    f"UNION ALL SELECT source, 'sweep', \"row\", 'line ' || \"row\" || ' starts a 30min window with ' || ids || ' distinct id tokens' FROM ({sql_sweep(6, HALF_HOUR)})), "
     'firsts AS (SELECT source, kind, min("row") AS "row", arg_min(detail, "row") AS detail FROM found GROUP BY 1, 2) '
 )
 
@@ -174,11 +176,11 @@ QUERIES = {
     "auth_burst": (_abuse(abuse.auth_burst, n=3, window_ms=HALF_HOUR), f"WITH {i.SQL_ACCESS} {sql_burst(3, HALF_HOUR, DENIED_LINES)}"),
     "id_sweep": (_abuse(abuse.id_sweep, n=6, window_ms=HALF_HOUR), f"WITH {i.SQL_ACCESS}, {SQL_TOKENS} {sql_sweep(6, HALF_HOUR)}"),
     "abuse_findings": (
-        lambda s, d: abuse.abuse_findings(stored(i.access_lines(s, d))).drop("key"),
+        lambda s, d: abuse.abuse_findings(stored(i.access_lines(s, d)), **LOUD).drop("key"),
         SQL_ABUSE + "SELECT source, kind, \"row\", detail FROM firsts",
     ),
     "abuse_findings_all": (
-        lambda s, d: abuse.abuse_findings(stored(i.access_lines(s, d)), first_only=False).drop("key"),
+        lambda s, d: abuse.abuse_findings(stored(i.access_lines(s, d)), first_only=False, **LOUD).drop("key"),
         SQL_ABUSE + 'SELECT source, kind, "row", detail FROM found',
     ),
     "scan_totals": (
@@ -186,11 +188,11 @@ QUERIES = {
         f"WITH {i.SQL_ACCESS} SELECT source, count(*) AS rows, count(ts_ms) AS events FROM lines GROUP BY 1",
     ),
     "kinds": (
-        lambda s, d: _joined(kinds(abuse.abuse_findings(stored(i.access_lines(s, d)))), "kinds"),
+        lambda s, d: _joined(kinds(abuse.abuse_findings(stored(i.access_lines(s, d)), **LOUD)), "kinds"),
         SQL_ABUSE + "SELECT source, array_to_string(list(kind ORDER BY kind), ' / ') AS kinds FROM firsts GROUP BY 1",
     ),
     "by_kind": (
-        lambda s, d: by_kind(abuse.abuse_findings(stored(i.access_lines(s, d)), first_only=False)),
+        lambda s, d: by_kind(abuse.abuse_findings(stored(i.access_lines(s, d)), first_only=False, **LOUD)),
         SQL_ABUSE + "SELECT source, kind, count(*) AS findings FROM found GROUP BY 1, 2",
     ),
     "normalize_line": (
