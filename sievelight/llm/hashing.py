@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a task works on at a time, whatever the size of its Arrow batches.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)

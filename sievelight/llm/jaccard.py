@@ -20,9 +20,12 @@ ORDER_BITS = 17
 SUFFIX_CLASSES = 128
 
 #: Rounds that link documents to a few partners each, so that few pairs are left between components.
-ROUNDS = 2
+ROUNDS = 3
 GROUP = 8
 
+#: Shared n-grams that fit a broadcast, at 8 bytes each; more of them meet the rows in a shuffle join.
+KEYS = 4_000_000
+
 
 def _ceil(value: str, by: str) -> str:
     return f"(({value}) + {by} - 1) div {by}"
@@ -68,27 +71,38 @@ def _facts(docs: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFram
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """`doc, grams, classes`: the whole set and its counts by class, null where a count could pass 16 bits."""
+    """`doc, grams`: whole sets."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = list(shingle_sets(utf8(batch.column("text")), n))
-            kinds = [np.bincount((g % np.uint64(SUFFIX_CLASSES)).astype(np.int64), minlength=SUFFIX_CLASSES) for g in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array([g.tobytes() for g in sets], pa.binary()), pa.array([k.astype(np.uint16).tobytes() if k.max() < 1 << 16 else None for k in kinds], pa.binary())],
-                ["doc", "grams", "classes"],
-            )
+            sets = [g.tobytes() for g in shingle_sets(utf8(batch.column("text")), n)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sets, pa.binary())], ["doc", "grams"])
+
+    return docs.select("doc", "text").mapInArrow(make, "doc long, grams binary")
+
+
+def _classes(docs: DataFrame, n: int) -> DataFrame:
+    """`doc, classes`: counts of a set by class, null where a count could pass 16 bits."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            kinds = [
+                np.bincount((g % np.uint64(SUFFIX_CLASSES)).astype(np.int64), minlength=SUFFIX_CLASSES)
+                for g in shingle_sets(utf8(batch.column("text")), n)
+            ]
+            packed = [k.astype(np.uint16).tobytes() if k.max() < 1 << 16 else None for k in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(packed, pa.binary())], ["doc", "classes"])
 
-    return docs.select("doc", "text").mapInArrow(make, "doc long, grams binary, classes binary")
+    return docs.select("doc", "text").mapInArrow(make, "doc long, classes binary")
 
 
-def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+def _both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("doc").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+        pairs = pairs.join(of.select(F.col("doc").alias(side), F.col(column).alias(f"{column}_{side}")), side)
     return pairs.select("a", "b", f"{column}_a", f"{column}_b")
 
 
-def suffix_filter(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose class counts allow the overlap they need: it is at most the sum of the lesser counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,15 +113,15 @@ def suffix_filter(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(unknown | (100 * most >= percent * (total - most)))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    return _both(pairs, sets, "classes").mapInArrow(run, "a long, b long")
+    return _both(pairs, classes, "classes").mapInArrow(run, "a long, b long")
 
 
 def pc_null(column: pa.Array) -> np.ndarray:
     return column.is_null().to_numpy(zero_copy_only=False)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets meet the threshold: 100 * common >= percent * all."""
+def verified(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """Pairs whose sets meet the threshold: 100 * common >= percent * all. Only sets of documents in a pair are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "grams_a", "grams_b"):
@@ -119,7 +133,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    return _both(pairs, sets, "grams").mapInArrow(run, "a long, b long")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+    sets = stored(_sets(docs.join(broadcast_if_small(wanted), "doc", "left_semi"), n).dropDuplicates(["doc"]))
+    return stored(_both(pairs, sets, "grams").mapInArrow(run, "a long, b long"))
 
 
 def _later(x: str, y: str) -> Column:
@@ -187,21 +203,21 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, key: str
     rows = facts.join(firsts, ["set_key", "doc"], "left_semi").select("doc", "size", F.posexplode("prefix").alias("pos", "h"))
     rows = rows.withColumn("pos", F.col("pos").cast("long")).withColumn("early", F.expr(f"pos < {short}"))
     held = rows.groupBy("h").agg(F.count("*").alias("c"), F.max("early").alias("e")).filter("c > 1 AND e")
-    shared = stored(rows.join(held.select("h"), "h", "left_semi"))
+    shared = stored(rows.join(broadcast_if_small(stored(held.select("h")), KEYS), "h", "left_semi"))
 
     wanted = stored(shared.groupBy("doc").agg(F.count("*").alias("share")))
-    sets = stored(_sets(docs.join(broadcast_if_small(wanted.select("doc")), "doc", "left_semi"), n)).dropDuplicates(["doc"])
+    classes = stored(_classes(docs.join(broadcast_if_small(wanted.select("doc")), "doc", "left_semi"), n).dropDuplicates(["doc"]))
     alone = shared.withColumn("comp", F.col("doc")).join(wanted, "doc")
     band = F.floor(F.log("size") / F.log(F.lit(100 / percent)))
     tested = stored(_to_pivots(alone, [band], -F.col("share"), percent))
-    links = stored(verified(tested, sets, percent))
+    links = verified(tested, docs, percent, n)
     comps = _merged(shared, None, links)
     for turn in range(ROUNDS):
         placed = shared.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         some = F.pmod(F.xxhash64("doc", F.lit(turn)), F.greatest(F.lit(1).cast("long"), F.expr(f"n_rows div {GROUP}")))
         pairs = _to_pivots(_mixed(placed), [band, some], F.xxhash64("doc", F.lit(turn), F.lit(1)), percent)
-        pairs = stored(suffix_filter(pairs.join(tested, ["a", "b"], "left_anti"), sets, percent))
-        links = stored(verified(pairs, sets, percent))
+        pairs = stored(suffix_filter(pairs.join(tested, ["a", "b"], "left_anti"), classes, percent))
+        links = verified(pairs, docs, percent, n)
         tested = tested.unionByName(pairs)
         comps = _merged(shared, comps, links)
     placed = shared.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
@@ -209,8 +225,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, key: str
     x, y = placed.filter("early").alias("x"), placed.alias("y")
     met = x.join(y, F.expr("x.h = y.h AND x.comp != y.comp") & _later("x", "y") & _fits("x", "y", percent))
     pairs = met.select(F.expr("least(x.doc, y.doc)").alias("a"), F.expr("greatest(x.doc, y.doc)").alias("b")).distinct()
-    pairs = stored(suffix_filter(pairs.join(tested, ["a", "b"], "left_anti"), sets, percent))
-    comps = _merged(shared, comps, stored(verified(pairs, sets, percent)))
+    pairs = stored(suffix_filter(pairs.join(tested, ["a", "b"], "left_anti"), classes, percent))
+    comps = _merged(shared, comps, verified(pairs, docs, percent, n))
 
     classes = firsts.join(comps, "doc", "left").select("set_key", F.coalesce("comp", "doc").alias("component_id"))
     named = facts.select("doc", "size", "set_key").join(classes, "set_key", "left")
