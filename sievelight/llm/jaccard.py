@@ -157,6 +157,28 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(spans.filter("lo < hi").select("h", "n_rows"), "h")
 
 
+def _common(rows: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """`doc, common`: how many n-grams of a document also occur in another component, of all documents in `rows`.
+
+    No partner from another component can share more, so documents whose own edits are many are known to have none
+    before any pair is made. The work is one row per n-gram of these documents.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [g.view(np.int64) for g in shingle_sets(utf8(batch.column("text")), n)]
+            sizes = [len(g) for g in sets]
+            ids, comps = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("doc", "comp"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(comps), pa.array(np.concatenate(sets))], ["doc", "comp", "h"])
+
+    members = stored(rows.select("doc", "comp").distinct())
+    grams = docs.join(broadcast_if_small(members), "doc").select("doc", "text", "comp")
+    grams = stored(grams.mapInArrow(make, "doc long, comp long, h long"))
+    spans = grams.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
+    met = grams.join(broadcast_if_small(stored(spans), KEYS), "h", "left_semi")
+    return met.distinct().groupBy("doc").agg(F.count("*").alias("common"))
+
+
 def _to_pivots(rows: DataFrame, group: list[Column], first: Column, percent: int) -> DataFrame:
     """One pair per row at most: with the pivot of its group, which is the row with the least `first`."""
     rows = rows.withColumns({f"g{k}": g for k, g in enumerate(group)})
@@ -188,7 +210,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, key: str
     one. Documents first meet one partner per shared n-gram: the one that shares most, then, in a few rounds, one of a
     random group of eight. What those pairs connect is one component; last, every pair left that shares a prefix n-gram
     and lies in two components goes through all filters and is verified. So a group of thousands of near copies is
-    connected by few pairs, and no link between components is lost.
+    connected by few pairs, and no link between components is lost. Before that last join, a document's n-grams that any
+    other component has are counted: no partner there can share more.
 
     A null or empty text, or one of blanks only, has no n-grams and is its own component; fewer than `n` words are one
     n-gram. Rows that share an id share a component. Other columns don't matter.
@@ -222,8 +245,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, key: str
         comps = _merged(shared, comps, links)
     placed = shared.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     placed = stored(_mixed(placed))
+    placed = placed.join(_common(placed, docs, n), "doc").filter(f"100 * common >= {percent} * size")
     x, y = placed.filter("early").alias("x"), placed.alias("y")
-    met = x.join(y, F.expr("x.h = y.h AND x.comp != y.comp") & _later("x", "y") & _fits("x", "y", percent))
+    enough = F.expr(f"least(x.common, y.common) >= {_ceil(f'{percent} * (x.size + y.size)', str(100 + percent))}")
+    met = x.join(y, F.expr("x.h = y.h AND x.comp != y.comp") & _later("x", "y") & _fits("x", "y", percent) & enough)
     pairs = met.select(F.expr("least(x.doc, y.doc)").alias("a"), F.expr("greatest(x.doc, y.doc)").alias("b")).distinct()
     pairs = stored(suffix_filter(pairs.join(tested, ["a", "b"], "left_anti"), classes, percent))
     comps = _merged(shared, comps, verified(pairs, docs, percent, n))
