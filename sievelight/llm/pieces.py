@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import heapq
-import re
+import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from sievelight.llm.hashing import mix
+from sievelight.llm.hashing import mix, slices
 from sievelight.plans.session import stored
 
 SPACE = "▁"
@@ -24,7 +25,7 @@ UNKNOWN = -1
 #: Commonest stretches whose encodings every task holds; all others meet theirs in a join.
 HOT_WORDS = 300_000
 
-#: Distinct words that a task remembers before it starts anew.
+#: Distinct stretches that a task counts before it hands them on.
 REMEMBERED = 300_000
 
 #: Characters of a stretch that goes through the table; a longer one is encoded where it stands.
@@ -70,23 +71,35 @@ def load_model(path: str) -> PieceModel:
     )
 
 
-_BLANKS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-
-
-def words_of(text: str, model: PieceModel) -> list[str]:
-    """Blanks with what follows them. Joined together, the text with each blank written as U+2581, after the model's prefix."""
-    if not text:
-        return []
-    text = (" " if model.prefix else "") + text
-    if SPACE in text or "  " in text or not model.prefix or text[-1] == " ":
-        return _BLANKS.findall(text.replace(" ", SPACE))
-    return [SPACE + w for w in text[1:].split(" ")]
+class Cutter:
+    """Cuts texts between characters that are neighbours in no piece, so that no piece crosses a cut.
 
+    Joined together, the stretches of a text are the text with each blank written as U+2581, after the model's prefix.
+    """
 
-def stretches_of(word: str, model: PieceModel) -> list[str]:
-    """The word cut between characters that are neighbours in no piece, so no piece crosses a cut."""
-    cuts = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in model.joined), len(word)]
-    return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+    def __init__(self, model: PieceModel):
+        letters = sorted(set("".join(model.joined)))
+        self.prefix = SPACE if model.prefix else ""
+        self.code = np.zeros(sys.maxunicode + 1, np.uint16)
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        self.joined = np.zeros(self.width * self.width, bool)
+        self.joined[[int(self.code[ord(a)]) * self.width + int(self.code[ord(b)]) for a, b in model.joined]] = True
+
+    def cut(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """All stretches of all texts, and where each text's begin; a null or empty text has none."""
+        written = [self.prefix + t.replace(" ", SPACE) if t else "" for t in texts]
+        whole = "".join(written)
+        starts = np.cumsum([0, *map(len, written)])
+        if not whole:
+            return [], np.zeros(len(texts) + 1, np.int64)
+        code = self.code[np.frombuffer(whole.encode("utf-32-le"), np.uint32)].astype(np.int32)
+        cuts = np.ones(len(whole), bool)
+        cuts[1:] = ~self.joined[code[:-1] * self.width + code[1:]]
+        cuts[starts[:-1][starts[:-1] < len(whole)]] = True
+        at = np.flatnonzero(cuts)
+        ends = [*at[1:].tolist(), len(whole)]
+        return [whole[a:b] for a, b in zip(at.tolist(), ends)], np.searchsorted(at, starts)
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -96,26 +109,22 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 def stretch_counts(docs: DataFrame, model: PieceModel) -> DataFrame:
     """`word, n` of all stretches of up to LONG characters of `docs` (doc_id, text).
 
-    Tasks count first and hand on what they have counted; what they remember of words is bounded.
+    Tasks count first and hand on what they have counted, at the latest when they remember REMEMBERED stretches.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+        seen: Counter = Counter()
+        cutter = Cutter(model)
 
         def counted() -> pa.RecordBatch:
-            seen: Counter = Counter()
-            for word, n in words.items():
-                for s in stretches_of(word, model):
-                    if len(s) <= LONG:
-                        seen[s] += n
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words.update(words_of(text or "", model))
-                if len(words) > REMEMBERED:
-                    yield counted()
+            short = [(s, n) for s, n in seen.items() if len(s) <= LONG]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
+
+        for batch in slices(batches, "text", limit=2 << 20):
+            seen.update(cutter.cut(batch.column("text").to_pylist())[0])
+            if len(seen) > REMEMBERED:
+                yield counted()
         yield counted()
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -182,18 +191,6 @@ def merged_spans(size: int, edges: dict[tuple[int, int], float]) -> list[tuple[i
     return out
 
 
-def _fold_merges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of each stretch from the edges that were grouped for it."""
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("id", pa.int32())]))
-    for batch in batches:
-        out = []
-        for word, edges in zip(batch.column("word").to_pylist(), batch.column("edges").to_pylist(), strict=True):
-            ids = {(e["start"], e["end"]): e["id"] for e in edges}
-            wide = {(e["start"], e["end"]): e["score"] for e in edges if e["end"] - e["start"] > 1}
-            out.append([{"start": a, "end": b, "id": ids[a, b]} for a, b in merged_spans(len(word), wide)])
-        yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(out, kind)], ["word", "n", "spans"])
-
-
 def best_spans(size: int, edges: dict[tuple[int, int], float], longest: int, unknown: float) -> list[tuple[int, int]]:
     """The path of the greatest sum of scores, one character without an edge costing `unknown`; of equals, the longer last piece."""
     best, back = [0.0] + [0.0] * size, [0] * (size + 1)
@@ -207,21 +204,43 @@ def best_spans(size: int, edges: dict[tuple[int, int], float], longest: int, unk
     return out[::-1]
 
 
-def encode_long(word: str, model: PieceModel, table: dict[str, tuple[int, float]]) -> list[int]:
-    """Ids of one stretch of more than LONG characters, which is no table row: its own lattice, folded where it stands."""
-    near = range(1, model.longest + 1)
-    edges = {(a, a + n): table[word[a : a + n]][1] for a in range(len(word)) for n in near if a + n <= len(word) and word[a : a + n] in table}
-    if model.kind == "bpe":
-        spans = merged_spans(len(word), {k: v for k, v in edges.items() if k[1] - k[0] > 1})
-    else:
-        spans = best_spans(len(word), edges, model.longest, model.unknown_score)
-    out: list[int] = []
-    for a, b in spans:
-        if word[a:b] in table:
-            out.append(table[word[a:b]][0])
+class Lattice:
+    """The edges of stretches over the piece table, and their fold: for BPE models, and for stretches too long to be rows."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        self.table = {p: (k, s) for k, p, s in model.pieces}
+        self.heads = {p[:k] for p in self.table for k in range(2, len(p))}
+
+    def edges(self, word: str) -> dict[tuple[int, int], float]:
+        """Scores of all pieces of two characters and more, by the places that they span."""
+        out, size, longest = {}, len(word), self.model.longest
+        for a in range(size - 1):
+            for b in range(a + 2, min(a + longest, size) + 1):
+                piece = word[a:b]
+                found = self.table.get(piece)
+                if found is not None:
+                    out[a, b] = found[1]
+                if piece not in self.heads:
+                    break
+        return out
+
+    def encode(self, word: str) -> list[int]:
+        """Ids of the fold's spans; a character without a piece is its UTF-8 bytes, or the unknown id."""
+        model, edges = self.model, self.edges(word)
+        if model.kind == "bpe":
+            spans = merged_spans(len(word), edges)
         else:
-            out += [model.byte_ids[x] for x in word[a:b].encode()] if model.byte_ids else [model.unknown_id]
-    return out
+            edges |= {(k, k + 1): self.table[c][1] for k, c in enumerate(word) if c in self.table}
+            spans = best_spans(len(word), edges, model.longest, model.unknown_score)
+        out: list[int] = []
+        for a, b in spans:
+            found = self.table.get(word[a:b])
+            if found is not None:
+                out.append(found[0])
+            else:
+                out += [model.byte_ids[x] for x in word[a:b].encode()] if model.byte_ids else [model.unknown_id]
+        return out
 
 
 def _ids(word: Column, spans: Column, model: PieceModel) -> Column:
@@ -241,14 +260,25 @@ def _ids(word: Column, spans: Column, model: PieceModel) -> Column:
 def encode_stretches(words: DataFrame, model: PieceModel) -> DataFrame:
     """`word, n, ids` for a table of distinct stretches with counts.
 
-    Every substring of up to the longest piece's length meets the piece table, which is as large as the model's
-    vocabulary and is broadcast. Edges stay in the partition of their stretch, where they are grouped, so nothing moves.
-    A single character always has an edge. The fold is Viterbi, a Spark aggregate, for unigram models. BPE models score
-    pieces by rank, and their encoding is that of merges in the order of rank; their edges are folded by `merged_spans`.
+    For unigram models the lattice is a table: every substring of up to the longest piece's length meets the piece
+    table, which is as large as the model's vocabulary and is broadcast; edges stay in the partition of their stretch,
+    where they are grouped, so nothing moves; a single character always has an edge; and Viterbi is a Spark aggregate.
+
+    BPE models score pieces by rank and mean merges in the order of rank, which is another fold: the best path is not
+    what they encode to. Its state changes in the middle, which costs a Spark aggregate ten times as much, so stretches
+    of BPE models are looked up and folded in their tasks, in Arrow batches.
     """
-    spark = words.sparkSession
+    if model.kind == "bpe":
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lattice = Lattice(model)
+            for batch in batches:
+                ids = [lattice.encode(w) for w in batch.column("word").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+
+        return words.filter("word != ''").select("word", "n").mapInArrow(fold, "word string, n long, ids array<int>")
     schema = "piece string, id int, score double"
-    table = spark.createDataFrame([(p, k, float(s)) for k, p, s in model.pieces], schema)
+    table = words.sparkSession.createDataFrame([(p, k, float(s)) for k, p, s in model.pieces], schema)
     length = F.length("word")
     starts = F.sequence(F.lit(0), length - 1)
 
@@ -260,12 +290,7 @@ def encode_stretches(words: DataFrame, model: PieceModel) -> DataFrame:
     met = cut.join(F.broadcast(table), "piece", "left").filter("id IS NOT NULL OR end - start = 1")
     edge = F.struct("end", "start", F.coalesce("id", F.lit(UNKNOWN)).alias("id"), F.coalesce("score", F.lit(model.unknown_score)).alias("score"))
     lattice = met.groupBy("word").agg(F.max("n").alias("n"), F.collect_list(edge).alias("edges"))
-    if model.kind == "bpe":
-        kind = "word string, n long, spans array<struct<start:int,end:int,id:int>>"
-        lattice, spans = lattice.mapInArrow(_fold_merges, kind), F.col("spans")
-    else:
-        spans = _viterbi(F.col("edges"), length)
-    return lattice.select("word", "n", _ids(F.col("word"), spans, model).alias("ids"))
+    return lattice.select("word", "n", _ids(F.col("word"), _viterbi(F.col("edges"), length), model).alias("ids"))
 
 
 def encoded_segments(docs: DataFrame, dictionary: DataFrame, model: PieceModel, key: str = "doc_id", text: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
@@ -278,57 +303,52 @@ def encoded_segments(docs: DataFrame, dictionary: DataFrame, model: PieceModel,
     """
     docs = _texts(docs, key, text)
     hot = dictionary.orderBy(F.col("n").desc(), "word").limit(hot_words).select("word", "ids").toArrow()
-    hot = docs.sparkSession.sparkContext.broadcast(dict(zip(hot.column("word").to_pylist(), map(tuple, hot.column("ids").to_pylist()), strict=True)))
+    ids = hot.column("ids").combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    hot = docs.sparkSession.sparkContext.broadcast((hot.column("word").to_pylist(), ends, ids.flatten().to_numpy()))
 
     def segments(common: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = {p: (k, s) for k, p, s in model.pieces}
-            at_hand = hot.value
-            known: dict[str, list | tuple] = {}
-
-            def parts(word: str) -> list | tuple:
-                """Ids where all of the word is at hand, else a tuple of ids and of stretches that are not."""
-                out: list = []
-                for s in stretches_of(word, model):
-                    ids = encode_long(s, model, table) if len(s) > LONG else at_hand.get(s)
-                    if ids is None:
-                        out.append(s)
-                    elif out and isinstance(out[-1], list):
-                        out[-1] += ids
-                    else:
-                        out.append(list(ids))
-                return out[0] if len(out) == 1 and isinstance(out[0], list) else tuple(out)
-
-            for batch in batches:
-                out: tuple[list, list, list] = ([], [], [])
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    at, ids = 0, []
-                    for word in words_of(text or "", model):
-                        found = known.get(word)
-                        if found is None:
-                            if len(known) > REMEMBERED:
-                                known.clear()
-                            found = known[word] = parts(word)
-                        if found.__class__ is list:
-                            ids += found
-                            continue
-                        for part in found:
-                            if part.__class__ is list:
-                                ids += part
-                                continue
-                            if ids:
-                                if common:
-                                    _put(out, doc, at, ids)
-                                at, ids = at + 1, []
-                            if not common:
-                                _put(out, doc, at, part)
-                            at += 1
-                    if ids and common:
-                        _put(out, doc, at, ids)
-                    if len(out[0]) > 20_000:
-                        yield _batch(out, common)
-                        out = ([], [], [])
-                yield _batch(out, common)
+            lattice = Lattice(model)
+            words, ends, flat = hot.value
+            place = {w: k for k, w in enumerate(words)}
+            cutter = Cutter(model)
+            for batch in slices(batches, "text", limit=2 << 20):
+                found, first = cutter.cut(batch.column("text").to_pylist())
+                at = np.fromiter((place.get(s, -1) for s in found), np.int64, len(found))
+                # Stretches too long for the table are encoded here and count as being at hand.
+                long_ = [k for k in np.flatnonzero(at < 0).tolist() if len(found[k]) > LONG]
+                own = [np.array(lattice.encode(found[k]), flat.dtype) for k in long_]
+                bounds, all_ids = ends, flat
+                if own:
+                    at[long_] = len(ends) - 1 + np.arange(len(own))
+                    bounds = np.concatenate([ends, ends[-1] + np.cumsum([len(x) for x in own])])
+                    all_ids = np.concatenate([flat, *own])
+                doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                rare = at < 0
+                # A segment begins at a document's first stretch, at a rare one, and after one.
+                begins = rare.copy()
+                begins[1:] |= rare[:-1] | (doc[1:] != doc[:-1])
+                begins[:1] = True
+                number = np.cumsum(begins) - 1
+                head = np.flatnonzero(begins)
+                first_of = np.full(len(first), len(head))
+                np.minimum.at(first_of, doc[head], np.arange(len(head)))
+                segment = np.arange(len(head)) - first_of[doc[head]]
+                names = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                if common:
+                    kept = np.flatnonzero(~rare)
+                    sizes = (bounds[1:] - bounds[:-1])[at[kept]]
+                    total = np.cumsum(sizes)
+                    where = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - sizes, sizes) + np.repeat(bounds[at[kept]], sizes)
+                    runs = np.flatnonzero(~rare[head])
+                    per_run = np.bincount(number[kept], sizes, len(head))[runs].astype(np.int64)
+                    value = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_run)]).astype(np.int32)), pa.array(all_ids[where].astype(np.int32)))
+                else:
+                    runs = np.flatnonzero(rare[head])
+                    value = pa.array([found[k] for k in head[runs].tolist()], pa.string())
+                columns = [pa.array(names[doc[head[runs]]]), pa.array(segment[runs].astype(np.int64)), value]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "segment", "ids" if common else "word"])
 
         return run
 
@@ -337,16 +357,6 @@ def encoded_segments(docs: DataFrame, dictionary: DataFrame, model: PieceModel,
     return runs.unionByName(rare.join(dictionary.select("word", "ids"), "word").drop("word"))
 
 
-def _put(out: tuple[list, list, list], *values) -> None:
-    for column, value in zip(out, values, strict=True):
-        column.append(value)
-
-
-def _batch(out: tuple[list, list, list], common: bool) -> pa.RecordBatch:
-    last = pa.array(out[2], pa.list_(pa.int32()) if common else pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), last], ["doc_id", "segment", "ids" if common else "word"])
-
-
 def build_dictionary(docs: DataFrame, model: PieceModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`word, n, ids` for every distinct stretch of the documents, in a table in the shared folder."""
     return stored(encode_stretches(stretch_counts(_texts(docs, key, text), model), model))
