@@ -224,4 +224,9 @@ def suffix_dedup(
 
     schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)) + ", kept string" * with_text
     schema += "".join(f", `{c}` {kind}" for c, kind in extra.items())
-    return docs.join(ranges, "doc", "left").select("doc", "text", "ranges", *extra).mapInArrow(make, schema)
+    # Only texts that lose something move to where their ranges are.
+    ranges = stored(ranges)
+    touched = broadcast_if_small(ranges.select("doc"))
+    met = docs.join(touched, "doc", "left_semi").join(ranges, "doc").select("doc", "text", "ranges", *extra)
+    rest_ = docs.join(touched, "doc", "left_anti").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
+    return met.unionByName(rest_.select("doc", "text", "ranges", *extra)).mapInArrow(make, schema)
