@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, with its number of pieces, a digest of their ids, and whether they decode to as many characters."""
+    """What is left, with its number of pieces, a digest of their ids, and whether the text that they decode to is the document's."""
     model = load_model(PIECE_MODEL)
     encoded = document_digests(docs, encoded_segments(docs, build_dictionary(docs, model), model), model)
     return encoded.select("doc_id", "n_tokens", "n_decoded", "ids_digest", "whole")

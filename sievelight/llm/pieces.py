@@ -408,37 +408,58 @@ def decode_documents(encoded: DataFrame, model: PieceModel) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def _in_parts(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch of segments in pieces of at most `limit` ids; a longer segment is a piece of its own."""
+    sizes = np.diff(batch.column("ids").offsets.to_numpy())
+    start = total = 0
+    for at, size in enumerate(sizes.tolist()):
+        if at > start and total + size > limit:
+            yield batch.slice(start, at - start)
+            start, total = at, 0
+        total += size
+    if len(sizes) > start:
+        yield batch.slice(start)
+
+
 def document_digests(docs: DataFrame, segments: DataFrame, model: PieceModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id, n_tokens, n_decoded, ids_digest, whole`, one row per document.
 
-    n_decoded counts the characters that the ids decode to, prefix included; `whole` says that they are as many as the
-    text has. ids_digest mixes every id with its segment and place. A text without characters has no tokens.
+    Every segment is decoded in its task; a document's decoded segments meet in order of `segment` and are its decoded
+    text, of which n_decoded counts the characters, prefix included. `whole` says that it equals the text: both are
+    held together by SHA-256, so texts move as digests only. Decoding writes U+2581 as a blank, so a text's own U+2581
+    counts as one. ids_digest mixes every id with its segment and place. A text without characters has no tokens.
     """
-    widths = [0] * (1 + max([k for k, _, _ in model.pieces] + model.byte_ids))
+    names = [b""] * (1 + max([k for k, _, _ in model.pieces] + model.byte_ids))
     for k, p, _ in model.pieces:
-        widths[k] = len(p)
+        names[k] = p.replace(SPACE, " ").encode()
     for b, k in enumerate(model.byte_ids):
-        widths[k] = int(b & 0xC0 != 0x80)
+        names[k] = bytes([b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = np.array(widths, np.int64)
-        for batch in batches:
+        pieces = pa.array(names, pa.binary())
+        for batch in (part for whole in batches for part in _in_parts(whole)):
             column = batch.column("ids")
             sizes = np.diff(column.offsets.to_numpy())
             ids, first = column.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
             place = np.arange(len(ids)) - np.repeat(first[:-1], sizes)
             segment = np.repeat(batch.column("segment").to_numpy(), sizes)
             mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(((segment << 40) + (place << 17) + ids).astype(np.uint64)))])
-            chars = np.concatenate([[0], np.cumsum(width[ids])])
-            out = [sizes.astype(np.int64), chars[first[1:]] - chars[first[:-1]], (mixed[first[1:]] - mixed[first[:-1]]).astype(np.uint64).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out)], ["doc_id", "n_tokens", "n_decoded", "ids_digest"])
-
-    each = segments.mapInArrow(run, "doc_id long, n_tokens long, n_decoded long, ids_digest long").groupBy("doc_id")
-    each = each.agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_decoded").alias("n_decoded"), F.bit_xor("ids_digest").alias("ids_digest"))
-    length = F.coalesce(F.length(text), F.lit(0))
-    told = docs.select(F.col(key).cast("long").alias("doc_id"), F.when(length > 0, length + int(model.prefix)).otherwise(0).alias("_length")).join(each, "doc_id", "left")
+            # The pieces of all ids side by side in one buffer are the decoded bytes; a segment is a stretch of them.
+            taken = pa.concat_arrays([pieces.take(pa.array(ids)), pa.array([b""], pa.binary())])
+            ends = np.frombuffer(taken.buffers()[1], np.int32)[first].astype(np.int32)
+            bytes_ = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), taken.buffers()[2]])
+            out = [pa.array(sizes.astype(np.int64)), pa.array((mixed[first[1:]] - mixed[first[:-1]]).astype(np.uint64).view(np.int64)), bytes_]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("segment"), *out], ["doc_id", "segment", "n_tokens", "ids_digest", "bytes"])
+
+    each = segments.select("doc_id", "segment", "ids").mapInArrow(run, "doc_id long, segment long, n_tokens long, ids_digest long, bytes binary").groupBy("doc_id")
+    each = each.agg(F.sum("n_tokens").alias("n_tokens"), F.bit_xor("ids_digest").alias("ids_digest"), F.collect_list(F.struct("segment", "bytes")).alias("_parts"))
+    joined = F.array_join(F.transform(F.array_sort("_parts"), lambda s: s["bytes"].cast("string")), "")
+    each = each.select("doc_id", "n_tokens", "ids_digest", F.replace(joined, F.lit(SPACE), F.lit(" ")).alias("_decoded"))
+    each = each.select("doc_id", "n_tokens", F.length("_decoded").cast("long").alias("n_decoded"), "ids_digest", F.unhex(F.sha2(F.col("_decoded").cast("binary"), 256)).alias("_got"))
+    written = F.when(F.length(text) > 0, F.concat(F.lit(" " * model.prefix), F.replace(F.col(text), F.lit(SPACE), F.lit(" "))))
+    told = docs.select(F.col(key).cast("long").alias("doc_id"), F.unhex(F.sha2(written.cast("binary"), 256)).alias("_want")).join(each, "doc_id", "left")
     told = told.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_tokens", "n_decoded", "ids_digest")})
-    return told.select("doc_id", "n_tokens", "n_decoded", "ids_digest", (F.col("n_decoded") == F.col("_length")).alias("whole"))
+    return told.select("doc_id", "n_tokens", "n_decoded", "ids_digest", F.col("_got").eqNullSafe(F.col("_want")).alias("whole"))
 
 
 def library(path: str) -> sentencepiece.SentencePieceProcessor:

@@ -162,6 +162,35 @@ def test_ids_equal_the_library(spark):
     assert all(told[i]["whole"] and told[i]["n_tokens"] == len(library.encode(t or "")) for i, t in PIECE_ROWS)
 
 
+def test_whole_is_equality_of_the_decoded_text(spark):
+    """Wrong ids of the same width, swapped ids, swapped segments and lost ones are told from the text itself."""
+    model = P.load_model(MODEL)
+    rows = [(1, "one two three, four"), (2, "abc \u00e9\u4e2d"), (3, "plain words here"), (4, "zq \u4e2d wv"), (5, "kept as it is"), (6, ""), (7, None), (8, "\u2581a")]
+    docs = documents(spark, rows)
+    table = P.build_dictionary(docs, model)
+    segments = [(r["doc_id"], r["segment"], list(r["ids"])) for r in P.encoded_segments(docs, table, model, hot_words=3).collect()]
+
+    def whole(rows):
+        table = spark.createDataFrame(rows, "doc_id long, segment long, ids array<int>")
+        return {r["doc_id"]: r["whole"] for r in P.document_digests(docs, table, model).collect()}
+
+    assert all(whole(segments).values())
+    width = {k: len(p) for k, p, _ in model.pieces}
+    other = {k: next(j for j, n in width.items() if n == width[k] and j != k) for _, _, ids in segments for k in ids if k in width}
+    first = min(s for s in segments if s[0] == 1)
+    wrong = [(d, s, [other[ids[0]], *ids[1:]]) if (d, s, ids) == first else (d, s, ids) for d, s, ids in segments]
+    assert [i for i, w in whole(wrong).items() if not w] == [1]
+    one = {d: [k for e, _, ids in sorted(segments) if e == d for k in ids] for d, *_ in segments}
+    swapped = [(d, 0, ids[::-1] if d == 3 else ids) for d, ids in one.items()]
+    assert [i for i, w in whole(swapped).items() if not w] == [3]
+    size = max(s for d, s, _ in segments if d == 4)
+    turned = [(d, size - s if d == 4 else s, ids) for d, s, ids in segments]
+    assert size > 0 and [i for i, w in whole(turned).items() if not w] == [4]
+    assert [i for i, w in whole([x for x in segments if x[0] != 5]).items() if not w] == [5]
+    invalid = [(d, s, [model.byte_ids[0xE4], *ids] if d == 2 and s == 0 else ids) for d, s, ids in segments]
+    assert [i for i, w in whole(invalid).items() if not w] == [2]
+
+
 def test_viterbi_equals_the_library_on_a_unigram_model(spark, tmp_path):
     """The same pieces as a unigram model: the library's own Viterbi gives the same ids."""
     from sentencepiece import sentencepiece_model_pb2
