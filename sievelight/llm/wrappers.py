@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -202,29 +202,61 @@ def main_text(page: str, reference: str | None = None, constant: frozenset[int]
     return "\n".join(b for r in regions for b in _blocks(r, template))
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`host, slot, matched, same`: how many pages of a host have a slot of its reference, and with the same text."""
-    seen: Counter = Counter()
-    trees: dict[str, list[Node]] = {}
+def _hash(data: bytes) -> int:
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "big", signed=True)
 
-    def told() -> pa.RecordBatch:
-        keys = sorted({k[:2] for k in seen})
-        columns = [[k[0] for k in keys], [k[1] for k in keys], [seen[(*k, True)] + seen[(*k, False)] for k in keys], [seen[(*k, True)] for k in keys]]
-        seen.clear()
-        types = [pa.string(), pa.int32(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "slot", "matched", "same"])
 
+def _page(root: Node) -> tuple[int, list[int]]:
+    """A hash of all that alignment sees of a page, which its copies share, and hashes of its distinct paths of elements."""
+    told, paths, todo = [], {}, [(root, "", 0)]
+    while todo:
+        node, path, depth = todo.pop()
+        if depth:
+            path = f"{path}>{node.key}" if depth < 8 else path
+            paths[path] = None
+        told += [str(depth), node.key, node.text()]
+        todo += [(c, path, depth + 1) for c in reversed(node.nodes())]
+    return _hash("\0".join(told).encode("utf-8", "replace")), [_hash(p.encode("utf-8", "replace")) for p in paths]
+
+
+def _unseen(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[tuple]]:
+    """Rows of (host, html, ...) in lists, without those whose host and html the task has just had."""
+    seen: set = set()
     for batch in slices(batches, "html"):
-        for host, page, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference")), strict=True):
+        rows = []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("host", "html", *columns)), strict=True):
+            mark = (row[0], blake2b((row[1] or "").encode("utf-8", "replace"), digest_size=16).digest())
+            if mark not in seen:
+                seen.add(mark)
+                rows.append(row)
+        if len(seen) > 100_000:
+            seen.clear()
+        yield rows
+
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`host, page, size, name, paths` of pages (host, html, name), a copy within a task once as a rule."""
+    for rows in _unseen(batches, "name"):
+        made = [(host, *_page(parse(page or "")), len(page or ""), name) for host, page, name in rows]
+        columns = [[m[k] for m in made] for k in (0, 1, 3, 4, 2)]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "page", "size", "name", "paths"])
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`host, page, slots`: the slots of the host's reference that a page has, twice their number, plus one with the same text."""
+    trees: dict[str, list[Node]] = {}
+    for rows in _unseen(batches, "reference"):
+        out = []
+        for host, page, reference in rows:
             if host not in trees:
                 if len(trees) > 200:
                     trees.clear()
                 trees[host] = number(parse(reference or ""))
-            for x, y in match(parse(page or ""), trees[host][0])[1]:
-                seen[host, y.at, x.text() == y.text()] += 1
-        if len(seen) > 200_000:
-            yield told()
-    yield told()
+            root = parse(page or "")
+            out.append((host, _page(root)[0], [2 * y.at + (x.text() == y.text()) for x, y in match(root, trees[host][0])[1]]))
+        types = [pa.string(), pa.int64(), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["host", "page", "slots"])
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,18 +283,39 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["host", "reference", "constant", "content"])
 
 
+def choose_references(pages: DataFrame) -> DataFrame:
+    """`host, reference`: the shortest page of those that hold most of what more than half of a host's pages hold.
+
+    What pages hold are paths of element names; copies of a page count once, and pages without elements don't count. A
+    host whose pages all are without elements, or of which no two are alike, has its shortest page.
+    """
+    named = pages.withColumn("name", F.xxhash64("html"))
+    shapes = named.mapInArrow(_shapes, "host string, page long, size long, name long, paths array<long>")
+    shapes = stored(shapes.groupBy("host", "page").agg(F.min(F.struct("size", "name")).alias("least"), F.first("paths").alias("paths")))
+    totals = shapes.filter(F.size("paths") > 0).groupBy("host").agg(F.count("*").alias("total"))
+    counts = shapes.select("host", F.explode("paths").alias("path")).groupBy("host", "path").agg(F.count("*").alias("n"))
+    # Paths that more than half of the pages hold are at most twice as many as a page has on average.
+    shared = counts.join(broadcast_if_small(totals, HOSTS), "host").filter("2 * n > total").groupBy("host").agg(F.collect_list("path").alias("shared"))
+    met = shapes.join(broadcast_if_small(stored(shared), HOSTS), "host", "left")
+    held = F.coalesce(F.size(F.array_intersect("paths", F.coalesce("shared", F.array().cast("array<long>")))), F.lit(0))
+    best = met.groupBy("host").agg(F.min(F.struct((-held).alias("held"), F.col("least.size").alias("size"), F.col("least.name").alias("name"))).alias("r"))
+    chosen = stored(best.select("host", "r.name"))
+    return named.join(broadcast_if_small(chosen, HOSTS), ["host", "name"]).groupBy("host").agg(F.min("html").alias("reference"))
+
+
 def induce_wrappers(pages: DataFrame) -> DataFrame:
     """`host, reference, constant, content` of every host of `pages` (host, html).
 
-    A host's shortest page is its reference. Every page is aligned with it; tasks count slots first, so what is shuffled
-    is a few rows per host and task, whatever share of the pages a host has. Constant slots hold the same text on nine
-    of ten aligned pages, five at least; the content slot is the lowest one that holds all that varies.
+    Every page is aligned with the host's reference; copies of a page, which agree in all elements and texts, count
+    once, so a page that is stored often is no template of its own. What is shuffled is a page's slot numbers. Constant
+    slots hold the same text on nine of ten aligned pages, five at least; the content slot is the lowest one that holds
+    all that varies.
     """
-    references = pages.groupBy("host").agg(F.min(F.struct(F.length("html").alias("size"), "html")).alias("r")).select("host", F.col("r.html").alias("reference"))
-    references = stored(references)
+    references = stored(choose_references(pages))
     met = pages.join(broadcast_if_small(references, HOSTS), "host").select("host", "html", "reference")
-    counts = met.mapInArrow(_align, "host string, slot int, matched long, same long").groupBy("host", "slot")
-    counts = counts.agg(F.sum("matched").alias("matched"), F.sum("same").alias("same"))
+    aligned = met.mapInArrow(_align, "host string, page long, slots array<int>").groupBy("host", "page").agg(F.first("slots").alias("slots"))
+    counts = aligned.select("host", F.explode("slots").alias("s")).groupBy("host", F.shiftright("s", 1).alias("slot"))
+    counts = counts.agg(F.count("*").alias("matched"), F.sum(F.col("s").bitwiseAND(1).cast("long")).alias("same"))
     # A reference has as many slots as its page has elements.
     slots = counts.groupBy("host").agg(F.collect_list(F.struct("slot", "matched", "same")).alias("slots"))
     schema = "host string, reference string, constant array<int>, content int"
@@ -274,7 +327,7 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
 
     Character references are decoded, white space within a block is one space, blocks are lines in page order. Menus,
     headers, footers, boxes that are named for adverts, notices, comments and the like, and what is constant on the
-    host's pages are left out. A null page is empty; a null url, or one without a host, shares a wrapper with its like.
+    host's distinct pages are left out. A null page is empty; a null url, or one without a host, shares a wrapper with its like.
     """
     own = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html")).withColumn("host", url_host(F.col("url")))
     wrappers = stored(induce_wrappers(own.filter("html IS NOT NULL").select("host", "html")))

@@ -57,6 +57,23 @@ def test_constant_nodes_are_template(spark):
     assert extract_main_text(pages(spark, [])).collect() == []
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    """A host of one page stored often keeps its text, and so do the copies among a few other pages."""
+    page = "<body><article><h1>Title</h1><p>All of it</p></article></body>"
+    rows = [(k, "http://a.org/x", page if k else page.replace("<body>", "<body >")) for k in range(7)]
+    rows += [(20 + k, "http://b.org/x", templated(0, "<p>stored often</p>")) for k in range(60)] + [(90 + k, "http://b.org/x", templated(k, f"<p>part {k}</p>")) for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(pages(spark, rows)).collect()}
+    assert {got[k] for k in range(7)} == {"Title\nAll of it"}
+    assert {got[20 + k] for k in range(60)} == {"stored often"} and [got[90 + k] for k in range(5)] == [f"part {k}" for k in range(5)]
+
+
+@pytest.mark.parametrize("stub", ["", "gone", "<p>gone</p>"])
+def test_a_stub_is_no_reference(spark, stub):
+    rows = [(k, "http://a.org/x", templated(k, f"<p>part {k}</p>")) for k in range(8)] + [(20 + k, "http://a.org/x", stub) for k in range(9)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(pages(spark, rows)).collect()}
+    assert [got[k] for k in range(8)] == [f"part {k}" for k in range(8)]
+
+
 def test_rules_and_reputation(spark):
     rows = [(1, "http://WWW.Example.com/en/1"), (2, "https://a.example.com/en/2?x"), (3, "http://b.net/es/3"), (4, "http://b.net/de/4"), (5, None), (6, "no scheme")]
     rows += [(7, "http://x.com"), (8, "http://notexample.com/en/"), (9, "http://bad.org/a"), (10, "http://new.org/a"), (11, "HTTP://x.com?p=/en/#/")]
