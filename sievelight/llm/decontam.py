@@ -155,7 +155,7 @@ def overlap(part: list, words: list, n: int = 3) -> float:
 
 
 def _hits(texts: list[str | None], index: ItemIndex) -> Iterator[tuple[int, int, float, float, float]]:
-    """(text, item, score, question overlap, answer overlap): for each text and item its best passage."""
+    """(text, item, score, question overlap, answer overlap): for each text and item the passages that no other is above in both overlaps."""
     words = [tokens(t or "") for t in texts]
     stride = index.longest
     sizes = np.array([len(w) for w in words])
@@ -168,24 +168,29 @@ def _hits(texts: list[str | None], index: ItemIndex) -> Iterator[tuple[int, int,
     here, before = step < steps[doc], step > 0
     passage, item, score = search(index, np.concatenate([ids[here], ids[before]]), np.concatenate([(first[doc] + step)[here], (first[doc] + step - 1)[before]]))
     doc_of = np.searchsorted(first, passage, side="right") - 1
-    best: dict[tuple[int, int], tuple] = {}
+    found: dict[tuple[int, int], dict[tuple[float, float], float]] = {}
     for d, p, k, s in zip(doc_of.tolist(), passage.tolist(), item.tolist(), score.tolist(), strict=True):
         start = (p - int(first[d])) * stride
         read = words[d][start : start + 2 * stride]
-        question, answer = index.parts[k]
-        found = (overlap(question, read) + overlap(answer, read), s, overlap(question, read), overlap(answer, read))
-        if (d, k) not in best or found > best[d, k]:
-            best[d, k] = found
-    for (d, k), (_, s, q, a) in sorted(best.items()):
-        yield d, k, s, q, a
+        here_ = tuple(overlap(part, read) for part in index.parts[k])
+        known = found.setdefault((d, k), {})
+        known[here_] = max(known.get(here_, s), s)
+    for (d, k), known in sorted(found.items()):
+        most = -1.0
+        for q, a in sorted(known, reverse=True):
+            if a > most:
+                most = a
+                yield d, k, known[q, a], q, a
 
 
 def benchmark_hits(
     docs: DataFrame, items: DataFrame, share: float = 0.6, key: str = "doc_id", text: str = "text",
     item_key: str = "item_id", item_text: str = "text", index_items: int = INDEX_ITEMS,
 ) -> DataFrame:
-    """`doc_id, item_id, score, question_overlap, answer_overlap`: every document and item above the item's threshold.
+    """`doc_id, item_id, score, question_overlap, answer_overlap, passages`: every document and item above the item's threshold.
 
+    The overlaps are those of the passage with the greatest sum; `passages` has, as structs of score and overlaps, all
+    that no other passage is above in both, so that thresholds on both can be held against every passage.
     Passages of whole texts are queries, items the indexed side. An index holds at most `index_items` items, ordered by
     id; each block of items is one pass over the documents, and its index is what reaches the driver at a time. Scores
     are BM25 over the items of one block. Null and empty texts give nothing on either side; an item's repeated rows
@@ -219,10 +224,17 @@ def benchmark_hits(
         if len(rows) < index_items:
             break
         last = rows[-1]["item_id"]
+    # Overlaps are fractions of an item's n-grams, so few pairs of them are left per document and item, however many rows share an id.
+    made = made.groupBy("doc_id", "item_id", "question_overlap", "answer_overlap").agg(F.max("score").alias("score"))
+    passage = F.struct("score", "question_overlap", "answer_overlap")
     best = F.max(F.struct((F.col("question_overlap") + F.col("answer_overlap")).alias("sum"), "score", "question_overlap", "answer_overlap"))
-    return made.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.score", "best.question_overlap", "best.answer_overlap")
+    made = made.groupBy("doc_id", "item_id").agg(best.alias("best"), F.collect_list(passage).alias("passages"))
+    return made.select("doc_id", "item_id", "best.score", "best.question_overlap", "best.answer_overlap", "passages")
 
 
 def contaminated(hits: DataFrame, question: float = 0.6, answer: float = 0.6) -> DataFrame:
-    """Hits whose question and answer are both there."""
-    return hits.filter((F.col("question_overlap") >= question) & (F.col("answer_overlap") >= answer))
+    """Hits with a passage that holds both question and answer, with the figures of the one of them with the greatest sum."""
+    fit = F.filter("passages", lambda p: (p["question_overlap"] >= question) & (p["answer_overlap"] >= answer))
+    ranked = F.transform(fit, lambda p: F.struct((p["question_overlap"] + p["answer_overlap"]).alias("sum"), p["score"].alias("score"), p["question_overlap"].alias("q"), p["answer_overlap"].alias("a")))
+    told = hits.withColumn("_best", F.array_max(ranked)).filter("_best IS NOT NULL")
+    return told.select("doc_id", "item_id", "_best.score", F.col("_best.q").alias("question_overlap"), F.col("_best.a").alias("answer_overlap"))

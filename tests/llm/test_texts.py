@@ -134,6 +134,37 @@ def test_hits_equal_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]): (round(r["question_overlap"] + r["answer_overlap"], 9), round(r["score"], 9)) for r in got} == want
 
 
+def brute_contaminated(docs, items, share=0.6, least=0.6):
+    """(document, item) of every retrieved passage that holds both parts, each judged by itself."""
+    index = build_index(items, share)
+    out = set()
+    for doc, text in docs:
+        words = tokens(text or "")
+        for start in range(0, max(len(words) - index.longest, 1), index.longest):
+            read = words[start : start + 2 * index.longest]
+            for k, item in enumerate(index.ids):
+                held = {w for w in set(read) if w in index.terms}
+                score = sum(x for w in held for at in [slice(index.starts[index.terms[w]], index.starts[index.terms[w] + 1])] for x in index.impacts[at][index.items[at] == k])
+                if score >= index.needed[k] - 1e-9 and all(overlap(part, read) >= least for part in index.parts[k]):
+                    out.add((doc, item))
+    return out
+
+
+def test_every_passage_is_judged(spark):
+    """A passage with all of the question and little of the answer doesn't hide one with enough of both."""
+    question, answer = [f"q{k}" for k in range(22)], [f"a{k}" for k in range(12)]
+    items = [(1, " ".join(question) + ". " + " ".join(answer) + "."), (2, prose(7, 30))]
+    filler = prose(8, 120).split()
+    one, other = [*question, *answer[:6]], [*question[:15], *answer[:9]]
+    docs = [(1, [*one, *filler, *other]), (2, [*other, *filler, *one]), (3, one), (4, other), (5, [*one, *filler, *one])]
+    docs = [(i, " ".join(w)) for i, w in docs] + [(6, " ".join(one)), (6, " ".join(other)), *hostile_rows()]
+    hits = benchmark_hits(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r for r in contaminated(hits).collect()}
+    assert set(got) == brute_contaminated(docs, items) == {(1, 1), (2, 1), (4, 1), (6, 1)}
+    assert all(r["question_overlap"] == 0.65 and r["answer_overlap"] == 0.7 for r in got.values())
+    assert {r["doc_id"] for r in contaminated(hits, question=0.9, answer=0.3).collect()} == {1, 2, 3, 5, 6}
+
+
 def test_hits_without_items_or_documents(spark):
     table = spark.createDataFrame([], "item_id long, text string")
     assert benchmark_hits(documents(spark, hostile_rows()), table).collect() == []
