@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm.hashing import slices
+from sievelight.plans.session import stored
 
 #: Test items that one index holds; a larger benchmark goes over the documents in several blocks of items.
 INDEX_ITEMS = 20_000
@@ -39,6 +40,16 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return words[:cut], words[cut:]
 
 
+@dataclass
+class ItemStats:
+    """What BM25 and passages need of the whole benchmark: items and their words in all, words of the longest, items by term."""
+
+    count: int
+    words: int
+    longest: int
+    df: dict[bytes, int]
+
+
 @dataclass
 class ItemIndex:
     """Postings by term with BM25 impacts, the greatest impact per block of items, and what pruning needs.
@@ -61,16 +72,18 @@ class ItemIndex:
     longest: int
 
 
-def build_index(rows: Sequence[tuple[int, str | None]], share: float = 0.6, k1: float = 1.2, b: float = 0.75) -> ItemIndex:
-    """An index of (id, text) items. An item is retrieved at `share` of the score that its own words would get."""
+def build_index(
+    rows: Sequence[tuple[int, str | None]], share: float = 0.6, k1: float = 1.2, b: float = 0.75, stats: ItemStats | None = None
+) -> ItemIndex:
+    """An index of (id, text) items. An item is retrieved at `share` of the score that its own words would get.
+
+    `stats` are those of the benchmark that the items are a block of; without them the items are the whole benchmark.
+    Terms are numbered in order, so that scores are summed in one order and don't depend on the block.
+    """
     rows = sorted((i, t) for i, t in rows if i is not None and t and tokens(t))
     words = [tokens(t) for _, t in rows]
-    terms: dict[bytes, int] = {}
-    for ws in words:
-        for w in ws:
-            terms.setdefault(w, len(terms))
+    terms = {w: k for k, w in enumerate(sorted(set(chain.from_iterable(words))))}
     count, size = len(rows), len(terms)
-    mean = sum(map(len, words)) / max(count, 1)
     item, term, tf = [], [], []
     for k, ws in enumerate(words):
         ids, n = np.unique([terms[w] for w in ws], return_counts=True)
@@ -78,9 +91,10 @@ def build_index(rows: Sequence[tuple[int, str | None]], share: float = 0.6, k1:
         term += ids.tolist()
         tf += n.tolist()
     item, term, tf = np.array(item, np.int64), np.array(term, np.int64), np.array(tf, float)
-    df = np.bincount(term, minlength=size)
+    stats = stats or ItemStats(count, sum(map(len, words)), max(map(len, words), default=1), dict(zip(terms, np.bincount(term, minlength=size).tolist(), strict=True)))
+    df, mean = np.array([stats.df[w] for w in terms], np.int64), stats.words / max(stats.count, 1)
     length = np.array([len(ws) for ws in words], float)
-    idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
+    idf = np.log(1 + (stats.count - df + 0.5) / (df + 0.5))
     impact = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[item] / mean)) if count else np.empty(0)
     needed = share * np.bincount(item, impact, count)
     # An item's essential terms: its greatest impacts, until what is left can't reach what it needs.
@@ -101,7 +115,7 @@ def build_index(rows: Sequence[tuple[int, str | None]], share: float = 0.6, k1:
     np.minimum.at(low, np.arange(count) // BLOCK_ITEMS, needed)
     return ItemIndex(
         [i for i, _ in rows], terms, starts, item, impact, np.searchsorted(term[at], np.arange(size + 1)), item[at] // BLOCK_ITEMS, most,
-        needed, low, essential, [question_and_answer(t) for _, t in rows], max(map(len, words), default=1),
+        needed, low, essential, [question_and_answer(t) for _, t in rows], stats.longest,
     )
 
 
@@ -183,6 +197,15 @@ def _hits(texts: list[str | None], index: ItemIndex) -> Iterator[tuple[int, int,
                 yield d, k, known[q, a], q, a
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`item_id, words, terms` of items that have words."""
+    for batch in slices(batches, "text"):
+        said = [tokens(t or "") for t in batch.column("text").to_pylist()]
+        made = [(i, len(ws), sorted(set(ws))) for i, ws in zip(batch.column("item_id").to_pylist(), said, strict=True) if ws]
+        types = [pa.int64(), pa.int64(), pa.list_(pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate(types)], ["item_id", "words", "terms"])
+
+
 def benchmark_hits(
     docs: DataFrame, items: DataFrame, share: float = 0.6, key: str = "doc_id", text: str = "text",
     item_key: str = "item_id", item_text: str = "text", index_items: int = INDEX_ITEMS,
@@ -193,7 +216,8 @@ def benchmark_hits(
     that no other passage is above in both, so that thresholds on both can be held against every passage.
     Passages of whole texts are queries, items the indexed side. An index holds at most `index_items` items, ordered by
     id; each block of items is one pass over the documents, and its index is what reaches the driver at a time. Scores
-    are BM25 over the items of one block. Null and empty texts give nothing on either side; an item's repeated rows
+    are BM25 over all items: their number, mean length and counts by term are taken before blocks are cut, and passages
+    are as long as the longest of all items asks for, so `index_items` doesn't change the rows. Null and empty texts give nothing on either side; an item's repeated rows
     count once; rows that share a document id are passages of one document.
     """
     items = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
@@ -202,8 +226,8 @@ def benchmark_hits(
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
 
-    def one_block(rows: list) -> DataFrame:
-        index = build_index([(r["item_id"], r["text"]) for r in rows], share)
+    def one_block(rows: list, stats: ItemStats | None = None) -> DataFrame:
+        index = build_index([(r["item_id"], r["text"]) for r in rows], share, stats=stats)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text", limit=2 << 20):
@@ -214,16 +238,24 @@ def benchmark_hits(
 
         return docs.mapInArrow(run, schema)
 
-    made, last = None, None
-    while True:
-        block = items if last is None else items.filter(F.col("item_id") > last)
-        rows = block.orderBy("item_id").limit(index_items).collect()
-        if rows or made is None:
-            hits = one_block(rows) if rows else docs.sparkSession.createDataFrame([], schema)
+    rows = items.orderBy("item_id").limit(index_items + 1).collect()
+    if not rows:
+        made = docs.sparkSession.createDataFrame([], schema)
+    elif len(rows) <= index_items:
+        made = one_block(rows)
+    else:
+        items = stored(items)
+        terms = stored(items.mapInArrow(_item_terms, "item_id long, words long, terms array<binary>"))
+        total = terms.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("words"), F.lit(1))).first()
+        df = stored(terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")))
+        made, rows = None, rows[:index_items]
+        while rows:
+            # Of the terms only those of the block reach the driver.
+            here = terms.filter(F.col("item_id").between(rows[0]["item_id"], rows[-1]["item_id"])).select(F.explode("terms").alias("term")).distinct()
+            known = {bytes(r["term"]): r["n"] for r in df.join(here, "term").collect()}
+            hits = one_block(rows, ItemStats(total[0], total[1], total[2], known))
             made = hits if made is None else made.unionByName(hits)
-        if len(rows) < index_items:
-            break
-        last = rows[-1]["item_id"]
+            rows = items.filter(F.col("item_id") > rows[-1]["item_id"]).orderBy("item_id").limit(index_items).collect()
     # Overlaps are fractions of an item's n-grams, so few pairs of them are left per document and item, however many rows share an id.
     made = made.groupBy("doc_id", "item_id", "question_overlap", "answer_overlap").agg(F.max("score").alias("score"))
     passage = F.struct("score", "question_overlap", "answer_overlap")

@@ -165,6 +165,17 @@ def test_every_passage_is_judged(spark):
     assert {r["doc_id"] for r in contaminated(hits, question=0.9, answer=0.3).collect()} == {1, 2, 3, 5, 6}
 
 
+def test_size_of_an_index_changes_nothing(spark):
+    """Texts that hold parts of items, near the threshold too, and items of very different lengths."""
+    items = [(k, prose(100 + k, 6 + 3 * (k % 9)) + (" common words here. " if k < 30 else " . ") + prose(200 + k, 5) + ".") for k in range(45)] + [(60, None), (61, ""), (62, "!?")]
+    docs = [(1000 + k, prose(900 + k, k) + " " + " ".join(t.split()[: round(len(t.split()) * (0.5 + k % 9 / 16))]) + " " + prose(950 + k, 40)) for k, t in items[:45]]
+    table, got = spark.createDataFrame(items, "item_id long, text string"), []
+    for size in (20_000, 48, 47, 17, 10):
+        rows = benchmark_hits(documents(spark, docs + hostile_rows()), table, index_items=size).collect()
+        got.append(sorted((r["doc_id"], r["item_id"], r["score"], r["question_overlap"], r["answer_overlap"], sorted(map(tuple, r["passages"]))) for r in rows))
+    assert len(got[0]) > 20 and all(g == got[0] for g in got)
+
+
 def test_hits_without_items_or_documents(spark):
     table = spark.createDataFrame([], "item_id long, text string")
     assert benchmark_hits(documents(spark, hostile_rows()), table).collect() == []
