@@ -20,10 +20,17 @@ WORD = re.compile(r"[^\W\d_]+")
 SAMPLE_DOCS = 12_000
 VOCABULARY = 2_000
 
+#: What a sentence's words must add to the bias for it to count by itself.
+EVIDENCE = 0.5
+
+#: Sentences without evidence that count, at most; a fitted bias is so low that all of them together score below 0.2.
+PLAIN = 32
+HIGHEST_BIAS = float(np.log(0.2 / PLAIN))
+
 
 @dataclass
 class ToxicityModel:
-    """Weights of words in a sentence and the bias of a sentence without any."""
+    """Weights of words in a sentence, and the bias of a sentence."""
 
     bias: float = -9.0
     weights: dict[str, float] = field(default_factory=dict)
@@ -37,19 +44,22 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def score_text(text: str | None, model: ToxicityModel, offending: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
-    """Noisy-or over the sentences, and those whose own score reaches `offending` as (start, end, score)."""
+    """Noisy-or over the sentences, and those whose own score reaches `offending` as (start, end, score).
+
+    A sentence whose words add less than EVIDENCE to the bias counts as one without known words, and of those PLAIN count
+    at most, however many there are: a text isn't toxic for being long.
+    """
     weights, known = model.weights, model.weights.keys()
     clean, found, plain = 0.0, [], 0
     for start, end, words in sentences(text or ""):
-        if known.isdisjoint(words):
+        if known.isdisjoint(words) or (said := sum(weights[w] for w in sorted(known & set(words)))) < EVIDENCE:
             plain += 1
             continue
-        z = model.bias + sum(weights[w] for w in known & set(words))
-        p = 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
+        p = 1 / (1 + np.exp(-min(max(model.bias + said, -30.0), 30.0)))
         clean += np.log1p(-p)
         if p >= offending:
             found.append((start, end, float(p)))
-    clean += plain * np.log1p(-1 / (1 + np.exp(-model.bias)))
+    clean += min(plain, PLAIN) * np.log1p(-1 / (1 + np.exp(-model.bias)))
     return float(-np.expm1(clean)), found
 
 
@@ -128,7 +138,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS,
 
 
 def _fit(rows: list, size: int, told: np.ndarray, steps: int = 400, rate: float = 0.1, ridge: float = 0.02) -> tuple[np.ndarray, float]:
-    """Word weights and bias that lessen the log loss of noisy-or documents, by Adam from the words' own contrast."""
+    """Word weights and bias that lessen the log loss of noisy-or documents, by Adam from the words' own contrast.
+
+    As in scoring, PLAIN of a document's sentences without evidence count at most.
+    """
     rows = sorted(rows, key=lambda r: (r[0], r[1], r[2]))
     label, plain = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     bags = [(d, b) for d, r in enumerate(rows) for b in r[2]]
@@ -138,14 +151,17 @@ def _fit(rows: list, size: int, told: np.ndarray, steps: int = 400, rate: float
     theta = np.concatenate([np.clip(told / 4, -2, 4), [-7.0]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        z = np.bincount(at, theta[word], len(bags)) + theta[-1]
+        said = np.bincount(at, theta[word], len(bags))
+        z, told_by = said + theta[-1], said >= EVIDENCE
+        rest = np.minimum(plain + np.bincount(doc_of[~told_by], minlength=len(rows)), PLAIN)
         p, p0 = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + np.exp(-theta[-1]))
-        clean = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(rows)) + plain * np.log1p(-p0)
+        clean = np.bincount(doc_of, told_by * np.log1p(-np.minimum(p, 1 - 1e-12)), len(rows)) + rest * np.log1p(-p0)
         toxic = np.clip(-np.expm1(clean), 1e-9, 1)
         pull = (1 - label) - label * (1 - toxic) / toxic
-        slope = pull[doc_of] * p
-        grad = np.append(np.bincount(word, slope[at], size), slope.sum() + (pull * plain).sum() * p0) / len(rows)
+        slope = pull[doc_of] * p * told_by
+        grad = np.append(np.bincount(word, slope[at], size), slope.sum() + (pull * rest).sum() * p0) / len(rows)
         grad[:-1] += ridge * theta[:-1] / len(rows)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        theta[-1] = min(theta[-1], HIGHEST_BIAS)
     return theta[:-1], float(theta[-1])

@@ -95,6 +95,20 @@ def test_toxicity_is_noisy_or():
     assert score == pytest.approx(1 - np.prod([1 - x for x in p])) and len(found) == 2
 
 
+def test_a_long_clean_text_is_clean(spark):
+    """100,000 sentences without evidence score no more than a few, for the fitted and the default model; one insult still counts."""
+    from sievelight.llm.toxicity import HIGHEST_BIAS, PLAIN, ToxicityModel
+
+    fitted = learn(spark)[3]
+    mild = ToxicityModel(HIGHEST_BIAS, {"xqz": -0.3, "vbn": 0.1})
+    for model in (fitted, ToxicityModel(), mild):
+        for sentence in ("xqz vbn wrt. ", "wrt. ", "vbn!\n"):
+            score, found = score_text(sentence * 100_000, model)
+            assert found == [] and score == pytest.approx(score_text("wrt." * PLAIN, model)[0]) and score < 0.2
+    score, found = score_text("xqz vbn. " * 50_000 + "You are an idiot and a moron." + " xqz vbn." * 50_000, fitted)
+    assert score >= 0.3 and len(found) == 1
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, [(1, "a b"), (2, None)])
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
