@@ -298,10 +298,10 @@ def encoded_segments(docs: DataFrame, dictionary: DataFrame, model: PieceModel,
 
     The commonest stretches, `hot_words` at most, are at hand in every task, which writes runs of them as one segment
     each. Every other stretch is a segment of its own and gets its ids from a join, where no stretch is common. Texts
-    and runs are not shuffled. An empty or null text has no segments. Rows that share an id mix their segments, so ids
-    must be unique.
+    and runs are not shuffled. An empty or null text has no segments, nor has a row with a null id. Rows that share an
+    id mix their segments, so ids must be unique.
     """
-    docs = _texts(docs, key, text)
+    docs = _texts(docs, key, text).filter("doc_id IS NOT NULL")
     hot = dictionary.orderBy(F.col("n").desc(), "word").limit(hot_words).select("word", "ids").toArrow()
     ids = hot.column("ids").combine_chunks()
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
@@ -427,7 +427,8 @@ def document_digests(docs: DataFrame, segments: DataFrame, model: PieceModel, ke
     Every segment is decoded in its task; a document's decoded segments meet in order of `segment` and are its decoded
     text, of which n_decoded counts the characters, prefix included. `whole` says that it equals the text: both are
     held together by SHA-256, so texts move as digests only. Decoding writes U+2581 as a blank, so a text's own U+2581
-    counts as one. ids_digest mixes every id with its segment and place. A text without characters has no tokens.
+    counts as one. ids_digest mixes every id with its segment and place. A text without characters has no tokens. Rows
+    with a null id have no segments: each is encoded and decoded where it stands, as one segment.
     """
     names = [b""] * (1 + max([k for k, _, _ in model.pieces] + model.byte_ids))
     for k, p, _ in model.pieces:
@@ -451,6 +452,27 @@ def document_digests(docs: DataFrame, segments: DataFrame, model: PieceModel, ke
             out = [pa.array(sizes.astype(np.int64)), pa.array((mixed[first[1:]] - mixed[first[:-1]]).astype(np.uint64).view(np.int64)), bytes_]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("segment"), *out], ["doc_id", "segment", "n_tokens", "ids_digest", "bytes"])
 
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, lattice, known = Cutter(model), Lattice(model), {}
+        for batch in slices(batches, "text", limit=2 << 20):
+            out = []
+            for said in batch.column("text").to_pylist():
+                ids: list[int] = []
+                for word in cutter.cut([said])[0]:
+                    if word not in known:
+                        known[word] = lattice.encode(word)
+                    ids += known[word]
+                got = b"".join(map(names.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
+                mixed = mix(((np.arange(len(ids)) << 17) + np.array(ids, np.int64)).astype(np.uint64)).sum(dtype=np.uint64)
+                out.append((None, len(ids), len(got), int(mixed.view(np.int64)), got == (" " * model.prefix + said.replace(SPACE, " ") if said else "")))
+                if len(known) > REMEMBERED:
+                    known.clear()
+            types = [pa.int64()] * 4 + [pa.bool_()]
+            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_decoded", "ids_digest", "whole"])
+
+    nameless = docs.filter(F.col(key).isNull()).select(F.col(text).alias("text")).mapInArrow(alone, "doc_id long, n_tokens long, n_decoded long, ids_digest long, whole boolean")
+    docs = docs.filter(F.col(key).isNotNull())
     each = segments.select("doc_id", "segment", "ids").mapInArrow(run, "doc_id long, segment long, n_tokens long, ids_digest long, bytes binary").groupBy("doc_id")
     each = each.agg(F.sum("n_tokens").alias("n_tokens"), F.bit_xor("ids_digest").alias("ids_digest"), F.collect_list(F.struct("segment", "bytes")).alias("_parts"))
     joined = F.array_join(F.transform(F.array_sort("_parts"), lambda s: s["bytes"].cast("string")), "")
@@ -459,7 +481,7 @@ def document_digests(docs: DataFrame, segments: DataFrame, model: PieceModel, ke
     written = F.when(F.length(text) > 0, F.concat(F.lit(" " * model.prefix), F.replace(F.col(text), F.lit(SPACE), F.lit(" "))))
     told = docs.select(F.col(key).cast("long").alias("doc_id"), F.unhex(F.sha2(written.cast("binary"), 256)).alias("_want")).join(each, "doc_id", "left")
     told = told.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_tokens", "n_decoded", "ids_digest")})
-    return told.select("doc_id", "n_tokens", "n_decoded", "ids_digest", F.col("_got").eqNullSafe(F.col("_want")).alias("whole"))
+    return told.select("doc_id", "n_tokens", "n_decoded", "ids_digest", F.col("_got").eqNullSafe(F.col("_want")).alias("whole")).unionByName(nameless)
 
 
 def library(path: str) -> sentencepiece.SentencePieceProcessor:

@@ -190,10 +190,14 @@ def suffix_dedup(
     or before in the same text. Strings are those of the input. `spans` are the maximal removed runs, `kept` is the rest
     (broken characters at a cut become U+FFFD). Whole copies are found by their digest first and go entirely, if they
     hold a window; only first texts are compared further. A null text is empty. Rows that share an id share the ranges
-    that either has, which is why ids should be unique; other columns don't matter.
+    that either has, which is why ids should be unique; other columns don't matter. A row with a null id takes part with
+    a number from the hash of its text, greater than any id below 2^62, and comes out with a null id: it loses what
+    texts with ids hold, and equal texts without ids count as one and keep or lose the same.
     """
     extra = {c: kind for c, kind in docs.dtypes if c in keep}
-    docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), *extra)
+    number = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    id_ = F.col(key).cast("long")
+    docs = docs.select(F.coalesce(id_, number).alias("doc"), F.col(text).alias("text"), id_.isNull().alias("_none"), *extra)
     digests = stored(docs.select("doc", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")))
     firsts = digests.groupBy("digest").agg(F.min("doc").alias("doc"))
     copies = stored(digests.join(firsts, ["digest", "doc"], "left_anti").select("doc").distinct())
@@ -208,7 +212,8 @@ def suffix_dedup(
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, rest = [], []
-            for doc, data, found in zip(batch.column("doc").to_pylist(), utf8(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
+            ids = [None if none else doc for doc, none in zip(batch.column("doc").to_pylist(), batch.column("_none").to_pylist(), strict=True)]
+            for doc, data, found in zip(ids, utf8(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
                 # A copy's range runs to its end; one shorter than a window has none.
                 spans = [(x["start"], len(data) if x["end"] < 0 else x["end"]) for x in found or [] if x["end"] >= 0 or len(data) >= window]
                 spans = _merge(spans)
@@ -227,6 +232,6 @@ def suffix_dedup(
     # Only texts that lose something move to where their ranges are.
     ranges = stored(ranges)
     touched = broadcast_if_small(ranges.select("doc"))
-    met = docs.join(touched, "doc", "left_semi").join(ranges, "doc").select("doc", "text", "ranges", *extra)
+    met = docs.join(touched, "doc", "left_semi").join(ranges, "doc").select("doc", "text", "ranges", "_none", *extra)
     rest_ = docs.join(touched, "doc", "left_anti").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
-    return met.unionByName(rest_.select("doc", "text", "ranges", *extra)).mapInArrow(make, schema)
+    return met.unionByName(rest_.select("doc", "text", "ranges", "_none", *extra)).mapInArrow(make, schema)

@@ -131,3 +131,19 @@ def test_kept_text_and_columns(spark):
     rows = [(1, prose(1, 40)), (2, "new words first " + prose(1, 40))]
     got = {r["doc_id"]: r for r in suffix_dedup(documents(spark, rows), with_text=True, keep=("lang",)).collect()}
     assert got[1]["kept"] == rows[0][1] and got[2]["kept"] == "new words first " and got[2]["lang"] is None
+
+
+def test_rows_without_an_id_take_part(spark):
+    """Long texts with null ids: they lose what texts with ids hold, equal ones alike, and come out with null ids."""
+    own, other, third = prose(901, 60), prose(902, 60), prose(903, 60)
+    rows = [(5, own), (None, "before " + own + " after"), (None, own), (None, other), (None, other), (None, third + " " + third), (None, None), (None, ""), (7, prose(904, 60))]
+    got = suffix_dedup(documents(spark, rows), with_text=True).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 7
+    kept = sorted((r["n_bytes"], r["kept"]) for r in got if r["doc_id"] is None)
+    cut = ("before  " + own + " after").replace(" " + own, "")
+    want = [(0, ""), (0, ""), (len(own), ""), (len(other), other), (len(other), other)]
+    assert all(w in kept for w in want) and kept.count((len(other), other)) == 2
+    assert [n for n, t in kept if n == len(own) + 13 and "before" in t and len(t) <= len(cut)] == [len(own) + 13]
+    twice = next(t for n, t in kept if n == 2 * len(third) + 1)
+    assert len(twice) == len(third) + 1 and twice.startswith(third)
+    assert {r["doc_id"]: r["n_removed"] for r in got if r["doc_id"] is not None} == {5: 0, 7: 0}

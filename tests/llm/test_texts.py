@@ -247,6 +247,15 @@ def test_whole_is_equality_of_the_decoded_text(spark):
     assert [i for i, w in whole(invalid).items() if not w] == [2]
 
 
+def test_pieces_of_rows_without_an_id(spark):
+    model, library = P.load_model(MODEL), P.library(MODEL)
+    rows = [(1, prose(5, 40)), (None, prose(6, 40)), (None, prose(6, 40)), (None, "\u4e2d\U0001f600 x"), (None, None), (None, ""), (2, "one two")]
+    docs = documents(spark, rows)
+    told = P.document_digests(docs, P.encoded_segments(docs, P.build_dictionary(docs, model), model, hot_words=3), model).collect()
+    want = sorted((i or 0, len(library.encode(t or ""))) for i, t in rows)
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in told) == want and all(r["whole"] for r in told)
+
+
 def test_viterbi_equals_the_library_on_a_unigram_model(spark, tmp_path):
     """The same pieces as a unigram model: the library's own Viterbi gives the same ids."""
     from sentencepiece import sentencepiece_model_pb2
