@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from sievelight.llm.decontam import benchmark_hits, contaminated
 from sievelight.llm.jaccard import jaccard_components
+from sievelight.llm.merkle import fold, hex_of, merkle_proofs, proof_digest, row_digest
+from sievelight.llm.middle import fill_in_middle, restore_text
 from sievelight.llm.pieces import build_dictionary, document_digests, encoded_segments, load_model
 from sievelight.llm.quality import quality_verdicts
 from sievelight.llm.sharding import hash_class, hilbert_shards, log_class
@@ -209,5 +211,109 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op2_main_text, op3_pieces, op4_suffixes, op5_quality, op6_urls, op7_sharding, op8_revisits, op9_decontamination, op10_toxicity)}
-ORACLES = {"op6_urls": OP6_SQL, "op8_revisits": OP8_SQL}
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [F.col(c) for c in MANIFEST_FIELDS]
+    tampered = row_digest([*fields[:-1], F.replace("text", F.lit("\n"), F.lit(""))])
+    struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "source", row_digest(fields).alias("leaf"), F.when(struck, tampered).alias("tampered"))
+    proven = merkle_proofs(rows, keep=("tampered",))
+    proven = proven.withColumn("folded", fold(F.coalesce("tampered", "leaf"), F.col("steps")))
+    digests = [hex_of(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    return proven.select(
+        "doc_id", *digests, proof_digest(F.col("steps")).alias("proof_sha256"), hex_of(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified")
+    )
+
+
+def _field_sql(column: str, value: str | None = None) -> str:
+    value = value or f"CAST({column} AS VARCHAR)"
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _levels_sql(name: str, levels: int) -> str:
+    """Tables {name}1, {name}2, ...: each level's nodes per tree of {name}0 (tree, level, pos, h), while a tree has more than one."""
+    made = [
+        f"""{name}{k + 1} AS (SELECT tree, {k + 1} AS level, pos // 3 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS size FROM {name}{k}) WHERE size > 1 GROUP BY tree, pos // 3)"""
+        for k in range(levels)
+    ]
+    return ",\n".join(made) + f",\n{name} AS (" + " UNION ALL ".join(f"SELECT * FROM {name}{k}" for k in range(levels + 1)) + ")"
+
+
+#: Enough levels for 3^12 rows of a source and as many sources.
+SQL_LEVELS = 12
+
+OP12_SQL = f"""WITH RECURSIVE crc_step(byte, c, k) AS (
+  SELECT byte, byte, 0 FROM (SELECT CAST(range AS BIGINT) AS byte FROM range(256))
+  UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_step WHERE k < 8),
+ids AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS digits FROM documents WHERE doc_id IS NOT NULL),
+crcs(doc_id, digits, k, c) AS (
+  SELECT doc_id, digits, 0, CAST(4294967295 AS BIGINT) FROM ids
+  UNION ALL SELECT doc_id, digits, crcs.k + 1, xor(crcs.c >> 8, t.c) FROM crcs
+  JOIN crc_step t ON t.k = 8 AND t.byte = xor(crcs.c & 255, CAST(ascii(substr(digits, crcs.k + 1, 1)) AS BIGINT)) WHERE crcs.k < strlen(digits)),
+struck AS (SELECT doc_id FROM crcs WHERE k = strlen(digits) AND xor(c, 4294967295) % 2 = 0),
+leaves AS (
+  SELECT doc_id, source, sha256({' || '.join(_field_sql(c) for c in MANIFEST_FIELDS)}) AS leaf,
+         sha256({' || '.join(_field_sql(c) for c in MANIFEST_FIELDS[:-1])} || {_field_sql('text', "replace(text, chr(10), '')")}) AS changed FROM documents),
+placed AS (
+  SELECT d.doc_id, leaf, CASE WHEN s.doc_id IS NULL THEN leaf ELSE changed END AS seen,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY d.doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM leaves d LEFT JOIN struck s ON s.doc_id = d.doc_id),
+low0 AS (SELECT tree, 0 AS level, pos, leaf AS h FROM placed),
+{_levels_sql('low', SQL_LEVELS)},
+low_top AS (SELECT tree, max(level) AS height, arg_max(h, level) AS subroot FROM low GROUP BY tree),
+high0 AS (SELECT 0 AS tree, 0 AS level, tree AS pos, subroot AS h FROM low_top),
+{_levels_sql('high', SQL_LEVELS)},
+high_top AS (SELECT max(level) AS height, arg_max(h, level) AS root FROM high),
+steps AS (
+  SELECT p.tree AS tree, p.pos AS pos, a.level AS k,
+         coalesce(string_agg(a.h, '' ORDER BY a.pos) FILTER (WHERE a.pos < p.pos // CAST(pow(3, a.level) AS BIGINT)), '') AS l,
+         coalesce(string_agg(a.h, '' ORDER BY a.pos) FILTER (WHERE a.pos > p.pos // CAST(pow(3, a.level) AS BIGINT)), '') AS r
+  FROM placed p JOIN low_top t ON t.tree = p.tree JOIN low a ON a.tree = p.tree AND a.level < t.height AND a.pos // 3 = p.pos // CAST(pow(3, a.level + 1) AS BIGINT)
+  GROUP BY p.tree, p.pos, a.level
+  UNION ALL
+  SELECT p.tree, p.pos, t.height + a.level,
+         coalesce(string_agg(a.h, '' ORDER BY a.pos) FILTER (WHERE a.pos < p.tree // CAST(pow(3, a.level) AS BIGINT)), ''),
+         coalesce(string_agg(a.h, '' ORDER BY a.pos) FILTER (WHERE a.pos > p.tree // CAST(pow(3, a.level) AS BIGINT)), '')
+  FROM placed p JOIN low_top t ON t.tree = p.tree, high_top, high a WHERE a.level < high_top.height AND a.pos // 3 = p.tree // CAST(pow(3, a.level + 1) AS BIGINT)
+  GROUP BY p.tree, p.pos, t.height, a.level),
+proofs AS (SELECT tree, pos, sha256(string_agg(l || r, '' ORDER BY k)) AS proof FROM steps GROUP BY tree, pos),
+folded(tree, pos, k, h) AS (
+  SELECT tree, pos, 0, seen FROM placed
+  UNION ALL SELECT f.tree, f.pos, f.k + 1, sha256(l || f.h || r) FROM folded f JOIN steps s ON s.tree = f.tree AND s.pos = f.pos AND s.k = f.k),
+ends AS (SELECT tree, pos, arg_max(h, k) AS h FROM folded GROUP BY tree, pos)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, e.h AS folded_root, e.h = root AS verified
+FROM placed p JOIN low_top t ON t.tree = p.tree JOIN ends e ON e.tree = p.tree AND e.pos = p.pos LEFT JOIN proofs x ON x.tree = p.tree AND x.pos = p.pos, high_top"""
+
+
+def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    facts = ("doc_id", "n", "form", "prefix_chars", "middle_chars")
+    made = made.select(*facts, "output", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"))
+    back = restore_text(made, keep=(*facts, "output_sha256"))
+    return back.select(*facts, "output_sha256", F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
+def _draw_sql(k: int) -> str:
+    return f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT)"
+
+
+OP13_SQL = f"""WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS units FROM documents),
+drawn AS (
+  SELECT *, len(units) AS n, {_draw_sql(0)} % (len(units) + 1) AS a, {_draw_sql(1)} % (len(units) + 1) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {_draw_sql(2)} % 100 >= 50 THEN 'plain'
+              WHEN {_draw_sql(3)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (
+  SELECT *, array_to_string(units[1:least(a, b)], '') AS p, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS m,
+         array_to_string(units[greatest(a, b) + 1:], '') AS s FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM parts"""
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_main_text, op3_pieces, op4_suffixes, op5_quality, op6_urls, op7_sharding, op8_revisits, op9_decontamination, op10_toxicity, op12_manifest, op13_middle)}
+ORACLES = {"op6_urls": OP6_SQL, "op8_revisits": OP8_SQL, "op12_manifest": OP12_SQL, "op13_middle": OP13_SQL}
