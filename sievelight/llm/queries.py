@@ -13,12 +13,14 @@ from sievelight.llm.merkle import fold, hex_of, merkle_proofs, proof_digest, row
 from sievelight.llm.middle import fill_in_middle, restore_text
 from sievelight.llm.pieces import build_dictionary, document_digests, encoded_segments, load_model
 from sievelight.llm.quality import quality_verdicts
+from sievelight.llm.ranking import document_features, fit_quality_ranking, ranked_documents
 from sievelight.llm.sharding import hash_class, hilbert_shards, log_class
 from sievelight.llm.suffixes import suffix_dedup
 from sievelight.llm.toxicity import fit_toxicity, toxicity_scores
 from sievelight.llm.urls import url_filter
 from sievelight.llm.warc import resolve_revisits
 from sievelight.llm.wrappers import extract_main_text
+from sievelight.plans.session import stored
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -211,6 +213,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = stored(document_features(_table(spark, sf_dir, "documents")))
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    ranking = fit_quality_ranking(features, _table(spark, sf_dir, "labels").filter(~held), label="quality")
+    ranked = ranked_documents(features, ranking)
+    return ranked.select("doc_id", held.alias("held_out"), "score", F.col("kept").cast("int").alias("predicted"), "strength")
+
+
 MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -315,5 +325,5 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
        sha256(text) AS restored_sha256 FROM parts"""
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op2_main_text, op3_pieces, op4_suffixes, op5_quality, op6_urls, op7_sharding, op8_revisits, op9_decontamination, op10_toxicity, op12_manifest, op13_middle)}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_main_text, op3_pieces, op4_suffixes, op5_quality, op6_urls, op7_sharding, op8_revisits, op9_decontamination, op10_toxicity, op11_ranking, op12_manifest, op13_middle)}
 ORACLES = {"op6_urls": OP6_SQL, "op8_revisits": OP8_SQL, "op12_manifest": OP12_SQL, "op13_middle": OP13_SQL}
