@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 
 from sievelight.functions.stats import bm25_part, idf
 from sievelight.functions.text import tokenize
-from sievelight.plans.sizing import BROADCAST_ROWS, broadcast_if_small, is_small
+from sievelight.plans.session import stored
+from sievelight.plans.sizing import broadcast_if_small, is_small
 from sievelight.plans.spread import explode_once
 
 # Saturation, length weight and list length.
 K1, B, TOP = 1.2, 0.75, 5
 RANK_DIGITS = 9
 
+#: Blocks per term, by impact; how many times the list length of each term's postings are looked at first.
+LEVELS, FIRST = 32, 4
+#: Sums may differ by their order; scores this close to the least one to beat are still compared.
+SLACK = 1e-8
+#: Rows of candidates by query term that are broadcast at most.
+CANDIDATES = 200_000
+
 
 class Index(NamedTuple):
     """`postings(source, doc, length, term, tf)`, `df(source, term, df)`, `lengths(source, doc, length)`,
@@ -51,60 +59,114 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return explode_once(queries, F.array_distinct(tokenize(F.col("text"))), "term", "query", position="position")
 
 
-def _matches(index: Index, queries: DataFrame) -> DataFrame:
-    """Postings of query terms with their weight and every query that asks for them.
+class Matched(NamedTuple):
+    """`postings(source, doc, term, impact, level)` of query terms, `terms(source, term, idf, greatest)`, and
+    `wanted(source, query, position, term, idf, greatest)`: the terms of each query that a source knows."""
+
+    postings: DataFrame
+    terms: DataFrame
+    wanted: DataFrame
+
+
+def match_postings(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> Matched:
+    """The postings of query terms with what each adds to a score.
 
-    The weighted postings are placed by document before the queries fan them out, so the sums per query and
-    document need no further shuffle: what travels does not grow with the number of queries.
+    A term's postings form blocks by level: its greatest impact in the source is cut into LEVELS steps, so a block's
+    number bounds what its postings add. Postings are counted and weighted once and stored, since several steps read them.
     """
-    terms = query_terms(queries)
-    # Restricting the terms first lets the restriction reach below the posting counts. Counting over `tf` keeps that
-    # column, so that this branch and the scored postings are the same shuffle and the texts are tokenised once.
+    terms = stored(query_terms(queries))
+    # Restricting the terms first lets the restriction reach below the posting counts.
     matched = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = matched.groupBy("source", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    weights = df.join(broadcast_if_small(index.stats), "source").select("source", "term", idf(F.col("df"), F.col("n")).alias("idf"), "average")
+    part = bm25_part(F.col("tf"), F.col("length"), F.col("average"), k1, b)
+    parts = stored(matched.join(broadcast_if_small(stored(index.stats)), "source").select("source", "doc", "term", "n", part.alias("part")))
+    counted = parts.groupBy("source", "term").agg(F.count("*").alias("df"), F.max("part").alias("part"), F.max("n").alias("n"))
+    weight = idf(F.col("df"), F.col("n"))
+    weights = stored(counted.select("source", "term", weight.alias("idf"), (weight * F.col("part")).alias("greatest")))
     # A corpus has at most one weight per query term, so few terms have few weights, and no common term is a hot key.
-    few = is_small(terms, BROADCAST_ROWS)
-    if few and is_small(index.stats, max(1, BROADCAST_ROWS // max(1, terms.select("term").distinct().count()))):
-        weights = F.broadcast(weights)
-    placed = matched.join(weights, ["source", "term"]).repartition("source", "doc")
-    return placed.join(F.broadcast(terms) if few else terms, "term")
+    impact = F.col("idf") * F.col("part")
+    level = F.floor(impact / F.col("greatest") * LEVELS).cast("int")
+    postings = parts.join(broadcast_if_small(weights), ["source", "term"]).select("source", "doc", "term", impact.alias("impact"), level.alias("level"))
+    wanted = terms.join(broadcast_if_small(weights), "term").select("source", "query", "position", "term", "idf", "greatest")
+    return Matched(postings, weights, stored(wanted))
+
+
+def _first_postings(met: Matched, count: int) -> DataFrame:
+    """The `count` postings of each term that add most, equals by document: only blocks that can hold them are ranked."""
+    sizes = met.postings.groupBy("source", "term", "level").agg(F.count("*").alias("rows"))
+    above = Window.partitionBy("source", "term").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
+    floors = sizes.withColumn("above", F.coalesce(F.sum("rows").over(above), F.lit(0))).filter(F.col("above") < count)
+    floors = stored(floors.groupBy("source", "term").agg(F.min("level").alias("floor")))
+    best = Window.partitionBy("source", "term").orderBy(F.desc(F.round("impact", RANK_DIGITS)), "doc")
+    top = met.postings.join(broadcast_if_small(floors), ["source", "term"]).filter("level >= floor")
+    return top.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= count).select("source", "doc", "term")
+
+
+def _scored(met: Matched, candidates: DataFrame, hits: bool = False) -> DataFrame:
+    """`source, query, doc, raw` of stored `source, query, doc`: whole scores, rounded to nine digits, above 0.
+
+    Candidates ask for the terms of their query and are broadcast if counted to be few. With `hits` the matched terms,
+    rarest first, are gathered on the way.
+    """
+    wanted = met.wanted.select("source", "query", "position", "term", "idf")
+    asked = candidates.join(broadcast_if_small(wanted), ["source", "query"])
+    asked = F.broadcast(asked) if is_small(asked, CANDIDATES) else asked
+    found = met.postings.join(asked, ["source", "doc", "term"])
+    gathered = F.array_sort(F.collect_list(F.struct((-F.round("idf", RANK_DIGITS)).alias("rare"), "position", "term")))
+    more = [F.transform(gathered, lambda t: t["term"]).alias("hits")] if hits else []
+    summed = found.groupBy("source", "query", "doc").agg(F.round(F.sum("impact"), RANK_DIGITS).alias("raw"), *more)
+    return summed.filter(F.col("raw") > 0)
+
+
+def _best(scored: DataFrame, top: int) -> DataFrame:
+    best_first = Window.partitionBy("source", "query").orderBy(F.desc("raw"), "doc")
+    return scored.withColumn("place", F.row_number().over(best_first)).filter(F.col("place") <= top)
+
+
+def candidates(met: Matched, top: int) -> DataFrame:
+    """`source, query, doc`: all documents that can be among the `top` best of a query, without scoring the others.
+
+    First the best postings of each term name documents; their whole scores give a query's least score to beat. Then the
+    query's terms are ordered by their greatest impact. Of the terms a document holds, let one be last in that order:
+    the terms before it add at most the sum of their greatest impacts, so the posting must make up the rest, and blocks
+    below that are never joined. A term of which every posting adds little, as one that most documents hold, has none.
+    """
+    first = _first_postings(met, FIRST * top).join(broadcast_if_small(met.wanted.select("source", "query", "term")), ["source", "term"])
+    first = stored(first.select("source", "query", "doc").distinct())
+    leaders = stored(_best(_scored(met, first), top))
+    # A query with fewer leaders has no term with more postings than were looked at, so no other document has any.
+    bars = leaders.filter(F.col("place") == top).select("source", "query", (F.col("raw") - SLACK).alias("bar"))
+    before = Window.partitionBy("source", "query").orderBy("greatest", "term").rowsBetween(Window.unboundedPreceding, -1)
+    below = met.wanted.withColumn("below", F.coalesce(F.sum("greatest").over(before), F.lit(0.0)))
+    # The best documents of a single term are known from its first postings.
+    alone = F.count("*").over(Window.partitionBy("source", "query")) == 1
+    needs = below.withColumn("alone", alone).join(broadcast_if_small(stored(bars)), ["source", "query"])
+    needs = needs.withColumn("need", F.col("bar") - F.col("below")).filter(~F.col("alone") & (F.col("greatest") >= F.col("need")))
+    lowest = F.greatest(F.lit(0), F.floor(F.col("need") / F.col("greatest") * LEVELS).cast("int") - 1)
+    blocks = stored(needs.select("source", "query", "term", "need", F.explode(F.sequence(lowest, F.lit(LEVELS))).alias("level")))
+    found = met.postings.join(broadcast_if_small(blocks), ["source", "term", "level"]).filter("impact >= need")
+    return stored(found.select("source", "query", "doc").unionByName(leaders.select("source", "query", "doc")).distinct())
 
 
 def bm25_topk(
-    index: Index, queries: DataFrame, top: int = TOP, k1: float = K1, b: float = B, digits: int = 3
+    index: Index, queries: DataFrame, top: int = TOP, k1: float = K1, b: float = B, digits: int = 3, hits: bool = False
 ) -> DataFrame:
-    """`source, query, place, doc, score`: the best documents of each query, score above 0.
+    """`source, query, place, doc, score`: the best documents of each query, score above 0; and `hits`, if asked for.
 
     Ties go to the lower document. Scores are compared after rounding to nine digits, since the order of
-    a distributed sum is not fixed. Only the best of each task reach the ranking shuffle.
+    a distributed sum is not fixed. Documents that can't be among the best are not scored (see `candidates`), and only
+    the best of each task reach the ranking shuffle. `hits` are the matched query terms, rarest first.
     """
-    part = F.col("idf") * bm25_part(F.col("tf"), F.col("length"), F.col("average"), k1, b)
-    scored = (
-        _matches(index, queries)
-        .groupBy("source", "query", "doc")
-        .agg(F.sum(part).alias("raw"))
-        .withColumn("raw", F.round("raw", RANK_DIGITS))
-        .filter(F.col("raw") > 0)
-    )
-    best_first = Window.partitionBy("source", "query").orderBy(F.desc("raw"), "doc")
-    return (
-        scored.withColumn("place", F.row_number().over(best_first))
-        .filter(F.col("place") <= max(1, top))
-        .select("source", "query", "place", "doc", F.round("raw", digits).alias("score"))
-    )
+    top = max(1, top)
+    met = match_postings(index, queries, k1, b)
+    best = _best(_scored(met, candidates(met, top), hits), top)
+    return best.select("source", "query", "place", "doc", F.round("raw", digits).alias("score"), *(["hits"] if hits else []))
 
 
 def hit_terms(index: Index, queries: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Adds `hits`, the matched query terms of each ranked document, rarest first."""
-    found = (
-        _matches(index, queries)
-        .join(ranked.select("source", "query", "doc"), ["source", "query", "doc"], "left_semi")
-        .groupBy("source", "query", "doc")
-        .agg(F.array_sort(F.collect_list(F.struct((-F.round("idf", RANK_DIGITS)).alias("rare"), "position", "term"))).alias("found"))
-        .select("source", "query", "doc", F.transform("found", lambda t: t["term"]).alias("hits"))
-    )
-    return ranked.join(found, ["source", "query", "doc"])
+    """Adds `hits`, the matched query terms of each ranked document, rarest first. `bm25_topk` can give them itself."""
+    met = match_postings(index, queries)
+    found = _scored(met, stored(ranked.select("source", "query", "doc").distinct()), True)
+    return ranked.join(found.drop("raw"), ["source", "query", "doc"])
 
 
 def rank_eval(ranked: DataFrame, expected: DataFrame) -> DataFrame:

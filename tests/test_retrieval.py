@@ -74,3 +74,35 @@ def test_random_corpus_equals_brute_force(spark, partitions):
     for q, text in queries:
         rows = [(r["doc"], r["score"]) for r in got.filter(f"query = '{q}'").orderBy("place").collect()]
         assert rows == brute_force(docs, text, 10)
+
+
+@pytest.mark.parametrize("top", [1, 3, 7])
+def test_pruned_ranking_of_many_shapes_equals_brute_force(spark, top):
+    """Words of all frequencies, one in every document, repeated documents, queries of one word, of common and of unknown ones."""
+    rng = random.Random(top)
+    words = [f"w{k}" for k in range(60)]
+    weights = [1 / (k + 1) for k in range(60)]
+    docs = {f"d{k:03}": "all " * (1 + k % 3) + " ".join(rng.choices(words, weights, k=rng.randrange(1, 50))) for k in range(150)}
+    docs |= {f"e{k:03}": "all w0 w1 w2" for k in range(30)}
+    queries = [(f"q{k}", " ".join(rng.choices(words, k=rng.randrange(1, 9)))) for k in range(12)]
+    queries += [("all", "all"), ("common", "all w0"), ("tied", "w0 w1 all w2"), ("rare", "w59 all"), ("none", "zz"), ("half", "zz w0 zz"), ("", "")]
+    qs = spark.createDataFrame(queries, "query string, text string")
+    two = frame(spark, docs).unionByName(frame(spark, {"x": "w0 all", "y": "w59"}).selectExpr("'other' AS source", "doc", "text"))
+    got = rt.bm25_topk(rt.build_index(two), qs, top=top, hits=True)
+    rows = {}
+    for r in got.orderBy("place").collect():
+        rows.setdefault((r["source"], r["query"]), []).append((r["doc"], r["score"]))
+    want = {("c", q): brute_force(docs, t, top) for q, t in queries} | {("other", q): brute_force({"x": "w0 all", "y": "w59"}, t, top) for q, t in queries}
+    assert rows == {k: v for k, v in want.items() if v}
+    again = {(r["source"], r["query"], r["doc"]): r["hits"] for r in rt.hit_terms(rt.build_index(two), qs, got.drop("hits")).collect()}
+    assert again == {(r["source"], r["query"], r["doc"]): r["hits"] for r in got.collect()}
+
+
+def test_a_word_in_every_document_is_not_joined(spark):
+    """Far fewer documents are scored than meet a query, though every query uses a word that every document has."""
+    docs = {f"d{k:04}": f"the {'rare' if k % 400 == 7 else 'some'} w{k % 500} x{k % 90} the" for k in range(2_000)}
+    queries = spark.createDataFrame([(f"q{k}", f"the w{k * 9} x{k} rare") for k in range(30)], "query string, text string")
+    met = rt.match_postings(rt.build_index(frame(spark, docs)), queries)
+    pairs = met.postings.join(met.wanted, ["source", "term"]).select("query", "doc").distinct().count()
+    assert pairs == 2_000 * 30
+    assert rt.candidates(met, 5).count() < 2_000 * 30 / 10

@@ -9,6 +9,7 @@ from sievelight.operators import pages as pg
 from sievelight.operators import retrieval as rt
 from sievelight.operators import textaudit as ta
 from sievelight.plans.session import stored
+from sievelight.plans.sizing import broadcast_if_small
 from sievelight.sources.lines import decode_bytes
 from workload import inputs as i
 
@@ -34,8 +35,8 @@ def _index(spark, sf_dir):
     return rt.build_index(i.documents(spark, sf_dir))
 
 
-def _ranked(spark, sf_dir, digits=6):
-    return rt.bm25_topk(_index(spark, sf_dir), i.benchmark_queries(spark, sf_dir), digits=digits)
+def _ranked(spark, sf_dir, digits=6, hits=False):
+    return rt.bm25_topk(_index(spark, sf_dir), i.benchmark_queries(spark, sf_dir), digits=digits, hits=hits)
 
 
 def _postings(spark, sf_dir):
@@ -44,13 +45,12 @@ def _postings(spark, sf_dir):
 
 def _weights(spark, sf_dir):
     index = _index(spark, sf_dir)
-    weighted = index.df.join(index.stats, "source")
+    weighted = index.df.join(broadcast_if_small(index.stats), "source")
     return weighted.select("term", "df", F.round(rt.idf(F.col("df"), F.col("n")), 9).alias("idf"))
 
 
 def _hits(spark, sf_dir):
-    index, queries = _index(spark, sf_dir), i.benchmark_queries(spark, sf_dir)
-    got = rt.hit_terms(index, queries, rt.bm25_topk(index, queries, digits=6))
+    got = _ranked(spark, sf_dir, hits=True)
     return got.select("query", "place", "doc", F.array_join("hits", " ").alias("hits"))
 
 
