@@ -101,14 +101,16 @@ def transform_text(data: bytes, key: int | None, seed: int, share: int, spm_shar
 
 
 def fill_in_middle(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = (), seed: int = 42, share: int = 50, spm_share: int = 80, marks: Marks = Marks()
+    docs: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = (), seed: int = 42, share: int = 50, spm_share: int = 80, marks: Marks = Marks(),
+    restored: bool = False,
 ) -> DataFrame:
     """`key`, the columns `keep`, `n`, `form`, `prefix_chars`, `middle_chars` and `output` of every row.
 
     Whole texts are cut into `n` units at two places that seed and key decide. Of 100 texts `share` are transformed, of
     those `spm_share` with the suffix first (spm), others with the prefix first (psm); the rest stays as it is (plain),
     and so do null and empty texts, whose output is empty, and texts with a sentinel in them. Rows of one id have the
-    same draws and are transformed each; a null id reads as empty text. Columns of `docs` not named do no harm.
+    same draws and are transformed each; a null id reads as empty text. Columns of `docs` not named do no harm. With
+    `restored` each output is turned back where it was made, as `restore_text` does, which saves a second pass of Python.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,15 +119,17 @@ def fill_in_middle(
             made = [transform_text(t, k, seed, share, spm_share, marks) for k, t in zip(ids, texts, strict=True)]
             n, form, before, middle, output = zip(*made, strict=True)
             added = [pa.array(n, pa.int64()), pa.array(form, pa.string()), pa.array(before, pa.int64()), pa.array(middle, pa.int64()), pa.array(output, pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in names] + added, [*names, "n", "form", "prefix_chars", "middle_chars", "output"]
-            )
+            if restored:
+                added.append(pa.array([from_middle(o, f, marks) for o, f in zip(output, form, strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + added, [*names, *made_names])
 
     names = [key, *keep]
+    made_names = ["n", "form", "prefix_chars", "middle_chars", "output", *(["restored"] if restored else [])]
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", n long, form string, prefix_chars long, middle_chars long, output binary"
+    schema += ", restored binary" if restored else ""
     rows = docs.select(*names, F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)
-    return rows.withColumn("output", F.col("output").cast("string"))
+    return rows.withColumns({c: F.col(c).cast("string") for c in made_names[4:]})
 
 
 def restore_text(rows: DataFrame, keep: Sequence[str] = ("doc_id",), output: str = "output", form: str = "form", marks: Marks = Marks()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievelight.llm.decontam import benchmark_hits, contaminated
 from sievelight.llm.jaccard import jaccard_components
 from sievelight.llm.merkle import fold, hex_of, merkle_proofs, proof_digest, row_digest
-from sievelight.llm.middle import fill_in_middle, restore_text
+from sievelight.llm.middle import fill_in_middle
 from sievelight.llm.pieces import build_dictionary, document_digests, encoded_segments, load_model
 from sievelight.llm.quality import quality_verdicts
 from sievelight.llm.ranking import document_features, fit_quality_ranking, ranked_documents
@@ -299,11 +299,9 @@ FROM placed p JOIN low_top t ON t.tree = p.tree JOIN ends e ON e.tree = p.tree A
 
 
 def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = fill_in_middle(_table(spark, sf_dir, "documents"))
-    facts = ("doc_id", "n", "form", "prefix_chars", "middle_chars")
-    made = made.select(*facts, "output", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"))
-    back = restore_text(made, keep=(*facts, "output_sha256"))
-    return back.select(*facts, "output_sha256", F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+    made = fill_in_middle(_table(spark, sf_dir, "documents"), restored=True)
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
 def _draw_sql(k: int) -> str:

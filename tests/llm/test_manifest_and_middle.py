@@ -126,6 +126,8 @@ def test_middle_equals_plain_python_and_comes_back(spark):
     assert {x[2][1] for x in got} == {"plain", "psm", "spm"}
     back = restore_text(made, keep=("doc_id", "text")).collect()
     assert len(back) == len(rows) and all(r["restored"] == (r["text"] or "") for r in back)
+    same = fill_in_middle(df, keep=("text",), restored=True).collect()
+    assert len(same) == len(rows) and all(r["restored"] == (r["text"] or "") for r in same)
     assert fill_in_middle(df.limit(0)).collect() == [] and restore_text(made.limit(0)).collect() == []
     (bare,) = restore_text(spark.createDataFrame([(1, None, None)], "doc_id long, output string, form string")).collect()
     assert bare["restored"] == ""
