@@ -31,7 +31,7 @@ def _home(path: Column) -> Column:
 
 def _table(spark: SparkSession, root: str, name: str, wanted: list[str]) -> DataFrame:
     """Rows of a CSV per campaign; columns are found by lower-cased header cell, absent ones are empty."""
-    lines = read_numbered_lines(spark, root, glob=name).filter(F.col("n").isNotNull())
+    lines = read_numbered_lines(spark, root, glob=name, kept_only=True)
     cells = lines.select("source", "n", F.transform(F.split("line", ",", -1), trim).alias("cells"))
     heads = cells.groupBy("source").agg(
         F.count("*").alias("copies"), F.max(F.when(F.col("n") == 1, F.transform("cells", F.lower))).alias("head")

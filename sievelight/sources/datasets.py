@@ -25,7 +25,7 @@ def read_csv_dataset(spark: SparkSession, path: str) -> DataFrame:
     options = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
     shape = ", ".join(f"{_named(name)} string" for name in header)
     cells = F.array(*[F.coalesce(F.col("row")[name], F.lit("")) for name in header])
-    lines = read_numbered_lines(spark, path).filter(F.col("n").isNotNull())
+    lines = read_numbered_lines(spark, path, kept_only=True)
     lines = lines.select("source", "n", F.from_csv("line", shape, options).alias("row")).select("source", "n", cells.alias("cells"))
     other = (F.col("n") == 1) & (F.col("cells") != F.array(*map(F.lit, header)))
     # The check is part of the filter, or the optimizer would drop header rows before they are looked at.
@@ -45,7 +45,7 @@ def _from_json_rows(rows: DataFrame, schema: T.StructType) -> DataFrame:
 def read_jsonl_dataset(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """One object per line; lines that do not start an object are skipped and not counted. A broken object is an error."""
     schema = schema or spark.read.json(path).drop("_corrupt_record").schema
-    lines = read_numbered_lines(spark, path, keep=trim(F.col("line")).startswith("{")).filter(F.col("n").isNotNull())
+    lines = read_numbered_lines(spark, path, keep=trim(F.col("line")).startswith("{"), kept_only=True)
     broken = F.raise_error(F.concat(F.lit("broken JSON in row "), F.col("n"), F.lit(" of "), F.col("source"))).cast("string")
     whole = F.when(trim(F.col("line")).endswith("}") & F.from_json("line", JSON_MAP).isNotNull(), F.col("line")).otherwise(broken)
     return _from_json_rows(lines.select("source", "n", whole.alias("object")), schema)

@@ -9,50 +9,62 @@ from sievelight.functions.compat import is_blank, split_lines
 from sievelight.functions.text import stamp_ms
 
 
-def read_numbered_lines(spark: SparkSession, path: str, keep: Column | None = None, glob: str | None = None) -> DataFrame:
+#: File blocks whose places are broadcast at most; more meet their lines in Spark's own choice of join.
+BLOCKS = 1_000_000
+
+
+def read_numbered_lines(
+    spark: SparkSession, path: str, keep: Column | None = None, glob: str | None = None, kept_only: bool = False
+) -> DataFrame:
     """`source, line_no, n, line` of text files of any size.
 
-    `line_no` counts physical lines from 1, `n` the lines for which `keep` (over `line`) holds, NULL for others.
-    Lines are numbered inside their file block; blocks then start where the blocks before them end, which
-    needs only two counts per block. `glob` takes the files of that name anywhere below the path. Lines are UTF-8; a
+    `line_no` counts physical lines from 1, `n` the lines for which `keep` (over `line`) holds, NULL for others, which are
+    left out with `kept_only`. `glob` takes the files of that name anywhere below the path. Lines are UTF-8; a
     file that starts with a UTF-16 mark is an error, since its lines can't be told apart here (see `read_text_files`).
+
+    Lines stay in the task that reads them. A task counts its lines twice, before and after the filter; both counts less
+    their value at the start of the line's file block are places inside the block, and blocks start where the blocks
+    before them end. Two numbers per block are all that meets the lines, as a broadcast.
     """
     keep = ~is_blank(F.col("line")) if keep is None else keep
     reader = spark.read.option("lineSep", "\n")
     if glob:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-    raw = (
-        reader.text(path)
-        .select(
-            F.col("_metadata.file_path").alias("source"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_at"),
-            F.regexp_replace("value", "\r\\z", "").alias("line"),
-        )
-        .withColumn("_keep", keep.cast("int"))
-    )
-    before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        raw.groupBy("source", "_block")
-        .agg(F.count("*").alias("_lines"), F.sum("_keep").alias("_kept"))
-        .select(
-            "source",
-            "_block",
-            F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_lines_before"),
-            F.coalesce(F.sum("_kept").over(before), F.lit(0)).alias("_kept_before"),
-        )
+    files = reader.text(path)
+    raw = files.select(
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+        F.regexp_replace("value", "\r\\z", "").alias("line"),
+    ).withColumn("_keep", F.coalesce(keep, F.lit(False)))
+    counts = raw.groupBy("source", "_block").agg(
+        F.min("_at").alias("_first"), F.count("*").alias("_lines"), F.count_if("_keep").alias("_kept")
     )
-    inside = Window.partitionBy("source", "_block").orderBy("_at")
-    numbered = raw.withColumn("_row", F.row_number().over(inside)).withColumn(
-        "_nth", F.sum("_keep").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    file_order = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # A task may read blocks of many files; its count of kept lines goes on from one to the next.
+    task = F.shiftright("_first", 33)
+    task_order = Window.partitionBy(task).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(count: str, order: Window) -> Column:
+        return F.coalesce(F.sum(count).over(order), F.lit(0))
+
+    starts = counts.select(
+        "source",
+        "_block",
+        (before("_lines", file_order) - F.col("_first") + 1).alias("_shift"),
+        (before("_kept", file_order) - before("_kept", task_order) - F.shiftleft(task, 33) + 1).alias("_kept_shift"),
     )
-    line_no = F.col("_lines_before") + F.col("_row")
+    if len(files.inputFiles()) + files.rdd.getNumPartitions() <= BLOCKS:
+        starts = F.broadcast(starts)
+    kept = raw.filter("_keep").withColumn("_nth", F.monotonically_increasing_id())
+    rows = kept if kept_only else kept.unionByName(raw.filter("NOT _keep").withColumn("_nth", F.lit(None).cast("long")))
+    line_no = F.col("_at") + F.col("_shift")
     marked = F.left("line", F.lit(2)) == "\ufffd\ufffd"
     utf16 = F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("source"))).cast("string")
-    return numbered.join(starts, ["source", "_block"]).select(
+    return rows.join(starts, ["source", "_block"]).select(
         "source",
         line_no.alias("line_no"),
-        F.when(F.col("_keep") == 1, F.col("_kept_before") + F.col("_nth")).alias("n"),
+        (F.col("_nth") + F.col("_kept_shift")).alias("n"),
         F.when((line_no == 1) & marked, utf16).when(line_no == 1, F.regexp_replace("line", "^﻿", "")).otherwise(F.col("line")).alias("line"),
     )
 
@@ -64,7 +76,7 @@ def with_stamps(lines: DataFrame, keep_blank: bool) -> DataFrame:
 
 def read_log_lines(spark: SparkSession, path: str, keep_blank: bool = False) -> DataFrame:
     """`source, line_no, n, line, ts_ms`; `n` counts non-blank lines. Blank lines stay with `keep_blank`."""
-    return with_stamps(read_numbered_lines(spark, path), keep_blank)
+    return with_stamps(read_numbered_lines(spark, path, kept_only=not keep_blank), keep_blank)
 
 
 def log_lines_from_text(files: DataFrame, keep_blank: bool = False) -> DataFrame:

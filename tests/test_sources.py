@@ -1,6 +1,7 @@
 import codecs
 import json
 import os
+import re
 
 import pytest
 from helpers import rows_of, stamp
@@ -44,6 +45,33 @@ def test_line_numbers_of_split_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+@pytest.mark.parametrize(("size", "cost"), [("300", "1"), ("20000", "1"), ("20000", "4000")])
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path, size, cost):
+    """Several blocks a file and several files a task, blocks without kept lines; no line is shuffled or sorted."""
+    want = []
+    for name in ("a", "b", "c", "d", "e"):
+        rows = [("" if (k // 40) % 2 else "x" * (k % 7)) for k in range(ord(name) % 5 * 90 + 3)]
+        put(tmp_path, f"{name}.log", "\n".join(rows))
+        numbered = iter(range(1, len(rows) + 1))
+        want += [(name, no, next(numbered) if row else None, row) for no, row in enumerate(rows, 1)]
+        if not rows[-1]:
+            want.pop()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for key, value in zip(before, (size, cost), strict=True):
+            spark.conf.set(key, value)
+        for kept_only in (True, False):
+            df = read_numbered_lines(spark, str(tmp_path), kept_only=kept_only)
+            got = [(r["source"][-5], r["line_no"], r["n"], r["line"]) for r in df.collect()]
+            assert sorted(map(repr, got)) == sorted(repr(w) for w in want if w[2] or not kept_only)
+            plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+            moved = re.findall(r"\(\d+\) (?:Exchange|Sort|Window)\b.*\nInput \[\d+\]: (.*)", plan)
+            assert moved and not any("line#" in x or "value#" in x for x in moved)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_encodings(spark, tmp_path):
     log = "2031-03-09T08:00:05Z ERROR burst 1\n2031-03-09T08:00:06Z ERROR burst 2\n"
     put(tmp_path, "wide.log", codecs.BOM_UTF16_LE + log.encode("utf-16-le"))

@@ -89,12 +89,12 @@ SQL_REPLIES = """SELECT conv_id, length(t) AS chars, md5(t) AS digest FROM (
 
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document ids by source: as a JSON array in one half of the files, as the keys of an object in the other."""
-    docs = i.table(spark, sf_dir, "documents").select("source", F.concat(F.lit("bt-"), "doc_id").alias("id"), (F.crc32("source") % 2).alias("half"))
-    sets = docs.groupBy("source", "half").agg(F.collect_list("id").alias("ids"))
+    """Document ids in files of up to five hundred per source: a JSON array in one half, the keys of an object in the other."""
+    docs = i.table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 500).alias("part"), F.concat(F.lit("bt-"), "doc_id").alias("id"))
+    sets = docs.groupBy("source", "part").agg(F.collect_list("id").alias("ids"))
     seen = F.map_from_arrays(F.col("ids"), F.transform("ids", lambda _: F.lit("seen")))
-    texts = sets.select("source", F.when(F.col("half") == 0, F.to_json("ids")).otherwise(F.to_json(seen)).alias("text"))
-    return corpus.read_known(spark, _one_file_each(texts, ["source"], "text"))
+    texts = sets.select("source", "part", F.when((F.crc32("source") + F.col("part")) % 2 == 0, F.to_json("ids")).otherwise(F.to_json(seen)).alias("text"))
+    return corpus.read_known(spark, _one_file_each(texts, ["source", "part"], "text"))
 
 
 def _named_files(spark: SparkSession, files: DataFrame) -> str:
@@ -139,16 +139,20 @@ SQL_CAMPAIGN_FILES = (
 
 
 def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as log files, one per language: line numbers, blank lines and what counts as a line."""
-    docs = i.table(spark, sf_dir, "documents").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("all"))
-    texts = docs.select("lang", F.array_join(F.transform("all", lambda x: x["text"]), "\n\n").alias("text"))
-    got = read_log_lines(spark, _one_file_each(texts, ["lang"], "text"))
-    return got.select(F.regexp_extract("source", "lang=([^/]*)/", 1).alias("lang"), "line_no", "n", F.length("line").alias("chars"))
-
-
-SQL_LOG_LINES = """WITH t AS (SELECT lang, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1),
-l AS (SELECT lang, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS line_no FROM (SELECT lang, string_split(text, chr(10)) AS parts FROM t))
-SELECT lang, line_no, row_number() OVER (PARTITION BY lang ORDER BY line_no) AS n, CAST(length(line) AS INTEGER) AS chars FROM l WHERE trim(line) <> ''"""
+    """Documents as log files of five hundred ids per language: line numbers, blank lines and what counts as a line."""
+    docs = i.table(spark, sf_dir, "documents").select("lang", F.floor(F.col("doc_id") / 500).alias("part"), F.struct("doc_id", "text").alias("doc"))
+    parts = docs.groupBy("lang", "part").agg(F.array_sort(F.collect_list("doc")).alias("all"))
+    texts = parts.select("lang", "part", F.array_join(F.transform("all", lambda x: x["text"]), "\n\n").alias("text"))
+    got = read_log_lines(spark, _one_file_each(texts, ["lang", "part"], "text"))
+    place = "lang=([^/]*)/part=([0-9]+)/"
+    return got.select(
+        F.regexp_extract("source", place, 1).alias("lang"), F.regexp_extract("source", place, 2).cast("long").alias("part"), "line_no", "n", F.length("line").alias("chars")
+    )
+
+
+SQL_LOG_LINES = """WITH t AS (SELECT lang, doc_id // 500 AS part, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1, 2),
+l AS (SELECT lang, part, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS line_no FROM (SELECT lang, part, string_split(text, chr(10)) AS parts FROM t))
+SELECT lang, part, line_no, row_number() OVER (PARTITION BY lang, part ORDER BY line_no) AS n, CAST(length(line) AS INTEGER) AS chars FROM l WHERE trim(line) <> ''"""
 
 QUERIES = {
     "read_dataset_json": (_json_arrays, SQL_ARRAYS),
