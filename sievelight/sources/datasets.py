@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelight.functions.compat import trim
-from sievelight.sources.lines import read_numbered_lines, read_text_files
+from sievelight.sources.json_ranges import read_json_objects
+from sievelight.sources.lines import read_numbered_lines
 
 JSON_MAP = "map<string,string>"
 
@@ -52,17 +53,12 @@ def read_jsonl_dataset(spark: SparkSession, path: str, schema: T.StructType | No
 
 
 def read_json_dataset(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """An array of objects per file; anything else is an error."""
-    schema = schema or spark.read.option("multiLine", True).json(path).schema
-    files = read_text_files(spark, path)
-    is_array = F.left(trim(F.col("text")), F.lit(1)) == "["
-    objects = F.from_json("text", f"array<{JSON_MAP}>")
-    checked = F.when(is_array & objects.isNotNull(), objects).otherwise(
-        F.raise_error(F.lit("json dataset must be an array")).cast(f"array<{JSON_MAP}>")
-    )
-    typed = F.from_json("text", T.ArrayType(schema))
-    rows = files.select("source", F.posexplode(F.arrays_zip(checked.alias("fields"), typed.alias("row"))).alias("at", "x"))
-    return rows.select("source", (F.col("at") + 1).cast("long").alias("n"), "x.fields", *[F.col("x.row")[c].alias(c) for c in schema.names])
+    """An array of objects per file, of any size; anything else is an error. Many tasks share a large file (see `json_ranges`)."""
+    objects = read_json_objects(spark, path)
+    schema = schema or spark.read.json(objects.select("object").rdd.map(lambda row: row["object"])).drop("_corrupt_record").schema
+    broken = F.raise_error(F.concat(F.lit("broken JSON in row "), F.col("n"), F.lit(" of "), F.col("source"))).cast("string")
+    whole = F.when(F.from_json("object", JSON_MAP).isNotNull(), F.col("object")).otherwise(broken)
+    return _from_json_rows(objects.select("source", "n", whole.alias("object")), schema)
 
 
 READERS = {"csv": read_csv_dataset, "json": read_json_dataset, "jsonl": read_jsonl_dataset}

@@ -1,18 +1,20 @@
 import codecs
 import json
 import os
+import random
 import re
 
 import pytest
 from helpers import rows_of, stamp
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievelight.operators import cleaning as cl
 from sievelight.operators import triage as tr
 from sievelight.operators.evaluation import pass_gate, score_answers
 from sievelight.operators.findings import union_findings
 from sievelight.operators.retrieval import bm25_topk, build_index
-from sievelight.sources import corpus, datasets, lines, sinks
+from sievelight.sources import corpus, datasets, json_ranges, lines, sinks
 from sievelight.sources.campaigns import read_campaigns
 from sievelight.sources.lines import read_numbered_lines
 
@@ -126,6 +128,89 @@ def test_json_datasets(spark, tmp_path):
         datasets.read_dataset(spark, bad).collect()
 
 
+def odd_objects(seed, count):
+    """Objects whose strings hold quotes, braces, brackets, backslashes and wide characters, and whose values nest."""
+    rng = random.Random(seed)
+    texts = ["}", "{", '"', "\\", '\\"', "},{", "[]", "é", "\U0001f600", "a", " ", ",", ":", "\n", "\\\\", "]", '{"x": 1}']
+
+    def value(depth):
+        pick = rng.randrange(7 if depth < 3 else 4)
+        if pick < 3:
+            return "".join(rng.choices(texts, k=rng.randrange(6)))
+        return [rng.randrange(99), None, {f"k{k}": value(depth + 1) for k in range(rng.randrange(3))}, [value(depth + 1) for _ in range(rng.randrange(3))], True, 1.5][pick - 3 if pick < 7 else 0]
+
+    return [{"id": str(k), **{f"v{j}": value(0) for j in range(rng.randrange(4))}} for k in range(count)]
+
+
+@pytest.fixture
+def small_blocks(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+
+    def use(size, cost="1"):
+        for key, given in zip(before, (size, cost), strict=True):
+            spark.conf.set(key, given)
+
+    yield use
+    for key, given in before.items():
+        spark.conf.set(key, given)
+
+
+@pytest.mark.parametrize(("size", "cost"), [("40", "1"), ("700", "1"), ("5000", "100"), ("10000000", "1")])
+def test_json_arrays_by_byte_ranges(spark, tmp_path, small_blocks, size, cost):
+    """Arrays without line ends, with many, with a mark, of one object and of none: the objects of every file, in order."""
+    rows = odd_objects(int(size), 60 if size == "40" else 400)
+    files = {"a": (rows, json.dumps(rows)), "b": (rows[:50], json.dumps(rows[:50], indent=2, ensure_ascii=False) + "\n \n"), "c": (rows[:1], " [" + json.dumps(rows[0]) + "]")}
+    files |= {"d": ([], "[\n]"), "e": (rows[:9], "\ufeff" + json.dumps(rows[:9]))}
+    for name, (_, text) in files.items():
+        put(tmp_path, f"{name}.json", text)
+    put(tmp_path, "w.json", codecs.BOM_UTF16_LE + json.dumps(rows[:7]).encode("utf-16-le"))
+    small_blocks(size, cost)
+    got = {}
+    for r in json_ranges.read_json_objects(spark, str(tmp_path)).collect():
+        got.setdefault(r["source"][-6], []).append((r["n"], json.loads(r["object"])))
+    want = {name: list(enumerate(part, 1)) for name, (part, _) in files.items() if part} | {"w": list(enumerate(rows[:7], 1))}
+    assert {name: sorted(found, key=lambda x: x[0]) for name, found in got.items()} == want
+    schema = T.StructType([T.StructField("id", T.StringType())])
+    assert rows_of(datasets.read_json_dataset(spark, str(tmp_path / "a.json"), schema), "n", "id") == [(k, r["id"]) for k, r in enumerate(rows, 1)]
+
+
+def test_one_line_arrays_are_read_by_many_tasks(spark, tmp_path, small_blocks):
+    """One file without a line end: tasks share it, and only objects on the edges of blocks are shuffled."""
+    path = put(tmp_path, "a.json", json.dumps([{"id": k, "text": "x" * 90} for k in range(3_000)]))
+    small_blocks("20000")
+    df = json_ranges.read_json_objects(spark, path)
+    files = spark.read.option("lineSep", "}").text(path)
+    tasks = files.rdd.getNumPartitions()
+    assert tasks > 10
+    assert df.count() == 3_000
+    shape = "source string, n long, block long, object binary"
+    raw = files.selectExpr("_metadata.file_path AS source", "_metadata.file_block_start AS block", "cast(value AS binary) AS value")
+    states = json_ranges.block_states(raw.mapInArrow(json_ranges._summaries, json_ranges._SUMMARY))
+    parts = raw.join(F.broadcast(states), ["source", "block"]).mapInArrow(json_ranges._cut(True), shape)
+    assert 0 < parts.count() <= 2 * tasks
+
+
+BROKEN = [
+    " ", "{}", '{"id": 1}', "null", '"[{}]"', "[", "[{}", "[{},", '[{"a": 1}, {"b": 2}', "[{}]]", "[{}] [{}]", "[{}] x", "x [{}]", "[{} {}]", "[{},]", "[,{}]", "[{},,{}]",
+    "[1, {}]", "[{}, 2]", '["a"]', "[null]", "[[{}]]", '[{"a": "x}]', '[{"a": [1}]', '[{"a": 1]]', "[{}}", "[{]}]", '[{"a"}]', "[{a: }]", '[{"a": 1} "b"]', "]", "}{",
+]
+
+
+@pytest.mark.parametrize(("size", "every"), [("3", 1), ("10000000", 5)])
+def test_broken_arrays_are_errors(spark, tmp_path, small_blocks, size, every):
+    small_blocks(size)
+    schema = T.StructType([T.StructField("id", T.StringType())])
+    passed = []
+    for k, text in enumerate(BROKEN[::every]):
+        path = put(tmp_path, f"{k}/x.json", text)
+        try:
+            datasets.read_json_dataset(spark, path, schema).collect()
+            passed.append(text)
+        except Exception as error:
+            assert "must be an array" in str(error) or "broken JSON" in str(error), (text, str(error)[:300])
+    assert passed == []
+
+
 def test_corpus(spark, tmp_path):
     put(tmp_path, "shop/oven.md", "the oven bakes bread")
     put(tmp_path, "shop/deep/boat.TXT", "the boat sails")
