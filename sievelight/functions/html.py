@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,31 +19,63 @@ def has_attribute(tag: Column, name: str) -> Column:
     return tag.rlike(regex(rf"\b{name}\s*=", "i"))
 
 
+#: Matches whose running sums are made in one fold; it copies its result at every match, so it is kept short.
+RUN = 256
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once: inside another lambda it would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(steps: Column, kind: str) -> Column:
+    """struct<chars, lines, seen>: sums over structs of `chars` and `lines`, and the sums before each of them, in order."""
+    state = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("lines"), F.array().cast(f"array<{kind}>").alias("seen"))
+
+    def step(sums: Column, one: Column) -> Column:
+        chars, lines = sums["chars"], sums["lines"]
+        now = F.struct(chars.alias("chars"), lines.alias("lines"))
+        return F.struct((chars + one["chars"]).alias("chars"), (lines + one["lines"]).alias("lines"), F.array_append(sums["seen"], now).alias("seen"))
+
+    return F.aggregate(steps, state, step)
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """array<struct<match, start, line>> of every match: 1-based offset and line number.
 
     The pieces between matches and the matches themselves cover the text once, so both numbers
-    are running sums over them and the text is not cut again for each match.
+    are running sums over them and the text is not cut again for each match. The sums are made in runs of RUN
+    matches and once more over the runs, so that the work grows with the number of matches and not with its square.
     """
-    java = F.lit(pattern)
+    java, kind = F.lit(pattern), "struct<chars:int,lines:int>"
     found = F.regexp_extract_all(text, java, F.lit(0))
-    pieces = F.slice(F.split(text, java, -1), F.lit(1), F.size(found))
-    pairs = F.arrays_zip(pieces.alias("piece"), found.alias("match"))
-    none = F.array().cast("array<struct<match:string,start:int,line:int>>")
-    state = F.struct(F.lit(1).alias("at"), F.lit(1).alias("line"), none.alias("spans"))
+    pairs = F.arrays_zip(F.split(text, java, -1).alias("piece"), found.alias("match"))
 
-    def step(seen: Column, pair: Column) -> Column:
+    def place(pair: Column) -> Column:
         piece, match = pair["piece"], pair["match"]
-        start = seen["at"] + F.length(piece)
-        line = seen["line"] + newlines(piece)
-        span = F.struct(match.alias("match"), start.alias("start"), line.alias("line"))
-        return F.struct(
-            (start + F.length(match)).alias("at"),
-            (line + newlines(match)).alias("line"),
-            F.array_append(seen["spans"], span).alias("spans"),
-        )
-
-    return F.aggregate(pairs, state, step, lambda seen: seen["spans"])
+        both = F.length(piece) + F.length(match), newlines(piece) + newlines(match)
+        return F.struct(match.alias("match"), F.length(piece).alias("before"), newlines(piece).alias("above"), both[0].alias("chars"), both[1].alias("lines"))
+
+    def cut(places: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(places), F.lit(1)), F.lit(RUN))
+        return F.transform(starts, lambda at: _bound(F.slice(places, at, F.lit(RUN)), lambda run: F.struct(run.alias("run"), _running(run, kind).alias("sums"))))
+
+    def spans(runs: Column) -> Column:
+        before = _running(F.transform(runs, lambda r: r["sums"]), kind)["seen"]
+
+        def shifted(run: Column, base: Column) -> Column:
+            def span(one: Column, seen: Column) -> Column:
+                start = base["chars"] + seen["chars"] + one["before"] + 1
+                line = base["lines"] + seen["lines"] + one["above"] + 1
+                return F.struct(one["match"].alias("match"), start.alias("start"), line.alias("line"))
+
+            return F.zip_with(run["run"], run["sums"]["seen"], span)
+
+        return F.flatten(F.zip_with(runs, before, shifted))
+
+    # The piece after the last match has none of its own and leaves with it.
+    places = F.filter(F.transform(pairs, place), lambda p: p["match"].isNotNull())
+    return _bound(_bound(places, cut), spans)
 
 
 def newlines(text: Column) -> Column:

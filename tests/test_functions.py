@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +151,22 @@ def test_match_spans_give_offsets_and_lines(spark):
     assert [(s["start"], s["line"]) for s in spans] == want
 
 
+def test_match_spans_of_many_matches(spark):
+    """Runs of matches join without a seam; ten times the matches cost about ten times the work."""
+    bodies = [("é<i>\n" * n + "\n<i><i>" * (n % 7) + "tail") for n in (0, 1, 255, 256, 257, 700)] + ["", "<i>", "none\n"]
+    for body, spans in zip(bodies, many(spark, bodies, lambda c: match_spans(c, "<i>\n?")), strict=True):
+        want = [(m.group(), m.start() + 1, body[: m.start()].count("\n") + 1) for m in re.finditer("<i>\n?", body)]
+        assert [tuple(s) for s in spans] == want
+    assert one(spark, None, lambda c: match_spans(c, "<i>")) is None
+    times = []
+    for n in (10_000, 100_000):
+        df = spark.createDataFrame([("ab\nc<i>" * n,)], "body string").select(F.element_at(match_spans(F.col("body"), "<i>"), -1).alias("last"))
+        start = time.time()
+        assert df.first()["last"]["line"] == n + 1
+        times.append(time.time() - start)
+    assert times[1] < 40 * max(times[0], 0.1)
+
+
 def test_wilson_values(spark):
     df = spark.sql("select * from values (48, 50), (0, 0), (10, 10) as t(p, n)")
     got = [r[0] for r in df.select(wilson_interval(F.col("p"), F.col("n"))).collect()]
