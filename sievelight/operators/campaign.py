@@ -119,14 +119,14 @@ def scoreboard_join(visits: DataFrame, sales: DataFrame, campaigns: DataFrame) -
 def campaign_findings(
     campaigns: DataFrame, posts: DataFrame, include_text: bool = False, required: Sequence[str] = UTM3
 ) -> DataFrame:
-    """All four checks over campaign files and posts."""
+    """All four checks over campaign files and posts; `required` are the fields that campaigns and links must have."""
     links = extract_links(posts)
     texts = posts.unionByName(
         campaigns.filter(F.col("text").isNotNull()).select("source", F.lit("campaign.json").alias("file"), "text")
     )
     return union_findings(
         [
-            campaign_fields(campaigns),
+            campaign_fields(campaigns, required),
             bad_utm(links, include_text),
             missing_utm(links, required, include_text),
             pii_scan(lines_of_files(texts)),

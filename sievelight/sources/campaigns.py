@@ -45,17 +45,34 @@ def _table(spark: SparkSession, root: str, name: str, wanted: list[str]) -> Data
     return rows.select(_home(F.col("source")).alias("source"), *[cell(c) for c in wanted])
 
 
+def _any_case(glob: str) -> str:
+    """File names are told apart without regard to case."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in glob)
+
+
+def _placed(files: DataFrame, path: str, *columns: str) -> DataFrame:
+    """Files of a campaign folder as `source, file` and the columns named."""
+    home, file = _home(F.col(path)).alias("source"), F.regexp_extract(path, HOME, 2).alias("file")
+    return files.select(home, file, *columns).filter(F.col("file") != "")
+
+
 def read_campaigns(spark: SparkSession, root: str) -> Campaigns:
-    every = read_text_files(spark, root)
-    placed = every.select(
-        _home(F.col("source")).alias("source"), F.regexp_extract("source", HOME, 2).alias("file"), "text"
-    ).filter(F.col("file") != "")
-    raw = placed.filter(F.col("file") == "campaign.json").select("source", F.col("text"))
-    homes = placed.select("source").distinct()
+    """The campaigns below a folder.
+
+    Campaign files and posts are read whole, each kind by its own names; tables are read by lines, and whole only where
+    `files` is asked for. Which folders there are comes from the listing, without any contents.
+    """
+    own = _placed(read_text_files(spark, root, glob=_any_case("campaign.json")), "source", "text")
+    posts = _placed(read_text_files(spark, root, glob=_any_case("*.md")), "source", "text")
+    tables = _placed(read_text_files(spark, root, glob=_any_case("*.csv")), "source", "text")
+    placed = own.unionByName(posts).unionByName(tables)
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    raw = own.filter(F.col("file") == "campaign.json").select("source", F.col("text"))
+    homes = _placed(listing, "path").select("source").distinct()
     is_object = (F.left(trim(F.col("text")), F.lit(1)) == "{") & is_json(F.col("text"))
     fields = F.when(is_object, F.from_json("text", "map<string,string>", {"mode": "PERMISSIVE"}))
     campaigns = homes.join(raw, "source", "left").select("source", fields.alias("fields"), "text")
-    posts = placed.filter(F.col("file").rlike(r"^posts/"))
+    posts = posts.filter(F.col("file").rlike(r"^posts/"))
     order = F.when(F.col("file") == "campaign.json", "0").when(F.col("file") == "visits.csv", "2").when(F.col("file") == "sales.csv", "3")
     position = F.coalesce(order, F.concat(F.lit("1"), F.col("file")))
     return Campaigns(

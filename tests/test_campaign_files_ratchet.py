@@ -47,6 +47,23 @@ def named(df):
     return df.withColumn("source", F.substring_index("source", "/", -1))
 
 
+def test_only_required_fields_are_asked_for(campaigns):
+    """A narrower list goes for campaign files and links alike; a wider one too."""
+    found = named(cp.campaign_findings(campaigns.campaigns, campaigns.posts, required=("utm_source", "utm_medium")))
+    assert rows_of(found.filter("kind LIKE 'missing%' AND source = 'bad'"), "kind", "row", "key") == [("missing-utm", 1, "posts/one.md")]
+    wide = named(cp.campaign_findings(campaigns.campaigns, campaigns.posts, required=("utm_source", "utm_term")))
+    assert rows_of(wide.filter("kind = 'missing-field' AND source = 'good'"), "key") == [("utm_term",)]
+
+
+def test_tables_are_not_read_as_whole_files(campaigns):
+    """Campaign files and posts come from readers of their own names; the listing of folders reads no contents."""
+    for df in (campaigns.campaigns, campaigns.posts):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        reads = [line for line in plan.split("\n") if "FileScan binaryFile" in line]
+        assert reads and all("Csv" not in line and "[cC][sS][vV]" not in line for line in reads)
+        assert sum("content" in line.split("Batched")[0] for line in reads) == 1
+
+
 def test_campaign_findings(campaigns):
     found = named(cp.campaign_findings(campaigns.campaigns, campaigns.posts))
     assert rows_of(found, "source", "kind", "row", "key") == in_order(
