@@ -100,7 +100,7 @@ def pattern_agg(
     Texts are fetched once per pattern by line number, which is unique per source. The numbers wanted are broadcast when
     they are few, so that the log stays where it is. Patterns and samples are whole unless a number of characters is given.
     """
-    counts = pattern_counts(lines) if counts is None else counts
+    counts = stored(pattern_counts(lines)) if counts is None else counts
     wanted = counts.select(
         "source",
         "key",
@@ -145,7 +145,7 @@ def attach_continuations(
     Entries without continuation lines are left out. A continuation belongs to the nearest entry above it;
     blank lines do not break the chain.
     """
-    counts = pattern_counts(lines) if counts is None else counts
+    counts = stored(pattern_counts(lines)) if counts is None else counts
     line = F.col("line")
     continued = tx.is_continuation(line)
     slim = lines.filter(tx.filled(line)).select(
@@ -175,7 +175,7 @@ def line_context(lines: DataFrame, before: int = BEFORE_LINES, anchors: DataFram
     `anchors` is `source, line_no`, by default the first line of every pattern.
     """
     if anchors is None:
-        anchors = pattern_counts(lines).select("source", F.col("first_line").alias("line_no"))
+        anchors = stored(pattern_counts(lines).select("source", F.col("first_line").alias("line_no")))
     above = anchors.select(
         "source",
         F.col("line_no").alias("anchor"),
