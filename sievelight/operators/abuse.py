@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.functions import text as tx
 from sievelight.operators.findings import as_findings, first_per_kind, text, union_findings
 from sievelight.plans.blocks import BLOCK_ROWS, dense_index
 from sievelight.plans.spread import explode_once
-from sievelight.plans.windows import forward_counts, forward_distinct
+from sievelight.plans.windows import forward_counts, forward_distinct, tagged_counts
 
 # Default thresholds.
 RATE_EVENTS, RATE_WINDOW_MS = 12, 60_000
@@ -98,6 +98,36 @@ def _span(window_ms: int) -> str:
     return f"{seconds // 60}min" if seconds >= 120 and seconds % 60 == 0 else f"{seconds}s"
 
 
+def window_findings(
+    lines: DataFrame,
+    rate: tuple[int, int] = (RATE_EVENTS, RATE_WINDOW_MS),
+    auth: tuple[int, int] = (AUTH_LINES, AUTH_WINDOW_MS),
+    sweep: tuple[int, int] = (SWEEP_IDS, SWEEP_WINDOW_MS),
+) -> DataFrame:
+    """Rate bursts, denial bursts and id sweeps as findings, from one pass over the lines.
+
+    A line counts under each signal that it belongs to; all signals share the shuffles of `tagged_counts`.
+    """
+    line, no_token = F.col("line"), F.lit(None).cast("string").alias("token")
+
+    def mark(tag: str) -> Column:
+        return F.struct(F.lit(tag).alias("tag"), no_token)
+
+    plain = F.array(mark("rate-burst"), F.when(tx.is_denied(line), mark("auth-burst")))
+    tokens = F.transform(tx.id_tokens(line), lambda t: F.struct(F.lit("sweep").alias("tag"), t.alias("token")))
+    marks = F.filter(F.concat(plain, F.coalesce(tokens, F.array().cast("array<struct<tag:string,token:string>>"))), lambda m: m.isNotNull())
+    stamped = lines.filter(F.col("ts_ms").isNotNull())
+    rows = explode_once(stamped, marks, "mark", "source", "n", "ts_ms").select("source", "n", "ts_ms", "mark.tag", "mark.token")
+    asked = {"rate-burst": (*rate, " timestamped lines"), "auth-burst": (*auth, " denied lines"), "sweep": (*sweep, " distinct id tokens")}
+    counted = tagged_counts(rows, {tag: window for tag, (_, window, _) in asked.items()})
+    enough, words = F.lit(False), F.lit(None).cast("string")
+    for tag, (least, window, what) in asked.items():
+        here = F.col("tag") == tag
+        enough = enough | (here & (F.col("total") >= least))
+        words = F.when(here, text("line ", F.col("row"), f" starts a {_span(window)} window with ", F.col("total"), what)).otherwise(words)
+    return as_findings(counted.filter(enough), F.col("tag"), words, F.col("row"))
+
+
 def abuse_findings(
     lines: DataFrame,
     first_only: bool = True,
@@ -107,15 +137,13 @@ def abuse_findings(
     auth: tuple[int, int] = (AUTH_LINES, AUTH_WINDOW_MS),
     sweep: tuple[int, int] = (SWEEP_IDS, SWEEP_WINDOW_MS),
 ) -> DataFrame:
-    """All five signals, each with its two thresholds. Details carry numbers only, never log text."""
+    """All five signals, each with its two thresholds. Details carry numbers only, never log text.
+
+    The three that count inside time windows come from one pass (see `window_findings`).
+    """
     row = F.col("row")
     parts = [
-        as_findings(
-            rate_burst(lines, *rate),
-            "rate-burst",
-            text("line ", row, f" starts a {_span(rate[1])} window with ", F.col("events"), " timestamped lines"),
-            row,
-        ),
+        window_findings(lines, rate, auth, sweep),
         as_findings(machine_rhythm(lines, *rhythm), "machine-rhythm", text("line ", row, f" starts {rhythm[0]} even gaps"), row),
         as_findings(
             template_reuse(lines, *template),
@@ -123,18 +151,6 @@ def abuse_findings(
             text("line ", row, " shape repeats ", F.col("lines"), " times across ", F.col("minutes"), " minutes"),
             row,
         ),
-        as_findings(
-            auth_burst(lines, *auth),
-            "auth-burst",
-            text("line ", row, f" starts a {_span(auth[1])} window with ", F.col("events"), " denied lines"),
-            row,
-        ),
-        as_findings(
-            id_sweep(lines, *sweep),
-            "sweep",
-            text("line ", row, f" starts a {_span(sweep[1])} window with ", F.col("ids"), " distinct id tokens"),
-            row,
-        ),
     ]
     found = union_findings(parts)
     return first_per_kind(found) if first_only else found

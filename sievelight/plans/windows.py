@@ -7,16 +7,20 @@ buckets whose number of distinct stamps is bounded by the bucket width.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_WINDOWS = 4
 
 
-def covering_sums(spans: DataFrame, width: int, by: str = "source") -> DataFrame:
+def covering_sums(spans: DataFrame, width: int | Column, by: str | Sequence[str] = "source") -> DataFrame:
     """Sum of the weights of all spans covering each anchor.
 
-    `spans` has `by, lo, hi, weight, row` with `hi - lo <= width`; every span is an anchor at its `hi`.
+    `spans` has `by, lo, hi, weight, row` with `hi - lo <= width`; every span is an anchor at its `hi`. The width may be a
+    column that is the same for all rows of one `by`.
     Returns `by, ts_ms, row, total`: one row per distinct anchor stamp with the lowest `row` on it.
 
     A forward window [t, t + W] holds an event at e exactly when t lies in [e - W, e], so counting
@@ -24,10 +28,11 @@ def covering_sums(spans: DataFrame, width: int, by: str = "source") -> DataFrame
     takes it back after its end. A bucket is wider than any span, so a span meets at most two
     buckets and is opened again at the start of the second; no bucket needs rows of another.
     """
-    size = width * BUCKET_WINDOWS + 1
+    by = [by] if isinstance(by, str) else list(by)
+    size = (F.lit(width) if isinstance(width, int) else width) * BUCKET_WINDOWS + 1
 
     def bucket(at: Column) -> Column:
-        return F.floor(at / F.lit(size))
+        return F.floor(at / size)
 
     def change(at_bucket: Column, at: Column, weight: Column, row: Column) -> Column:
         return F.struct(
@@ -43,17 +48,17 @@ def covering_sums(spans: DataFrame, width: int, by: str = "source") -> DataFrame
         F.when(bucket(lo) != bucket(hi), change(bucket(hi), bucket(hi) * size, weight, no_row)),
     )
     per_stamp = (
-        spans.select(by, F.explode(F.filter(changes, lambda c: c.isNotNull())).alias("c"))
-        .groupBy(by, F.col("c.bucket").alias("bucket"), F.col("c.ts_ms").alias("ts_ms"))
+        spans.select(*by, F.explode(F.filter(changes, lambda c: c.isNotNull())).alias("c"))
+        .groupBy(*by, F.col("c.bucket").alias("bucket"), F.col("c.ts_ms").alias("ts_ms"))
         .agg(F.sum("c.weight").alias("weight"), F.min("c.row").alias("row"))
     )
     running = (
-        Window.partitionBy(by, "bucket").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*by, "bucket").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         per_stamp.withColumn("total", F.sum("weight").over(running))
         .filter(F.col("row").isNotNull())
-        .select(by, "ts_ms", "row", "total")
+        .select(*by, "ts_ms", "row", "total")
     )
 
 
@@ -96,3 +101,36 @@ def forward_distinct(tokens: DataFrame, width: int, by: str = "source") -> DataF
         )
     )
     return covering_sums(spans, width, by)
+
+
+def tagged_counts(marks: DataFrame, widths: Mapping[str, int], by: str = "source") -> DataFrame:
+    """Several counts of one stream, each with its own window: `by, tag, ts_ms, row, total`.
+
+    `marks` has `by, tag, token, ts_ms, n`. Marks without a token count as in `forward_counts`, those with one as in
+    `forward_distinct`; a tag has marks of one sort. All tags go through the same shuffles, by tag and time bucket.
+    """
+    width = reduce(lambda rest, t: F.when(F.col("tag") == t, F.lit(widths[t])).otherwise(rest), widths, F.lit(1))
+    uses = (
+        marks.filter(F.col("ts_ms").isNotNull())
+        .groupBy(by, "tag", "token", "ts_ms")
+        .agg(F.count("*").alias("times"), F.min("n").alias("row"))
+        .withColumn("bucket", F.floor(F.col("ts_ms") / (width * BUCKET_WINDOWS)))
+    )
+    # Only a token's earlier use matters to the next bucket.
+    near_end = F.col("token").isNotNull() & (F.col("ts_ms") >= (F.col("bucket") + 1) * width * BUCKET_WINDOWS - width)
+    homes = F.when(near_end, F.array("bucket", F.col("bucket") + 1)).otherwise(F.array("bucket"))
+    in_order = Window.partitionBy(by, "tag", "token", "home").orderBy("ts_ms")
+    spans = (
+        uses.withColumn("home", F.explode(homes))
+        .withColumn("previous", F.when(F.col("token").isNotNull(), F.lag("ts_ms").over(in_order)))
+        .filter(F.col("home") == F.col("bucket"))
+        .select(
+            by,
+            "tag",
+            F.greatest(F.col("previous") + 1, F.col("ts_ms") - width).alias("lo"),
+            F.col("ts_ms").alias("hi"),
+            F.when(F.col("token").isNull(), F.col("times")).otherwise(1).alias("weight"),
+            "row",
+        )
+    )
+    return covering_sums(spans, width, [by, "tag"])

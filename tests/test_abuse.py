@@ -123,6 +123,33 @@ def test_windows_equal_brute_force(spark, partitions):
     assert got == distinct
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_one_pass_gives_the_rows_of_the_single_signals(spark, partitions):
+    """Three windows of different widths, stamps shared by many lines, lines without stamps, tokens used again and again."""
+    rng, rows, at = random.Random(8), [], 0
+    for n in range(1, 500):
+        at += rng.choice([0, 0, 1, 700, 20_000, 90_000]) if n % 60 else 2_000_000
+        word = rng.choice(["denied 403", "served", "served", "401 unauthorized"])
+        rows.append((rng.choice("ab"), n, None if n % 17 == 0 else at, f"{word} user {rng.randrange(20)} item {rng.randrange(10, 40)}"))
+    df = spark.createDataFrame(rows, "source string, n long, ts_ms long, line string").repartition(partitions)
+    asked = {"rate": (3, 4_000), "auth": (2, 60_000), "sweep": (3, 25_000)}
+    found = abuse.window_findings(df, **asked)
+    got = {(r["kind"], r["source"], r["row"], r["detail"]) for r in found.collect()}
+    want = set()
+    for kind, single, column, words in (
+        ("rate-burst", abuse.rate_burst(df, *asked["rate"]), "events", "timestamped lines"),
+        ("auth-burst", abuse.auth_burst(df, *asked["auth"]), "events", "denied lines"),
+        ("sweep", abuse.id_sweep(df, *asked["sweep"]), "ids", "distinct id tokens"),
+    ):
+        span = {"rate-burst": "4s", "auth-burst": "60s", "sweep": "25s"}[kind]
+        mine = {(kind, r["source"], r["row"], f"line {r['row']} starts a {span} window with {r[column]} {words}") for r in single.collect()}
+        assert mine
+        want |= mine
+    assert got == want
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 4 and plan.count("Scan ExistingRDD") == 1
+
+
 @pytest.mark.parametrize("block_rows", [10, 64, 1000])
 def test_rhythm_does_not_depend_on_blocks(spark, block_rows):
     rng = random.Random(9)
