@@ -21,7 +21,7 @@ RANK_DIGITS = 9
 LEVELS, FIRST = 32, 4
 #: Sums may differ by their order; scores this close to the least one to beat are still compared.
 SLACK = 1e-8
-#: Rows of candidates by query term that are broadcast at most.
+#: Candidates that are broadcast at most.
 CANDIDATES = 200_000
 
 
@@ -104,13 +104,14 @@ def _first_postings(met: Matched, count: int) -> DataFrame:
 def _scored(met: Matched, candidates: DataFrame, hits: bool = False) -> DataFrame:
     """`source, query, doc, raw` of stored `source, query, doc`: whole scores, rounded to nine digits, above 0.
 
-    Candidates ask for the terms of their query and are broadcast if counted to be few. With `hits` the matched terms,
-    rarest first, are gathered on the way.
+    Postings and candidates meet by document, and what they make there is summed where it is: neither a posting nor a
+    term of a query travels once per candidate. Candidates are broadcast if counted to be few. With `hits` the matched
+    terms, rarest first, are gathered on the way.
     """
     wanted = met.wanted.select("source", "query", "position", "term", "idf")
-    asked = candidates.join(broadcast_if_small(wanted), ["source", "query"])
-    asked = F.broadcast(asked) if is_small(asked, CANDIDATES) else asked
-    found = met.postings.join(asked, ["source", "doc", "term"])
+    asked = F.broadcast(candidates) if is_small(candidates, CANDIDATES) else candidates
+    found = met.postings.select("source", "doc", "term", "impact").join(asked, ["source", "doc"])
+    found = found.join(broadcast_if_small(wanted), ["source", "query", "term"])
     gathered = F.array_sort(F.collect_list(F.struct((-F.round("idf", RANK_DIGITS)).alias("rare"), "position", "term")))
     more = [F.transform(gathered, lambda t: t["term"]).alias("hits")] if hits else []
     summed = found.groupBy("source", "query", "doc").agg(F.round(F.sum("impact"), RANK_DIGITS).alias("raw"), *more)
