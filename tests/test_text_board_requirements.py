@@ -1,3 +1,6 @@
+import random
+import time
+
 from helpers import details, kinds_at, rows_of, text_frame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,40 @@ def test_phrases(spark):
     assert rows_of(found, "row", "key") == [(1, "circle back"), (3, "deep dive"), (3, "robust"), (3, "seamless"), (4, "state-of-the-art")]
 
 
+def test_long_lists_of_phrases_give_the_same_rows(spark, monkeypatch):
+    """Hyphens, spaces, marks at the ends, other scripts, phrases inside phrases and inside words, and a sign that lower-cases to k."""
+    rng = random.Random(6)
+    words = ["deep", "dive", "Deep", "state-of", "the", "art", "c++", "+x", "m\u00fcll", "caf\u00e9", "\u05e9\u05dc", "\u212aeel", "keel", "a_b", "9"]
+    phrases = ["deep dive", "deep", "state-of-the-art", "state of the art", "c++", "+x", "m\u00fcll", "\u05e9\u05dc", "eel", "keel", "a_b 9", "dive deep dive", "caf\u00e9", "the", "++"]
+    joints = [" ", "  ", "-", ", ", "\t", "\u00a0", "", "."]
+    text = "\n".join("".join(rng.choice(words) + rng.choice(joints) for _ in range(rng.randrange(1, 9))) for _ in range(400))
+    df = lines(spark, text)
+    want = rows_of(ta.jargon(df, phrases, True), "row", "key", "detail")
+    assert len({w[1] for w in want}) > 9
+    monkeypatch.setattr(ta, "FEW", 3)
+    assert rows_of(ta.jargon(df, phrases, True), "row", "key", "detail") == want
+    assert rows_of(ta.text_findings(df, phrases=phrases).filter("kind = 'jargon'"), "row", "key") == [w[:2] for w in want]
+
+
+def test_thousands_of_phrases_cost_little_more_than_a_few(spark):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(3_000)]
+    phrases = list(dict.fromkeys(" ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 3]))) + " zz" for _ in range(5_000)))
+    rows = [("s", n, " ".join(rng.choices(vocabulary, k=12)) + (f" {rng.choice(phrases)}" if n % 50 == 0 else "")) for n in range(20_000)]
+    df = spark.createDataFrame(rows, "source string, line_no long, line string")
+
+    def seconds(some):
+        start = time.time()
+        assert ta.jargon(df, some).count() >= 0
+        return time.time() - start
+
+    seconds(phrases[:16]), seconds(phrases)
+    assert seconds(phrases) < 2 * seconds(phrases[:16]) + 2
+    got = {(r["row"], r["key"]) for r in ta.jargon(df, phrases).collect()}
+    want = {(n, p) for _, n, line in rows if n % 50 == 0 for p in [" ".join(line.split()[k:]) for k in range(13)] if p in set(phrases)}
+    assert want <= got and len(want) >= 400
+
+
 HEADER = "| ID | Status | Scorecard row | What | Done when | Owner role | Evidence |\n|---|---|---|---|---|---|---|\n"
 PROOFS = "F2P: a fails. P2P: b passes"
 
