@@ -173,8 +173,8 @@ RUBRIC = [
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as recorded answers; a conversation is a case."""
-    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    """All turns as recorded answers, whoever speaks; a conversation is a case."""
+    turns = table(spark, sf_dir, "conversations")
     return turns.select(F.col("conv_id").alias("case"), F.col("turn").alias("run"), "text")
 
 
@@ -189,8 +189,7 @@ SQL_CHECKED = r"""checked AS (
     {'key': 'small-word', 'ok': regexp_matches(text, '(?i)\b(the|der|les|los)\b')},
     {'key': 'no-mail', 'ok': NOT regexp_matches(text, '[\w.+-]+@[\w-]+\.[\w.-]+')},
     {'key': 'stops', 'ok': contains(text, '.')}, {'key': 'no-marks', 'ok': NOT contains(text, '%%%')}]) AS c
-  FROM (SELECT *, len(list_filter(string_split_regex(text, '\r?\n'), lambda x: trim(x) <> '')) AS filled FROM conversations)
-  WHERE role = 'assistant'),
+  FROM (SELECT *, len(list_filter(string_split_regex(text, '\r?\n'), lambda x: trim(x) <> '')) AS filled FROM conversations)),
 scored AS (SELECT "case", run, bool_and(c.ok) AS passed FROM checked GROUP BY 1, 2)"""
 
 

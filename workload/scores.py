@@ -61,7 +61,7 @@ def _split(spark, sf_dir):
 
 
 def _judged(spark, sf_dir):
-    """Every assistant turn against the default rubric."""
+    """Every turn against the default rubric."""
     cases = i.cases(spark, sf_dir).select("case", ev.rubric_checks(ev.JUDGE_RUBRIC).alias("checks"))
     got = ev.run_checks(i.answers(spark, sf_dir), cases, ("regex", "notRegex", "maxLines"))
     each = got.select(F.explode("results").alias("r")).select("r.key", "r.ok")
@@ -150,7 +150,7 @@ QUERIES = {
         "SELECT c.key AS key, count(*) AS answers, count(*) FILTER (c.ok) AS passes FROM (SELECT unnest(["
         f"{{'key': 'verdict-line', 'ok': {SQL_VERDICT}}}, {{'key': 'max-15-lines', 'ok': len(list_filter(string_split_regex(text, '\\r?\\n'), lambda x: trim(x) <> '')) <= 15}}, "
         f"{{'key': 'revert-line', 'ok': regexp_matches(text, '(?i)revert')}}, {{'key': 'names-a-command', 'ok': {SQL_COMMAND}}}, "
-        "{'key': 'no-email', 'ok': NOT regexp_matches(text, '[\\w.+-]+@[\\w-]+\\.[\\w.-]+')}]) AS c FROM conversations WHERE role = 'assistant') GROUP BY 1",
+        "{'key': 'no-email', 'ok': NOT regexp_matches(text, '[\\w.+-]+@[\\w-]+\\.[\\w.-]+')}]) AS c FROM conversations) GROUP BY 1",
     ),
     "is_json": (
         _json,
