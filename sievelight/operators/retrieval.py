@@ -17,8 +17,10 @@ from sievelight.plans.spread import explode_once
 K1, B, TOP = 1.2, 0.75, 5
 RANK_DIGITS = 9
 
-#: Blocks per term, by impact; how many times the list length of each term's postings are looked at first.
-LEVELS, FIRST = 32, 4
+#: Blocks per term, by impact; terms of a query that are looked at first, and how many times the list length of postings each.
+LEVELS, RARE, FIRST = 32, 8, 4
+#: Share of the least score to beat that blocks left out may add up to: less joins more postings and names fewer documents.
+LEFT_OUT = 0.5
 #: Sums may differ by their order; scores this close to the least one to beat are still compared.
 SLACK = 1e-8
 #: Candidates that are broadcast at most.
@@ -90,15 +92,10 @@ def match_postings(index: Index, queries: DataFrame, k1: float = K1, b: float =
     return Matched(postings, weights, stored(wanted))
 
 
-def _first_postings(met: Matched, count: int) -> DataFrame:
-    """The `count` postings of each term that add most, equals by document: only blocks that can hold them are ranked."""
-    sizes = met.postings.groupBy("source", "term", "level").agg(F.count("*").alias("rows"))
-    above = Window.partitionBy("source", "term").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
-    floors = sizes.withColumn("above", F.coalesce(F.sum("rows").over(above), F.lit(0))).filter(F.col("above") < count)
-    floors = stored(floors.groupBy("source", "term").agg(F.min("level").alias("floor")))
+def _first_postings(postings: DataFrame, count: int) -> DataFrame:
+    """The `count` postings of each term that add most, equals by document; each task passes on its own best only."""
     best = Window.partitionBy("source", "term").orderBy(F.desc(F.round("impact", RANK_DIGITS)), "doc")
-    top = met.postings.join(broadcast_if_small(floors), ["source", "term"]).filter("level >= floor")
-    return top.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= count).select("source", "doc", "term")
+    return postings.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= count).select("source", "doc", "term")
 
 
 def _scored(met: Matched, candidates: DataFrame, hits: bool = False) -> DataFrame:
@@ -126,26 +123,38 @@ def _best(scored: DataFrame, top: int) -> DataFrame:
 def candidates(met: Matched, top: int) -> DataFrame:
     """`source, query, doc`: all documents that can be among the `top` best of a query, without scoring the others.
 
-    First the best postings of each term name documents; their whole scores give a query's least score to beat. Then the
-    query's terms are ordered by their greatest impact. Of the terms a document holds, let one be last in that order:
-    the terms before it add at most the sum of their greatest impacts, so the posting must make up the rest, and blocks
-    below that are never joined. A term of which every posting adds little, as one that most documents hold, has none.
+    First the best postings of a query's rarest terms name documents; their whole scores give the query's least score to
+    beat. Then the query's terms are ordered by their greatest impact. Of the terms a document holds, let one be last in
+    that order: the terms before it add at most the sum of their greatest impacts, so the posting must make up the rest.
+    Blocks that can't make up even the share LEFT_OUT of the least score are never joined; a term of which every posting
+    adds little, as one that most documents hold, has no others. What is joined is summed up by document: a term that
+    wasn't found adds at most what its blocks left out hold, and documents that stay below the least score with that leave.
     """
-    first = _first_postings(met, FIRST * top).join(broadcast_if_small(met.wanted.select("source", "query", "term")), ["source", "term"])
+    rarest = F.row_number().over(Window.partitionBy("source", "query").orderBy(F.desc("greatest"), "term"))
+    rare = stored(met.wanted.withColumn("place", rarest).filter(F.col("place") <= RARE).select("source", "query", "term"))
+    named = met.postings.join(broadcast_if_small(rare.select("source", "term").distinct()), ["source", "term"], "left_semi")
+    first = _first_postings(named, FIRST * top).join(broadcast_if_small(rare), ["source", "term"])
     first = stored(first.select("source", "query", "doc").distinct())
     leaders = stored(_best(_scored(met, first), top))
-    # A query with fewer leaders has no term with more postings than were looked at, so no other document has any.
     bars = leaders.filter(F.col("place") == top).select("source", "query", (F.col("raw") - SLACK).alias("bar"))
     before = Window.partitionBy("source", "query").orderBy("greatest", "term").rowsBetween(Window.unboundedPreceding, -1)
     below = met.wanted.withColumn("below", F.coalesce(F.sum("greatest").over(before), F.lit(0.0)))
     # The best documents of a single term are known from its first postings.
     alone = F.count("*").over(Window.partitionBy("source", "query")) == 1
-    needs = below.withColumn("alone", alone).join(broadcast_if_small(stored(bars)), ["source", "query"])
-    needs = needs.withColumn("need", F.col("bar") - F.col("below")).filter(~F.col("alone") & (F.col("greatest") >= F.col("need")))
+    needs = below.withColumn("alone", alone).filter(~F.col("alone")).join(broadcast_if_small(bars), ["source", "query"], "left")
+    # Without enough leaders there is nothing to beat, and every posting counts.
+    needs = needs.withColumn("bar", F.coalesce("bar", F.lit(-1.0))).withColumn("need", F.col("bar") * LEFT_OUT - F.col("below"))
+    hidden = F.least(F.col("greatest"), F.greatest(F.col("need"), F.lit(0.0)))
+    rest = F.sum("hidden").over(Window.partitionBy("source", "query"))
+    needs = needs.withColumn("hidden", hidden).withColumn("rest", rest).filter(F.col("greatest") >= F.col("need"))
     lowest = F.greatest(F.lit(0), F.floor(F.col("need") / F.col("greatest") * LEVELS).cast("int") - 1)
-    blocks = stored(needs.select("source", "query", "term", "need", F.explode(F.sequence(lowest, F.lit(LEVELS))).alias("level")))
-    found = met.postings.join(broadcast_if_small(blocks), ["source", "term", "level"]).filter("impact >= need")
-    return stored(found.select("source", "query", "doc").unionByName(leaders.select("source", "query", "doc")).distinct())
+    blocks = needs.select("source", "query", "term", "need", "hidden", "rest", "bar", F.explode(F.sequence(lowest, F.lit(LEVELS))).alias("level"))
+    found = met.postings.join(broadcast_if_small(stored(blocks)), ["source", "term", "level"]).filter("impact >= need")
+    summed = found.groupBy("source", "query", "doc").agg(
+        F.sum(F.col("impact") - F.col("hidden")).alias("more"), F.max("rest").alias("rest"), F.max("bar").alias("bar")
+    )
+    able = summed.filter(F.col("more") + F.col("rest") >= F.col("bar") - SLACK)
+    return stored(able.select("source", "query", "doc").unionByName(leaders.select("source", "query", "doc")).distinct())
 
 
 def bm25_topk(
