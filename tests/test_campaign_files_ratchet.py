@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 
 import pytest
 from helpers import details, in_order, rows_of
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from sievelight.operators import campaign as cp
 from sievelight.operators import filecorpus as fc
 from sievelight.operators import ratchet as rt
+from sievelight.sources import state
 from sievelight.sources.campaigns import read_campaigns
 
 UTM = "utm_source=letter&utm_medium=mail&utm_campaign=spring"
@@ -195,3 +197,48 @@ def test_ratchet(spark, block_rows):
     df = spark.createDataFrame(rows, "suite string, run_ts int, value long, failed boolean, uncounted int").repartition(5)
     got = rt.metric_ratchet(df, block_rows=block_rows).orderBy("suite", "run_ts").collect()
     assert [(r["baseline"], r["verdict"], r["reason"], r["baseline_after"]) for r in got] == VERDICTS * 2
+
+
+def metric_runs(seed, count):
+    rng = random.Random(seed)
+    return [(rng.choice("abc"), k, rng.choice([None, *range(20)]), rng.random() < 0.2, rng.choice([0, 0, 0, 1])) for k in range(count)]
+
+
+METRIC_RUNS = "suite string, run_ts long, value long, failed boolean, uncounted int"
+
+
+def test_ratchet_over_runs_equals_the_whole_history(spark, tmp_path):
+    """Batches of any size, one of them judged twice, give what one pass over all runs gives."""
+    rows, path = metric_runs(3, 60), str(tmp_path / "baseline")
+    want = rows_of(rt.metric_ratchet(spark.createDataFrame(rows, METRIC_RUNS)), "run_ts", "baseline", "verdict", "reason", "baseline_after")
+    got, at = [], 0
+    for size in (1, 7, 20, 32):
+        batch = spark.createDataFrame(rows[at : at + size], METRIC_RUNS)
+        got += rows_of(rt.ratchet_runs(batch, path), "run_ts", "baseline", "verdict", "reason", "baseline_after")
+        at += size
+    assert in_order(got) == want
+    before = rows_of(state.read_state(spark, path, "suite string, baseline long"), "suite", "baseline")
+    rt.ratchet_runs(spark.createDataFrame(rows[-5:], METRIC_RUNS), path)
+    assert rows_of(state.read_state(spark, path, "suite string, baseline long"), "suite", "baseline") == before
+    assert len(list((tmp_path / "baseline").glob("version=*"))) == state.KEPT + 1
+
+
+def test_a_crash_before_the_swap_keeps_the_old_baseline(spark, tmp_path):
+    path = str(tmp_path / "baseline")
+    rt.ratchet_runs(spark.createDataFrame([("a", 1, 5, False, 0)], METRIC_RUNS), path)
+    torn = spark.range(4, numPartitions=4).selectExpr("'a' AS suite", "CASE WHEN id = 3 THEN raise_error('lost') ELSE 99 END AS baseline")
+    with pytest.raises(Exception, match="lost"):
+        state.write_state(torn, path)
+    # What a lost driver leaves: files of a version that was never marked.
+    half = tmp_path / "baseline" / "version=7"
+    spark.createDataFrame([("a", 99)], "suite string, baseline long").write.parquet(str(half))
+    (half / "_SUCCESS").unlink()
+    (judged,) = rt.ratchet_runs(spark.createDataFrame([("a", 2, 4, False, 0)], METRIC_RUNS), path).collect()
+    assert (judged["baseline"], judged["verdict"], judged["reason"]) == (5, "FAIL", "ratchet")
+    assert rows_of(state.read_state(spark, path, "suite string, baseline long"), "suite", "baseline") == [("a", 5)]
+    assert state.write_state(spark.createDataFrame([("a", 6)], "suite string, baseline long"), path) == 9
+
+
+def test_no_state_is_an_empty_table(spark, tmp_path):
+    assert state.read_state(spark, str(tmp_path / "none"), "suite string, baseline long").collect() == []
+    assert rt.ratchet_runs(spark.createDataFrame([], METRIC_RUNS), str(tmp_path / "new")).collect() == []
