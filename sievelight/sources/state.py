@@ -8,6 +8,8 @@ finds then. On stores where a marker appears at once, as on file systems, the ch
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Complete versions that stay behind the current one, for readers that have begun.
@@ -30,13 +32,19 @@ def _versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
     return sorted((n, fs.exists(at(f"{path}/version={n}/_SUCCESS"))) for n in numbers)
 
 
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder of the current version."""
+    done = [n for n, complete in _versions(spark, path) if complete]
+    return f"{path}/version={done[-1]}" if done else None
+
+
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The current version, or a table without rows where there is none yet."""
-    done = [n for n, complete in _versions(spark, path) if complete]
-    return spark.read.schema(schema).parquet(f"{path}/version={done[-1]}") if done else spark.createDataFrame([], schema)
+    folder = current_version(spark, path)
+    return spark.read.schema(schema).parquet(folder) if folder else spark.createDataFrame([], schema)
 
 
-def write_state(df: DataFrame, path: str, keep: int = KEPT) -> int:
+def write_state(df: DataFrame, path: str, keep: int = KEPT, partition_by: Sequence[str] = ()) -> int:
     """Writes the rows as the next version and gives its number; versions older than the `keep` before it are removed.
 
     `df` may be derived from the current version, which is not touched.
@@ -44,7 +52,7 @@ def write_state(df: DataFrame, path: str, keep: int = KEPT) -> int:
     spark = df.sparkSession
     before = _versions(spark, path)
     number = before[-1][0] + 1 if before else 1
-    df.write.mode("errorifexists").parquet(f"{path}/version={number}")
+    df.write.mode("errorifexists").parquet(f"{path}/version={number}", partitionBy=list(partition_by) or None)
     fs, at = _file_system(spark, path)
     for old in [n for n, complete in before if complete][: -keep or None]:
         fs.delete(at(f"{path}/version={old}"), True)

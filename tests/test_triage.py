@@ -5,6 +5,7 @@ from helpers import rows_of, text_frame
 from pyspark.sql import functions as F
 
 from sievelight.operators import triage as tr
+from sievelight.sources import known
 from sievelight.sources.lines import lines_from_text
 
 PLANTED = """\
@@ -122,3 +123,36 @@ def test_texts_are_whole_unless_a_length_is_given(spark):
     assert row["pattern"].endswith("end") and row["sample"].endswith("end")
     assert len(tr.pattern_agg(log, pattern_chars=10, sample_chars=20).first()["sample"]) == 20
     assert tr.attach_continuations(log).first()["stack"][0].endswith("end")
+
+
+def keys_frame(spark, names, ids=None):
+    rows = [(ids or f"bt-{n}", n) for n in names]
+    return spark.createDataFrame(rows, "id string, name string").select("id", "name", F.unhex(F.sha1("name")).alias("key"))
+
+
+def test_known_set_grows_by_new_keys_only(spark, tmp_path):
+    path = str(tmp_path / "known")
+    assert known.known_keys(spark, path).collect() == []
+    assert known.add_known(keys_frame(spark, [f"p{k}" for k in range(50)]), path) == 50
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "known").rglob("*.parquet")}
+    assert known.add_known(keys_frame(spark, ["p1", "p2", "p2", "q1"]), path) == 1
+    now = set((tmp_path / "known").rglob("*.parquet"))
+    assert len(now - set(files)) == 1 and all(f.stat().st_mtime_ns == at for f, at in files.items())
+    got = known.mark_known(keys_frame(spark, ["p3", "q1", "q2", "q2"]), path)
+    assert rows_of(got, "name", "status") == [("p3", "known"), ("q1", "known"), ("q2", "new"), ("q2", "new")]
+    # Only the parts that are asked about are read.
+    scans = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "PartitionFilters" in x and "prefix" in x]
+    assert scans and all("prefix" in x.split("PartitionFilters")[1].split("]")[0] for x in scans)
+    before = rows_of(known.known_keys(spark, path), "id")
+    assert known.compact_known(spark, path) == 2
+    assert rows_of(known.known_keys(spark, path), "id") == before
+    parts = [f.parent.name for f in (tmp_path / "known" / "version=2").rglob("*.parquet")]
+    assert len(parts) == len(set(parts))
+
+
+def test_patterns_that_share_a_short_id_stay_apart(spark, tmp_path):
+    path = str(tmp_path / "known")
+    known.add_known(keys_frame(spark, ["one"], ids="bt-same"), path)
+    got = known.mark_known(keys_frame(spark, ["one", "two"], ids="bt-same"), path)
+    assert rows_of(got, "name", "status") == [("one", "known"), ("two", "new")]
+    assert known.add_known(keys_frame(spark, ["one", "two"], ids="bt-same"), path) == 1

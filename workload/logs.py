@@ -8,6 +8,7 @@ from sievelight.functions import text as tx
 from sievelight.operators import abuse, triage
 from sievelight.operators.findings import by_kind, kinds
 from sievelight.plans.session import stored
+from sievelight.sources.known import add_known, mark_known
 from sievelight.sources.lines import log_lines_from_text, read_log_lines
 from sievelight.sources.sinks import save_known
 from workload import inputs as i
@@ -123,6 +124,15 @@ def _known(spark, sf_dir):
     return spark.read.parquet(folder)
 
 
+def _marked(spark, sf_dir):
+    """All problem patterns against a set that took the even log's in two runs, the second with nothing new in half of them."""
+    patterns = stored(triage.pattern_counts(i.service_lines(spark, sf_dir)).filter("severity <> 'info'"))
+    even, folder = patterns.filter("source = 'even'"), scratch(spark)
+    add_known(even.filter("first_line % 2 = 0"), folder)
+    add_known(even, folder)
+    return mark_known(patterns, folder).select("source", "id", "status")
+
+
 SQL_KNOWN = "SELECT DISTINCT id FROM patterns WHERE source = 'even' AND severity <> 'info'"
 
 
@@ -235,6 +245,11 @@ QUERIES = {
         f"WITH {SQL_HEADS}, known AS ({SQL_KNOWN}) SELECT source, id, CASE WHEN id IN (SELECT id FROM known) THEN 'known' ELSE 'new' END AS status "
         "FROM patterns WHERE severity <> 'info'",
     ),
+    "mark_known": (
+        _marked,
+        f"WITH {SQL_HEADS}, known AS ({SQL_KNOWN}) SELECT source, id, CASE WHEN id IN (SELECT id FROM known) THEN 'known' ELSE 'new' END AS status "
+        "FROM patterns WHERE severity <> 'info'",
+    ),
     "triage": (
         _triage_report,
         f"WITH {SQL_HEADS}, known AS ({SQL_KNOWN}) SELECT p.source, p.id, CASE WHEN p.id IN (SELECT id FROM known) THEN 'known' ELSE 'new' END AS status, "

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions.compat import is_json
 from sievelight.functions.stats import wilson_interval
 from sievelight.operators import evaluation as ev
 from sievelight.operators import ratchet as rt
+from sievelight.plans.session import stored
 from sievelight.sources.sinks import save_baseline
 from workload import inputs as i
 from workload.files import scratch
@@ -115,6 +119,22 @@ SQL_PASSES = "SELECT suite, count(*) AS n, count(*) FILTER (passed) AS pass FROM
 SQL_VERDICT = r"regexp_matches(text, '(?m)^\s*\**VERDICT\**:?\s*(PASS|FAIL|BLOCKED)')"
 SQL_COMMAND = r"regexp_matches(text, '\bnode |\bnpm |\bgit |\bpytest\b')"
 
+def _ratchet_runs(spark, sf_dir):
+    """The same history in four spans of time, each judged against the baselines that those before it left behind."""
+    history, folder = stored(i.order_history(spark, sf_dir)), scratch(spark)
+    day = F.unix_date("run_ts")
+    first, last = history.agg(F.min(day), F.max(day)).first()
+    span = F.floor(4 * (day - first) / (last - first + 1)) if first is not None else F.lit(0)
+    judged = [rt.ratchet_runs(history.filter(span == k), folder) for k in range(4)]
+    return reduce(DataFrame.unionByName, judged)
+
+
+SQL_RATCHET = (
+    f"WITH {i.SQL_HISTORY}, based AS (SELECT *, max(value) FILTER (NOT failed) OVER (PARTITION BY suite ORDER BY run_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS baseline FROM history), "
+    "ruled AS (SELECT *, CASE WHEN failed THEN 'failing step' WHEN value < baseline AND uncounted = 0 THEN 'ratchet' END AS reason FROM based) "
+    "SELECT *, CASE WHEN reason IS NULL THEN 'PASS' ELSE 'FAIL' END AS verdict, CASE WHEN reason IS NULL THEN greatest(baseline, value) ELSE baseline END AS baseline_after FROM ruled"
+)
+
 QUERIES = {
     "run_checks": (_results, f'WITH {i.SQL_CHECKED} SELECT "case", run, c.key AS key, c.ok AS ok FROM checked'),
     "score_answers": (
@@ -161,10 +181,6 @@ QUERIES = {
         _outputs,
         "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 100 END AS last, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey + o_orderkey % 100 END AS total FROM orders",
     ),
-    "metric_ratchet": (
-        lambda s, d: rt.metric_ratchet(i.order_history(s, d)),
-        f"WITH {i.SQL_HISTORY}, based AS (SELECT *, max(value) FILTER (NOT failed) OVER (PARTITION BY suite ORDER BY run_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS baseline FROM history), "
-        "ruled AS (SELECT *, CASE WHEN failed THEN 'failing step' WHEN value < baseline AND uncounted = 0 THEN 'ratchet' END AS reason FROM based) "
-        "SELECT *, CASE WHEN reason IS NULL THEN 'PASS' ELSE 'FAIL' END AS verdict, CASE WHEN reason IS NULL THEN greatest(baseline, value) ELSE baseline END AS baseline_after FROM ruled",
-    ),
+    "metric_ratchet": (lambda s, d: rt.metric_ratchet(i.order_history(s, d)), SQL_RATCHET),
+    "ratchet_runs": (_ratchet_runs, SQL_RATCHET),
 }
