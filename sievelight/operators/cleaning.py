@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from sievelight.functions.compat import number, regex, trim
 from sievelight.functions.text import filled, norm_text
 from sievelight.operators.findings import as_findings, from_hits, hit, hits, text, union_findings
+from sievelight.plans.session import stored
 from sievelight.plans.skew import attach_group_first
 from sievelight.plans.spread import explode_once
 
@@ -133,7 +134,11 @@ def near_keys(df: DataFrame, keep_all_scripts: bool = False) -> Column:
 
 def exact_dupe(df: DataFrame, order: str = "n") -> DataFrame:
     """Later rows equal to an earlier row of their source; the finding refers to the first one."""
-    keyed = df.select("source", F.col(order).alias("n"), exact_key(df, order).alias("key"))
+    return _exact_of(df.select("source", F.col(order).alias("n"), exact_key(df, order).alias("key")))
+
+
+def _exact_of(keyed: DataFrame) -> DataFrame:
+    """Findings of `source, n, key`."""
     later = attach_group_first(keyed, "key").filter(F.col("first_n") < F.col("n"))
     return as_findings(
         later,
@@ -150,16 +155,21 @@ def near_dupe(df: DataFrame, keys: Column | None = None, order: str = "n") -> Da
     `keys` is an array of struct(tag, key) in order of preference; the tag is what the finding names. Rows that are near dupes themselves still
     lend their other keys, so the lowest row per key among the non-exact rows is the one referred to.
     """
-    base = df.withColumn("n", F.col(order))
+    return _near_of(_keyed(df, keys, order))
+
+
+def _keyed(df: DataFrame, keys: Column | None = None, order: str = "n") -> DataFrame:
+    """`source, n, key, keys`: the exact key and the near keys of every row."""
+    near = near_keys(df) if keys is None else keys
+    return df.select("source", F.col(order).alias("n"), exact_key(df, order).alias("key"), near.alias("keys"))
+
+
+def _near_of(keyed: DataFrame) -> DataFrame:
+    """Findings of `source, n, key, keys`."""
     # The lowest row per exact key is what survives the exact check; row numbers are unique, so no key is hot here.
-    kept = (
-        base.select("source", "n", exact_key(df, order).alias("key"))
-        .groupBy("source", "key")
-        .agg(F.min("n").alias("n"))
-        .select("source", "n")
-    )
+    kept = keyed.groupBy("source", "key").agg(F.min("n").alias("n")).select("source", "n")
     tagged = (
-        base.select("source", "n", (near_keys(df) if keys is None else keys).alias("keys"))
+        keyed.select("source", "n", "keys")
         .join(kept, ["source", "n"], "left_semi")
         .transform(lambda rows: explode_once(rows, F.col("keys"), "tagged", "source", "n", position="position"))
         .withColumn("tag", F.col("tagged.tag"))
@@ -197,7 +207,9 @@ def dataset_findings(
         checks += _range_checks(df, "age", *age_range)
     if check_pay:
         checks += _nested_checks(df, pay_fields, 0)
-    return union_findings([from_hits(df, hits(*checks)), exact_dupe(df), near_dupe(df)])
+    # Keys of both sorts are made in one pass and kept, since both searches for duplicates read them more than once.
+    keyed = stored(_keyed(df))
+    return union_findings([from_hits(df, hits(*checks)), _exact_of(keyed.drop("keys")), _near_of(keyed)])
 
 
 def clean_rows(df: DataFrame, findings: DataFrame, keep_near: bool = False) -> DataFrame:

@@ -62,7 +62,8 @@ def test_thousands_of_phrases_cost_little_more_than_a_few(spark):
         return time.time() - start
 
     seconds(phrases[:16]), seconds(phrases)
-    assert seconds(phrases) < 2 * seconds(phrases[:16]) + 2
+    # The least of three: other work on the machine only adds.
+    assert min(seconds(phrases) for _ in range(3)) < 2 * min(seconds(phrases[:16]) for _ in range(3)) + 1.5
     got = {(r["row"], r["key"]) for r in ta.jargon(df, phrases).collect()}
     want = {(n, p) for _, n, line in rows if n % 50 == 0 for p in [" ".join(line.split()[k:]) for k in range(13)] if p in set(phrases)}
     assert want <= got and len(want) >= 400
