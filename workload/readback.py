@@ -89,12 +89,12 @@ SQL_REPLIES = """SELECT conv_id, length(t) AS chars, md5(t) AS digest FROM (
 
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document ids in files of up to five hundred per source: a JSON array in one half, the keys of an object in the other."""
-    docs = i.table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 500).alias("part"), F.concat(F.lit("bt-"), "doc_id").alias("id"))
-    sets = docs.groupBy("source", "part").agg(F.collect_list("id").alias("ids"))
+    """Document ids in files of up to five hundred: a JSON array in every other one, the keys of an object in the rest."""
+    docs = i.table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 500).alias("part"), F.concat(F.lit("bt-"), "doc_id").alias("id"))
+    sets = docs.groupBy("part").agg(F.collect_list("id").alias("ids"))
     seen = F.map_from_arrays(F.col("ids"), F.transform("ids", lambda _: F.lit("seen")))
-    texts = sets.select("source", "part", F.when((F.crc32("source") + F.col("part")) % 2 == 0, F.to_json("ids")).otherwise(F.to_json(seen)).alias("text"))
-    return corpus.read_known(spark, _one_file_each(texts, ["source", "part"], "text"))
+    texts = sets.select("part", F.when(F.col("part") % 2 == 0, F.to_json("ids")).otherwise(F.to_json(seen)).alias("text"))
+    return corpus.read_known(spark, _one_file_each(texts, ["part"], "text"))
 
 
 def _named_files(spark: SparkSession, files: DataFrame) -> str:
