@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from sievelight.functions import text as tx
 from sievelight.operators.findings import as_findings, first_per_kind, text, union_findings
 from sievelight.plans.blocks import BLOCK_ROWS, dense_index
+from sievelight.plans.sizing import tasks_for
 from sievelight.plans.spread import explode_once
-from sievelight.plans.windows import forward_counts, forward_distinct, tagged_counts
+from sievelight.plans.windows import dealt, forward_counts, forward_distinct, tagged_counts
 
 # Default thresholds.
 RATE_EVENTS, RATE_WINDOW_MS = 12, 60_000
@@ -24,7 +25,11 @@ def rate_burst(lines: DataFrame, n: int = RATE_EVENTS, window_ms: int = RATE_WIN
 
     `row` is the first line on the stamp.
     """
-    counted = forward_counts(lines.select("source", "n", "ts_ms"), window_ms)
+    return _burst(lines, n, window_ms, tasks_for(lines))
+
+
+def _burst(lines: DataFrame, n: int, window_ms: int, tasks: int) -> DataFrame:
+    counted = forward_counts(lines, window_ms, tasks)
     return counted.filter(F.col("total") >= n).select("source", "row", "ts_ms", F.col("total").alias("events"))
 
 
@@ -32,13 +37,13 @@ def auth_burst(
     lines: DataFrame, n: int = AUTH_LINES, window_ms: int = AUTH_WINDOW_MS, pattern: str = tx.DENIED
 ) -> DataFrame:
     """The same for denied lines only: `source, row, ts_ms, events`."""
-    return rate_burst(lines.filter(tx.is_denied(F.col("line"), pattern)), n, window_ms)
+    return _burst(lines.filter(tx.is_denied(F.col("line"), pattern)), n, window_ms, tasks_for(lines))
 
 
 def id_sweep(lines: DataFrame, n: int = SWEEP_IDS, window_ms: int = SWEEP_WINDOW_MS) -> DataFrame:
     """Stamps whose following window shows `n` or more distinct id tokens: `source, row, ts_ms, ids`."""
     tokens = explode_once(lines, tx.id_tokens(F.col("line")), "token", "source", "n", "ts_ms")
-    counted = forward_distinct(tokens, window_ms)
+    counted = forward_distinct(tokens, window_ms, tasks_for(lines))
     return counted.filter(F.col("total") >= n).select("source", "row", "ts_ms", F.col("total").alias("ids"))
 
 
@@ -116,10 +121,11 @@ def window_findings(
     plain = F.array(mark("rate-burst"), F.when(tx.is_denied(line), mark("auth-burst")))
     tokens = F.transform(tx.id_tokens(line), lambda t: F.struct(F.lit("sweep").alias("tag"), t.alias("token")))
     marks = F.filter(F.concat(plain, F.coalesce(tokens, F.array().cast("array<struct<tag:string,token:string>>"))), lambda m: m.isNotNull())
-    stamped = lines.filter(F.col("ts_ms").isNotNull())
-    rows = explode_once(stamped, marks, "mark", "source", "n", "ts_ms").select("source", "n", "ts_ms", "mark.tag", "mark.token")
+    tasks = tasks_for(lines)
+    rows = explode_once(dealt(lines, tasks), marks, "mark", "source", "n", "ts_ms", "deal")
+    rows = rows.select("source", "n", "ts_ms", "deal", "mark.tag", "mark.token")
     asked = {"rate-burst": (*rate, " timestamped lines"), "auth-burst": (*auth, " denied lines"), "sweep": (*sweep, " distinct id tokens")}
-    counted = tagged_counts(rows, {tag: window for tag, (_, window, _) in asked.items()})
+    counted = tagged_counts(rows, {tag: window for tag, (_, window, _) in asked.items()}, tasks)
     enough, words = F.lit(False), F.lit(None).cast("string")
     for tag, (least, window, what) in asked.items():
         here = F.col("tag") == tag

@@ -2,7 +2,8 @@
 
 A source may hold a third of all rows, and so may one second of one source. Neither is ever one task's
 group here: rows are first folded to one row per (source, stamp), and the running sums run inside time
-buckets whose number of distinct stamps is bounded by the bucket width.
+buckets whose number of distinct stamps is bounded by the bucket width. All shuffles have as many partitions as the
+rows need, so what one task holds doesn't grow with the input.
 """
 
 from __future__ import annotations
@@ -15,12 +16,16 @@ from pyspark.sql import functions as F
 
 BUCKET_WINDOWS = 4
 
+#: Parts that the rows of one stamp, or the tokens of one bucket, are dealt to.
+DEALS = 16
 
-def covering_sums(spans: DataFrame, width: int | Column, by: str | Sequence[str] = "source") -> DataFrame:
+
+def covering_sums(spans: DataFrame, width: Column, by: Sequence[str], tasks: int, within: Sequence[str]) -> DataFrame:
     """Sum of the weights of all spans covering each anchor.
 
     `spans` has `by, lo, hi, weight, row` with `hi - lo <= width`; every span is an anchor at its `hi`. The width may be a
-    column that is the same for all rows of one `by`.
+    column that is the same for all rows of one `by`. `spans` is partitioned by `by` and the columns `within`; there its
+    changes are folded before they move.
     Returns `by, ts_ms, row, total`: one row per distinct anchor stamp with the lowest `row` on it.
 
     A forward window [t, t + W] holds an event at e exactly when t lies in [e - W, e], so counting
@@ -28,8 +33,7 @@ def covering_sums(spans: DataFrame, width: int | Column, by: str | Sequence[str]
     takes it back after its end. A bucket is wider than any span, so a span meets at most two
     buckets and is opened again at the start of the second; no bucket needs rows of another.
     """
-    by = [by] if isinstance(by, str) else list(by)
-    size = (F.lit(width) if isinstance(width, int) else width) * BUCKET_WINDOWS + 1
+    size = width * BUCKET_WINDOWS + 1
 
     def bucket(at: Column) -> Column:
         return F.floor(at / size)
@@ -47,11 +51,12 @@ def covering_sums(spans: DataFrame, width: int | Column, by: str | Sequence[str]
         change(bucket(hi), hi, F.lit(0), F.col("row")),
         F.when(bucket(lo) != bucket(hi), change(bucket(hi), bucket(hi) * size, weight, no_row)),
     )
-    per_stamp = (
-        spans.select(*by, F.explode(F.filter(changes, lambda c: c.isNotNull())).alias("c"))
-        .groupBy(*by, F.col("c.bucket").alias("bucket"), F.col("c.ts_ms").alias("ts_ms"))
-        .agg(F.sum("c.weight").alias("weight"), F.min("c.row").alias("row"))
-    )
+
+    def folded(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.groupBy(*by, *more, "bucket", "ts_ms").agg(F.sum("weight").alias("weight"), F.min("row").alias("row"))
+
+    each = spans.select(*by, *within, F.explode(F.filter(changes, lambda c: c.isNotNull())).alias("c")).select(*by, *within, "c.*")
+    per_stamp = folded(folded(each, *within).repartition(tasks, *by, "bucket"))
     running = (
         Window.partitionBy(*by, "bucket").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -62,75 +67,67 @@ def covering_sums(spans: DataFrame, width: int | Column, by: str | Sequence[str]
     )
 
 
-def forward_counts(events: DataFrame, width: int, by: str = "source") -> DataFrame:
-    """Events of `by, ts_ms, n` inside [t, t + width] for every stamp t: `by, ts_ms, row, total`."""
-    stamps = events.filter(F.col("ts_ms").isNotNull()).groupBy(by, "ts_ms").agg(
-        F.count("*").alias("weight"), F.min("n").alias("row")
-    )
-    spans = stamps.select(by, (F.col("ts_ms") - width).alias("lo"), F.col("ts_ms").alias("hi"), "weight", "row")
-    return covering_sums(spans, width, by)
+def dealt(rows: DataFrame, tasks: int, by: str = "source") -> DataFrame:
+    """The stamped rows with `deal`, partitioned by `by`, stamp and `deal`: equal stamps lie in a few partitions, never in one."""
+    stamped = rows.filter(F.col("ts_ms").isNotNull()).withColumn("deal", F.pmod(F.xxhash64("n"), F.lit(DEALS)))
+    return stamped.repartition(tasks, by, "ts_ms", "deal")
 
 
-def forward_distinct(tokens: DataFrame, width: int, by: str = "source") -> DataFrame:
-    """Distinct tokens of `by, ts_ms, n, token` inside [t, t + width]: `by, ts_ms, row, total`.
+def forward_counts(events: DataFrame, width: int, tasks: int, by: str = "source") -> DataFrame:
+    """Events of `by, ts_ms, n` inside [t, t + width] for every stamp t: `by, ts_ms, row, total`."""
+    marks = dealt(events.select(by, "ts_ms", "n"), tasks, by).withColumn("token", F.lit(None).cast("string"))
+    return _counts(marks, F.lit(width), tasks, [by])
 
-    A token counts once per window, through its first use inside it: a use at e whose previous use is
-    at p counts for window starts after p only. The previous use matters only within `width`, so it
-    is searched in the token's own bucket with the last use of the bucket before.
-    """
-    size = width * BUCKET_WINDOWS
-    uses = (
-        tokens.filter(F.col("ts_ms").isNotNull())
-        .groupBy(by, "token", "ts_ms")
-        .agg(F.min("n").alias("row"))
-        .withColumn("bucket", F.floor(F.col("ts_ms") / F.lit(size)))
-    )
-    near_end = F.col("ts_ms") >= (F.col("bucket") + 1) * size - width
-    homes = F.when(near_end, F.array("bucket", F.col("bucket") + 1)).otherwise(F.array("bucket"))
-    in_order = Window.partitionBy(by, "token", "home").orderBy("ts_ms")
-    spans = (
-        uses.withColumn("home", F.explode(homes))
-        .withColumn("previous", F.lag("ts_ms").over(in_order))
-        .filter(F.col("home") == F.col("bucket"))
-        .select(
-            by,
-            F.greatest(F.col("previous") + 1, F.col("ts_ms") - width).alias("lo"),
-            F.col("ts_ms").alias("hi"),
-            F.lit(1).alias("weight"),
-            "row",
-        )
-    )
-    return covering_sums(spans, width, by)
 
+def forward_distinct(tokens: DataFrame, width: int, tasks: int, by: str = "source") -> DataFrame:
+    """Distinct tokens of `by, ts_ms, n, token` inside [t, t + width]: `by, ts_ms, row, total`."""
+    return _counts(dealt(tokens.select(by, "ts_ms", "n", "token"), tasks, by), F.lit(width), tasks, [by])
 
-def tagged_counts(marks: DataFrame, widths: Mapping[str, int], by: str = "source") -> DataFrame:
+
+def tagged_counts(marks: DataFrame, widths: Mapping[str, int], tasks: int, by: str = "source") -> DataFrame:
     """Several counts of one stream, each with its own window: `by, tag, ts_ms, row, total`.
 
-    `marks` has `by, tag, token, ts_ms, n`. Marks without a token count as in `forward_counts`, those with one as in
-    `forward_distinct`; a tag has marks of one sort. All tags go through the same shuffles, by tag and time bucket.
+    `marks` has `by, tag, token, ts_ms, n` and lies as `dealt` has left it, with `deal`. Marks without a token count as
+    in `forward_counts`, those with one as in `forward_distinct`; a tag has marks of one sort. All tags go through the
+    same shuffles, by tag and time bucket.
     """
     width = reduce(lambda rest, t: F.when(F.col("tag") == t, F.lit(widths[t])).otherwise(rest), widths, F.lit(1))
+    return _counts(marks, width, tasks, [by, "tag"])
+
+
+def _counts(marks: DataFrame, width: Column, tasks: int, by: list[str]) -> DataFrame:
+    """The counts of `marks`, of which `by` has no column that is a literal: such a one would be no key of a partition.
+
+    A token counts once per window, through its first use inside it: a use at e whose previous use is
+    at p counts for window starts after p only. The previous use matters only within the width, so it
+    is searched in the token's own bucket with the last uses of the bucket before.
+    """
     uses = (
-        marks.filter(F.col("ts_ms").isNotNull())
-        .groupBy(by, "tag", "token", "ts_ms")
+        marks.groupBy(*by, "ts_ms", "deal", "token")
         .agg(F.count("*").alias("times"), F.min("n").alias("row"))
         .withColumn("bucket", F.floor(F.col("ts_ms") / (width * BUCKET_WINDOWS)))
     )
     # Only a token's earlier use matters to the next bucket.
     near_end = F.col("token").isNotNull() & (F.col("ts_ms") >= (F.col("bucket") + 1) * width * BUCKET_WINDOWS - width)
     homes = F.when(near_end, F.array("bucket", F.col("bucket") + 1)).otherwise(F.array("bucket"))
-    in_order = Window.partitionBy(by, "tag", "token", "home").orderBy("ts_ms")
+    # A token's uses stay together; marks without one need no order, so their stamps are dealt out.
+    part = F.pmod(F.xxhash64(F.coalesce("token", F.col("ts_ms").cast("string"))), F.lit(DEALS))
+    within = ["home", "part"]
+    in_order = Window.partitionBy(*by, *within, "token").orderBy("ts_ms")
     spans = (
-        uses.withColumn("home", F.explode(homes))
+        uses.select(*by, F.explode(homes).alias("home"), part.alias("part"), "token", "ts_ms", "times", "row")
+        .repartition(tasks, *by, *within)
+        .groupBy(*by, *within, "token", "ts_ms")
+        .agg(F.sum("times").alias("times"), F.min("row").alias("row"))
         .withColumn("previous", F.when(F.col("token").isNotNull(), F.lag("ts_ms").over(in_order)))
-        .filter(F.col("home") == F.col("bucket"))
+        .filter(F.col("home") == F.floor(F.col("ts_ms") / (width * BUCKET_WINDOWS)))
         .select(
-            by,
-            "tag",
+            *by,
+            *within,
             F.greatest(F.col("previous") + 1, F.col("ts_ms") - width).alias("lo"),
             F.col("ts_ms").alias("hi"),
             F.when(F.col("token").isNull(), F.col("times")).otherwise(1).alias("weight"),
             "row",
         )
     )
-    return covering_sums(spans, width, [by, "tag"])
+    return covering_sums(spans, width, by, tasks, within)

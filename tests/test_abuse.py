@@ -2,9 +2,12 @@ import random
 
 import pytest
 from helpers import details, kinds_at, rows_of, stamp, text_frame
+from pyspark.sql import functions as F
 
 from sievelight.operators import abuse
 from sievelight.operators.findings import by_kind, kinds
+from sievelight.plans import sizing
+from sievelight.plans.windows import dealt
 from sievelight.sources.lines import log_lines_from_text
 
 NAMES = "ash birch cedar elm fir hazel larch maple oak pine rowan spruce yew willow".split()
@@ -168,3 +171,24 @@ def test_rhythm_does_not_depend_on_blocks(spark, block_rows):
     got = abuse.machine_rhythm(df, block_rows=block_rows)
     assert sorted(r["row"] for r in got.collect()) == want
     assert want
+
+
+def test_tasks_of_window_counts_grow_with_the_lines(spark, monkeypatch):
+    said = many(spark, range(200), lambda i: f"GET /item/{10 + i % 70} by visitor {i % 7}").repartition(2)
+    for count in (abuse.rate_burst, abuse.id_sweep, abuse.window_findings):
+        whole = rows_of(count(said), "source", "row")
+        assert whole
+        with monkeypatch.context() as patch:
+            patch.setattr(sizing, "TASK_ROWS", 10)
+            got = count(said)
+            assert got.rdd.getNumPartitions() >= 20
+            assert rows_of(got, "source", "row") == whole
+
+
+def test_lines_of_one_stamp_are_dealt_out(spark):
+    said = many(spark, [0] * 400 + [1800 * k for k in range(4)], lambda i: f"403 for {100 + i}")
+    assert rows_of(abuse.rate_burst(said, 2, 1000), "row", "events") == [(1, 401)]
+    assert rows_of(abuse.auth_burst(said, 2, 1_800_000), "row", "events") == [(1, 402), (402, 2), (403, 2)]
+    assert rows_of(abuse.id_sweep(said, 3, 1_800_000), "row", "ids") == [(1, 402), (402, 3), (403, 3)]
+    parts = dealt(said, 40).groupBy(F.spark_partition_id()).count().collect()
+    assert max(p["count"] for p in parts) < 200
