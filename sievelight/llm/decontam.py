@@ -21,6 +21,9 @@ INDEX_ITEMS = 20_000
 #: Items whose postings share a maximum.
 BLOCK_ITEMS = 32
 
+#: Bytes of text that are searched at a time. Every word meets the postings of its term, which take a hundred times its bytes.
+SEARCH_BYTES = 128 << 10
+
 _PLAIN = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
@@ -197,6 +200,16 @@ def _hits(texts: list[str | None], index: ItemIndex) -> Iterator[tuple[int, int,
                 yield d, k, known[q, a], q, a
 
 
+def _batch_hits(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.RecordBatch]:
+    """`doc_id, item_id, score, question_overlap, answer_overlap` of batches of doc_id and text."""
+    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
+    for batch in slices(batches, "text", limit=SEARCH_BYTES):
+        ids = batch.column("doc_id").to_pylist()
+        out = [(ids[d], index.ids[k], s, q, a) for d, k, s, q, a in _hits(batch.column("text").to_pylist(), index)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+
+
 def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """`item_id, words, terms` of items that have words."""
     for batch in slices(batches, "text"):
@@ -224,19 +237,11 @@ def benchmark_hits(
     items = items.groupBy("item_id").agg(F.min("text").alias("text"))
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
 
     def one_block(rows: list, stats: ItemStats | None = None) -> DataFrame:
         index = build_index([(r["item_id"], r["text"]) for r in rows], share, stats=stats)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text", limit=2 << 20):
-                ids = batch.column("doc_id").to_pylist()
-                out = [(ids[d], index.ids[k], s, q, a) for d, k, s, q, a in _hits(batch.column("text").to_pylist(), index)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
-
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(lambda batches: _batch_hits(batches, index), schema)
 
     rows = items.orderBy("item_id").limit(index_items + 1).collect()
     if not rows:

@@ -156,4 +156,4 @@ def test_revisits(spark):
 
 
 def test_queries_are_named():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))

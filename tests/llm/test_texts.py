@@ -3,9 +3,11 @@
 import os
 import re
 import sys
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -13,7 +15,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 from helpers_llm import documents, hostile_rows, prose  # noqa: E402
 
 from sievelight.llm import pieces as P  # noqa: E402
-from sievelight.llm.decontam import benchmark_hits, build_index, contaminated, overlap, tokens  # noqa: E402
+from sievelight.llm.decontam import _batch_hits, benchmark_hits, build_index, contaminated, overlap, tokens  # noqa: E402
 from sievelight.llm.quality import ASSUMED, fit_label_model, quality_verdicts  # noqa: E402
 from sievelight.llm.toxicity import fit_toxicity, score_text, toxicity_scores  # noqa: E402
 
@@ -281,3 +283,16 @@ def test_pieces_of_no_documents(spark):
     model, docs = P.load_model(MODEL), documents(spark, [])
     segments = P.encoded_segments(docs, P.build_dictionary(docs, model), model)
     assert P.document_digests(docs, segments, model).collect() == []
+
+
+def test_search_memory_does_not_grow_with_the_batch():
+    """Texts of words that all items hold: every word meets a posting of every item."""
+    words = [f"w{k}" for k in range(40)]
+    index = build_index([(i, " ".join(words) + f" own{i}") for i in range(200)])
+    texts = [" ".join([f"own{k % 200}", *words] * 8) for k in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    found = sum(b.num_rows for b in _batch_hits(iter([batch]), index))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and peak < 300 << 20
