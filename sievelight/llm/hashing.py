@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at a time, whatever the size of its Arrow batches.
 SLICE_BYTES = 2 << 20
@@ -125,3 +127,58 @@ class ByteHasher:
 
     def between(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _ODD)
+
+
+class StretchHasher:
+    """Hashes of byte strings that can be put together: two polynomials modulo 2^31 - 1, packed in 62 bits.
+
+    A string's hash follows from the hashes of its parts and the powers that belong to their lengths. The bases are fixed,
+    so texts can be made to collide; two texts of a megabyte that weren't do with a chance below one in a million.
+    """
+
+    PRIME = np.uint64((1 << 31) - 1)
+    BASES = (1_166_083_219, 1_785_264_691)
+
+    def __init__(self):
+        self.powers, self.backs = ([np.ones(1, np.uint64) for _ in self.BASES] for _ in range(2))
+
+    def _grow(self, size: int) -> None:
+        for k, base in enumerate(self.BASES):
+            for table, by in ((self.powers, base), (self.backs, pow(base, -1, int(self.PRIME)))):
+                while len(table[k]) < size:
+                    step = np.uint64(pow(by, len(table[k]), int(self.PRIME)))
+                    table[k] = np.concatenate([table[k], table[k] * step % self.PRIME])
+
+    def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, power) of the strings of `data` between neighbouring `ends`.
+
+        Byte k of a string counts with the k-th power. Products stay below 2^40, so sums over 16 MB stay below 2^64; for
+        more bytes remainders are summed.
+        """
+        sizes, at = np.diff(ends), ends - ends[0]
+        self._grow(int(at[-1]) + 1)
+        data = data[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+        hashes, powers = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
+        for power, back in zip(self.powers, self.backs, strict=True):
+            sums = np.zeros(len(data) + 1, np.uint64)
+            terms = data * power[: len(data)]
+            np.cumsum(terms % self.PRIME if len(data) > 1 << 24 else terms, out=sums[1:])
+            # The powers count from the first byte of all; what stands before a string is taken back.
+            whole = (sums[at[1:]] - sums[at[:-1]]) % self.PRIME * back[at[:-1]] % self.PRIME
+            hashes, powers = hashes << np.uint64(31) | whole, powers << np.uint64(31) | power[sizes]
+        return hashes.view(np.int64), powers.view(np.int64)
+
+    @classmethod
+    def joined(cls, parts: Column) -> Column:
+        """The hash of the strings side by side whose structs of `hash` and `power` are in the array, as a struct of its halves."""
+        prime = F.lit(int(cls.PRIME)).cast("long")
+
+        def half(x: Column, k: int) -> Column:
+            return F.shiftright(x, 31) if k == 0 else x.bitwiseAND(prime)
+
+        def put(state: Column, part: Column) -> Column:
+            sums = [((state[f"h{k}"] + state[f"p{k}"] * half(part["hash"], k)) % prime).alias(f"h{k}") for k in (0, 1)]
+            return F.struct(*sums, *[(state[f"p{k}"] * half(part["power"], k) % prime).alias(f"p{k}") for k in (0, 1)])
+
+        none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+        return F.aggregate(parts, F.struct(none.alias("h0"), none.alias("h1"), one.alias("p0"), one.alias("p1")), put)

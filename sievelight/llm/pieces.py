@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from sievelight.llm.hashing import mix, slices
+from sievelight.llm.hashing import StretchHasher, mix, slices
 from sievelight.plans.session import stored
 
 SPACE = "▁"
@@ -408,7 +408,7 @@ def decode_documents(encoded: DataFrame, model: PieceModel) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def _in_parts(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _in_parts(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The rows of a batch of segments in pieces of at most `limit` ids; a longer segment is a piece of its own."""
     sizes = np.diff(batch.column("ids").offsets.to_numpy())
     start = total = 0
@@ -421,13 +421,21 @@ def _in_parts(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
+def _hashed(strings: pa.Array, hasher: StretchHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters, hash, power) of strings or binary strings of UTF-8."""
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    chars = pc.utf8_length(strings.view(pa.string())).cast(pa.int64()).to_numpy(zero_copy_only=False)
+    return chars, *hasher(np.frombuffer(strings.buffers()[2] or b"", np.uint8), ends)
+
+
 def document_digests(docs: DataFrame, segments: DataFrame, model: PieceModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id, n_tokens, n_decoded, ids_digest, whole`, one row per document.
 
-    Every segment is decoded in its task; a document's decoded segments meet in order of `segment` and are its decoded
-    text, of which n_decoded counts the characters, prefix included. `whole` says that it equals the text: both are
-    held together by SHA-256, so texts move as digests only. Decoding writes U+2581 as a blank, so a text's own U+2581
-    counts as one. ids_digest mixes every id with its segment and place. A text without characters has no tokens. Rows
+    Every segment is decoded in its task, where its characters are counted and its bytes hashed; the hashes of a
+    document's segments, in order of `segment`, make up that of its decoded text, prefix included. n_decoded counts its
+    characters. `whole` says that it equals the text, whose own hash is made where the text is read: no text and no
+    decoded text moves (see StretchHasher). Decoding writes U+2581 as a blank, so a text's own U+2581 counts as one. A
+    segment holds whole characters. ids_digest mixes every id with its segment and place. A text without characters has no tokens. Rows
     with a null id have no segments: each is encoded and decoded where it stands, as one segment.
     """
     names = [b""] * (1 + max([k for k, _, _ in model.pieces] + model.byte_ids))
@@ -437,7 +445,7 @@ def document_digests(docs: DataFrame, segments: DataFrame, model: PieceModel, ke
         names[k] = bytes([b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pa.array(names, pa.binary())
+        pieces, hasher = pa.array(names, pa.binary()), StretchHasher()
         for batch in (part for whole in batches for part in _in_parts(whole)):
             column = batch.column("ids")
             sizes = np.diff(column.offsets.to_numpy())
@@ -449,8 +457,21 @@ def document_digests(docs: DataFrame, segments: DataFrame, model: PieceModel, ke
             taken = pa.concat_arrays([pieces.take(pa.array(ids)), pa.array([b""], pa.binary())])
             ends = np.frombuffer(taken.buffers()[1], np.int32)[first].astype(np.int32)
             bytes_ = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), taken.buffers()[2]])
-            out = [pa.array(sizes.astype(np.int64)), pa.array((mixed[first[1:]] - mixed[first[:-1]]).astype(np.uint64).view(np.int64)), bytes_]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("segment"), *out], ["doc_id", "segment", "n_tokens", "ids_digest", "bytes"])
+            if model.byte_ids and (ids == model.byte_ids[SPACE.encode()[0]]).any():
+                bytes_ = pc.replace_substring(bytes_, SPACE.encode(), b" ")
+            chars, hashes, powers = _hashed(bytes_, hasher)
+            out = [pa.array(sizes.astype(np.int64)), pa.array((mixed[first[1:]] - mixed[first[:-1]]).astype(np.uint64).view(np.int64)), *map(pa.array, (chars, hashes, powers))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("segment"), *out], ["doc_id", "segment", "n_tokens", "ids_digest", "n_decoded", "hash", "power"])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = StretchHasher()
+        for batch in slices(batches, "text", limit=1 << 20):
+            said = batch.column("text")
+            said = pc.replace_substring(said, SPACE, " ") if pc.any(pc.match_substring(said, SPACE)).as_py() else said
+            written = pc.binary_join_element_wise(" " * model.prefix, said, "")
+            _, hashes, _ = _hashed(written.fill_null(""), hasher)
+            none = pc.equal(pc.binary_length(said).fill_null(0), 0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hashes, mask=none)], ["doc_id", "hash"])
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, lattice, known = Cutter(model), Lattice(model), {}
@@ -473,15 +494,18 @@ def document_digests(docs: DataFrame, segments: DataFrame, model: PieceModel, ke
 
     nameless = docs.filter(F.col(key).isNull()).select(F.col(text).alias("text")).mapInArrow(alone, "doc_id long, n_tokens long, n_decoded long, ids_digest long, whole boolean")
     docs = docs.filter(F.col(key).isNotNull())
-    each = segments.select("doc_id", "segment", "ids").mapInArrow(run, "doc_id long, segment long, n_tokens long, ids_digest long, bytes binary").groupBy("doc_id")
-    each = each.agg(F.sum("n_tokens").alias("n_tokens"), F.bit_xor("ids_digest").alias("ids_digest"), F.collect_list(F.struct("segment", "bytes")).alias("_parts"))
-    joined = F.array_join(F.transform(F.array_sort("_parts"), lambda s: s["bytes"].cast("string")), "")
-    each = each.select("doc_id", "n_tokens", "ids_digest", F.replace(joined, F.lit(SPACE), F.lit(" ")).alias("_decoded"))
-    each = each.select("doc_id", "n_tokens", F.length("_decoded").cast("long").alias("n_decoded"), "ids_digest", F.unhex(F.sha2(F.col("_decoded").cast("binary"), 256)).alias("_got"))
-    written = F.when(F.length(text) > 0, F.concat(F.lit(" " * model.prefix), F.replace(F.col(text), F.lit(SPACE), F.lit(" "))))
-    told = docs.select(F.col(key).cast("long").alias("doc_id"), F.unhex(F.sha2(written.cast("binary"), 256)).alias("_want")).join(each, "doc_id", "left")
-    told = told.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_tokens", "n_decoded", "ids_digest")})
-    return told.select("doc_id", "n_tokens", "n_decoded", "ids_digest", F.col("_got").eqNullSafe(F.col("_want")).alias("whole")).unionByName(nameless)
+    schema = "doc_id long, segment long, n_tokens long, ids_digest long, n_decoded long, hash long, power long"
+    each = segments.select("doc_id", "segment", "ids").mapInArrow(run, schema).groupBy("doc_id")
+    each = each.agg(
+        F.sum("n_tokens").alias("n_tokens"), F.sum("n_decoded").alias("n_decoded"), F.bit_xor("ids_digest").alias("ids_digest"),
+        F.collect_list(F.struct("segment", "hash", "power")).alias("_parts"),
+    )
+    got = StretchHasher.joined(F.array_sort("_parts"))
+    each = each.select("doc_id", "n_tokens", "n_decoded", "ids_digest", got.alias("_both"))
+    each = each.select("doc_id", "n_tokens", "n_decoded", "ids_digest", F.shiftleft("_both.h0", 31).bitwiseOR(F.col("_both.h1")).alias("_got"))
+    texts = _texts(docs, key, text).mapInArrow(told, "doc_id long, hash long").withColumnRenamed("hash", "_want").join(each, "doc_id", "left")
+    texts = texts.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_tokens", "n_decoded", "ids_digest")})
+    return texts.select("doc_id", "n_tokens", "n_decoded", "ids_digest", F.col("_got").eqNullSafe(F.col("_want")).alias("whole")).unionByName(nameless)
 
 
 def library(path: str) -> sentencepiece.SentencePieceProcessor:

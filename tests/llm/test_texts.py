@@ -1,6 +1,7 @@
 """Quality, toxicity, decontamination and pieces."""
 
 import os
+import random
 import re
 import sys
 import tracemalloc
@@ -9,12 +10,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 
 from helpers_llm import documents, hostile_rows, prose  # noqa: E402
 
 from sievelight.llm import pieces as P  # noqa: E402
+from sievelight.llm.hashing import StretchHasher  # noqa: E402
 from sievelight.llm.decontam import _batch_hits, benchmark_hits, build_index, contaminated, overlap, tokens  # noqa: E402
 from sievelight.llm.quality import ASSUMED, fit_label_model, quality_verdicts  # noqa: E402
 from sievelight.llm.toxicity import fit_toxicity, score_text, toxicity_scores  # noqa: E402
@@ -296,3 +299,28 @@ def test_search_memory_does_not_grow_with_the_batch():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found and peak < 300 << 20
+
+
+def test_hashes_of_parts_make_up_the_hash_of_the_whole(spark):
+    """Any cut of a text gives its hash, and changed, moved or lost bytes do not."""
+    hasher = StretchHasher()
+    data = np.frombuffer(prose(5, 400).encode() + "א中\U0001f600".encode(), np.uint8)
+    want = int(hasher(data, np.array([0, len(data)]))[0][0])
+
+    def joined(data, cuts):
+        rows = [(k, int(h), int(p)) for k, (h, p) in enumerate(zip(*hasher(data, np.array([0, *cuts, len(data)])), strict=True))]
+        parts = F.array_sort(F.collect_list(F.struct("k", "hash", "power")))
+        both = spark.createDataFrame(rows, "k long, hash long, power long").select(StretchHasher.joined(parts).alias("b")).first()["b"]
+        return (both["h0"] << 31) | both["h1"]
+
+    for cuts in ([], [1], [7, 7, 100], sorted(random.Random(6).sample(range(len(data)), 60))):
+        assert joined(data, cuts) == want
+    assert joined(data[::-1].copy(), [9]) != want and joined(data[1:], [9]) != want
+
+
+def test_decoded_texts_are_not_shuffled(spark):
+    model = P.load_model(MODEL)
+    docs = documents(spark, [(1, "one two"), (2, None)])
+    told = P.document_digests(docs, P.encoded_segments(docs, P.build_dictionary(docs, model), model), model)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "hash" in plan and "bytes" not in plan and "sha2" not in plan
