@@ -313,7 +313,7 @@ def encoded_segments(docs: DataFrame, dictionary: DataFrame, model: PieceModel,
             words, ends, flat = hot.value
             place = {w: k for k, w in enumerate(words)}
             cutter = Cutter(model)
-            for batch in slices(batches, "text", limit=2 << 20):
+            for batch in slices(batches, "text", limit=512 << 10):
                 found, first = cutter.cut(batch.column("text").to_pylist())
                 at = np.fromiter((place.get(s, -1) for s in found), np.int64, len(found))
                 # Stretches too long for the table are encoded here and count as being at hand.
@@ -408,7 +408,7 @@ def decode_documents(encoded: DataFrame, model: PieceModel) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def _in_parts(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+def _in_parts(batch: pa.RecordBatch, limit: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """The rows of a batch of segments in pieces of at most `limit` ids; a longer segment is a piece of its own."""
     sizes = np.diff(batch.column("ids").offsets.to_numpy())
     start = total = 0
@@ -465,7 +465,7 @@ def document_digests(docs: DataFrame, segments: DataFrame, model: PieceModel, ke
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = StretchHasher()
-        for batch in slices(batches, "text", limit=1 << 20):
+        for batch in slices(batches, "text", limit=256 << 10):
             said = batch.column("text")
             said = pc.replace_substring(said, SPACE, " ") if pc.any(pc.match_substring(said, SPACE)).as_py() else said
             written = pc.binary_join_element_wise(" " * model.prefix, said, "")
