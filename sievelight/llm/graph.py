@@ -9,7 +9,7 @@ from sievelight.plans.session import stored
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step over links `a > b`."""
+    """One large-star or small-star step over links `a > b`; links that a large star repeats leave in the small star after it."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
     met = both.join(least, "a")
@@ -17,7 +17,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         out = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.filter("a > b").distinct()
+    out = out.filter("a > b")
+    return out if large else out.distinct()
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task works on at a time, whatever the size of its Arrow batches.
 SLICE_BYTES = 2 << 20
 
+#: Bytes whose words are hashed from one run of prefix sums, and the longest word hashed that way (see ByteHasher).
+WORD_BLOCK = 1 << 16
+LONG_WORD = 255
+
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -58,12 +63,27 @@ def hash_words(words: list) -> np.ndarray:
 def word_lists(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts one after the other, and the offset of each text's first word.
 
-    A word is `[^\\x20\\x09-\\x0D]+`, which is what bytes.split() gives; bytes.lower() changes A-Z only.
+    A word is `[^\\x20\\x09-\\x0D]+`, which is what bytes.split() gives; bytes.lower() changes A-Z only. No word becomes an
+    object: hashes come from prefix sums over blocks of bytes, those of words above LONG_WORD bytes from the words.
     """
-    lists = [(t.lower() if lower else t).split() for t in texts]
-    offsets = np.zeros(len(lists) + 1, np.int64)
-    np.cumsum([len(x) for x in lists], out=offsets[1:])
-    return hash_words(list(chain.from_iterable(lists))), offsets
+    whole = b" ".join([b"", *texts, b""])
+    whole = whole.lower() if lower else whole
+    data = np.frombuffer(whole, np.uint8)
+    blank = _BLANK[data]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = edges[0::2], edges[1::2]
+    hashes, at = np.empty(len(starts), np.uint64), 0
+    hasher = _word_hasher()
+    while at < len(starts):
+        begin = starts[at]
+        to = int(np.searchsorted(ends, begin + WORD_BLOCK, "right"))
+        if to > at:
+            sums = hasher.prefix(data[begin : ends[to - 1]])
+            hashes[at:to] = hasher.between(sums, starts[at:to] - begin, ends[at:to] - begin)
+        at = max(to, at + 1)
+    long_ = np.flatnonzero(ends - starts > LONG_WORD)
+    hashes[long_] = hash_words([whole[starts[k] : ends[k]] for k in long_.tolist()])
+    return hashes, np.searchsorted(starts, np.cumsum([1, *[len(t) + 1 for t in texts]]))
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -94,7 +114,8 @@ def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
     grams = ngram_hashes(words, n)
     for start, end in zip(offsets[:-1], offsets[1:], strict=True):
         if end - start >= n:
-            yield np.unique(grams[start : end - n + 1])
+            ordered = np.sort(grams[start : end - n + 1])
+            yield ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
         elif end > start:
             yield np.array([sequence_hash(words[start:end])], np.uint64)
         else:
@@ -129,6 +150,11 @@ class ByteHasher:
         return mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _ODD)
 
 
+@cache
+def _word_hasher() -> ByteHasher:
+    return ByteHasher(WORD_BLOCK)
+
+
 class StretchHasher:
     """Hashes of byte strings that can be put together: two polynomials modulo 2^31 - 1, packed in 62 bits.
 

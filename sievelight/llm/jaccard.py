@@ -23,6 +23,9 @@ SUFFIX_CLASSES = 128
 ROUNDS = 3
 GROUP = 8
 
+#: Last of the eight parts of the hash range that each share of the n-grams reaches (see `_possible`).
+SHARES = (2, 8)
+
 #: Shared n-grams that fit a broadcast, at 8 bytes each; more of them meet the rows in a shuffle join.
 KEYS = 4_000_000
 
@@ -49,12 +52,18 @@ def class_counts(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, "class int, count long").groupBy("class").agg(F.sum("count").alias("count"))
 
 
+def _share_of(grams: np.ndarray) -> np.ndarray:
+    """The share of each n-gram, by three bits of its hash that order and classes don't use."""
+    return np.searchsorted(SHARES, (grams >> np.uint64(32) & np.uint64(7)).astype(np.int64), "right")
+
+
 def _facts(docs: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFrame:
-    """`doc, size, set_key, prefix`: set size, a digest of the set, and its rarest n-grams, of which a partner shares one."""
+    """`doc, size, set_key, prefix, shares`: set size, a digest of the set, its rarest n-grams, of which a partner shares one,
+    and its n-grams by share."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            keys, prefixes, sizes = [], [], []
+            keys, prefixes, sizes, shares = [], [], [], []
             for grams in shingle_sets(utf8(batch.column("text")), n):
                 size = len(grams)
                 late = order[(grams >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
@@ -62,12 +71,13 @@ def _facts(docs: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFram
                 prefixes.append(grams[np.argsort(late, kind="stable")[:keep]].view(np.int64))
                 keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if size else None)
                 sizes.append(size)
+                shares.append(np.bincount(_share_of(grams), minlength=len(SHARES)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc", "size", "set_key", "prefix"],
+                [batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (prefixes, shares))],
+                ["doc", "size", "set_key", "prefix", "shares"],
             )
 
-    return docs.select("doc", "text").mapInArrow(make, "doc long, size long, set_key binary, prefix array<long>")
+    return docs.select("doc", "text").mapInArrow(make, "doc long, size long, set_key binary, prefix array<long>, shares array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -157,26 +167,43 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(spans.filter("lo < hi").select("h", "n_rows"), "h")
 
 
-def _common(rows: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """`doc, common`: how many n-grams of a document also occur in another component, of all documents in `rows`.
+def _common(rows: DataFrame, docs: DataFrame, n: int, share: int) -> DataFrame:
+    """`doc, met`: how many n-grams of one share a document has that also occur in another component, of all documents in `rows`.
 
-    No partner from another component can share more, so documents whose own edits are many are known to have none
-    before any pair is made. The work is one row per n-gram of these documents.
+    Those of several rows with one id are added up, so there it is the most that it can be.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = [g.view(np.int64) for g in shingle_sets(utf8(batch.column("text")), n)]
+            sets = [g[_share_of(g) == share].view(np.int64) for g in shingle_sets(utf8(batch.column("text")), n)]
             sizes = [len(g) for g in sets]
             ids, comps = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("doc", "comp"))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(comps), pa.array(np.concatenate(sets))], ["doc", "comp", "h"])
 
     members = stored(rows.select("doc", "comp").distinct())
     grams = docs.join(broadcast_if_small(members), "doc").select("doc", "text", "comp")
-    grams = stored(grams.mapInArrow(make, "doc long, comp long, h long"))
+    grams = grams.mapInArrow(make, "doc long, comp long, h long")
     spans = grams.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
     met = grams.join(broadcast_if_small(stored(spans), KEYS), "h", "left_semi")
-    return met.distinct().groupBy("doc").agg(F.count("*").alias("common"))
+    return stored(met.groupBy("doc").agg(F.count("*").alias("met")))
+
+
+def _possible(rows: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """`rows` of documents that can have a partner in another component, with `common`: the most that they share with one.
+
+    No partner can share more than the n-grams that any other component has, so a document whose own n-grams are many is
+    known to have none before any pair is made. N-grams are looked at share by share. Those of later shares count as
+    shared, so a document leaves as soon as its own ones are too many, and with it leave its other n-grams: a first share
+    of a quarter is all that is needed of a document of which less than a fifth is shared, at 80 percent. A partner of a
+    document never leaves before it, since what the two share is not their own.
+    """
+    rows = rows.withColumn("common", F.col("size"))
+    for share in range(len(SHARES)):
+        met = broadcast_if_small(_common(rows, docs, n, share))
+        own = F.get("shares", share) - F.coalesce("met", F.lit(0))
+        rows = rows.join(met, "doc", "left").withColumn("common", F.col("common") - F.greatest(own, F.lit(0))).drop("met")
+        rows = stored(rows.filter(f"100 * common >= {percent} * size"))
+    return stored(_mixed(rows.drop("n_rows")))
 
 
 def _to_pivots(rows: DataFrame, group: list[Column], first: Column, percent: int) -> DataFrame:
@@ -211,7 +238,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, key: str
     random group of eight. What those pairs connect is one component; last, every pair left that shares a prefix n-gram
     and lies in two components goes through all filters and is verified. So a group of thousands of near copies is
     connected by few pairs, and no link between components is lost. Before that last join, a document's n-grams that any
-    other component has are counted: no partner there can share more.
+    other component has are counted: no partner there can share more (see `_possible`).
 
     A null or empty text, or one of blanks only, has no n-grams and is its own component; fewer than `n` words are one
     n-gram. Rows that share an id share a component. Other columns don't matter.
@@ -223,7 +250,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, key: str
     facts = stored(_facts(docs, n, percent, order))
     firsts = stored(facts.filter("set_key IS NOT NULL AND doc IS NOT NULL").groupBy("set_key").agg(F.min("doc").alias("doc")))
     short = f"size - {_ceil(f'2 * {percent} * size', str(100 + percent))} + 1"
-    rows = facts.join(firsts, ["set_key", "doc"], "left_semi").select("doc", "size", F.posexplode("prefix").alias("pos", "h"))
+    rows = facts.join(firsts, ["set_key", "doc"], "left_semi").select("doc", "size", "shares", F.posexplode("prefix").alias("pos", "h"))
     rows = rows.withColumn("pos", F.col("pos").cast("long")).withColumn("early", F.expr(f"pos < {short}"))
     held = rows.groupBy("h").agg(F.count("*").alias("c"), F.max("early").alias("e")).filter("c > 1 AND e")
     shared = stored(rows.join(broadcast_if_small(stored(held.select("h")), KEYS), "h", "left_semi"))
@@ -233,7 +260,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, key: str
     alone = shared.withColumn("comp", F.col("doc")).join(wanted, "doc")
     band = F.floor(F.log("size") / F.log(F.lit(100 / percent)))
     tested = stored(_to_pivots(alone, [band], -F.col("share"), percent))
-    links = verified(tested, docs, percent, n)
+    links = verified(stored(suffix_filter(tested, classes, percent)), docs, percent, n)
     comps = _merged(shared, None, links)
     for turn in range(ROUNDS):
         placed = shared.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
@@ -244,8 +271,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, key: str
         tested = tested.unionByName(pairs)
         comps = _merged(shared, comps, links)
     placed = shared.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    placed = stored(_mixed(placed))
-    placed = placed.join(_common(placed, docs, n), "doc").filter(f"100 * common >= {percent} * size")
+    placed = _possible(stored(_mixed(placed)), docs, percent, n)
     x, y = placed.filter("early").alias("x"), placed.alias("y")
     enough = F.expr(f"least(x.common, y.common) >= {_ceil(f'{percent} * (x.size + y.size)', str(100 + percent))}")
     met = x.join(y, F.expr("x.h = y.h AND x.comp != y.comp") & _later("x", "y") & _fits("x", "y", percent) & enough)

@@ -6,11 +6,14 @@ import re
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 
 from helpers_llm import documents, hostile_rows, prose  # noqa: E402
 
+from sievelight.llm import hashing as H  # noqa: E402
+from sievelight.llm import jaccard as J  # noqa: E402
 from sievelight.llm.graph import connected_components  # noqa: E402
 from sievelight.llm.jaccard import jaccard_components  # noqa: E402
 from sievelight.llm.suffixes import suffix_dedup  # noqa: E402
@@ -81,6 +84,35 @@ def test_repeated_rows_keep_their_rows(spark):
     assert got == [(1, 1), (1, 1), (2, 1), (2, 2)]
 
 
+def test_words_hash_alike_wherever_they_stand(monkeypatch):
+    texts = [b"One two\x0bthree", b"", b" \t ", "n\u00ef two".encode(), b"x" * 300 + b" two " + b"y" * 255, b"two" * 200, b"x" * 300, b"a\x00b \x00"]
+    words = [w for t in texts for w in t.lower().split()]
+    whole, offsets = H.word_lists(texts, lower=True)
+    assert offsets.tolist() == [0, 3, 3, 3, 5, 8, 9, 10, 12]
+    assert len(set(whole.tolist())) == len(set(words)) == len(set(zip(words, whole.tolist(), strict=True)))
+    for block in (1, 7, 400):
+        monkeypatch.setattr(H, "WORD_BLOCK", block)
+        assert H.word_lists(texts, lower=True)[0].tolist() == whole.tolist()
+
+
+def test_documents_of_their_own_leave_after_a_quarter_of_their_ngrams(spark):
+    passage = prose(70, 12)
+    rows = [(k, prose(200 + k, 150) + " " + passage) for k in range(4)] + [(10, prose(80, 60)), (11, prose(80, 59) + " end")]
+    docs = documents(spark, rows).select(F.col("doc_id").alias("doc"), "text")
+    facts = J._facts(docs, 5, 80, J.np.zeros(1 << J.ORDER_BITS, J.np.int64))
+    placed = facts.select("doc", "size", "shares", F.posexplode("prefix").alias("pos", "h")).withColumn("comp", F.col("doc")).withColumn("n_rows", F.lit(2))
+    read = []
+
+    def seen(rows, docs, n, share, common=J._common):
+        read.append({r["doc"] for r in rows.select("doc").distinct().collect()})
+        return common(rows, docs, n, share)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(J, "_common", seen)
+        left = J._possible(placed, docs, 80, 5).select("doc").distinct().collect()
+    assert read == [{0, 1, 2, 3, 10, 11}, {10, 11}] and {r["doc"] for r in left} == {10, 11}
+
+
 def test_long_chains_connect(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 102), (102, 100), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(links).collect()}
