@@ -90,7 +90,7 @@ def test_words_hash_alike_wherever_they_stand(monkeypatch):
     whole, offsets = H.word_lists(texts, lower=True)
     assert offsets.tolist() == [0, 3, 3, 3, 5, 8, 9, 10, 12]
     assert len(set(whole.tolist())) == len(set(words)) == len(set(zip(words, whole.tolist(), strict=True)))
-    for block in (1, 7, 400):
+    for block in (H.LONG_WORD, 300, 700):
         monkeypatch.setattr(H, "WORD_BLOCK", block)
         assert H.word_lists(texts, lower=True)[0].tolist() == whole.tolist()
 
