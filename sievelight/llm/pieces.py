@@ -7,6 +7,7 @@ import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,9 @@ REMEMBERED = 300_000
 #: Characters of a stretch that goes through the table; a longer one is encoded where it stands.
 LONG = 128
 
+#: Characters of a stretch whose merges need no heap.
+SHORT = 32
+
 
 @dataclass
 class PieceModel:
@@ -86,20 +90,31 @@ class Cutter:
         self.joined = np.zeros(self.width * self.width, bool)
         self.joined[[int(self.code[ord(a)]) * self.width + int(self.code[ord(b)]) for a, b in model.joined]] = True
 
-    def cut(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """All stretches of all texts, and where each text's begin; a null or empty text has none."""
+    def cut(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+        """All stretches of all texts as UTF-8, and where each text's begin; a null or empty text has none.
+
+        A byte that UTF-8 never has is put before each stretch, and the bytes are split there: a common stretch costs
+        little more than its characters.
+        """
         written = [self.prefix + t.replace(" ", SPACE) if t else "" for t in texts]
         whole = "".join(written)
         starts = np.cumsum([0, *map(len, written)])
         if not whole:
             return [], np.zeros(len(texts) + 1, np.int64)
-        code = self.code[np.frombuffer(whole.encode("utf-32-le"), np.uint32)].astype(np.int32)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        code = self.code[points].astype(np.int32)
         cuts = np.ones(len(whole), bool)
         cuts[1:] = ~self.joined[code[:-1] * self.width + code[1:]]
         cuts[starts[:-1][starts[:-1] < len(whole)]] = True
         at = np.flatnonzero(cuts)
-        ends = [*at[1:].tolist(), len(whole)]
-        return [whole[a:b] for a, b in zip(at.tolist(), ends)], np.searchsorted(at, starts)
+        data = np.frombuffer(whole.encode(), np.uint8)
+        first_bytes = np.flatnonzero((data & 0xC0) != 0x80)[at]
+        marked = np.insert(data, first_bytes[1:], 0xFF).tobytes()
+        return marked.split(b"\xff"), np.searchsorted(at, starts)
+
+
+def is_long(stretch: bytes) -> bool:
+    return len(stretch) > LONG and len(stretch.decode()) > LONG
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -117,9 +132,9 @@ def stretch_counts(docs: DataFrame, model: PieceModel) -> DataFrame:
         cutter = Cutter(model)
 
         def counted() -> pa.RecordBatch:
-            short = [(s, n) for s, n in seen.items() if len(s) <= LONG]
+            short = [(s, n) for s, n in seen.items() if not is_long(s)]
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in short], pa.binary()).cast(pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
 
         for batch in slices(batches, "text", limit=2 << 20):
             seen.update(cutter.cut(batch.column("text").to_pylist())[0])
@@ -161,6 +176,24 @@ def _viterbi(edges: Column, length: Column) -> Column:
     return F.aggregate(ends, F.struct(length.alias("at"), none.alias("spans"), best.alias("best")), step, lambda s: s["spans"])
 
 
+def merged_pieces(stretch: str, scores: dict[str, float]) -> list[str]:
+    """What is left of a stretch when neighbours merge that make up a piece of `scores`, as `merged_spans` merges them.
+
+    Only edges that a merge asks for are looked up, and all scores are looked at for each merge: for short stretches.
+    """
+    none, get, parts = float("-inf"), scores.get, list(stretch)
+    found = [get(x + y, none) for x, y in zip(parts, parts[1:])]
+    while found and (best := max(found)) > none:
+        k = found.index(best)
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        del found[k]
+        if k < len(found):
+            found[k] = get(parts[k] + parts[k + 1], none)
+        if k:
+            found[k - 1] = get(parts[k - 1] + parts[k], none)
+    return parts
+
+
 def merged_spans(size: int, edges: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
     """Spans left when neighbours merge, best edge first, the leftmost of equals, until no two neighbours make up an edge.
 
@@ -210,6 +243,7 @@ class Lattice:
     def __init__(self, model: PieceModel):
         self.model = model
         self.table = {p: (k, s) for k, p, s in model.pieces}
+        self.scores = {p: s for p, (_, s) in self.table.items() if len(p) > 1}
         self.heads = {p[:k] for p in self.table for k in range(2, len(p))}
 
     def edges(self, word: str) -> dict[tuple[int, int], float]:
@@ -227,19 +261,24 @@ class Lattice:
 
     def encode(self, word: str) -> list[int]:
         """Ids of the fold's spans; a character without a piece is its UTF-8 bytes, or the unknown id."""
-        model, edges = self.model, self.edges(word)
-        if model.kind == "bpe":
-            spans = merged_spans(len(word), edges)
+        model = self.model
+        if model.kind == "bpe" and len(word) <= SHORT:
+            parts = merged_pieces(word, self.scores)
         else:
-            edges |= {(k, k + 1): self.table[c][1] for k, c in enumerate(word) if c in self.table}
-            spans = best_spans(len(word), edges, model.longest, model.unknown_score)
+            edges = self.edges(word)
+            if model.kind == "bpe":
+                spans = merged_spans(len(word), edges)
+            else:
+                edges |= {(k, k + 1): self.table[c][1] for k, c in enumerate(word) if c in self.table}
+                spans = best_spans(len(word), edges, model.longest, model.unknown_score)
+            parts = [word[a:b] for a, b in spans]
         out: list[int] = []
-        for a, b in spans:
-            found = self.table.get(word[a:b])
+        for part in parts:
+            found = self.table.get(part)
             if found is not None:
                 out.append(found[0])
             else:
-                out += [model.byte_ids[x] for x in word[a:b].encode()] if model.byte_ids else [model.unknown_id]
+                out += [model.byte_ids[x] for x in part.encode()] if model.byte_ids else [model.unknown_id]
         return out
 
 
@@ -311,14 +350,14 @@ def encoded_segments(docs: DataFrame, dictionary: DataFrame, model: PieceModel,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(model)
             words, ends, flat = hot.value
-            place = {w: k for k, w in enumerate(words)}
+            place = {w.encode(): k for k, w in enumerate(words)}
             cutter = Cutter(model)
             for batch in slices(batches, "text", limit=512 << 10):
                 found, first = cutter.cut(batch.column("text").to_pylist())
-                at = np.fromiter((place.get(s, -1) for s in found), np.int64, len(found))
+                at = np.fromiter(map(place.get, found, repeat(-1)), np.int64, len(found))
                 # Stretches too long for the table are encoded here and count as being at hand.
-                long_ = [k for k in np.flatnonzero(at < 0).tolist() if len(found[k]) > LONG]
-                own = [np.array(lattice.encode(found[k]), flat.dtype) for k in long_]
+                long_ = [k for k in np.flatnonzero(at < 0).tolist() if is_long(found[k])]
+                own = [np.array(lattice.encode(found[k].decode()), flat.dtype) for k in long_]
                 bounds, all_ids = ends, flat
                 if own:
                     at[long_] = len(ends) - 1 + np.arange(len(own))
@@ -346,7 +385,7 @@ def encoded_segments(docs: DataFrame, dictionary: DataFrame, model: PieceModel,
                     value = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_run)]).astype(np.int32)), pa.array(all_ids[where].astype(np.int32)))
                 else:
                     runs = np.flatnonzero(rare[head])
-                    value = pa.array([found[k] for k in head[runs].tolist()], pa.string())
+                    value = pa.array([found[k] for k in head[runs].tolist()], pa.binary()).cast(pa.string())
                 columns = [pa.array(names[doc[head[runs]]]), pa.array(segment[runs].astype(np.int64)), value]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "segment", "ids" if common else "word"])
 
@@ -481,7 +520,7 @@ def document_digests(docs: DataFrame, segments: DataFrame, model: PieceModel, ke
                 ids: list[int] = []
                 for word in cutter.cut([said])[0]:
                     if word not in known:
-                        known[word] = lattice.encode(word)
+                        known[word] = lattice.encode(word.decode())
                     ids += known[word]
                 got = b"".join(map(names.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
                 mixed = mix(((np.arange(len(ids)) << 17) + np.array(ids, np.int64)).astype(np.uint64)).sum(dtype=np.uint64)

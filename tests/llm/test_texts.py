@@ -324,3 +324,26 @@ def test_decoded_texts_are_not_shuffled(spark):
     told = P.document_digests(docs, P.encoded_segments(docs, P.build_dictionary(docs, model), model), model)
     plan = told._jdf.queryExecution().executedPlan().toString()
     assert "hash" in plan and "bytes" not in plan and "sha2" not in plan
+
+
+def test_pieces_of_short_stretches_list_no_edges(monkeypatch):
+    """Merges look up what they ask for; they give what the fold over all edges gives."""
+    model = P.load_model(MODEL)
+    lattice, draw = P.Lattice(model), random.Random(5)
+    words = [P.SPACE + w for w in prose(11, 60).split()] + ["".join(draw.choices("abeinrst\u00e9\u4e2d\U0001f600", k=draw.randint(1, P.SHORT))) for _ in range(200)]
+    for word in words:
+        spans = P.merged_spans(len(word), lattice.edges(word))
+        assert P.merged_pieces(word, lattice.scores) == [word[a:b] for a, b in spans], word
+    monkeypatch.setattr(P.Lattice, "edges", lambda *_: 1 / 0)
+    assert all(lattice.encode(w) for w in words)
+
+
+def test_stretches_are_cut_as_bytes():
+    model = P.load_model(MODEL)
+    texts = [prose(12, 30), None, "", "\u4e2d\U0001f600 x\u00e9", " ", "\x00\x7f\u07ff\uffff"]
+    found, first = P.Cutter(model).cut(texts)
+    assert all(isinstance(w, bytes) and w for w in found) and len(first) == len(texts) + 1
+    for k, text in enumerate(texts):
+        want = ((P.SPACE if model.prefix else "") + text.replace(" ", P.SPACE)) if text else ""
+        assert b"".join(found[first[k] : first[k + 1]]).decode() == want
+    assert not P.is_long(("\u4e2d" * P.LONG).encode()) and P.is_long(b"a" * (P.LONG + 1))
