@@ -69,21 +69,24 @@ def toxicity_scores(
     """The columns `keep` of every row, `score` and `offending` (start, end, score of each offending sentence, in code points).
 
     Whole texts are scored. A null text, or one without words, scores 0 and has no offending sentence. Rows keep their
-    repeats; columns of `docs` that are not named in `keep` do no harm, whatever their names.
+    repeats; columns of `docs` that are not named in `keep` do no harm, whatever their names. A text that is kept goes to
+    the tasks' Python once, not as a column to score besides.
     """
+    scored = text if text in keep else "_text"
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            made = [score_text(t, model, offending) for t in batch.column("_text").to_pylist()]
+        for batch in slices(batches, scored):
+            made = [score_text(t, model, offending) for t in batch.column(scored).to_pylist()]
             found = [[{"start": a, "end": b, "score": p} for a, b, p in x] for _, x in made]
             added = [pa.array([s for s, _ in made], pa.float64()), pa.array(found, spans)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + added, [*keep, "score", "offending"])
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(keep)] + added, [*keep, "score", "offending"])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
     schema += ", score double, offending array<struct<start:int,end:int,score:double>>"
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    sent = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias(scored))
+    return sent.mapInArrow(run, schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:

@@ -10,7 +10,7 @@ from test_pairs_and_repeats import components, removed  # noqa: E402
 
 from sievelight.llm.decontam import overlap, question_and_answer, tokens  # noqa: E402
 from sievelight.llm.pieces import library  # noqa: E402
-from sievelight.llm.toxicity import fit_toxicity, score_text  # noqa: E402
+from sievelight.llm.toxicity import ToxicityModel, fit_toxicity, score_text, toxicity_scores  # noqa: E402
 from sievelight.plans.session import stored  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -60,3 +60,15 @@ def test_nulls_and_empty_texts_pass(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
         assert stage(spark, empty, SF_DIR).collect() == []
+
+
+def test_kept_text_goes_to_python_once(spark):
+    """A text that is kept is not sent a second time to be scored."""
+    docs = spark.createDataFrame([(1, "you vile thing"), (2, None), (3, "")], "doc_id long, text string")
+    model = ToxicityModel(-2.0, {"vile": 4.0})
+    kept = toxicity_scores(docs, model, keep=("doc_id", "text"))
+    assert "_text" not in kept._jdf.queryExecution().toString() and kept.columns == ["doc_id", "text", "score", "offending"]
+    got = {r["doc_id"]: r for r in kept.collect()}
+    alone = {r["doc_id"]: r for r in toxicity_scores(docs, model).collect()}
+    assert {i: r["text"] for i, r in got.items()} == {1: "you vile thing", 2: None, 3: ""}
+    assert all((got[i]["score"], got[i]["offending"]) == (alone[i]["score"], alone[i]["offending"]) for i in got) and got[1]["score"] > 0.5
