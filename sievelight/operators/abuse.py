@@ -10,7 +10,7 @@ from sievelight.operators.findings import as_findings, first_per_kind, text, uni
 from sievelight.plans.blocks import BLOCK_ROWS, dense_index
 from sievelight.plans.sizing import tasks_for
 from sievelight.plans.spread import explode_once
-from sievelight.plans.windows import dealt, forward_counts, forward_distinct, tagged_counts
+from sievelight.plans.windows import DEALS, dealt, forward_counts, forward_distinct, tagged_counts
 
 # Default thresholds.
 RATE_EVENTS, RATE_WINDOW_MS = 12, 60_000
@@ -53,10 +53,11 @@ def machine_rhythm(
     """Lines that start `run` near-identical gaps, in line order: `source, row, mean_gap, cv`.
 
     A gap back in time disqualifies its runs. Stamped lines are numbered densely, cut into blocks, and
-    each block also sees the first lines of the next one.
+    each block also sees the first lines of the next one. Blocks are dealt to as many partitions as the lines need.
     """
+    tasks = tasks_for(lines)
     stamped = lines.filter(F.col("ts_ms").isNotNull()).select("source", "n", "ts_ms")
-    indexed = dense_index(stamped, ["source"], "n", "idx", block_rows)
+    indexed = dense_index(stamped, ["source"], "n", "idx", block_rows, tasks)
     home = F.floor(F.col("idx") / F.lit(block_rows))
     blocks = F.when(F.col("idx") % block_rows <= run, F.array(home, home - 1)).otherwise(F.array(home))
     in_order = Window.partitionBy("source", "block").orderBy("idx")
@@ -64,6 +65,7 @@ def machine_rhythm(
     gap = F.col("gap")
     return (
         indexed.withColumn("block", F.explode(blocks))
+        .repartition(tasks, "source", "block")
         .withColumn("gap", F.lead("ts_ms").over(in_order) - F.col("ts_ms"))
         .withColumn("gaps", F.count(gap).over(ahead))
         .withColumn("smallest", F.min(gap).over(ahead))
@@ -80,16 +82,21 @@ def machine_rhythm(
 def template_reuse(lines: DataFrame, n: int = TEMPLATE_LINES, min_buckets: int = TEMPLATE_MINUTES) -> DataFrame:
     """Shapes used by `n` or more lines over enough minutes: `source, row, lines, minutes`.
 
-    Unstamped lines are members of a shape but name no minute.
+    Unstamped lines are members of a shape but name no minute. Lines are counted in as many partitions as they need, so
+    what a task counts doesn't grow with the input; a minute's lines of one shape are dealt out before they meet.
     """
-    per_minute = (
-        lines.select(
-            "source", "n", tx.shape_of(F.col("line")).alias("shape"), F.floor(F.col("ts_ms") / 60_000).alias("minute")
-        )
-        .filter(F.col("shape") != "")
-        .groupBy("source", "shape", "minute")
-        .agg(F.count("*").alias("lines"), F.min("n").alias("row"))
+    tasks = tasks_for(lines)
+    shapes = lines.select(
+        "source",
+        "n",
+        tx.shape_of(F.col("line")).alias("shape"),
+        F.floor(F.col("ts_ms") / 60_000).alias("minute"),
+        F.pmod(F.xxhash64("n"), F.lit(DEALS)).alias("deal"),
     )
+    keys = ["source", "shape", "minute"]
+    dealt_out = shapes.filter(F.col("shape") != "").repartition(tasks, *keys, "deal").groupBy(*keys, "deal")
+    parts = dealt_out.agg(F.count("*").alias("lines"), F.min("n").alias("row")).repartition(tasks, *keys)
+    per_minute = parts.groupBy(*keys).agg(F.sum("lines").alias("lines"), F.min("row").alias("row"))
     return (
         per_minute.groupBy("source", "shape")
         .agg(F.min("row").alias("row"), F.sum("lines").alias("lines"), F.count("minute").alias("minutes"))

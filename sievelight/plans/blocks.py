@@ -25,10 +25,14 @@ def _before(by: Sequence[str]) -> Window:
 
 
 def dense_index(
-    df: DataFrame, by: Sequence[str], order: str, name: str = "idx", block_rows: int = BLOCK_ROWS
+    df: DataFrame, by: Sequence[str], order: str, name: str = "idx", block_rows: int = BLOCK_ROWS, tasks: int | None = None
 ) -> DataFrame:
-    """Adds `name` = 0, 1, 2, ... per `by` in the order of a whole-number column that is unique per `by`."""
+    """Adds `name` = 0, 1, 2, ... per `by` in the order of a whole-number column that is unique per `by`.
+
+    The blocks are dealt to `tasks` partitions, else to as many as the session's shuffles have.
+    """
     blocked = _blocked(df, order, block_rows)
+    blocked = blocked if tasks is None else blocked.repartition(tasks, *by, "_block")
     offsets = (
         blocked.groupBy(*by, "_block")
         .agg(F.count("*").alias("_rows"))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from helpers import details, kinds_at, rows_of, stamp, text_frame
@@ -192,3 +193,20 @@ def test_lines_of_one_stamp_are_dealt_out(spark):
     assert rows_of(abuse.id_sweep(said, 3, 1_800_000), "row", "ids") == [(1, 402), (402, 3), (403, 3)]
     parts = dealt(said, 40).groupBy(F.spark_partition_id()).count().collect()
     assert max(p["count"] for p in parts) < 200
+
+
+def test_shuffles_of_shapes_and_gaps_grow_with_the_lines(spark, monkeypatch):
+    """Shapes are counted and gaps searched in as many partitions as the lines need; a minute's lines of a shape are dealt out."""
+    monkeypatch.setattr("sievelight.plans.sizing.TASK_ROWS", 10)
+    rows = [("s", k, 1000 * k, f"GET /page{k % 3} ok") for k in range(1, 371)]
+    lines = spark.createDataFrame(rows, "source string, n long, ts_ms long, line string")
+
+    def dealt_by(found):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        return [re.sub(r"#\d+L?", "", x) for x in re.findall(r"hashpartitioning\(([^)]*)\), REPARTITION_BY_NUM", plan)]
+
+    shapes, gaps = abuse.template_reuse(lines), abuse.machine_rhythm(lines)
+    assert {"source, shape, minute, deal, 37", "source, shape, minute, 37"} <= set(dealt_by(shapes))
+    assert {"source, _block, 37", "source, block, 37"} <= set(dealt_by(gaps))
+    assert [(r["row"], r["lines"], r["minutes"]) for r in shapes.collect()] == [(1, 370, 7)]
+    assert sorted(r["row"] for r in gaps.collect()) == list(range(1, 363))
