@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.plans.session import stored
+from sievelight.plans.sizing import BROADCAST_ROWS
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """The links `a > b` of each partition made into stars: one from each node to the least that it reaches there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def least(node: int) -> int:
+            while (above := up.setdefault(node, node)) != node:
+                up[node] = node = up[above]
+            return node
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = least(a), least(b)
+                up[max(x, y)] = min(x, y)
+        nodes = [node for node in up if least(node) != node]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([least(node) for node in nodes], pa.int64())], ["a", "b"])
+
+    return links.mapInArrow(run, "a long, b long")
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -21,17 +46,21 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out if large else out.distinct()
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", task_links: int = BROADCAST_ROWS) -> DataFrame:
     """`node, component` for every node of a link, `component` being the smallest node that it reaches.
 
-    Alternating large and small stars: every round is one aggregation and one join over the links, and the number of
-    rounds grows with the logarithm of the longest chain. A hub's links meet its minimum in a join that adaptive
-    execution can split. Rounds are cut by tables in the shared folder. Links with a null end and loops are left out.
+    First, tasks of about `task_links` links each make stars of what they hold, so that few links are left, in short
+    chains; links that make up one such task are done with that. Then alternating large and small stars: every round is
+    one aggregation and one join over the links, and the number of rounds grows with the logarithm of the longest chain.
+    A hub's links meet its minimum in a join that adaptive execution can split. Rounds are cut by tables in the shared
+    folder. Links with a null end and loops are left out.
     """
-    now = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    now = stored(now.filter("a > b").distinct())
+    now = links.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b"))
+    now = stored(now.filter("a > b"))
+    tasks = max(1, -(-now.count() // task_links))
+    now = stored(_contracted(now.coalesce(1) if tasks == 1 else now.repartition(tasks)))
     mark = _mark(now)
-    while mark[0]:
+    while tasks > 1 and mark[0]:
         now = stored(_star(_star(now, True), False))
         was, mark = mark, _mark(now)
         if mark == was:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sievelight.llm.graph import connected_components
 from sievelight.llm.hashing import shingle_sets, slices, utf8
 from sievelight.plans.session import stored
-from sievelight.plans.sizing import broadcast_if_small
+from sievelight.plans.sizing import broadcast_if_small, is_small
 
 #: Classes of n-gram hashes by whose document counts n-grams are ordered, and classes of the suffix filter.
 ORDER_BITS = 17
@@ -26,8 +26,9 @@ GROUP = 8
 #: Last of the eight parts of the hash range that each share of the n-grams reaches (see `_possible`).
 SHARES = (2, 8)
 
-#: Shared n-grams that fit a broadcast, at 8 bytes each; more of them meet the rows in a shuffle join.
+#: Shared n-grams that are looked up in a bitmap of 2^BITMAP_ROW_BITS rows of 64 bits; more of them meet the rows in a shuffle join.
 KEYS = 4_000_000
+BITMAP_ROW_BITS = 20
 
 
 def _ceil(value: str, by: str) -> str:
@@ -167,6 +168,23 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(spans.filter("lo < hi").select("h", "n_rows"), "h")
 
 
+def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose `h` is one of `keys` (h, distinct).
+
+    Few keys are broadcast. More of them, up to KEYS, would fill the driver at 50 bytes each: they set bits in a table of
+    fixed size, which is broadcast in their stead, and only rows whose bit is set meet the keys in a shuffle join. Beyond
+    KEYS most bits would be set, and all rows go to that join.
+    """
+    keys = stored(keys)
+    if is_small(keys):
+        return rows.join(F.broadcast(keys), "h", "left_semi")
+    if is_small(keys, KEYS):
+        row, bit = F.shiftrightunsigned("h", 64 - BITMAP_ROW_BITS), F.expr("shiftleft(1L, cast(h & 63 AS int))")
+        bits = stored(keys.groupBy(row.alias("_row")).agg(F.bit_or(bit).alias("_bits")))
+        rows = rows.withColumn("_row", row).join(F.broadcast(bits), "_row").filter(F.col("_bits").bitwiseAND(bit) != 0).drop("_row", "_bits")
+    return rows.join(keys, "h", "left_semi")
+
+
 def _common(rows: DataFrame, docs: DataFrame, n: int, share: int) -> DataFrame:
     """`doc, met`: how many n-grams of one share a document has that also occur in another component, of all documents in `rows`.
 
@@ -184,7 +202,7 @@ def _common(rows: DataFrame, docs: DataFrame, n: int, share: int) -> DataFrame:
     grams = docs.join(broadcast_if_small(members), "doc").select("doc", "text", "comp")
     grams = grams.mapInArrow(make, "doc long, comp long, h long")
     spans = grams.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
-    met = grams.join(broadcast_if_small(stored(spans), KEYS), "h", "left_semi")
+    met = _among(grams, spans)
     return stored(met.groupBy("doc").agg(F.count("*").alias("met")))
 
 
@@ -245,7 +263,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, key: str
     """
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     order = np.zeros(1 << ORDER_BITS, np.int64)
-    counted = class_counts(docs, n).toPandas()
+    counted = class_counts(docs, n).toArrow()
     order[counted["class"].to_numpy()] = counted["count"].to_numpy()
     facts = stored(_facts(docs, n, percent, order))
     firsts = stored(facts.filter("set_key IS NOT NULL AND doc IS NOT NULL").groupBy("set_key").agg(F.min("doc").alias("doc")))
@@ -253,7 +271,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, key: str
     rows = facts.join(firsts, ["set_key", "doc"], "left_semi").select("doc", "size", "shares", F.posexplode("prefix").alias("pos", "h"))
     rows = rows.withColumn("pos", F.col("pos").cast("long")).withColumn("early", F.expr(f"pos < {short}"))
     held = rows.groupBy("h").agg(F.count("*").alias("c"), F.max("early").alias("e")).filter("c > 1 AND e")
-    shared = stored(rows.join(broadcast_if_small(stored(held.select("h")), KEYS), "h", "left_semi"))
+    shared = stored(_among(rows, held.select("h")))
 
     wanted = stored(shared.groupBy("doc").agg(F.count("*").alias("share")))
     classes = stored(_classes(docs.join(broadcast_if_small(wanted.select("doc")), "doc", "left_semi"), n).dropDuplicates(["doc"]))

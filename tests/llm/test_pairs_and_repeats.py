@@ -119,6 +119,37 @@ def test_long_chains_connect(spark):
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 102: 100}
 
 
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(90, 70), (80, 90), (5, None), (6, 6)], "a long, b long")
+    want = {**{k: 0 for k in range(41)}, 70: 70, 80: 70, 90: 70}
+    for task_links in (6, 20):
+        assert {r["node"]: r["component"] for r in connected_components(links, task_links=task_links).collect()} == want
+    monkeypatch.setattr("sievelight.llm.graph._star", lambda *_: 1 / 0)
+    assert {r["node"]: r["component"] for r in connected_components(links).collect()} == want
+
+
+def test_many_keys_are_looked_up_in_a_bitmap(spark, monkeypatch):
+    """The rows are those of a broadcast of the keys, and what is broadcast has a bound that the keys don't move."""
+    draw = J.np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 6000)
+    rows = spark.createDataFrame([(k, int(h)) for k, h in enumerate(draw)], "doc long, h long")
+    keys = rows.filter("doc % 2 = 0").select("h")
+    want = {r["doc"] for r in rows.filter("doc % 2 = 0").collect()}
+    assert {r["doc"] for r in J._among(rows, keys).collect()} == want
+    monkeypatch.setattr(J, "is_small", lambda _, most=500: most > 500)
+    met = J._among(rows, keys)
+    assert sorted(met.columns) == ["doc", "h"] and {r["doc"] for r in met.collect()} == want
+    monkeypatch.setattr(J, "BITMAP_ROW_BITS", 1)
+    assert sorted(r["doc"] for r in J._among(rows, keys).collect()) == sorted(want)
+
+
+def test_components_with_a_bitmap_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(J, "is_small", lambda _, most=500: most > 500)
+    monkeypatch.setattr(J, "BITMAP_ROW_BITS", 2)
+    rows = [(k, prose(300 + k // 4, 40) + " " + prose(400 + k, k % 3 + 1)) for k in range(32)] + [(90, None), (91, prose(1, 3))]
+    got = jaccard_components(documents(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(rows)
+
+
 def removed(rows, window):
     seen, out = set(), {}
     for i, t in sorted(rows):
