@@ -23,7 +23,7 @@ SUFFIX_CLASSES = 128
 ROUNDS = 3
 GROUP = 8
 
-#: Last of the eight parts of the hash range that each share of the n-grams reaches (see `_possible`).
+#: Last of the eight parts of the hash range that each share of the n-grams reaches (see `_possible` and `_partnered`).
 SHARES = (2, 8)
 
 #: Shared n-grams that are looked up in a bitmap of 2^BITMAP_ROW_BITS rows of 64 bits; more of them meet the rows in a shuffle join.
@@ -53,24 +53,31 @@ def class_counts(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, "class int, count long").groupBy("class").agg(F.sum("count").alias("count"))
 
 
+def _digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
 def _share_of(grams: np.ndarray) -> np.ndarray:
     """The share of each n-gram, by three bits of its hash that order and classes don't use."""
     return np.searchsorted(SHARES, (grams >> np.uint64(32) & np.uint64(7)).astype(np.int64), "right")
 
 
-def _facts(docs: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFrame:
-    """`doc, size, set_key, prefix, shares`: set size, a digest of the set, its rarest n-grams, of which a partner shares one,
-    and its n-grams by share."""
+def _facts(docs: DataFrame, n: int, percent: int, order: np.ndarray | None) -> DataFrame:
+    """`doc, size, set_key, prefix, shares`: set size, a digest of the set, its rarest n-grams, of which a partner shares one
+    (null without an order), and its n-grams by share."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             keys, prefixes, sizes, shares = [], [], [], []
             for grams in shingle_sets(utf8(batch.column("text")), n):
                 size = len(grams)
-                late = order[(grams >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
                 keep = size + (-percent * size // 100) + 1 if size else 0
-                prefixes.append(grams[np.argsort(late, kind="stable")[:keep]].view(np.int64))
-                keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if size else None)
+                if order is None:
+                    prefixes.append(None)
+                else:
+                    late = order[(grams >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
+                    prefixes.append(grams[np.argsort(late, kind="stable")[:keep]].view(np.int64))
+                keys.append(_digest(grams) if size else None)
                 sizes.append(size)
                 shares.append(np.bincount(_share_of(grams), minlength=len(SHARES)))
             yield pa.RecordBatch.from_arrays(
@@ -173,7 +180,8 @@ def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
     Few keys are broadcast. More of them, up to KEYS, would fill the driver at 50 bytes each: they set bits in a table of
     fixed size, which is broadcast in their stead, and only rows whose bit is set meet the keys in a shuffle join. Beyond
-    KEYS most bits would be set, and all rows go to that join.
+    KEYS most bits would be set, and all rows go to that join. It is an inner join, as the optimizer would move a semi
+    join of the keys below the one with the bits, where no row has left yet.
     """
     keys = stored(keys)
     if is_small(keys):
@@ -181,29 +189,64 @@ def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
     if is_small(keys, KEYS):
         row, bit = F.shiftrightunsigned("h", 64 - BITMAP_ROW_BITS), F.expr("shiftleft(1L, cast(h & 63 AS int))")
         bits = stored(keys.groupBy(row.alias("_row")).agg(F.bit_or(bit).alias("_bits")))
-        rows = rows.withColumn("_row", row).join(F.broadcast(bits), "_row").filter(F.col("_bits").bitwiseAND(bit) != 0).drop("_row", "_bits")
+        met = rows.withColumn("_row", row).join(F.broadcast(bits), "_row").filter(F.col("_bits").bitwiseAND(bit) != 0)
+        return met.join(keys, "h").select(*rows.columns)
     return rows.join(keys, "h", "left_semi")
 
 
+def _grams(docs: DataFrame, n: int, share: int) -> DataFrame:
+    """`doc, comp, h`: the n-grams of one share. Without a column `comp`, a number that goes with the set stands for it."""
+    placed = "comp" in docs.columns
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            whole = list(shingle_sets(utf8(batch.column("text")), n))
+            sets = [g[_share_of(g) == share].view(np.int64) for g in whole]
+            sizes = [len(g) for g in sets]
+            of = batch.column("comp").to_numpy() if placed else np.array([int.from_bytes(_digest(g)[:8], "big", signed=True) for g in whole], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(np.repeat(of, sizes)), pa.array(np.concatenate(sets))],
+                ["doc", "comp", "h"],
+            )
+
+    return docs.select("doc", "text", *["comp"] * placed).mapInArrow(make, "doc long, comp long, h long")
+
+
+def _met(grams: DataFrame) -> DataFrame:
+    """`doc, met`: how many of its rows in `grams` have an `h` that another `comp` has too."""
+    spans = grams.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
+    return stored(_among(grams.select("doc", "h"), spans).groupBy("doc").agg(F.count("*").alias("met")))
+
+
 def _common(rows: DataFrame, docs: DataFrame, n: int, share: int) -> DataFrame:
     """`doc, met`: how many n-grams of one share a document has that also occur in another component, of all documents in `rows`.
 
     Those of several rows with one id are added up, so there it is the most that it can be.
     """
+    members = stored(rows.select("doc", "comp").distinct())
+    return _met(_grams(docs.join(broadcast_if_small(members), "doc").select("doc", "text", "comp"), n, share))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            sets = [g[_share_of(g) == share].view(np.int64) for g in shingle_sets(utf8(batch.column("text")), n)]
-            sizes = [len(g) for g in sets]
-            ids, comps = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("doc", "comp"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(comps), pa.array(np.concatenate(sets))], ["doc", "comp", "h"])
 
-    members = stored(rows.select("doc", "comp").distinct())
-    grams = docs.join(broadcast_if_small(members), "doc").select("doc", "text", "comp")
-    grams = grams.mapInArrow(make, "doc long, comp long, h long")
-    spans = grams.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
-    met = _among(grams, spans)
-    return stored(met.groupBy("doc").agg(F.count("*").alias("met")))
+def _still(rows: DataFrame, met: DataFrame, share: int, percent: int) -> DataFrame:
+    """`rows` of documents that can have a partner, once the n-grams of `share` that they met are known; see `_possible`."""
+    own = F.get("shares", share) - F.coalesce("met", F.lit(0))
+    rows = rows.join(broadcast_if_small(met), "doc", "left").withColumn("common", F.col("common") - F.greatest(own, F.lit(0))).drop("met")
+    return stored(rows.filter(f"100 * common >= {percent} * size"))
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """`doc, text` of the rows with one of the ids; a bitmap spares rows without one the shuffle (see `_among`)."""
+    keyed = docs.select(F.xxhash64("doc").alias("h"), "doc", "text")
+    return _among(keyed, ids.select(F.xxhash64("doc").alias("h")).distinct()).select("doc", "text")
+
+
+def _partnered(rows: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """`rows` of documents that can have a partner with another set; as `_possible`, but over all documents, before any are linked."""
+    rows = rows.withColumn("common", F.col("size"))
+    for share in range(len(SHARES)):
+        among = _texts_of(docs, rows.select("doc")) if share else docs
+        rows = _still(rows, _met(_grams(among, n, share)), share, percent)
+    return rows
 
 
 def _possible(rows: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
@@ -217,10 +260,7 @@ def _possible(rows: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFra
     """
     rows = rows.withColumn("common", F.col("size"))
     for share in range(len(SHARES)):
-        met = broadcast_if_small(_common(rows, docs, n, share))
-        own = F.get("shares", share) - F.coalesce("met", F.lit(0))
-        rows = rows.join(met, "doc", "left").withColumn("common", F.col("common") - F.greatest(own, F.lit(0))).drop("met")
-        rows = stored(rows.filter(f"100 * common >= {percent} * size"))
+        rows = _still(rows, _common(rows, docs, n, share), share, percent)
     return stored(_mixed(rows.drop("n_rows")))
 
 
@@ -251,24 +291,28 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, key: str
     """`doc_id, n_shingles, component_id` for every row: set size, and the smallest id reachable by links, its own included.
 
     Two documents link when 100 * common n-grams >= percent * all n-grams of the two. Copies of one set are one class,
-    whose smallest id stands for it. A class puts its rarest n-grams up for the join, so many that a partner must share
-    one. Documents first meet one partner per shared n-gram: the one that shares most, then, in a few rounds, one of a
+    whose smallest id stands for it. First, a document's n-grams that another set has are counted; one with too many of
+    its own has no partner and takes no part in what follows (see `_partnered`). A class that is left puts its rarest
+    n-grams up for the join, so many that a partner must share one. Documents first meet one partner per shared n-gram: the one that shares most, then, in a few rounds, one of a
     random group of eight. What those pairs connect is one component; last, every pair left that shares a prefix n-gram
     and lies in two components goes through all filters and is verified. So a group of thousands of near copies is
-    connected by few pairs, and no link between components is lost. Before that last join, a document's n-grams that any
-    other component has are counted: no partner there can share more (see `_possible`).
+    connected by few pairs, and no link between components is lost. Before that last join, n-grams that any other component
+    has are counted again: no partner there can share more (see `_possible`).
 
     A null or empty text, or one of blanks only, has no n-grams and is its own component; fewer than `n` words are one
     n-gram. Rows that share an id share a component. Other columns don't matter.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    facts = stored(_facts(docs, n, percent, None).drop("prefix"))
+    firsts = stored(facts.filter("set_key IS NOT NULL AND doc IS NOT NULL").groupBy("set_key").agg(F.min("doc").alias("doc")))
+    short = f"size - {_ceil(f'2 * {percent} * size', str(100 + percent))} + 1"
+    left = _partnered(facts.join(firsts, ["set_key", "doc"], "left_semi"), docs, percent, n).select("set_key", "doc")
+    docs = stored(_texts_of(docs, left))
     order = np.zeros(1 << ORDER_BITS, np.int64)
     counted = class_counts(docs, n).toArrow()
     order[counted["class"].to_numpy()] = counted["count"].to_numpy()
-    facts = stored(_facts(docs, n, percent, order))
-    firsts = stored(facts.filter("set_key IS NOT NULL AND doc IS NOT NULL").groupBy("set_key").agg(F.min("doc").alias("doc")))
-    short = f"size - {_ceil(f'2 * {percent} * size', str(100 + percent))} + 1"
-    rows = facts.join(firsts, ["set_key", "doc"], "left_semi").select("doc", "size", "shares", F.posexplode("prefix").alias("pos", "h"))
+    rows = _facts(docs, n, percent, order).join(broadcast_if_small(left), ["set_key", "doc"], "left_semi")
+    rows = rows.select("doc", "size", "shares", F.posexplode("prefix").alias("pos", "h"))
     rows = rows.withColumn("pos", F.col("pos").cast("long")).withColumn("early", F.expr(f"pos < {short}"))
     held = rows.groupBy("h").agg(F.count("*").alias("c"), F.max("early").alias("e")).filter("c > 1 AND e")
     shared = stored(_among(rows, held.select("h")))

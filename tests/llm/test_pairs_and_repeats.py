@@ -150,6 +150,31 @@ def test_components_with_a_bitmap_equal_brute_force(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(rows)
 
 
+def test_bitmap_comes_before_the_join_with_the_keys(spark, monkeypatch):
+    """Rows without a set bit must not reach the shuffle, so the keys are joined above the bits in the optimized plan."""
+    rows = spark.createDataFrame([(k, k * 7919) for k in range(6000)], "doc long, h long")
+    monkeypatch.setattr(J, "is_small", lambda _, most=500: most > 500)
+    plan = J._among(rows, rows.filter("doc % 2 = 0").select("h"))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 2 and "_row" in joins[1] and "_row" not in joins[0]
+
+
+def test_documents_without_partners_leave_before_any_pair_is_made(spark, monkeypatch):
+    """Each shares a passage with all others, so they would meet; copies of a set and rows that repeat an id don't count as partners."""
+    passage = prose(70, 12)
+    rows = [(k, prose(200 + k, 150) + " " + passage) for k in range(6)] + [(20, prose(203, 150) + " " + passage)]
+    rows += [(10, prose(80, 60)), (11, prose(80, 59) + " end"), (11, prose(80, 59) + " end"), (12, None), (12, prose(5, 3))]
+    met = []
+
+    def seen(rows, group, first, percent, to_pivots=J._to_pivots):
+        met.append({r["doc"] for r in rows.select("doc").distinct().collect()})
+        return to_pivots(rows, group, first, percent)
+
+    monkeypatch.setattr(J, "_to_pivots", seen)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(documents(spark, rows)).collect()}
+    assert met[0] == {10, 11} and got[11] == 10 and got[20] == 3 and got[5] == 5
+
+
 def removed(rows, window):
     seen, out = set(), {}
     for i, t in sorted(rows):
